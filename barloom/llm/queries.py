@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .pii import detect_personal_data
+from .substring_dedup import remove_repeated_passages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_passages(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -30,6 +36,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op10_personal_data": op10_personal_data,
     }
@@ -37,6 +44,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": r"""
+            WITH t AS (
+                SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+            ), starts AS (
+                SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM t
+            ), windows AS (
+                SELECT doc_id, i, list_slice(words, i, i + 12) AS w FROM starts
+            ), firsts AS (SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w),
+            gone AS (
+                SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (w) WHERE first_id < doc_id
+            ), every_word AS (
+                SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM t
+            ), kept AS (
+                SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS s FROM every_word ANTI JOIN gone USING (doc_id, i) GROUP BY 1
+            )
+            SELECT t.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+                   sha256(coalesce(s, '')) AS kept_sha256
+            FROM t LEFT JOIN kept USING (doc_id)
+        """,
         "op4_exact_dedup": """
             WITH t AS (
                 SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
