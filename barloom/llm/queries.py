@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .packing import pack_documents
 from .pii import detect_personal_data
 from .substring_dedup import remove_repeated_passages
+from .token_files import read_token_files, write_token_files
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +38,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_personal_data(_documents(spark, sf_dir))
 
@@ -38,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mix": op1_source_mix,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op7_packing": op7_packing,
+        "op9_token_files": op9_token_files,
         "op10_personal_data": op10_personal_data,
     }
 
