@@ -38,7 +38,8 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "false",
+    # Without this every store reserves disk for its logs, however small its state.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
