@@ -116,7 +116,7 @@ def mix_sources(
     copy = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size"))
     sizes = written(written(raw, "mix-raw").withColumn("copy", copy), "mix-sizes")
     n_rows = sizes.count()
-    buckets = max(1, n_rows // max(4096, math.isqrt(n_rows)))
+    buckets = max(1, n_rows // max(256, math.isqrt(n_rows)))
 
     blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
     give = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("source_size") * max_repeat)
