@@ -24,11 +24,10 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .store import fresh_path, written
+from .store import fresh_path, session_conf, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,24 +50,9 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-@contextmanager
-def _conf(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def update_state(digests_path: str, schema, state_path: str, spark: SparkSession, bytes_per_batch: int = 4 << 30) -> None:
     """Stream the digest table at ``digests_path`` into the state at ``state_path``, as far as it isn't there yet."""
-    with _conf(spark, _STATE_CONF):
+    with session_conf(spark, _STATE_CONF):
         stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(digests_path)
         state = stream.groupBy("digest").agg(
             F.max(F.struct("doc_id", "n_bytes")).alias("keeper"),

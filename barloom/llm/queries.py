@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .pii import detect_personal_data
 from .substring_dedup import remove_repeated_passages
@@ -43,6 +44,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(_documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op7_packing": op7_packing,
+        "op8_near_dedup": op8_near_dedup,
         "op9_token_files": op9_token_files,
         "op10_personal_data": op10_personal_data,
     }

@@ -147,7 +147,7 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     """Mask of the positions that a window of ``size`` from one of ``starts`` covers."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + size, -1)
-    return np.cumsum(change[:-1]) > 0
+    mask = np.zeros(n, bool)
+    for k in range(size):
+        mask[starts + k] = True
+    return mask
