@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .text import parts, texts_of
@@ -146,6 +147,8 @@ def pack_documents(
     def pack(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
         table = table.drop_columns(["group"]).combine_chunks()
+        rest = pc.equal(table.column("sequence_id"), 0)
+        whole, table = table.filter(pc.invert(rest)), table.filter(rest)
         sizes, ids = table.column("length").to_pylist(), table.column("ids").to_pylist()
         rows = []
         for number, window in enumerate(pack_rests(sizes, capacity, slack)):
@@ -153,12 +156,14 @@ def pack_documents(
             for i, start, length in window:
                 rows.append((i, start, length, (group << GROUP_BITS) + number, at, ids[i][4 * start : 4 * (start + length)]))
                 at += length
+        if not rows:
+            return whole
         item, start, length, sequence, offset, data = zip(*rows, strict=True)
         own = table.take(pa.array(item))
         begin = pa.array(np.array(start) + own.column("start").to_numpy())
-        return pa.table([own.column("doc_id"), begin, pa.array(length), own.column("doc_tokens"), pa.array(sequence), pa.array(offset), pa.array(data, pa.binary())], schema=_PIECES)
+        packed = pa.table([own.column("doc_id"), begin, pa.array(length), own.column("doc_tokens"), pa.array(sequence), pa.array(offset), pa.array(data, pa.binary())], schema=_PIECES)
+        return pa.concat_tables([whole, packed])
 
-    pieces = source.mapInArrow(cut, _PIECES_SQL)
-    whole = pieces.filter(F.col("length") == capacity)
-    rests = pieces.filter(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64("doc_id", F.crc32("ids"), "doc_tokens"), F.lit(groups)))
-    return whole.unionByName(rests.groupBy("group").applyInArrow(pack, _PIECES_SQL))
+    # Full windows pass through a group too, so that texts are encoded once.
+    pieces = source.mapInArrow(cut, _PIECES_SQL).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(groups)))
+    return pieces.groupBy("group").applyInArrow(pack, _PIECES_SQL)

@@ -1,29 +1,30 @@
 """Token ids from public vocabularies, with one encoding per distinct unit of text.
 
 A vocabulary's pre-tokeniser never joins text across certain boundaries, so a
-text is cut there and each distinct unit is encoded once per cache; the ids are
-exactly those of encoding the whole text.  Strings of special tokens in a text
-are ordinary text.  A cache is cleared when it holds ``LIMIT`` units, so a
-worker's memory is bounded.
+text is cut there and each distinct unit is encoded once; the ids are exactly
+those of encoding the whole text.  Strings of special tokens in a text are
+ordinary text.  A cache that exceeds ``LIMIT`` units keeps the most used half, so
+a worker's memory is bounded.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
 
-LIMIT = 400_000
+LIMIT = 300_000
 _WHITE = re.compile(r"\s")
 
 
 class _Index(dict):
     """Unit to number; a new unit gets the next number."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, units: Iterable = ()):
+        super().__init__((u, n) for n, u in enumerate(units))
         self.new: list = []
 
     def __missing__(self, unit):
@@ -33,33 +34,31 @@ class _Index(dict):
 
 
 class UnitCache:
-    """Ids of units, kept as one flat array with offsets."""
+    """Ids of units, kept as one flat array with offsets.
 
-    def __init__(self, encode: Callable[[list], Iterable[list[int]]]):
-        self.encode = encode
-        self.clear()
+    ``encode`` maps new units to their ids end to end and the number of each.  A
+    unit may be marked; marks are the caller's.
+    """
 
-    def clear(self) -> None:
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = LIMIT):
+        self.encode, self.limit = encode, limit
         self.index = _Index()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.offsets = np.zeros(1 << 14, np.int64)
-        self.n = 0
+        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.uses, self.marks = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def number(self, units: list) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
 
-    def learn(self) -> list:
-        """Encode the units that are new; returns them."""
+    def learn(self, mark: Callable[[list], list[bool]] | None = None) -> None:
+        """Encode the units that are new."""
         new, self.index.new = self.index.new, []
-        for a in range(0, len(new), 8192):
-            ids = list(self.encode(new[a : a + 8192]))
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = self.offsets[self.n] + np.cumsum(counts)
-            while len(self.offsets) <= self.n + len(ids):
-                self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            while len(self.flat) < ends[-1]:
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.offsets[self.n] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-            self.offsets[self.n + 1 : self.n + 1 + len(ids)] = ends
-            self.n += len(ids)
-        return new
+        if not new:
+            return
+        flat, counts = self.encode(new)
+        self.flat = np.concatenate([self.flat, flat])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.marks = np.concatenate([self.marks, np.array(mark(new) if mark else [False] * len(new), bool)])
 
     def gather(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the numbered units end to end, and how many each has."""
@@ -70,6 +69,22 @@ class UnitCache:
         at += np.arange(len(at))
         return self.flat[at], counts
 
+    def used(self, units: np.ndarray) -> None:
+        self.uses += np.bincount(units, minlength=len(self.uses))
+
+    def trim(self) -> None:
+        """Beyond the limit, forget all but the most used half.  Numbers given before become void."""
+        n = len(self.uses)
+        if n <= self.limit:
+            return
+        least = max(2, int(np.partition(self.uses, n - self.limit // 2)[n - self.limit // 2]) + 1)
+        keep = np.flatnonzero(self.uses >= least)
+        units = list(self.index)
+        self.flat, counts = self.gather(keep)
+        self.offsets = np.append(0, np.cumsum(counts))
+        self.marks, self.uses = self.marks[keep], np.zeros(len(keep), np.int64)
+        self.index = _Index(units[k] for k in keep)
+
 
 def _fast_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,99 +95,175 @@ def _fast_tokenizer(path: str):
     return tokenizer
 
 
-class _Encoder:
-    def __init__(self):
-        self.cache = UnitCache(self._encode_units)
+def _joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())), counts
 
-    def _room(self) -> None:
-        if len(self.cache.index) > LIMIT:
-            self.cache.clear()
 
+class _Fast:
+    """Units are encoded many at once, as one text, and the ids dealt back by ``ends``."""
 
-class WordVocabulary(_Encoder):
-    """A vocabulary that drops white space: the words of a text are its units."""
+    PER_TEXT = 1000
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = _fast_tokenizer(path)
 
-    def _encode_units(self, units: list[bytes]) -> Iterable[list[int]]:
-        return (e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False))
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(self, units: list[str], joint: str, ends: Callable[[np.ndarray, list[str]], np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for a in range(0, len(units), self.PER_TEXT):
+            own = units[a : a + self.PER_TEXT]
+            ids = np.array(self.ids([joint.join(own)])[0], np.uint32)
+            upto = ends(ids, own)
+            out.append(_joined(self.ids(own)) if upto is None else (ids, np.diff(np.append(0, upto))))
+        return tuple(np.concatenate([np.zeros(0, kind), *(o[k] for o in out)]) for k, kind in ((0, np.uint32), (1, np.int64)))
+
+
+class WordVocabulary(_Fast):
+    """A vocabulary that drops white space and lower-cases: the words of a text are its units.
+
+    A new word is cut as the vocabulary's pre-tokeniser cuts it, and each distinct
+    cut piece is encoded once.  A piece's last id is one that ends a word, which
+    tells where a piece's ids end.
+    """
+
+    # Fixed value: the pre-tokeniser's pattern.
+    CUT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str):
+        import regex
+
+        super().__init__(path)
+        self.cut = regex.compile(self.CUT)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.pieces = UnitCache(self._encode_words), UnitCache(self._encode_pieces)
+
+    def _ends(self, ids: np.ndarray, units: list[str]) -> np.ndarray | None:
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        return ends if len(ends) == len(units) and (not len(ids) or ends[-1] == len(ids)) else None
+
+    def _encode_pieces(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.many(units, " ", self._ends)
+
+    def _pieces_of(self, word: bytes) -> list[str]:
+        text = word.decode()
+        if not text.isascii():
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+        return self.cut.findall(text)
+
+    def _encode_words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.pieces.trim()
+        cut = [self._pieces_of(u) for u in units]
+        numbers = self.pieces.number([p for c in cut for p in c])
+        self.pieces.learn()
+        self.pieces.used(numbers)
+        ids, counts = self.pieces.gather(numbers)
+        upto = np.append(0, np.cumsum(counts))
+        ends = np.cumsum([len(c) for c in cut])
+        return ids, np.diff(np.append(0, upto[ends]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each."""
-        self._room()
-        get = self.cache.index.__getitem__
-        numbers = []
-        for text in texts:
-            words = text.encode().split()
-            numbers.append(np.fromiter(map(get, words), np.int64, len(words)))
-        self.cache.learn()
-        ids, counts = self.cache.gather(np.concatenate([np.zeros(0, np.int64), *numbers]))
+        self.words.trim()
+        numbers = [self.words.number(text.encode().lower().split()) for text in texts]
+        self.words.learn()
+        every = np.concatenate([np.zeros(0, np.int64), *numbers])
+        self.words.used(every)
+        ids, counts = self.words.gather(every)
         upto = np.append(0, np.cumsum(counts))
         ends = np.cumsum([len(n) for n in numbers]) if numbers else np.zeros(0, np.int64)
         return ids, np.diff(np.append(0, upto[ends]))
 
 
-class ByteVocabulary(_Encoder):
+class ByteVocabulary(_Fast):
     """A byte-level vocabulary.
 
     Its pre-tokeniser always cuts before a white-space character that follows
-    another character, so those places part the units.  A text in which white
-    space follows white space is encoded whole.
+    another character, so those places part the units.  The bytes that each id
+    stands for tell where a unit's ids end.  A text in which white space follows
+    white space is encoded whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = _fast_tokenizer(path)
-        self.whole = np.zeros(0, bool)
-
-    def _encode_units(self, units: list[str]) -> Iterable[list[int]]:
-        texts = [u if u[:1] == "\n" else " " + u for u in units]
-        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        super().__init__(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
+        self.units = UnitCache(self._encode_units)
+
+    def _ends(self, ids: np.ndarray, units: list[str]) -> np.ndarray | None:
+        upto, ends = np.cumsum(self.n_bytes[ids]), np.cumsum([len(u.encode()) for u in units])
+        at = np.searchsorted(upto, ends)
+        return at + 1 if len(upto) and at[-1] == len(upto) - 1 and (upto[at] == ends).all() else None
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = self._whole(units)
+        plain = [u if u[0] == "\n" else " " + u for u, w in zip(units, whole, strict=True) if not w]
+        ids, plain_counts = self.many(plain, "", self._ends)
+        counts = np.zeros(len(units), np.int64)
+        counts[~np.array(whole, bool)] = plain_counts
+        return ids, counts
+
+    @staticmethod
+    def _whole(units: list[str]) -> list[bool]:
+        """Units that show white space after white space; texts with them are encoded whole."""
+        return [u in ("", "\n") or bool(_WHITE.search(u, u[0] == "\n")) for u in units]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each."""
-        self._room()
-        if not self.cache.n:
-            self.whole = np.zeros(0, bool)
-        get = self.cache.index.__getitem__
+        self.units.trim()
         firsts, numbers = [], []
         for text in texts:
             first, *units = text.replace("\n", " \n").split(" ")
             firsts.append(first)
-            numbers.append(np.fromiter(map(get, units), np.int64, len(units)))
-        new = self.cache.learn()
-        self.whole = np.concatenate([self.whole, np.fromiter((u in ("", "\n") or bool(_WHITE.search(u, u[0] == "\n")) for u in new), bool, len(new))])
+            numbers.append(self.units.number(units))
+        self.units.learn(self._whole)
+        if texts:
+            self.units.used(np.concatenate(numbers))
+        heads = self.ids(firsts)
         out, counts = [], []
-        for text, first, units in zip(texts, firsts, numbers, strict=True):
-            if self.whole[units].any() or _WHITE.search(first):
-                ids = [np.array(self._whole(text), np.uint32)]
+        for text, first, head, units in zip(texts, firsts, heads, numbers, strict=True):
+            if self.units.marks[units].any() or _WHITE.search(first):
+                ids = [np.array(self.ids([text])[0], np.uint32)]
             else:
-                ids = [np.array(self._whole(first), np.uint32), self.cache.gather(units)[0]]
+                ids = [np.array(head, np.uint32), self.units.gather(units)[0]]
             out += ids
             counts.append(sum(map(len, ids)))
         return np.concatenate([np.zeros(0, np.uint32), *out]), np.array(counts, np.int64)
 
 
-class PieceVocabulary(_Encoder):
+class PieceVocabulary:
     """A vocabulary of pieces with byte fallback, applied to words; words start with its space mark."""
 
     def __init__(self, path: str):
-        super().__init__()
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.processor.is_byte(i) for i in range(self.processor.get_piece_size())])
+        self.words = UnitCache(self._encode_words)
 
-    def _encode_units(self, units: list[bytes]) -> Iterable[list[int]]:
-        return self.processor.encode([u.decode() for u in units], num_threads=1)
+    def _encode_words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return _joined(self.processor.encode([u.decode() for u in units], num_threads=1))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of all texts end to end, and the number of each text."""
+        self.words.trim()
+        numbers = [self.words.number(text.encode().split()) for text in texts]
+        self.words.learn()
+        every = np.concatenate([np.zeros(0, np.int64), *numbers])
+        self.words.used(every)
+        ids, counts = self.words.gather(every)
+        upto = np.append(0, np.cumsum(counts))
+        ends = np.cumsum([len(n) for n in numbers]) if numbers else np.zeros(0, np.int64)
+        return ids, np.diff(np.append(0, upto[ends]))
 
 
-_LOADED: dict[tuple, _Encoder] = {}
+_LOADED: dict[tuple, object] = {}
 
 
 def loaded(kind: type, path: str):
