@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .exact_dedup import exact_dedup
+from .fertility import quality_rules
+from .line_dedup import remove_repeated_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .pii import detect_personal_data
 from .substring_dedup import remove_repeated_passages
 from .token_files import read_token_files, write_token_files
+from .tool_calls import calls_of_turns, link_tool_calls
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +33,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_lines(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_passages(_documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -39,6 +47,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = calls_of_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return link_tool_calls(calls, results, {"reply": {"text": ("string", True)}})
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -60,8 +77,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
+        "op2_line_dedup": op2_line_dedup,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_fertility": op5_fertility,
+        "op6_tool_calls": op6_tool_calls,
         "op7_packing": op7_packing,
         "op8_near_dedup": op8_near_dedup,
         "op9_token_files": op9_token_files,
@@ -71,6 +91,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": r"""
+            WITH l AS (
+                SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+                FROM documents
+            ), counted AS (
+                SELECT doc_id, i, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS counts FROM l
+            ), numbered AS (
+                SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM counted WHERE counts
+            ), windows AS (
+                SELECT doc_id, k, line, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3 FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+            ), later AS (
+                SELECT doc_id, k FROM windows WHERE l3 IS NOT NULL
+                QUALIFY row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, k) > 1
+            ), gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 3)) AS k FROM later),
+            marked AS (
+                SELECT c.doc_id, c.i, c.line, c.counts, g.k IS NOT NULL AS is_gone
+                FROM counted c LEFT JOIN numbered n USING (doc_id, i) LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.k = n.k
+            )
+            SELECT doc_id, count(*) FILTER (counts) AS n_lines, count(*) FILTER (is_gone) AS n_removed,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_gone), '')) AS kept_sha256
+            FROM marked GROUP BY doc_id
+        """,
+        "op6_tool_calls": """
+            WITH t AS (
+                SELECT *, last_value(CASE WHEN role = 'user' THEN turn::VARCHAR END IGNORE NULLS)
+                    OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS call_id
+                FROM conversations
+            ), answers AS (
+                SELECT conv_id, call_id, count(*) AS n, first(text ORDER BY turn, text) AS result
+                FROM t WHERE role IS DISTINCT FROM 'user' AND call_id IS NOT NULL GROUP BY 1, 2
+            ), calls AS (
+                SELECT conv_id, call_id, turn AS position, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS topo_order
+                FROM t WHERE role = 'user'
+            )
+            SELECT conv_id, call_id, position, topo_order, coalesce(n, 0) AS n_results, n IS NOT NULL AS linked, true AS valid, false AS cyclic,
+                   json_object('arguments', json_object('text', text), 'call_id', call_id, 'name', 'reply', 'result', result,
+                               'turn', topo_order, 'valid', true)::VARCHAR AS record
+            FROM calls LEFT JOIN answers USING (conv_id, call_id)
+        """,
         "op3_substring_dedup": r"""
             WITH t AS (
                 SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
