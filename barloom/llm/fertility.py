@@ -130,8 +130,8 @@ def entropy(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def measure(texts: Texts, strings: list[str], byte_path: str, piece_path: str) -> dict[str, np.ndarray]:
-    _, n_tokens = loaded(ByteVocabulary, byte_path).encode(strings)
-    pieces = loaded(PieceVocabulary, piece_path)
+    whole, pieces = loaded((ByteVocabulary, byte_path), (PieceVocabulary, piece_path))
+    _, n_tokens = whole.encode(strings)
     ids, counts = pieces.encode(strings)
     ends = np.append(0, np.cumsum(counts))
     chars = _per_text((texts.data & 0xC0) != 0x80, texts.offsets)

@@ -119,7 +119,7 @@ def pack_documents(
 
         # Full windows are sequences at once, numbered -1, -2, ... in steps of the partition.
         partition, serial = TaskContext.get().partitionId(), 0
-        encoder = loaded(WordVocabulary, vocabulary)
+        encoder = loaded((WordVocabulary, vocabulary))[0]
         for batch in batches:
             column = batch.column(1)
             for a, b, _ in parts(texts_of(column), 1 << 20):

@@ -196,7 +196,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, packer, doc_ids, counts = loaded(ByteVocabulary, vocabulary), Packer(), [], []
+        [encoder], packer, doc_ids, counts = loaded((ByteVocabulary, vocabulary)), Packer(), [], []
         for batch in batches:
             texts, column = texts_of(batch.column(1)), batch.column(1)
             doc_ids += batch.column(0).to_pylist()

@@ -16,8 +16,10 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-LIMIT = 300_000
+LIMIT = 800_000
 _WHITE = re.compile(r"\s")
+# In units that zero bytes part: an empty one, or white space other than a line break before something else.
+_ODD = re.compile(r"[^\S\n]|[^\0]\n|\n[\s\0]|\n\Z|\0\0|\0\Z")
 
 
 class _Index(dict):
@@ -40,7 +42,7 @@ class UnitCache:
     unit may be marked; marks are the caller's.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = LIMIT):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int):
         self.encode, self.limit = encode, limit
         self.index = _Index()
         self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -132,7 +134,7 @@ class WordVocabulary(_Fast):
     # Fixed value: the pre-tokeniser's pattern.
     CUT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = LIMIT):
         import regex
 
         super().__init__(path)
@@ -140,7 +142,7 @@ class WordVocabulary(_Fast):
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.pieces = UnitCache(self._encode_words), UnitCache(self._encode_pieces)
+        self.words, self.pieces = UnitCache(self._encode_words, limit), UnitCache(self._encode_pieces, limit // 2)
 
     def _ends(self, ids: np.ndarray, units: list[str]) -> np.ndarray | None:
         ends = np.flatnonzero(self.is_end[ids]) + 1
@@ -152,7 +154,9 @@ class WordVocabulary(_Fast):
     def _pieces_of(self, word: bytes) -> list[str]:
         text = word.decode()
         if not text.isascii():
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+            text = unicodedata.normalize("NFC", text)
+            # The library lower-cases character by character, so a final sigma is like any other.
+            text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
         return self.cut.findall(text)
 
     def _encode_words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +192,13 @@ class ByteVocabulary(_Fast):
     white space is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = LIMIT):
         super().__init__(path)
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
-        self.units = UnitCache(self._encode_units)
+        self.units = UnitCache(self._encode_units, limit)
 
     def _ends(self, ids: np.ndarray, units: list[str]) -> np.ndarray | None:
         upto, ends = np.cumsum(self.n_bytes[ids]), np.cumsum([len(u.encode()) for u in units])
@@ -212,6 +216,9 @@ class ByteVocabulary(_Fast):
     @staticmethod
     def _whole(units: list[str]) -> list[bool]:
         """Units that show white space after white space; texts with them are encoded whole."""
+        joined = "\0" + "\0".join(units)
+        if joined.count("\0") == len(units) and not _ODD.search(joined):
+            return [False] * len(units)
         return [u in ("", "\n") or bool(_WHITE.search(u, u[0] == "\n")) for u in units]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,12 +247,12 @@ class ByteVocabulary(_Fast):
 class PieceVocabulary:
     """A vocabulary of pieces with byte fallback, applied to words; words start with its space mark."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = LIMIT):
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.processor.is_byte(i) for i in range(self.processor.get_piece_size())])
-        self.words = UnitCache(self._encode_words)
+        self.words = UnitCache(self._encode_words, limit)
 
     def _encode_words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return _joined(self.processor.encode([u.decode() for u in units], num_threads=1))
@@ -266,9 +273,12 @@ class PieceVocabulary:
 _LOADED: dict[tuple, object] = {}
 
 
-def loaded(kind: type, path: str):
-    """The encoder of this worker process for a vocabulary file."""
-    key = (kind, path)
-    if key not in _LOADED:
-        _LOADED[key] = kind(path)
-    return _LOADED[key]
+def loaded(*wanted: tuple[type, str]) -> list:
+    """The encoders of this worker process for (kind, vocabulary file); those no longer wanted are dropped."""
+    if set(_LOADED) != set(wanted):
+        for key in set(_LOADED) - set(wanted):
+            del _LOADED[key]
+        for kind, path in wanted:
+            if (kind, path) not in _LOADED:
+                _LOADED[kind, path] = kind(path, LIMIT // len(wanted))
+    return [_LOADED[key] for key in wanted]
