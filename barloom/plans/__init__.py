@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barloom.plans import indicators, patterns
+from barloom.plans import indicators, patterns, trading
 from barloom.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (indicators, patterns)
+MODULES = (indicators, patterns, trading)
 
 
 def queries() -> dict[str, Query]:
