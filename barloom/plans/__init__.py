@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barloom.plans import indicators, patterns, trading
+from barloom.plans import indicators, patterns, reports, trading
 from barloom.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (indicators, patterns, trading)
+MODULES = (indicators, patterns, trading, reports)
 
 
 def queries() -> dict[str, Query]:
