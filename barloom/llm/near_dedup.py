@@ -37,6 +37,7 @@ from .bagminhash import band_keys, shingles, signatures
 from .components import connected_components
 from .store import session_conf, written
 from .text import parts, texts_of
+from .vocab import release
 
 BANDS, ROWS = 32, 6
 THRESHOLD, SURE_BELOW = 0.8, 0.68
@@ -59,6 +60,7 @@ def _nodes(n: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray) ->
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for a, b, text, shingle, count in _multisets(batch.column(1)):
             n = b - a
@@ -79,6 +81,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text its node and its shingles' low 32 bits in ascending order, each as often as it occurs."""
+    release()
     for batch in batches:
         for a, b, text, shingle, count in _multisets(batch.column(0)):
             n = b - a

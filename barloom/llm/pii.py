@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .vocab import release
+
 # The four base kinds, in the order of the result, and those that cues add.
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("url", "iban", "secret")
@@ -166,6 +168,7 @@ def detect_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             counts: list[list[int]] = [[] for _ in BASE_KINDS]
             digests, everything = [], []

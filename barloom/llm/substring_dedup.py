@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .text import covered, mix, parts, runs, span_hashes, split_words, texts_of, window_hashes, window_starts
+from .vocab import release
 
 WINDOW, BLOCK = 13, 7
 BATCH_BYTES = 4 << 20
@@ -47,6 +48,7 @@ class _Batch:
     """The documents of one batch in the order of their identifiers, with their window hashes."""
 
     def __init__(self, table: pa.Table):
+        release()
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = table.column("doc_id")
         self.rank = self.ids.fill_null(np.iinfo(np.int64).max).to_numpy()

@@ -282,3 +282,8 @@ def loaded(*wanted: tuple[type, str]) -> list:
             if (kind, path) not in _LOADED:
                 _LOADED[kind, path] = kind(path, LIMIT // len(wanted))
     return [_LOADED[key] for key in wanted]
+
+
+def release() -> None:
+    """Free this worker's encoders; workers are reused, and other operators need the memory."""
+    _LOADED.clear()
