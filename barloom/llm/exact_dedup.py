@@ -23,6 +23,7 @@ not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -50,10 +51,10 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def update_state(digests_path: str, schema, state_path: str, spark: SparkSession, bytes_per_batch: int = 4 << 30) -> None:
-    """Stream the digest table at ``digests_path`` into the state at ``state_path``, as far as it isn't there yet."""
+def update_state(digest_paths: str, schema, state_path: str, spark: SparkSession, bytes_per_batch: int = 4 << 30) -> None:
+    """Stream the digest tables at ``digest_paths``, a pattern, into the state at ``state_path``, as far as they aren't there yet."""
     with session_conf(spark, _STATE_CONF):
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(digests_path)
+        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(digest_paths)
         state = stream.groupBy("digest").agg(
             F.max(F.struct("doc_id", "n_bytes")).alias("keeper"),
             F.count("*").alias("group_size"),
@@ -92,10 +93,10 @@ def exact_dedup(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     keyed = texts.select("doc_id", digest(F.col("norm")).alias("digest"), F.octet_length("norm").alias("n_bytes"), sha256_hex(F.col("norm")).alias("text_sha256"))
-    path = fresh_path(spark, "dedup-digests")
-    keyed.write.parquet(path)
     state_path = state_path or fresh_path(spark, "dedup-state")
-    update_state(path, keyed.schema, state_path, spark)
+    path = f"{state_path}-digests/run-{uuid.uuid4().hex}"
+    keyed.write.parquet(path)
+    update_state(f"{state_path}-digests/run-*", keyed.schema, state_path, spark)
     digests = spark.read.schema(keyed.schema).parquet(path)
     state = written(_state_columns(read_state(spark, state_path)), "dedup-groups")
 

@@ -101,7 +101,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _slices(bucket: np.ndarray):
     _, first = runs(bucket)
-    return zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)
+    return zip(bucket[first].tolist(), first.tolist(), np.append(first, len(bucket))[1:].tolist(), strict=True)
 
 
 def _bits(mask: np.ndarray) -> bytes:
