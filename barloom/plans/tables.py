@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import SHORT
@@ -13,6 +11,7 @@ from barloom.plans.registry import query, table
 from barloom.plans.trading import FEATURE_SQL, TRADES_SQL, feats, signals_sql
 from barloom.sources import bars as source
 from barloom.sources import connectors
+from barloom.sources.shared import shared_dir
 from barloom.streaming import candles
 
 TICKERS = ["click", "error", "purchase", "signup", "view"]
@@ -112,17 +111,15 @@ def s18(spark, sf):
 @query("s20_s21_s11_files")
 def s20(spark, sf):
     """Bars and manifest through files in the checkpoint folder (a temporary one on a single machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path = f"{base}/barloom-bars-{connectors.cache_key(sf)}"
+    path = f"{shared_dir(spark)}/barloom-bars-{connectors.cache_key(sf)}"
     connectors.save_bars(feed(spark, sf), path)
     return connectors.load_manifest(spark, path).join(connectors.load_bars(spark, path).groupBy("ticker").agg(F.count("*").alias("read_back")), "ticker").select("ticker", "n_rows", "read_back")
 
 
 @query("s14_s28_cache")
 def s14(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
     key = connectors.cache_key("bars", sf, 60)
-    return connectors.cached(spark, f"{base}/barloom-cache", key, lambda: feed(spark, sf)).groupBy("ticker").agg(F.count("*").alias("n"))
+    return connectors.cached(spark, f"{shared_dir(spark)}/barloom-cache", key, lambda: feed(spark, sf)).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
 @query(
