@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .text import Texts, covered, mix, parts, runs, span_hashes, split_words, texts_of, window_hashes, window_starts
-from .vocab import ByteVocabulary, PieceVocabulary, loaded
+from .vocab import ByteVocabulary, PieceVocabulary, loaded, tidy
 
 # Least and most code points per token, largest share of byte
 # fallback, least token entropy.  The languages' least values lie below what
@@ -170,6 +170,7 @@ def quality_rules(docs: DataFrame, byte_path: str, piece_path: str, id_col: str
         for batch in batches:
             for a, b, found in _runs_of(batch.column(1), batch.column(2), byte_path, piece_path):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(found[n], k) for n, k in zip(names, kinds, strict=True))], names=["doc_id", *names])
+        tidy()
 
     id_type = source.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {id_type}", *(f"{n} bigint" for n in BASE), *(f"{n} double" for n in MEASURES), "base_failed boolean", "kept boolean"])
@@ -184,5 +185,6 @@ def keep_good(docs: DataFrame, byte_path: str, piece_path: str, text_col: str =
         for batch in batches:
             for a, b, found in _runs_of(batch.column(text_at), batch.column(lang_at), byte_path, piece_path):
                 yield batch.slice(a, b - a).filter(pa.array(found["kept"], pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(keep, docs.schema)

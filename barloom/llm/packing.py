@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .text import parts, texts_of
-from .vocab import WordVocabulary, loaded
+from .vocab import WordVocabulary, loaded, tidy
 
 CAPACITY = 4096
 GROUP_BYTES = 2 << 20
@@ -143,6 +143,7 @@ def pack_documents(
                     ],
                     schema=_PIECES,
                 )
+        tidy()
 
     def pack(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .store import fresh_path, written
 from .text import parts, texts_of
-from .vocab import ByteVocabulary, loaded
+from .vocab import ByteVocabulary, loaded, tidy
 
 # Ids per word by selector; selector 0 is the escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -213,6 +213,7 @@ def write_token_files(
             packer.write(stream, doc_ids, np.concatenate(counts))
         system.move(f"{folder}/.{name}", f"{folder}/{name}")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{path}/{name}"], "n_docs": [len(doc_ids)], "n_ids": [packer.n_ids]})
+        tidy()
 
     manifest = written(ranged.mapInArrow(write, "shard bigint, path string, n_docs bigint, n_ids bigint"), "token-manifest")
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

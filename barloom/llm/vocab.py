@@ -9,6 +9,7 @@ a worker's memory is bounded.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import unicodedata
@@ -286,4 +287,12 @@ def loaded(*wanted: tuple[type, str]) -> list:
 
 def release() -> None:
     """Free this worker's encoders; workers are reused, and other operators need the memory."""
-    _LOADED.clear()
+    if _LOADED:
+        _LOADED.clear()
+        tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task should hold little."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
