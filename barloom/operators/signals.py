@@ -123,10 +123,14 @@ def catalogue() -> list[Strategy]:
 
 def signals(f: DataFrame, strategies: list[Strategy], kept: tuple[str, ...] = ("ticker", "w", "pos", "pred_ts", "entry_close", "entry_open", "g_tp", "g_sl", "horizon")) -> DataFrame:
     """One row per strategy and window with a signal other than 0; narrow."""
+    # Each distinct signal becomes one column, so that expressions stay small however many variants use it.
+    column = {s: f"__sig{k}" for k, s in enumerate(dict.fromkeys(s.signal for s in strategies))}
+    f = f.withColumns({name: F.expr(signal) for signal, name in column.items()})
     rows = []
     for s in strategies:
-        gated = s.gate.replace("sig ", f"{s.signal} ")
-        value = F.expr(f"CASE WHEN {gated} THEN {s.signal} ELSE 0 END")
+        sig = column[s.signal]
+        gated = s.gate.replace("sig ", f"{sig} ")
+        value = F.expr(f"CASE WHEN {gated} THEN {sig} ELSE 0 END")
         rows.append(F.struct(F.lit(s.name).alias("strategy"), value.cast("int").alias("sig"), F.lit(s.mode).alias("mode")))
     return f.select(*kept, F.explode(F.filter(F.array(*rows), lambda x: x["sig"] != 0)).alias("s")).select(*kept, "s.*")
 
