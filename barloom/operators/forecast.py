@@ -156,6 +156,17 @@ def beliefs(bars: DataFrame, horizon: Horizon) -> DataFrame:
     return each.select("ticker", "bar_ix", "s", "h", belief_of(last(F.col("codes")), last(F.col("fines"))).alias("b")).select("ticker", "bar_ix", "s", "h", "b.*")
 
 
+def confidence_per_sample(codes: Column, horizon: Horizon) -> Column:
+    """Mean confidence of each sample, from a bar's list of return codes: what :func:`beliefs` averages to, without its rows."""
+
+    def at(s: Column, h: Column) -> Column:
+        size = 6 * (s + 1) + h
+        return F.array_max(distribution(F.slice(codes, -size, size)))
+
+    steps = F.sequence(F.lit(0), F.lit(horizon.pred_len - 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(horizon.samples - 1)), lambda s: mean(F.transform(steps, lambda h: at(s, h))))
+
+
 def nucleus(tokens: DataFrame, keys: list[str], p: float) -> DataFrame:
     """Rows of a token distribution (columns code, prob) that a nucleus of mass ``p`` keeps, renormalised."""
     from pyspark.sql import Window as W

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from barloom.config import Horizon
 from barloom.operators import atoms, forecast, rolling, windows
 from barloom.operators.rolling import floor, true
+from barloom.sources.bars import by_bar
 
 
 def by_window() -> W:
@@ -31,17 +32,18 @@ def expanding_bounds(df: DataFrame, column: str, name: str, q_high: float = 0.9,
     return both.withColumn(f"{name}_hi", pick(0, 0.001)).withColumn(f"{name}_lo", pick(1, -0.001)).drop("_now", "_past")
 
 
-def confidence_of(beliefs: DataFrame) -> DataFrame:
-    """(ticker, bar_ix, conf, conf_per_sample): means over all steps, and per sample."""
-    per = beliefs.groupBy("ticker", "bar_ix", "s").agg(F.avg("confidence").alias("c"))
-    return per.groupBy("ticker", "bar_ix").agg(F.avg("c").alias("conf"), F.transform(F.array_sort(F.collect_list(F.struct("s", "c"))), lambda x: x["c"]).alias("conf_per_sample"))
-
-
 def features(bars: DataFrame, horizon: Horizon, forecaster: str = "analog") -> DataFrame:
-    """All window features of a bar table, one row per (ticker, w)."""
+    """All window features of a bar table, one row per (ticker, w).
+
+    One shuffle by ticker serves all of it: every feature is a window or an
+    expression over the bar's own row.
+    """
     b = rolling.linear_channel(rolling.atr_sma(rolling.rsi_simple(rolling.rising_twice(rolling.bollinger_partial(bars), "bb_width", "_unused"))))
     b = forecast.get_forecaster(forecaster).transform(b.drop("_unused"), horizon)
-    f = windows.sliding_windows(b, horizon).join(confidence_of(forecast.beliefs(bars, horizon)), ["ticker", "bar_ix"])
+    longest = 6 * horizon.samples + horizon.pred_len - 1
+    b = forecast.return_codes(b).withColumn("codes", F.collect_list("code").over(by_bar().rowsBetween(-(longest - 1), 0))).drop("ret", "code", "fine")
+    f = windows.sliding_windows(b, horizon).withColumn("conf_per_sample", forecast.confidence_per_sample(F.col("codes"), horizon)).drop("codes")
+    f = f.withColumn("conf", forecast.mean(F.col("conf_per_sample")))
     ec = F.col("entry_close")
     ret = lambda value: (value - ec) / floor(ec, 1e-8)
     last = forecast.last_step(F.col("paths"))

@@ -22,7 +22,7 @@ def trades(spark, sf) -> DataFrame:
 
 
 def per_bar(spark, sf) -> DataFrame:
-    return simulate.per_bar(trades(spark, sf), bars(spark, sf))
+    return simulate.per_bar(trades(spark, sf), bars(spark, sf), [s.name for s in CHOSEN])
 
 
 @query(
@@ -205,7 +205,7 @@ def j06(spark, sf):
     place = F.when(F.col("bb_pct") < 0.3, "oversold").when(F.col("bb_pct") > 0.7, "overbought").otherwise("middle")
     label = F.concat_ws("_", wide, place, F.when(F.col("bb_mom"), "expanding").otherwise("contracting"))
     g = f.select("ticker", (F.col("pos") + 1).alias("bar_ix"), label.alias("regime"))
-    pb = simulate.per_bar(simulate.simulate(signals.signals(f, CHOSEN)), bars(spark, sf)).filter("ret <> 0").join(g, ["ticker", "bar_ix"], "left")
+    pb = simulate.per_bar(simulate.simulate(signals.signals(f, CHOSEN)), bars(spark, sf), [s.name for s in CHOSEN]).filter("ret <> 0").join(g, ["ticker", "bar_ix"], "left")
     t = pb.withColumn("regime", F.coalesce("regime", F.lit("high_vol_middle_expanding"))).groupBy("strategy", "regime").agg(F.count("*").alias("n"), r(F.sum("ret")).alias("total_ret"), r(F.avg("ret")).alias("aver_ret")).filter("n >= 5")
     bad4 = ("high_vol_overbought_contracting", "high_vol_oversold_contracting", "high_vol_oversold_expanding", "low_vol_oversold_expanding")
     return t.withColumns({"is_bad": F.col("regime") == "high_vol_oversold_expanding", "is_best": F.col("regime") == "high_vol_middle_contracting", "is_bad4": F.col("regime").isin(*bad4)})

@@ -140,6 +140,10 @@ def run(spark, sf, strategies: list[signals.Strategy]) -> DataFrame:
     return simulate.simulate(signals.signals(feats(spark, sf), strategies))
 
 
+def per_bar(spark, sf, strategies: list[signals.Strategy]) -> DataFrame:
+    return simulate.per_bar(run(spark, sf, strategies), bars(spark, sf), [s.name for s in strategies])
+
+
 _T14 = [signals.Strategy("WF", signals.WF), signals.Strategy("WF+pct_noTP", signals.WF, signals.PCT, "no_tp"), signals.Strategy("WF+pct+bbmom_noTP", signals.WF, f"{signals.PCT} AND bb_mom", "no_tp")]
 _CHAIN = f"{FEATURE_SQL}, {signals_sql(_T14)}, {TRADES_SQL}, {PER_BAR_SQL}"
 
@@ -280,7 +284,7 @@ def x01(spark, sf):
 
 @query("x03_j11_per_bar", f"WITH {_CHAIN} SELECT strategy, ticker, bar_ix, round(ret, 6) AS ret, round(equity, 6) AS equity FROM eq")
 def x03(spark, sf):
-    pb = simulate.per_bar(run(spark, sf, _T14), bars(spark, sf))
+    pb = per_bar(spark, sf, _T14)
     return simulate.with_equity(pb).select("strategy", "ticker", "bar_ix", r("ret"), r("equity"))
 
 
@@ -298,20 +302,20 @@ def _rounded_metrics(df: DataFrame) -> DataFrame:
 @query("x3_backtest_wf", f"WITH {FEATURE_SQL}, {signals_sql(_T14[:1])}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_METRICS_SELECT.replace('n_trades > 20', 'n_trades >= 0').replace('profit_factor, 4', 'profit_factor, 3')}")
 def x3(spark, sf):
     """The flagship: walk-forward baseline from ticks to metrics, per ticker."""
-    pb = simulate.per_bar(run(spark, sf, _T14[:1]), bars(spark, sf))
+    pb = per_bar(spark, sf, _T14[:1])
     digits = {"sharpe": 4, "sortino": 4, "avg_return": 4, "profit_factor": 3, "calmar": 2, "psr": 5}
     return reports.strategy_metrics(pb).select("strategy", "ticker", *[c if c == "n_trades" else r(c, digits.get(c, 6)) for c in _METRIC_COLUMNS])
 
 
 @query("a01_a17_strategy_metrics", f"WITH {_CHAIN}, {METRICS_SQL} {_METRICS_SELECT}")
 def a01(spark, sf):
-    return _rounded_metrics(reports.strategy_metrics(simulate.per_bar(run(spark, sf, _T14), bars(spark, sf))))
+    return _rounded_metrics(reports.strategy_metrics(per_bar(spark, sf, _T14)))
 
 
 @query("t13_all_strategies", f"WITH {FEATURE_SQL}, {signals_sql(signals.catalogue())}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_METRICS_SELECT}")
 def t13(spark, sf):
     """Every strategy variant in one pass."""
-    return _rounded_metrics(reports.strategy_metrics(simulate.per_bar(run(spark, sf, signals.catalogue()), bars(spark, sf))))
+    return _rounded_metrics(reports.strategy_metrics(per_bar(spark, sf, signals.catalogue())))
 
 
 _WR_SQL = f"""{FEATURE_SQL}, {signals_sql([signals.Strategy("WF", signals.WF)])}, wr0 AS (

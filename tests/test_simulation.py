@@ -25,7 +25,7 @@ def test_overlaps_share_and_zero_returns_drop(spark, make_bars):
     bars = make_bars([(1, 1, 1, 1)] * 6)
     rows = [("S", "T", 0, 0.02, 2), ("S", "T", 1, 0.06, 2), ("S", "T", 2, 0.0, 1)]
     trades = spark.createDataFrame(rows, "strategy string, ticker string, pos bigint, ret double, holding int")
-    got = {r.bar_ix: round(r.ret, 6) for r in simulate.per_bar(trades, bars).collect()}
+    got = {r.bar_ix: round(r.ret, 6) for r in simulate.per_bar(trades, bars, ["S", "never"]).collect()}
     assert got == {0: 0.0, 1: 0.01, 2: 0.02, 3: 0.03, 4: 0.0, 5: 0.0}
 
 
