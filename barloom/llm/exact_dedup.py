@@ -38,6 +38,8 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "1",
+    # A store is closed when its task ends, so executors hold none between batches.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # Without this every store reserves disk for its logs, however small its state.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

@@ -281,7 +281,7 @@ def loaded(*wanted: tuple[type, str]) -> list:
             del _LOADED[key]
         for kind, path in wanted:
             if (kind, path) not in _LOADED:
-                _LOADED[kind, path] = kind(path, LIMIT // len(wanted))
+                _LOADED[kind, path] = kind(path, LIMIT // (2 * len(wanted) - 1))
     return [_LOADED[key] for key in wanted]
 
 
