@@ -18,15 +18,12 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     a = left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_row"))
     b = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_left"), carried.alias("_r"))
     both = a.unionByName(b, allowMissingColumns=True)
-    # At equal times a right row must come after the left row if strict, before it otherwise.
-    if forward:
-        tie = F.col("_left").asc() if strict else F.col("_left").desc()
-        w = W.partitionBy("_k").orderBy(F.col("_t"), tie).rowsBetween(0, W.unboundedFollowing)
-        found = F.first("_r", ignorenulls=True).over(w)
-    else:
-        tie = F.col("_left").desc() if strict else F.col("_left").asc()
-        w = W.partitionBy("_k").orderBy(F.col("_t"), tie).rowsBetween(W.unboundedPreceding, 0)
-        found = F.last("_r", ignorenulls=True).over(w)
+    # In the order of the scan, a right row at an equal time comes after the left row if strict, before it otherwise.
+    # Forward scans go backwards in time: a frame that starts at the first row is carried on, one that ends at the last isn't.
+    tie = F.col("_left").desc() if strict else F.col("_left").asc()
+    time = F.col("_t").desc() if forward else F.col("_t").asc()
+    w = W.partitionBy("_k").orderBy(time, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = F.last("_r", ignorenulls=True).over(w)
     return both.withColumn("_f", found).filter("_left = 1").select("_row.*", "_f.*")
 
 
