@@ -168,7 +168,7 @@ def f13(spark, sf):
     return source.quality_report(feed(spark, sf))
 
 
-_REGISTRY_ROWS = """(VALUES ('r1', 'WF', 'SBER', 'verified', 6.9, -0.1, 0.55), ('r2', 'pct', 'SBER', 'verified', 19.7, -0.2, 0.6), ('r3', 'ob', NULL, 'pending', 2.0, -0.3, 0.5), ('r4', 'old', 'GAZP', 'pending', NULL, NULL, NULL)) t(id, name, asset, status, sharpe, max_dd, win_rate)"""
+_REGISTRY_ROWS = """(VALUES ('r1', 'WF', 'AAA', 'verified', 5.5, -0.1, 0.55), ('r2', 'pct', 'AAA', 'verified', 9.5, -0.2, 0.6), ('r3', 'ob', NULL, 'pending', 2.0, -0.3, 0.5), ('r4', 'old', 'BBB', 'pending', NULL, NULL, NULL)) t(id, name, asset, status, sharpe, max_dd, win_rate)"""
 
 
 def registry(spark) -> DataFrame:
@@ -177,9 +177,9 @@ def registry(spark) -> DataFrame:
     return rows.select("id", "name", "asset", "status", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("metrics"))
 
 
-@query("f11_list_strategies", f"SELECT name, coalesce(sharpe, 0)::DOUBLE AS sharpe FROM {_REGISTRY_ROWS} WHERE coalesce(sharpe, 0) >= 1 AND abs(coalesce(max_dd, 0)) <= 0.25 AND coalesce(win_rate, 0) >= 0.5 AND asset = 'SBER'")
+@query("f11_list_strategies", f"SELECT name, coalesce(sharpe, 0)::DOUBLE AS sharpe FROM {_REGISTRY_ROWS} WHERE coalesce(sharpe, 0) >= 1 AND abs(coalesce(max_dd, 0)) <= 0.25 AND coalesce(win_rate, 0) >= 0.5 AND asset = 'AAA'")
 def f11(spark, sf):
-    return connectors.list_strategies(registry(spark), "SBER", 1, 0.25, 0.5).select("name", F.coalesce(F.try_element_at("metrics", F.lit("sharpe")), F.lit(0.0)).alias("sharpe"))
+    return connectors.list_strategies(registry(spark), "AAA", 1, 0.25, 0.5).select("name", F.coalesce(F.try_element_at("metrics", F.lit("sharpe")), F.lit(0.0)).alias("sharpe"))
 
 
 @query("f12_lookup", f"SELECT id, name FROM {_REGISTRY_ROWS} WHERE name = 'r3' OR id = 'r3'")
@@ -194,11 +194,11 @@ def a40(spark, sf):
 
 @query(
     "s22_s23_j08_registry_upsert",
-    f"""WITH n AS (SELECT * FROM (VALUES ('WF', NULL, 7.5), ('new', 'LKOH', NULL)) t(name, asset, sharpe)), o AS (SELECT * FROM {_REGISTRY_ROWS})
+    f"""WITH n AS (SELECT * FROM (VALUES ('WF', NULL, 7.5), ('new', 'CCC', NULL)) t(name, asset, sharpe)), o AS (SELECT * FROM {_REGISTRY_ROWS})
         SELECT coalesce(o.name, n.name) AS name, coalesce(o.asset, n.asset) AS asset, CASE WHEN n.name IS NOT NULL THEN n.sharpe ELSE o.sharpe END::DOUBLE AS sharpe FROM o FULL JOIN n ON n.name = o.name""",
 )
 def s22(spark, sf):
-    raw = spark.createDataFrame([("WF", None, "7.5"), ("new", "LKOH", " bad ")], "strategy string, asset string, sharpe string")
+    raw = spark.createDataFrame([("WF", None, "7.5"), ("new", "CCC", " bad ")], "strategy string, asset string, sharpe string")
     new = connectors.registry_from_table(raw).join(raw.select(F.col("strategy").alias("name"), "asset"), "name")
     return connectors.upsert(registry(spark), new).select("name", "asset", F.try_element_at("metrics", F.lit("sharpe")).alias("sharpe"))
 
