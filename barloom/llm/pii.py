@@ -45,6 +45,16 @@ _AWS = re.compile(r"AKIA([A-Z0-9]{16})(?![A-Za-z0-9])")
 _SCHEMES = ("http://", "https://", "ftp://")
 _SECRET_CUES = ("password", "passwd", "token", "api_key", "apikey", "secret")
 
+# Characters of an account number by country.
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
 
 def _automaton():
     import ahocorasick
@@ -91,6 +101,14 @@ def _valid_iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _iban_end(run: str) -> int:
+    """Where the valid account number that begins a run of groups ends, 0 if none does: at its country's length, else with the last group that makes it valid."""
+    ends = [k for k in range(len(run), 0, -1) if k == len(run) or run[k] == " "]
+    own = _IBAN_LENGTHS.get(run[:2])
+    ends.sort(key=lambda k: k - run.count(" ", 0, k) != own)
+    return next((k for k in ends if _valid_iban(run[:k])), 0)
+
+
 def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each list in ascending order."""
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
@@ -131,9 +149,9 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 end_of["url"] = end
                 spans["url"].append((at, end))
         elif anchor == "iban":
-            if (m := _IBAN.match(text, last + 1)) and m.start(1) >= end_of["iban"] and _valid_iban(m.group(1)):
-                end_of["iban"] = m.end(1)
-                spans["iban"].append(m.span(1))
+            if (m := _IBAN.match(text, last + 1)) and m.start(1) >= end_of["iban"] and (width := _iban_end(m.group(1))):
+                end_of["iban"] = m.start(1) + width
+                spans["iban"].append((m.start(1), end_of["iban"]))
         else:
             m = _AWS.match(text, at) if anchor == "aws" else _ASSIGNED.match(text, last + 1)
             group = 0 if anchor == "aws" else 1

@@ -425,6 +425,19 @@ def test_added_spans():
     assert pii.redact("mail a@b.co now") == "mail <email> now" and pii.redact(None) is None
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " EUR 50", " 50 EUR", " 12345 X 1", " Bitte zahlen", ", BIC COBADEFF"])
+@pytest.mark.parametrize("number", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+def test_iban_ends_before_other_groups(number, after):
+    t = f"IBAN {number}{after}"
+    assert pii.find_spans(t)["iban"] == [(5, 5 + len(number))] and pii.redact(t, ("iban",)) == f"IBAN <iban>{after}"
+
+
+def test_iban_of_unlisted_country():
+    number = next(n for k in range(100) if pii._valid_iban(n := f"ZZ{k:02} 1234 5678 9012 3456"))
+    assert pii.redact(f"IBAN {number} BIC", ("iban",)) == "IBAN <iban> BIC"
+    assert not pii.find_spans("IBAN DE88 3704 0044 0532 0130 00")["iban"]
+
+
 # odd and empty tables
 
 
