@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.config import Horizon
-from barloom.operators import atoms, forecast, rolling, windows
+from barloom.operators import atoms, forecast, rolling, simulate, windows
 from barloom.operators.rolling import floor, true
 from barloom.sources.bars import by_bar
 
@@ -39,6 +39,7 @@ def features(bars: DataFrame, horizon: Horizon, forecaster: str = "analog") -> D
     expression over the bar's own row.
     """
     b = rolling.linear_channel(rolling.atr_sma(rolling.rsi_simple(rolling.rising_twice(rolling.bollinger_partial(bars), "bb_width", "_unused"))))
+    b = b.withColumn("prev_close", F.lag("close").over(by_bar()))
     b = forecast.get_forecaster(forecaster).transform(b.drop("_unused"), horizon)
     longest = 6 * horizon.samples + horizon.pred_len - 1
     b = forecast.return_codes(b).withColumn("codes", F.collect_list("code").over(by_bar().rowsBetween(-(longest - 1), 0))).drop("ret", "code", "fine")
@@ -104,7 +105,7 @@ WIDTH, R2, ATR, VOLUME = "bb_width >= wf_width", "lr_r2 >= wf_r2", "atr_sma >= w
 
 
 def catalogue() -> list[Strategy]:
-    """Every variant of the batch run, in families."""
+    """A choice of variants in families; :func:`batch_run` has those of the batch run."""
     bases = {"WF": (WF, "true"), "agree5": (WF, "agree >= 5"), "conf<.3": (WF, "conf < 0.3D"), "V3": (reward_ratio(3.0), "true")}
     out = [Strategy("WF", WF)]
     out += [Strategy(f"conf>={t}", WF, f"conf >= {t}D") for t in (0.2, 0.3, 0.4, 0.45, 0.5, 0.55, 0.6)]
@@ -123,6 +124,74 @@ def catalogue() -> list[Strategy]:
     return out
 
 
+DROP_LEVELS, CONF_LEVELS, LEAST_WINDOWS = (0.4, 0.6, 0.8, 1.0), (0.2, 0.3, 0.4, 0.45, 0.5, 0.55, 0.6), 30
+BAD, BEST = "high_vol_oversold_expanding", "high_vol_middle_contracting"
+BAD4 = ("high_vol_overbought_contracting", "high_vol_oversold_contracting", BAD, "low_vol_oversold_expanding")
+
+
+def batch_features(f: DataFrame, horizon: Horizon) -> DataFrame:
+    """What :func:`batch_run` needs besides :func:`features`: means of confident samples with bounds, weighted levels,
+    windows per confidence threshold, the rolling win rate of the baseline, and the regime of the window before."""
+    for t in DROP_LEVELS[1:]:
+        name = f"d{t * 10:.0f}"
+        f = expanding_bounds(f.withColumn(f"{name}_ret", atoms.confident_mean(F.col("rets"), F.col("conf_per_sample"), t)), f"{name}_ret", name)
+    f = f.withColumns({f"{level}_w": atoms.weighted_quantile(F.col("last"), F.col("weights"), q) for level, q in (("g_tp", 0.8), ("g_sl", 0.2))})
+    f = f.withColumns({f"n_conf{t * 100:.0f}": F.count_if(F.col("conf") >= t).over(W.partitionBy("ticker")) for t in CONF_LEVELS})
+    f = simulate.rolling_win_rate(simulate.signals_won(f.withColumn("sig", F.expr(WF)), horizon)).drop("sig", "won")
+    vol = F.when(F.col("bb_width") >= F.col("wf_width"), "high_vol").otherwise("low_vol")
+    # At exactly 0.7 a place is neither of the best regime nor of a bad one.
+    place = F.when(F.col("bb_pct") < 0.3, "oversold").when(F.col("bb_pct") > 0.7, "overbought").when(F.col("bb_pct") < 0.7, "middle").otherwise("edge")
+    label = F.concat_ws("_", vol, place, F.when(F.col("bb_mom"), "expanding").otherwise("contracting"))
+    # The first window has none before it and passes as wide, middle, expanding.
+    return f.withColumn("regime", label).withColumn("regime", F.lag("regime", 1, "high_vol_middle_expanding").over(by_window()))
+
+
+def batch_run() -> list[Strategy]:
+    """Every variant of the batch run under its published label, over :func:`batch_features`.
+
+    100 variants and eight by regime, one of which, "WF+BB%B+vol noTP", is run twice there and once here.
+    """
+    h5, v3 = bounded("drop_ret", "dq"), reward_ratio(3.0)
+    bases = {"WF": (WF, "true"), "H1≥5": (WF, "agree >= 5"), "H5<0.4": (h5, "true"), "V>3.0": (v3, "true")}
+    overbought = "((sig = 1 AND rsi14 > 70) OR (sig = -1 AND rsi14 < 30))"
+    filters = {
+        "BBwidth": WIDTH, "BB%B": PCT, "BBtouch": TOUCH, "LRr2": R2, "LR%B": LR_PCT, "LRr2%B": f"{R2} AND {LR_PCT}", "ATR": ATR, "vol": VOLUME, "BBmom": "bb_mom", "confTrend": "conf_up",
+        "mcSmall": "mc_small", "mcBig": "mc_big", "rsi14": f"NOT {overbought}", "zGt1": "abs(pred_z) > 1", "rollWR": "win_rate_ok", "rsiExtreme": "((sig = 1 AND rsi14 < 30) OR (sig = -1 AND rsi14 > 70))",
+    }
+
+    def variant(base: str, *names: str, mode: str = "no_tp", label: str | None = None, also: str = "true") -> Strategy:
+        signal, gate = bases[base]
+        suffix = {"no_tp": " noTP", "no_sl": " noSL", "default": ""}[mode]
+        return Strategy((label or "+".join((base, *names))) + suffix, signal, " AND ".join((gate, *(filters[n] for n in names), also)), mode)
+
+    out = [Strategy("wf (FIX)", WF)]
+    out += [Strategy(f"wf+conf≥{t:.2f}", WF, f"conf >= {t}D AND n_conf{t * 100:.0f} >= {LEAST_WINDOWS}") for t in CONF_LEVELS]
+    out += [Strategy(f"H1: MC agree≥{n}", WF, f"agree >= {n}") for n in (3, 5)]
+    out += [Strategy("H2: weighted by conf", bounded("w_ret", "wq"), mode="weighted")]
+    out += [Strategy(f"V: TP/SL ratio>{k:.1f}", reward_ratio(k)) for k in (1.0, 1.5, 2.0, 3.0, 5.0)]
+    out += [Strategy("V+WF: ratio>3.0", v3, "((sig = 1 AND entry_close > prev_close) OR (sig = -1 AND NOT entry_close > prev_close))")]
+    out += [Strategy("H4: best MC", bounded("best_ret", "bq"))]
+    out += [Strategy(f"H5: drop MC<{t:.1f} conf", h5 if t == 0.4 else bounded(f"d{t * 10:.0f}_ret", f"d{t * 10:.0f}")) for t in DROP_LEVELS]
+    out += [Strategy("H1×V: agree≥5 + ratio>3.0", WF, f"agree >= 5 AND sig = {v3}")]
+    out += [variant(b, g, mode="default") for b in bases for g in ("BBwidth", "BB%B", "BBtouch")]
+    out += [variant(b, "BBwidth", mode="no_sl") for b in bases] + [variant("V>3.0", mode="no_sl")]
+    out += [variant(b) for b in bases] + [variant(b, "BBwidth") for b in bases] + [variant(b, "BB%B") for b in ("WF", "V>3.0")]
+    out += [variant(b, g) for b in bases for g in ("LRr2", "LR%B", "LRr2%B")]
+    out += [variant(b, g) for b in bases for g in ("ATR", "vol", "BBmom")]
+    best, second = ("WF", "BB%B"), ("H5<0.4", "BBwidth")
+    out += [variant(*b, *more) for b in (best, second) for more in (("ATR",), ("vol",), ("BBmom",), ("ATR", "vol"))]
+    out += [variant(*b, "vol") for b in ((*best, "BBmom"), (*second, "BBmom"), ("H5<0.4", "BBmom"), ("WF", "BBmom"))]
+    tier2 = [(n,) for n in ("confTrend", "mcSmall", "mcBig", "rsi14", "zGt1", "rollWR", "rsiExtreme")]
+    tier2 += [("confTrend", "mcSmall"), ("zGt1", "rsi14"), ("confTrend", "mcSmall", "rsi14")]
+    out += [variant(*best, "BBmom", *more) for more in tier2]
+    out += [variant(*second, "BBmom", *more, label="+".join(("H5", "BBwidth", "BBmom", *more))) for more in (("confTrend",), ("mcSmall",), ("confTrend", "mcSmall", "rsi14"))]
+    not_bad, not_bad4 = f"regime <> '{BAD}'", f"regime NOT IN {BAD4!r}"
+    out += [variant("WF", label="WF+skipBadReg", also=not_bad), variant("WF", label="WF+onlyBestReg", also=f"regime = '{BEST}'"), variant(*best, label="WF+BB%B+skipBadReg", also=not_bad)]
+    # This filter keeps a spread equal to the median, mcBig of tier 2 doesn't.
+    top5 = [((*best, "BBmom"), "", "true"), ((*best, "BBmom", "vol"), "", "true"), ((*best, "BBmom"), "+mcBig", "(w <= 10 OR mc_std >= wf_mc)"), ((*best, "BBmom", "confTrend"), "", "true"), ((*second, "BBmom"), "", "true")]
+    return out + [Strategy(f"{(v := variant(*b, also=f'{also} AND {not_bad4}')).name.removesuffix(' noTP')}{more} noTP+4regFilter", v.signal, v.gate, v.mode) for b, more, also in top5]
+
+
 def signals(f: DataFrame, strategies: list[Strategy], kept: tuple[str, ...] = ("ticker", "w", "pos", "pred_ts", "entry_close", "entry_open", "g_tp", "g_sl", "horizon")) -> DataFrame:
     """One row per strategy and window with a signal other than 0; narrow."""
     # Each distinct signal becomes one column, so that expressions stay small however many variants use it.
@@ -137,6 +206,13 @@ def signals(f: DataFrame, strategies: list[Strategy], kept: tuple[str, ...] = ("
     return f.select(*kept, F.explode(F.filter(F.array(*rows), lambda x: x["sig"] != 0)).alias("s")).select(*kept, "s.*")
 
 
+def batch_signals(f: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """:func:`signals` over :func:`batch_features`; those of mode "weighted" have the confidence-weighted levels."""
+    s = signals(f, strategies, ("ticker", "w", "pos", "pred_ts", "entry_close", "entry_open", "g_tp", "g_sl", "g_tp_w", "g_sl_w", "horizon"))
+    weighted = F.col("mode") == "weighted"
+    return s.withColumns({level: F.when(weighted, F.col(f"{level}_w")).otherwise(F.col(level)) for level in ("g_tp", "g_sl")}).drop("g_tp_w", "g_sl_w")
+
+
 def apply_filters(sig: Column, *flags: Column) -> Column:
     """The signal where all flags hold, else 0."""
     ok = F.lit(True)

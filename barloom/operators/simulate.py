@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from barloom.config import Horizon
 from barloom.operators.rolling import true
 
 
@@ -99,6 +100,20 @@ def stepwise_trade(
     return F.struct(out["reason"].alias("reason"), out["price"].alias("price"), out["step"].alias("step"), (sig * (out["price"] - entry) / entry).alias("ret"))
 
 
+def signals_won(f: DataFrame, horizon: Horizon) -> DataFrame:
+    """Outcome of each signal as the win-rate filter sees it: raw levels, no target in the first bar, cut at the last window."""
+    long, h = F.col("sig") == 1, F.col("horizon")
+    sl, tp = F.when(long, F.col("g_sl")).otherwise(F.col("g_tp")), F.when(long, F.col("g_tp")).otherwise(F.col("g_sl"))
+    place = lambda mask, shift: F.when(F.array_position(mask, True) > 0, F.array_position(mask, True) + shift).otherwise(F.lit(99))
+    at_sl = place(F.transform(h, lambda b: F.when(long, b["low"] <= sl).otherwise(b["high"] >= sl)), 0)
+    at_tp = place(F.transform(F.slice(h, 2, horizon.pred_len), lambda b: F.when(long, b["high"] >= tp).otherwise(b["low"] <= tp)), 1)
+    most = F.col("n_bars") - (horizon.lookback + horizon.pred_len) - F.col("w")
+    gain = lambda price: F.col("sig") * (price - F.col("entry_open")) > 0
+    hit = F.least(at_sl, at_tp) <= F.least(F.lit(horizon.pred_len), most)
+    won = F.when(hit, gain(F.when(at_sl <= at_tp, sl).otherwise(tp))).when(most >= horizon.pred_len, gain(F.element_at(h, -1)["close"])).otherwise(F.lit(False))
+    return f.withColumn("won", (F.col("sig") != 0) & won)
+
+
 def rolling_win_rate(signals: DataFrame, window: int = 50, causal: bool = False, pred_len: int = 6) -> DataFrame:
     """Whether at least half of the last simulated trades won; rows without a signal pass and don't count.
 

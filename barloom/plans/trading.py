@@ -314,10 +314,19 @@ def a01(spark, sf):
 
 @query("t13_all_strategies", f"WITH {FEATURE_SQL}, {signals_sql(signals.catalogue())}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_METRICS_SELECT}")
 def t13(spark, sf):
-    """Every strategy variant in one pass."""
+    """The variants of the catalogue in one pass."""
     return _rounded_metrics(reports.strategy_metrics(per_bar(spark, sf, signals.catalogue())))
 
 
+@query("t04_t13_t14_batch_run")
+def t04(spark, sf):
+    """Every variant of the batch run with its regime variants in one pass; all rows."""
+    strategies = signals.batch_run()
+    trades = simulate.simulate(signals.batch_signals(signals.batch_features(feats(spark, sf), SHORT), strategies))
+    pb = simulate.per_bar(trades, bars(spark, sf), [s.name for s in strategies])
+    return reports.strategy_metrics(pb).select("strategy", "ticker", *_METRIC_COLUMNS)
+
+
 _WR_SQL = f"""{FEATURE_SQL}, {signals_sql([signals.Strategy("WF", signals.WF)])}, wr0 AS (
     SELECT f.*, coalesce(s.sig, 0) AS sig FROM feats f LEFT JOIN sigs s USING (ticker, w)
 ), wr1 AS (
@@ -335,24 +344,10 @@ _WR_SQL = f"""{FEATURE_SQL}, {signals_sql([signals.Strategy("WF", signals.WF)])}
 @query("w28_rolling_win_rate", f"WITH {_WR_SQL} SELECT ticker, w, sig::INT AS sig, won, sig = 0 OR wins_in / greatest(trades_in, 1) >= 0.5 AS win_rate_ok FROM wr4")
 def w28(spark, sf):
     f = feats(spark, sf).withColumn("sig", F.expr(signals.WF))
-    f = signals_won(f)
+    f = simulate.signals_won(f, SHORT)
     return simulate.rolling_win_rate(f).select("ticker", "w", F.col("sig").cast("int").alias("sig"), "won", "win_rate_ok")
 
 
-def signals_won(f: DataFrame) -> DataFrame:
-    """Outcome of each signal as the win-rate filter sees it: raw levels, no target in the first bar, cut at the last window."""
-    long, h = F.col("sig") == 1, F.col("horizon")
-    sl, tp = F.when(long, F.col("g_sl")).otherwise(F.col("g_tp")), F.when(long, F.col("g_tp")).otherwise(F.col("g_sl"))
-    place = lambda mask, shift: F.when(F.array_position(mask, True) > 0, F.array_position(mask, True) + shift).otherwise(F.lit(99))
-    at_sl = place(F.transform(h, lambda b: F.when(long, b["low"] <= sl).otherwise(b["high"] >= sl)), 0)
-    at_tp = place(F.transform(F.slice(h, 2, PL), lambda b: F.when(long, b["high"] >= tp).otherwise(b["low"] <= tp)), 1)
-    most = F.col("n_bars") - (LK + PL) - F.col("w")
-    gain = lambda price: F.col("sig") * (price - F.col("entry_open")) > 0
-    hit = F.least(at_sl, at_tp) <= F.least(F.lit(PL), most)
-    won = F.when(hit, gain(F.when(at_sl <= at_tp, sl).otherwise(tp))).when(most >= PL, gain(F.element_at(h, -1)["close"])).otherwise(F.lit(False))
-    return f.withColumn("won", (F.col("sig") != 0) & won)
-
-
 @query(
     "a06_a11_forecast_metrics",
     f"""WITH {FEATURE_SQL}, rk1 AS (SELECT *, rank() OVER (PARTITION BY ticker ORDER BY actual_ret) + (count(*) OVER (PARTITION BY ticker, actual_ret) - 1) / 2 AS ra, rank() OVER (PARTITION BY ticker ORDER BY pred_ret) + (count(*) OVER (PARTITION BY ticker, pred_ret) - 1) / 2 AS rp FROM feats)
