@@ -330,6 +330,34 @@ def t10(spark, sf):
     return reports.trade_report(t.withColumn("order", F.struct("w", "ticker")), "strategy", order="order")
 
 
+# Label, strategy and consensus threshold of the nine configurations, and the first day of the test part.
+CONFIGURATIONS = (
+    ("Vanilla ct=0.8", "vanilla", 0.8),
+    ("Vanilla ct=1.0", "vanilla", 1.0),
+    ("S1 BB+Cons ct=0.8", "s01_bb", 0.8),
+    ("S2 BB MR   ct=1.0", "s02_bb_mr", 1.0),
+    ("S5 BB Narr ct=0.8", "s05_bb_breakout", 0.8),
+    ("S20 OB     ct=1.0", "s20_ob", 1.0),
+    ("S28 VolOB  ct=1.0", "s28_vol_ob", 1.0),
+    ("S34 VWAP+OB ct=1.0", "s34_vwap_ob", 1.0),
+    ("S38 LoVolOB ct=1.0", "s38_lowvol_ob", 1.0),
+)
+TEST_FROM = "2024-01-22"
+
+
+@query("t16_train_test_table")
+def t16(spark, sf):
+    """The nine configurations before and from the first test day, all in one pass; those without trades have zeros."""
+    verdict = lambda t: F.struct(F.lit(t).alias("ct"), atoms.consensus(F.col("paths"), F.col("entry_close"), t)[0]["dir"].alias("dir"))
+    f = window_features(spark, sf).drop("dir").withColumn("c", F.explode(F.array(*[verdict(t) for t in sorted({c[2] for c in CONFIGURATIONS})]))).select("*", "c.*").drop("c")
+    own = {n: (test, skip) for n, test, skip in PER_WINDOW + MORE_PER_WINDOW}
+    t = per_window_trades(f, tuple((label, f"ct = {ct}D AND ({own[n][0]})", own[n][1]) for label, n, ct in CONFIGURATIONS))
+    t = t.withColumn("split", F.when(F.col("pred_ts") < F.lit(TEST_FROM).cast("timestamp_ntz"), "train").otherwise("test"))
+    found = reports.trade_report(t.withColumn("order", F.struct("w", "ticker")), "strategy", "split", order="order")
+    every = spark.createDataFrame([(label, split) for label, _, _ in CONFIGURATIONS for split in ("train", "test")], "strategy string, split string")
+    return every.join(found, ["strategy", "split"], "left").fillna(0)
+
+
 @query("x05_flip_and_belief_exits")
 def x05(spark, sf):
     """Vanilla trades that also leave when the consensus flips or the beliefs lose shape."""

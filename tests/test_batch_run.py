@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.config import SHORT
-from barloom.operators import signals
-from barloom.plans import trading
+from barloom.operators import atoms, signals
+from barloom.plans import reports as plans, trading
 
 from .conftest import SMALL
 
@@ -134,3 +134,22 @@ def test_weighted_levels(run):
 def test_query_gives_all_rows(spark):
     rows = trading.t04(spark, SMALL).collect()
     assert {"WF+BB%B+BBmom noTP", "H5: drop MC<0.6 conf", "H2: weighted by conf"} <= {r.strategy for r in rows} and min(r.n_trades for r in rows) <= 20
+
+
+def test_train_test_table(spark):
+    """Against each threshold and each part of the windows taken alone."""
+    got = {(r.strategy, r.split): r for r in plans.t16(spark, SMALL).collect()}
+    assert set(got) == {(label, split) for label, _, _ in plans.CONFIGURATIONS for split in ("train", "test")} and len(got) == 18
+    f = plans.window_features(spark, SMALL).cache()
+    chosen = {s[0]: s for s in plans.PER_WINDOW + plans.MORE_PER_WINDOW}
+    traded = 0
+    for ct in (0.8, 1.0):
+        mine = f.withColumn("dir", atoms.consensus(F.col("paths"), F.col("entry_close"), ct)[0]["dir"])
+        t = plans.per_window_trades(mine, tuple(chosen.values())).toPandas()
+        for label, name, own in plans.CONFIGURATIONS:
+            for split in ("train", "test"):
+                rets = t[(t.strategy == name) & ((t.pred_ts < plans.TEST_FROM) == (split == "train"))].ret
+                if own == ct:
+                    traded += len(rets)
+                    assert got[label, split].n == len(rets) and got[label, split].total_return_pct == pytest.approx(rets.sum() * 100), label
+    assert traded and got["Vanilla ct=0.8", "train"].n and got["Vanilla ct=0.8", "test"].n
