@@ -50,29 +50,32 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict[str
     return F.coalesce(verdict, F.lit(False))
 
 
-def _levels(calls: DataFrame, needs: DataFrame, max_rounds: int) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that rounds can place."""
-    placed = written(
-        calls.join(needs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")).distinct(), "tool-levels"
-    )
-    left = needs
-    for level in range(1, max_rounds):
-        done = placed.select("conv_id", F.col("call_id").alias("needs"))
+def _levels(calls: DataFrame, needs: DataFrame, max_rounds: int | None) -> DataFrame:
+    """(conv_id, key, level) of the calls that rounds can place: those in no cycle and behind none."""
+    placed = written(calls.join(needs, ["conv_id", "key"], "left_anti").withColumn("level", F.lit(0)), "tool-levels")
+    left, level = needs, 0
+    while True:
+        level += 1
+        done = placed.select("conv_id", F.col("key").alias("needs"))
         left = written(left.join(done, ["conv_id", "needs"], "left_anti"), "tool-left")
-        waiting = calls.select("conv_id", "call_id").distinct().join(placed, ["conv_id", "call_id"], "left_anti")
-        ready = written(waiting.join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "tool-ready")
+        waiting = calls.join(placed, ["conv_id", "key"], "left_anti")
+        ready = written(waiting.join(left, ["conv_id", "key"], "left_anti").withColumn("level", F.lit(level)), "tool-ready")
         if ready.isEmpty():
             return placed
+        if level == max_rounds:
+            raise RuntimeError(f"calls did not settle within {max_rounds} rounds")
         placed = placed.unionByName(ready)
-    return placed
+        if level % 32 == 0:  # keeps the plan short
+            placed = written(placed, "tool-levels")
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]], max_rounds: int = 10_000) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]], max_rounds: int | None = None) -> DataFrame:
     """One row per call: conv_id, call_id, position, topo_order, n_results, linked, valid, cyclic, record.
 
     ``calls``: conv_id, position, call_id, name, arguments (JSON text), depends_on
     (array of call_id, may be null).  ``results``: conv_id, position, call_id,
-    content.
+    content.  Rounds place one level of dependencies each, until one places
+    nothing; more levels than ``max_rounds``, if given, are an error.
     """
     calls = calls.select("conv_id", "position", "call_id", "name", "arguments", "depends_on")
     answers = (
@@ -90,10 +93,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     if late.isEmpty():
         levelled = linked.withColumn("level", F.lit(0))
     else:
-        odd = written(calls.join(late, "conv_id", "left_semi"), "tool-odd")
-        levels = _levels(odd, needs.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "needs").distinct(), max_rounds)
-        marked = linked.join(late.withColumn("odd", F.lit(True)), "conv_id", "left").join(levels, ["conv_id", "call_id"], "left")
-        levelled = marked.withColumn("level", F.when(F.col("odd"), F.col("level")).otherwise(F.lit(0))).drop("odd")
+        # Null identifiers have a key too, so that such calls are placed.
+        key_of = lambda name: F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit(""))
+        odd = written(calls.join(late, "conv_id", "left_semi").select("conv_id", key_of("call_id").alias("key")).distinct(), "tool-odd")
+        needed = needs.join(late, "conv_id", "left_semi").select("conv_id", key_of("call_id").alias("key"), key_of("needs").alias("needs")).distinct()
+        levels = _levels(odd, needed, max_rounds)
+        marked = linked.join(late.withColumn("odd", F.lit(True)), "conv_id", "left").withColumn("key", key_of("call_id")).join(levels, ["conv_id", "key"], "left")
+        levelled = marked.withColumn("level", F.when(F.col("odd"), F.col("level")).otherwise(F.lit(0))).drop("odd", "key")
     parsed = F.try_parse_json("arguments")
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     shaped = (

@@ -215,6 +215,16 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_tool_calls_are_placed_however_deep(spark):
+    chain = [(1, k, f"c{k}", "add", "{}", [f"c{k + 1}"]) for k in range(5)] + [(1, 5, "c5", "add", "{}", None), (1, 6, None, "add", "{}", ["c0"])]
+    calls = spark.createDataFrame(chain, "conv_id int, position int, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id int, position int, call_id string, content string")
+    out = {r.position: r for r in tool_calls.link_tool_calls(calls, results, {"add": {}}, max_rounds=7).collect()}
+    assert [out[k].topo_order for k in range(7)] == [6, 5, 4, 3, 2, 1, 7] and not any(r.cyclic for r in out.values())
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        tool_calls.link_tool_calls(calls, results, {"add": {}}, max_rounds=3)
+
+
 # 7 packing
 
 
