@@ -5,7 +5,8 @@ Each source's documents are shuffled, laid end to end and cut into blocks of
 its bits reversed, falls into one source's share of [0, 1).  Slots are ranked
 within their source, and rank r takes block ``r mod n_blocks`` of pass
 ``r div n_blocks``, so a source is repeated evenly and every prefix of the
-schedule is mixed close to the targets.  A source that has fewer points than
+schedule is mixed close to the targets.  The results count words per document
+and don't carry this order.  A source that has fewer points than
 slots gets the rest at the end; points beyond its slots are left out; the last
 slot is trimmed so that a source gives its target to the word.
 
