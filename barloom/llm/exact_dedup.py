@@ -1,16 +1,18 @@
 """Exact deduplication as a stateful stream.
 
-A digest table (digest, identifier, locator) is streamed through a keyed
+A digest table (digest, identifier, length) is streamed through a keyed
 aggregation whose state lives in RocksDB on disk and never expires.  Per digest
 the state retains the identifier of the row that stays (the largest), that row's
-content locator (its length in bytes) and the number of rows.  The state itself,
+length in bytes, which no step reads, and the number of rows.  The state itself,
 read through Spark's state reader, is the result; a later run on the same state
 folder continues with new documents.
 
 A digest seen twice is a hit.  The full texts of all hits, and only theirs, are
 compared byte by byte: per digest the smallest and the largest text must be
 equal.  Both are partial aggregates, so a group of any size sends one text per
-task.  Digests under which texts differ are split by text.
+task.  Digests under which texts differ are split by text.  Only texts of the
+same run are compared: a hit with an earlier run rests on the digest alone, and
+a group that is split counts rows of this run only.
 
 Equal means identical after lower-casing A-Z alone.  Only DataFrame functions
 are used.
@@ -90,7 +92,8 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-    ``digest`` is the state's key; a weak one costs time, not correctness.
+    ``digest`` is the state's key; a weak one costs time, not correctness,
+    in a first run; with the state of earlier runs it must be free of collisions.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
