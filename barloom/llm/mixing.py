@@ -5,8 +5,8 @@ Each source's documents are shuffled, laid end to end and cut into blocks of
 its bits reversed, falls into one source's share of [0, 1).  Slots are ranked
 within their source, and rank r takes block ``r mod n_blocks`` of pass
 ``r div n_blocks``, so a source is repeated evenly and every prefix of the
-schedule is mixed close to the targets.  The results count words per document
-and don't carry this order.  A source that has fewer points than
+schedule is mixed close to the targets.  :func:`mixed_order` gives that mix,
+:func:`mix_sources` the words taken per document.  A source that has fewer points than
 slots gets the rest at the end; points beyond its slots are left out; the last
 slot is trimmed so that a source gives its target to the word.
 
@@ -32,6 +32,7 @@ from .store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 _CHUNK = 1 << 16
+_KEPT = ("doc_id", "copy", "source", "size", "source_size", "target")
 
 
 def word_count(text: Column) -> Column:
@@ -97,22 +98,10 @@ def schedule(plan: DataFrame) -> DataFrame:
     return ranked.unionByName(rest)
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
-    max_repeat: int = 3,
-    block_words: int = 4096,
-    seed: int = 17,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
-
-    ``taken`` counts the words that the mix takes of the document, repeats
-    included.  The texts are read once; all later steps move a few numbers per
-    document.  The result depends on ids, sources and sizes alone, so reruns agree.
-    """
+def _slots_and_pieces(
+    docs: DataFrame, weights: tuple[float, ...], max_repeat: int, block_words: int, seed: int, id_col: str, text_col: str, source_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """The slots, each with its block and the words it takes of it, and the pieces of documents in each block."""
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     copy = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size"))
     sizes = written(written(raw, "mix-raw").withColumn("copy", copy), "mix-sizes")
@@ -133,13 +122,11 @@ def mix_sources(
 
     length = F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("block") * block_words)
     left = F.col("rest") - F.col("block") * block_words
-    taken_blocks = (
+    slots = (
         schedule(plan)
         .join(plan.select("source_id", "n_blocks", "passes", "rest", "source_size"), "source_id")
         .withColumn("block", F.expr("rank % n_blocks"))
         .withColumn("words", F.when(F.expr("rank div n_blocks") < F.col("passes"), length).otherwise(F.least(length, left)))
-        .groupBy("source_id", "block", "words")
-        .agg(F.count("*").alias("times"))
     )
 
     h = F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(seed))
@@ -159,21 +146,66 @@ def mix_sources(
         .withColumn("begin", F.col("end") - F.col("size"))
     )
     spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"begin div {block_words}"), F.expr(f"(end - 1) div {block_words}")))
-    kept = ["doc_id", "copy", "source", "size", "source_size", "target"]
     pieces = (
-        placed.select("source_id", "begin", "end", *kept, F.explode_outer(spans).alias("block"))
+        placed.select("source_id", "begin", "end", *_KEPT, F.explode_outer(spans).alias("block"))
         .withColumn("a", F.greatest(F.col("begin") - F.col("block") * block_words, F.lit(0)))
         .withColumn("b", F.least(F.col("end") - F.col("block") * block_words, F.lit(block_words).cast("long")))
     )
+    return slots, pieces
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
+    max_repeat: int = 3,
+    block_words: int = 4096,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken.
+
+    ``taken`` counts the words that the mix takes of the document, repeats
+    included.  The texts are read once; all later steps move a few numbers per
+    document.  The result depends on ids, sources and sizes alone, so reruns agree.
+    """
+    slots, pieces = _slots_and_pieces(docs, weights, max_repeat, block_words, seed, id_col, text_col, source_col)
+    taken_blocks = slots.groupBy("source_id", "block", "words").agg(F.count("*").alias("times"))
     overlap = F.greatest(F.least(F.col("b"), F.col("words")) - F.col("a"), F.lit(0)) * F.col("times")
     return (
         pieces.join(taken_blocks, ["source_id", "block"], "left")
-        .groupBy(*kept)
+        .groupBy(*_KEPT)
         .agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken"))
         .select("doc_id", "source", "size", "source_size", "target", "taken")
     )
 
 
+def mixed_order(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
+    max_repeat: int = 3,
+    block_words: int = 4096,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself, a row per piece: slot, source, block, part, doc_id, copy, start, words.
+
+    In the order of (slot, part) the pieces are the interleaved mix; ``start`` and
+    ``words`` count words of the document.  Slots may leave gaps.  Summed per
+    document, ``words`` are what :func:`mix_sources` calls ``taken``.
+    """
+    slots, pieces = _slots_and_pieces(docs, weights, max_repeat, block_words, seed, id_col, text_col, source_col)
+    first = F.col("block") * block_words
+    return (
+        pieces.join(slots.select("source_id", "slot", "block", F.col("words").alias("most")), ["source_id", "block"])
+        .filter("a < most")
+        .select("slot", "source", "block", F.col("a").alias("part"), "doc_id", "copy", (first + F.col("a") - F.col("begin")).alias("start"), (F.least("b", "most") - F.col("a")).alias("words"))
+    )
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with each document as often as the mix takes it, rounded up; untaken ones go.
 

@@ -64,6 +64,20 @@ def test_schedule_is_even(spark):
     assert abs(head[0] - 3.2) <= 2 and abs(head[1] - 6.4) <= 2 and abs(head[2] - 22.4) <= 3
 
 
+def test_mixed_order_is_the_mix(docs):
+    rng = random.Random(2)
+    d = docs([(k, " ".join("w" for _ in range(rng.randint(0, 300))), f"s{k % 3}") for k in range(200)])
+    m = mixing.mix_sources(d, block_words=64).toPandas()
+    got = mixing.mixed_order(d, block_words=64).toPandas().sort_values(["slot", "part"])
+    assert got.groupby("doc_id").words.sum().to_dict() == m[m.taken > 0].set_index("doc_id").taken.to_dict()
+    size = got.doc_id.map(m.set_index("doc_id")["size"])
+    assert (got.words > 0).all() and (got.start >= 0).all() and (got.start + got.words <= size).all()
+    share = m.drop_duplicates("source").set_index("source").target / m["size"].sum()
+    for n in (64, 128, 256):  # prefixes are mixed too
+        head = got[got.slot < n]
+        assert (head.groupby("source").words.sum() / head.words.sum() - share).abs().max() < 0.08
+
+
 def test_mix_applies(docs):
     rows = [(k, "a b c", "x") for k in range(9)] + [(k, "a b c", "y") for k in range(9, 18)]
     d = docs(rows)
