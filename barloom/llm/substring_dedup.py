@@ -12,17 +12,22 @@ talks to the hash buckets in whole arrays:
 1. a batch sends each distinct 7-word hash once, with two bits: a block starts
    here; two of its documents have it.  A bucket answers with one bit per hash:
    a block, and in two documents at least.
-2. for windows that hold such a hash, the batch sends each distinct 13-word hash
-   once, with its smallest document.  The bucket answers with one bit per hash:
-   some document elsewhere is smaller still.
+2. for windows that hold such a hash, the batch sends each distinct 13-word
+   sequence once, as a 16-byte BLAKE2b digest of its words, with its smallest
+   document.  The bucket answers with one bit per digest: some document elsewhere
+   is smaller still.
 3. the batch removes what the bits say.
 
+So the hashes of step 1 only choose what is looked at, and equal words always hash
+alike; what is removed rests on the digests, for which no two word sequences are
+known to agree.
+
 A batch sends a hash once however many of its documents hold it, so a passage
 that a third of all documents share costs a bucket one entry a batch; no pairs
 of documents are formed.  The texts are shuffled once, by batch, and that
 exchange serves all three steps.  What step 1 sends is 4 bytes a word (the
-bucket number gives further bits); a false agreement there only costs a 64-bit
-comparison in step 2.
+bucket number gives further bits); a false agreement there only costs digests in
+step 2.
 
 Cases: null and short texts have no windows and lose nothing; equal identifiers
 are not smaller than each other, and a null identifier is larger than any other;
@@ -32,11 +37,13 @@ results; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import covered, mix, parts, runs, span_hashes, split_words, texts_of, window_hashes, window_starts
+from .text import covered, parts, runs, span_hashes, split_words, texts_of, window_hashes, window_starts
 from .vocab import release
 
 WINDOW, BLOCK = 13, 7
@@ -80,7 +87,7 @@ class _Batch:
         return ordered[first], aligned, several, at[order], run
 
     def candidates(self, shared: np.ndarray):
-        """Distinct window hashes that hold a shared anchor: hash, first document, bucket order, positions."""
+        """Distinct windows that hold a shared anchor: digest (two numbers), its first window, and all windows' starts, texts and digests' numbers."""
         _, _, _, at, run = self.anchors()
         flag = np.zeros(len(self.hashes) + 1, np.int64)
         flag[at[shared[run]] + 1] = 1
@@ -88,10 +95,28 @@ class _Batch:
         start, text = window_starts(self.offsets, WINDOW)
         hit = flag[start + WINDOW - BLOCK + 1] > flag[start]
         start, text = start[hit], text[hit]
-        hashed = mix(window_hashes(self.hashes, WINDOW)[start]) if len(start) else np.zeros(0, np.uint64)
-        order = np.argsort(hashed, kind="stable")
-        run, first = runs(hashed[order])
-        return hashed[order][first], order[first], start[order], text[order], run
+        digests = self.digests(start)
+        order = np.lexsort((digests[:, 1], digests[:, 0]))  # stable, so documents ascend within a digest
+        ordered = digests[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+        return ordered[new], order[new], start[order], text[order], np.cumsum(new) - 1
+
+    def digests(self, start: np.ndarray) -> np.ndarray:
+        """A 128-bit digest of the words, joined by one space, of each window; a row of two numbers."""
+        used = np.zeros(len(self.start) + WINDOW, bool)
+        for k in range(WINDOW):
+            used[start + k] = True
+        used = np.flatnonzero(used[: len(self.start)])
+        begin, length = self.start[used], self.end[used] - self.start[used]
+        place = np.append(0, np.cumsum(length + 1))
+        joined = np.full(place[-1], 0x20, np.uint8)
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        joined[at + np.repeat(place[:-1], length)] = self.texts.data[at + np.repeat(begin, length)]
+        first = np.searchsorted(used, start)
+        data, blake = memoryview(joined), hashlib.blake2b
+        spans = zip(place[first].tolist(), (place[first + WINDOW] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join([blake(data[a:b], digest_size=16).digest() for a, b in spans]), "<u8").reshape(-1, 2)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -157,9 +182,9 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     return _split_answer(rows, 1, mask)
 
 
-def _by_bucket(hashes: np.ndarray, first: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_bucket(digests: np.ndarray, first: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of sending: by bucket, then by position, in which documents ascend."""
-    bucket = _bucket(hashes, buckets)
+    bucket = _bucket(digests[:, 0], buckets)
     order = np.lexsort((first, bucket))
     return order, bucket[order]
 
@@ -168,26 +193,27 @@ def _send_windows(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not docs.num_rows:
         return _rows(_SENT, [])
     batch = _Batch(docs)
-    hashes, first, _, text, run = batch.candidates(_answers(answers, 1))
+    digests, first, _, text, run = batch.candidates(_answers(answers, 1))
     owner = batch.rank[text][runs(run)[1]] if len(run) else np.zeros(0, np.int64)
-    order, bucket = _by_bucket(hashes, first, buckets)
-    hashes, owner = hashes[order], owner[order]
+    order, bucket = _by_bucket(digests, first, buckets)
+    digests, owner = digests[order], owner[order]
     out = []
     for k, a, b in _slices(bucket):
         run, begin = runs(owner[a:b])
-        out.append((k, docs.column("batch")[0].as_py(), b - a, hashes[a:b].tobytes(), owner[a:b][begin].tobytes(), begin.astype(np.uint32).tobytes()))
+        out.append((k, docs.column("batch")[0].as_py(), b - a, digests[a:b].tobytes(), owner[a:b][begin].tobytes(), begin.astype(np.uint32).tobytes()))
     return _rows(_SENT, out)
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
-    hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+    digests = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows]).reshape(-1, 2)
     owner = np.concatenate([np.repeat(np.frombuffer(r["a"], np.int64), np.diff(np.append(np.frombuffer(r["b"], np.uint32), r["n"]))) for r in rows])
-    order = np.argsort(hashes)
-    run, first = runs(hashes[order])
-    least = np.minimum.reduceat(owner[order], first)
-    mask = np.zeros(len(hashes), bool)
-    mask[order] = owner[order] > least[run]
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (digests[order[1:]] != digests[order[:-1]]).any(axis=1)
+    least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
+    mask = np.zeros(len(order), bool)
+    mask[order] = owner[order] > least[np.cumsum(new) - 1]
     return _split_answer(rows, 2, mask)
 
 
@@ -196,9 +222,9 @@ def _remove(docs: pa.Table, answers: pa.Table, buckets: int, id_type: pa.DataTyp
     if not docs.num_rows:
         return schema.empty_table().cast(pa.schema([*list(schema)[:3], ("kept_text", pa.string())]))
     batch = _Batch(docs)
-    hashes, first, start, text, run = batch.candidates(_answers(answers, 1))
-    order, _ = _by_bucket(hashes, first, buckets)
-    elsewhere = np.zeros(len(hashes), bool)
+    digests, first, start, text, run = batch.candidates(_answers(answers, 1))
+    order, _ = _by_bucket(digests, first, buckets)
+    elsewhere = np.zeros(len(digests), bool)
     elsewhere[order] = _answers(answers, 2)
     rank = batch.rank[text]
     owner = rank[runs(run)[1]] if len(run) else rank

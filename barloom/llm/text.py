@@ -3,6 +3,9 @@
 A word is a maximal run of bytes other than space and 0x09-0x0D, which in UTF-8
 is the same as a maximal run of such characters.  Memory is linear in the bytes
 that a caller passes at once, about 40 times.
+
+Hashes of 64 bits find what may be equal.  Where a result rests on equality, they
+are of one text or of two, or a wider digest follows.
 """
 
 from __future__ import annotations
@@ -15,31 +18,10 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_KEYS = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = np.uint64(0xD1342543DE82EF95)
-
-
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as far as asked for."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = int(base), pow(int(base), -1, 1 << 64)
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            both = []
-            for base in (self.base, self.inverse):
-                out = np.full(size, base, np.uint64)
-                out[0] = 1
-                both.append(np.multiply.accumulate(out))
-            self.up, self.down = both
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_WORD_BASE)
+# A random number for each byte at each of the first places of a span, and a random factor for each place of a window.
+_PLACES = 64
+_TABLE = np.random.default_rng(20).integers(0, 1 << 64, _PLACES << 8, dtype=np.uint64)
+_FACTORS = np.random.default_rng(21).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,7 +60,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(raw[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def parts(texts: Texts, limit: int = 4 << 20) -> Iterator[tuple[int, int, Texts]]:
+def parts(texts: Texts, limit: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
     """Runs of whole texts of about ``limit`` bytes, so that work arrays stay small."""
     a = 0
     while a < len(texts):
@@ -112,22 +94,37 @@ def split_words(texts: Texts) -> Words:
 
 
 def span_hashes(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal ranges, wherever they stand, hash alike."""
-    up, down = _BYTE_POWERS.upto(len(texts.data) + 1)
-    total = np.zeros(len(texts.data) + 1, np.uint64)
-    np.cumsum(_BYTE_KEYS[texts.data] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """A 64-bit hash of each byte range; equal ranges, wherever they stand, hash alike.  No range is empty.
+
+    The sum of a random number for each byte at its place in the range, so that no
+    pattern of bytes cancels out.
+    """
+    length = end - start
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    upto = np.append(0, np.cumsum(length))
+    kind = np.int32 if max(len(texts.data), upto[-1]) < 1 << 23 else np.int64
+    place = np.arange(upto[-1], dtype=kind)
+    at = place + np.repeat((start - upto[:-1]).astype(kind), length)
+    place -= np.repeat(upto[:-1].astype(kind), length)
+    place <<= 8
+    place |= texts.data[at]
+    del at
+    far = np.flatnonzero(place >= _PLACES << 8)
+    values = _TABLE[np.minimum(place, (_PLACES << 8) - 1)]
+    values[far] = mix(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(values, upto[:-1]) + length.astype(np.uint64))
 
 
 def window_hashes(items: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` items (windows may cross texts; see :func:`window_starts`)."""
-    n = len(items)
-    if n < size:
+    n = len(items) - size + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
-    up, down = _WORD_POWERS.upto(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(items * up[:-1], out=total[1:])
-    return mix((total[size:] - total[: n + 1 - size]) * down[: n + 1 - size] + np.uint64(size))
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total += items[k : k + n] * _FACTORS[k]
+    return mix(total)
 
 
 def window_starts(offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -507,3 +507,47 @@ def test_empty_tables(spark):
         token_files.read_token_files(token_files.write_token_files(d, vocabulary("byte_bpe_50k.json"))),
     ):
         assert df.count() == 0
+
+
+def complement_words(n=1024):
+    """Two words that a polynomial of their bytes modulo a power of two, whatever its odd base, can't tell apart."""
+    ones = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[k] for k in ones), "".join("ba"[k] for k in ones)
+
+
+def test_passages_with_words_of_one_pattern(docs):
+    a, b = complement_words()
+    rest = " ".join(f"x{k}" for k in range(12))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest} end"), (4, f"{'c' * 200} {rest}"), (5, f"{'c' * 199}d {rest}")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_passages(docs(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 0, 5: 0}
+
+
+def test_passages_don_t_rest_on_word_hashes(monkeypatch):
+    """With word hashes of two bits nearly all anchors agree; the digests decide."""
+    import pyarrow as pa
+
+    weak = lambda texts, start, end: substring_dedup_hashes(texts, start, end) & np.uint64(3)
+    substring_dedup_hashes = substring_dedup.span_hashes
+    monkeypatch.setattr(substring_dedup, "span_hashes", weak)
+    rng = random.Random(13)
+    pool = [[rng.choice("abcdef") * rng.randint(1, 2) for _ in range(30)] for _ in range(4)]
+    rows = [(k, " ".join(w for _ in range(3) for w in (rng.choice(pool) if rng.random() < 0.5 else [f"u{rng.random()}" for _ in range(9)]))) for k in range(40)]
+    batches = [[], [], []]
+    for row in rows:
+        batches[row[0] % 3].append(row)
+    docs = [pa.table({"doc_id": [i for i, _ in b], "text": [t for _, t in b], "batch": [k] * len(b)}) for k, b in enumerate(batches)]
+    schema = lambda tables: pa.concat_tables(tables)
+
+    def answered(sent, answer):
+        sent = schema(sent)
+        return [answer(sent.filter(pa.compute.equal(sent.column("bucket"), k))) for k in set(sent.column("bucket").to_pylist())]
+
+    own = lambda tables, k: schema(tables).filter(pa.compute.equal(schema(tables).column("batch"), k))
+    first = answered([substring_dedup._send_anchors(d, 2) for d in docs], substring_dedup._answer_anchors)
+    second = answered([substring_dedup._send_windows(d, own(first, k), 2) for k, d in enumerate(docs)], substring_dedup._answer_windows)
+    got = {}
+    for k, d in enumerate(docs):
+        for r in substring_dedup._remove(d, own(first + second, k), 2, pa.int64()).to_pylist():
+            got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_text"])
+    assert got == brute_passages(rows)
