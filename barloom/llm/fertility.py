@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .store import small_batches
 from .text import Texts, covered, mix, parts, runs, span_hashes, split_words, texts_of, window_hashes, window_starts
 from .vocab import ByteVocabulary, PieceVocabulary, loaded, tidy
 
@@ -162,6 +163,7 @@ def _runs_of(texts: pa.Array, langs: pa.Array, byte_path: str, piece_path: str):
 
 def quality_rules(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, base counts, measures, base_failed, kept."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     names = [*BASE, *MEASURES, "base_failed", "kept"]
     kinds = [pa.int64()] * len(BASE) + [pa.float64()] * len(MEASURES) + [pa.bool_()] * 2
@@ -179,6 +181,7 @@ def quality_rules(docs: DataFrame, byte_path: str, piece_path: str, id_col: str
 
 def keep_good(docs: DataFrame, byte_path: str, piece_path: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the documents that the rules reject; all columns stay, nothing is shuffled."""
+    small_batches(docs.sparkSession)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .store import small_batches
+
 WINDOW = 3
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -45,6 +47,7 @@ def kept_text(text: str, windows: list[int]) -> tuple[int, int, str]:
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines (those with a word), n_removed, kept_text."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     lines = source.select("doc_id", "version", F.filter(F.split("text", "\n"), lambda line: line.rlike(_HAS_WORD)).alias("lines"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bagminhash import band_keys, shingles, signatures
 from .components import connected_components
-from .store import session_conf, written
+from .store import session_conf, small_batches, written
 from .text import parts, texts_of
 from .vocab import release
 
@@ -167,6 +167,7 @@ def _written_in_small_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (it is that document)."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     signed = written(source.mapInArrow(_sign, f"doc_id {id_type}, node binary, weight bigint, bands array<bigint>, signature binary"), "near-signed")

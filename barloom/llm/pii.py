@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .store import small_batches
 from .vocab import release
 
 # The four base kinds, in the order of the result, and those that cues add.
@@ -183,6 +184,7 @@ def detect_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Narrow: no shuffle, one Arrow pass over the two columns.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Tables that cut lineage, in the folder that all executors share, and joins that no hot key can hold up."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# A key with more than one in so many of all rows, and more than the least number, counts as hot.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+_PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,15 +33,63 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, survives lost executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, computed once and safe from lost executors, and the table's path."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _PATHS:
+        _PATHS.remove(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, what :func:`fresh_path` named within."""
+    before = len(_PATHS)
+    try:
+        yield
+    finally:
+        for path in _PATHS[before:]:
+            delete(spark, path)
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row per key, in which ``n`` counts the rows of the key.
+
+    Keys with more than a thousandth of all rows are a thousand at most, so those
+    are broadcast, and the rows of no such key have to meet in one task.  The
+    others are joined by key.
+    """
+    total = per_key.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    few = F.broadcast(per_key.filter(hot))
+    return rows.join(few, key).unionByName(rows.join(few, key, "left_anti").join(per_key.filter(~hot), key))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands texts to Python in batches of about 4 MB, of which both sides hold a few."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 @contextmanager

@@ -13,10 +13,17 @@ Selector 0 is an escape: its low 60 bits index ``escaped``.  Blocks are
 independent, so many are packed and unpacked at once: packing moves through all
 blocks of a chunk in step, unpacking handles all words of one selector together.
 
-Documents go to shards by ranges of their identifier, in ascending order within
-a shard (null last; rows with one identifier by text).  A file gets its name only
-when it is complete, and the manifest lists the files of the tasks that Spark
-committed, so lost or repeated tasks leave no trace in what is read.
+Documents go to shards by ranges of their identifier and the first characters of
+their text, in ascending order within a shard (null last; rows with one identifier
+by text).  A shard that is larger than planned, such as that of many like rows, goes
+to several files, so a task holds the packed ids of one file.  A file gets its name
+only when it is complete, and the manifest lists the files of the tasks that Spark
+committed, so lost or repeated tasks leave no trace in what is read.  Files are read
+one to a task.
+
+Cases: a null text counts as empty, so it is the end id alone; a null identifier is
+larger than any other; repeated rows are written each on its own; a document of any
+length; empty tables give no file and no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .store import fresh_path, written
+from .store import fresh_path, small_batches, written
 from .text import parts, texts_of
 from .vocab import ByteVocabulary, loaded, tidy
 
@@ -37,6 +44,8 @@ COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BLOCK = 256
 MAGIC = b"BLMS8B01"
 SHARD_BYTES = 16 << 20
+FILE_WORDS = 4 << 20
+_CHUNK = 1024
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -182,42 +191,54 @@ def write_token_files(
 ) -> DataFrame:
     """Write all texts' ids, ``end_id`` after each, and return the manifest.
 
-    Manifest: shard, path, n_docs, n_ids, first_id (ids in all shards before).
-    Null texts count as empty; other columns are not read.
+    Manifest: shard, part, path, n_docs, n_ids, first_id (ids in all files before).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or fresh_path(spark, "token-files")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    ranged = source.repartitionByRange(max(1, -(-n_bytes // SHARD_BYTES)), order[0]).sortWithinPartitions(*order)
+    by_id = F.col("doc_id").asc_nulls_last()
+    ranged = source.repartitionByRange(max(1, -(-n_bytes // SHARD_BYTES)), by_id, F.substring("text", 1, 64)).sortWithinPartitions(by_id, "text")
+    file_words = FILE_WORDS
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        shard, part = TaskContext.get().partitionId(), 0
         [encoder], packer, doc_ids, counts = loaded((ByteVocabulary, vocabulary)), Packer(), [], []
+
+        def saved() -> pa.RecordBatch:
+            system, folder = _file_system(path)
+            system.create_dir(folder, recursive=True)
+            name = f"ids-{shard:08d}-{part:04d}-{uuid.uuid4().hex}.s8b"
+            with system.open_output_stream(f"{folder}/.{name}") as stream:
+                packer.write(stream, doc_ids, np.concatenate(counts))
+            system.move(f"{folder}/.{name}", f"{folder}/{name}")
+            return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "path": [f"{path}/{name}"], "n_docs": [len(doc_ids)], "n_ids": [packer.n_ids]})
+
         for batch in batches:
             texts, column = texts_of(batch.column(1)), batch.column(1)
-            doc_ids += batch.column(0).to_pylist()
-            for a, b, _ in parts(texts, 1 << 20):
+            for a, b, _ in parts(texts):
                 ids, n = encoder.encode(column.slice(a, b - a).to_pylist())
+                doc_ids += batch.column(0).slice(a, b - a).to_pylist()
                 counts.append(n + 1)
                 packer.add(np.insert(ids, np.cumsum(n), end_id))
-        if not doc_ids:
-            return
-        system, folder = _file_system(path)
-        system.create_dir(folder, recursive=True)
-        name = f"ids-{shard:08d}-{uuid.uuid4().hex}.s8b"
-        with system.open_output_stream(f"{folder}/.{name}") as stream:
-            packer.write(stream, doc_ids, np.concatenate(counts))
-        system.move(f"{folder}/.{name}", f"{folder}/{name}")
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{path}/{name}"], "n_docs": [len(doc_ids)], "n_ids": [packer.n_ids]})
+                if packer.n_words > file_words:
+                    yield saved()
+                    part, packer, doc_ids, counts = part + 1, Packer(), [], []
+        if doc_ids:
+            yield saved()
         tidy()
 
-    manifest = written(ranged.mapInArrow(write, "shard bigint, path string, n_docs bigint, n_ids bigint"), "token-manifest")
-    before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return manifest.withColumn("first_id", before)
+    manifest = written(ranged.mapInArrow(write, "shard bigint, part bigint, path string, n_docs bigint, n_ids bigint"), "token-manifest")
+    # Sums in two levels: within chunks of shards, and over the chunks.
+    chunked = manifest.withColumn("chunk", F.expr(f"shard div {_CHUNK}"))
+    sums = chunked.groupBy("chunk").agg(F.sum("n_ids").alias("in_chunk"))
+    earlier = lambda n, *order, by=(): F.coalesce(F.sum(n).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select("chunk", earlier("in_chunk", "chunk").alias("base"))
+    placed = chunked.join(bases, "chunk").withColumn("first_id", F.col("base") + earlier("n_ids", "shard", "part", by=("chunk",)))
+    return placed.drop("chunk", "base")
 
 
 class Reader:
@@ -273,5 +294,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         )
                         a = b
 
-    files = manifest.select("shard", "path", "first_id")
-    return files.repartition(F.col("shard")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    files = manifest.select("shard", "part", "path", "first_id")
+    return files.repartitionByRange(max(1, files.count()), "shard", "part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import bagminhash, components, exact_dedup, fertility, line_dedup, mixing, near_dedup, packing, pii, substring_dedup, token_files, tool_calls
 from barloom.llm.queries import vocabulary
-from barloom.llm.text import texts_of
+from barloom.llm.text import parts, texts_of
 
 from .conftest import SCHEMA
 
@@ -171,6 +171,38 @@ def test_state_goes_on(spark, docs):
     assert later == {3: (3, 2)}
 
 
+def test_state_tells_texts_of_runs_apart(spark, docs):
+    """Under a weak digest, texts of later runs are compared with those that the state locates."""
+    from barloom.llm.store import fresh_path
+
+    state, seen = fresh_path(spark, "test-state"), []
+    weak = lambda c: (F.length(c) % 2).cast("string")
+    for rows in ([(1, "a")], [(2, "b"), (3, "ccc"), (4, "B")], [(5, "A"), (6, "ccc"), (7, "dd"), (8, None)], [(9, "b"), (10, "e")]):
+        seen += rows
+        want = {i: tuple(more) for i, *more in brute_groups(seen) if i in {i for i, _ in rows}}
+        got = {r[0]: tuple(r)[1:] for r in exact_dedup.exact_dedup(docs(rows), digest=weak, state_path=state).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()}
+        assert got == want
+
+
+def test_hot_digests(docs, monkeypatch):
+    from barloom.llm import store
+
+    monkeypatch.setattr(store, "HOT_ROWS", 10)
+    rows = [(k, "Same" if k % 2 else f"own {k % 30}") for k in range(90)]
+    got = sorted(tuple(r) for r in exact_dedup.exact_dedup(docs(rows)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+    assert got == brute_groups(rows)
+
+
+def test_one_row_of_each_group_stays(docs):
+    rows = [(5, "t u v w x y z"), (5, "T u v w x y z"), (5, "other text of six words"), (6, "t u v w x y z"), (None, "null one"), (None, "null one"), (7, "seven"), (7, "seven")]
+    for drop, keeps in ((exact_dedup.drop_copies, {(6, "t u v w x y z"), (5, "other text of six words"), (None, "null one"), (7, "seven")}), (near_dedup.drop_near_duplicates, {(5, "t u v w x y z"), (5, "other text of six words"), (None, "null one"), (7, "seven")})):
+        d = docs(rows)
+        out = drop(d)
+        assert out.columns == d.columns
+        got = sorted(((r.doc_id, lower(r.text)) for r in out.collect()), key=repr)
+        assert got == sorted(keeps, key=repr)
+
+
 # 5 fertility
 
 
@@ -551,3 +583,18 @@ def test_passages_don_t_rest_on_word_hashes(monkeypatch):
         for r in substring_dedup._remove(d, own(first + second, k), 2, pa.int64()).to_pylist():
             got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_text"])
     assert got == brute_passages(rows)
+
+
+def test_files_of_one_identifier(docs, monkeypatch):
+    """Rows of one identifier spread over shards, and a large shard over files."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(token_files, "FILE_WORDS", 100)
+    monkeypatch.setattr(token_files, "parts", lambda texts: parts(texts, 2000))
+    rng = random.Random(14)
+    rows = [(rng.choice([5, None]), " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randint(0, 60)))) for _ in range(150)] + [(7, "same words " * 300)] * 20
+    manifest = token_files.write_token_files(docs(rows), vocabulary("byte_bpe_50k.json"))
+    files = manifest.collect()
+    assert len({f.shard for f in files}) > 3 and max(f.part for f in files) > 0
+    found = token_files.read_token_files(manifest)
+    assert found.rdd.getNumPartitions() == len(files)
+    check_files(rows, found.collect())
