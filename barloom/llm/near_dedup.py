@@ -6,22 +6,26 @@ its pivot, the node with the most bucket mates in all bands, which in a group of
 edited copies is the text they come from; the weighted Jaccard similarity is
 computed exactly.  Buckets in which this leaves several components are worked
 through in blocks: nodes outside the pivot's component against all members of
-other components, by signature first, then exactly.  Pairs of nodes are never
-written out; a block returns at most one link for a node and a component, which
-is all that the classes depend on.  Classes are the connected components.
+other components.  Blocks meet as signatures; only where a pair may be similar
+do the bags of its two nodes follow, and are compared exactly.  Candidates travel
+as lists of a pair of blocks, and a list returns at most one link for a node and a
+component, which is all that the classes depend on.  Classes are the connected
+components.
 
 With 32 bands of 6 rows a pair of similarity 0.8 shares a bucket with
 probability 0.99994, and the signature test lets it pass with 0.99998.
 
 Scale: the texts are read twice, and the second time only those of nodes with
 bucket mates are shuffled on.  Buckets and pivots come from partial aggregates;
-joins on hot keys have one row per key on one side.  Every step is a table in
-the shared folder.
+joins on keys that may be hot are :func:`~.store.join_counted`.  Every step is a
+table in the shared folder.
 
 Cases: a text with fewer than five words has one shingle, all its words; a text
 without words, or null, is in a class of its own; repeated rows and equal texts
-are in one class; a null identifier is larger than any other; empty tables give
-empty results; other columns are not read.
+are in one class; a null identifier is larger than any other; of rows with one
+identifier the least hash of the text is the smallest; rows that are alike in
+identifier and text are kept or not together, and :func:`drop_near_duplicates`
+leaves one of them; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,24 +35,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bagminhash import band_keys, shingles, signatures
 from .components import connected_components
-from .store import session_conf, small_batches, written
+from .exact_dedup import one_row_each
+from .store import join_counted, session_conf, small_batches, written
 from .text import parts, texts_of
 from .vocab import release
 
 BANDS, ROWS = 32, 6
 THRESHOLD, SURE_BELOW = 0.8, 0.68
-BLOCK_NODES, BLOCK_WEIGHT = 256, 1 << 18
+BLOCK_NODES, LIST_WEIGHT = 256, 1 << 19
+RUN_TEXTS = 4096
 
 
 def _multisets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of texts with their shingles: first text, end, text number within the run, shingle, count."""
-    for a, b, part in parts(texts_of(column), 2 << 20):
-        for c in range(0, len(part), 1 << 16):
-            d = min(len(part), c + (1 << 16))
+    for a, b, part in parts(texts_of(column)):
+        for c in range(0, len(part), RUN_TEXTS):
+            d = min(len(part), c + RUN_TEXTS)
             yield a + c, a + d, *shingles(part.part(c, d))
 
 
@@ -62,7 +68,7 @@ def _nodes(n: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray) ->
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
-        for a, b, text, shingle, count in _multisets(batch.column(1)):
+        for a, b, text, shingle, count in _multisets(batch.column(2)):
             n = b - a
             signature = signatures(n, text, shingle, count, BANDS * ROWS)
             bands = band_keys(signature, BANDS, ROWS).astype(np.int64)
@@ -70,12 +76,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, n),
+                    batch.column(1).slice(a, n),
                     pa.array(_nodes(n, text, shingle, count), pa.binary()),
                     pa.array(np.bincount(text, count, n).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1))),
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * small.shape[1]).astype(np.int32).tobytes()), pa.py_buffer(small.tobytes())]),
                 ],
-                names=["doc_id", "node", "weight", "bands", "signature"],
+                names=["doc_id", "version", "node", "weight", "bands", "signature"],
             )
 
 
@@ -134,28 +141,62 @@ class _Block:
         self.component = np.array([m["component"] for m in members], object)
         self.bands = np.array([m["bands"] for m in members], np.int64)
         self.signature = np.frombuffer(b"".join(m["signature"] for m in members), np.uint8).reshape(len(members), -1)
-        self.bags = [np.frombuffer(m["bag"], "<u4") for m in members]
-        self.size = np.array([len(b) for b in self.bags])
+        self.weight = np.array([m["weight"] for m in members])
 
 
-def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_LISTS = pa.schema([("list", pa.string()), ("nodes", pa.list_(pa.binary())), ("components", pa.list_(pa.binary())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+
+
+def _lists(name: str, pairs: Iterator[tuple[tuple, tuple]]) -> Iterator[tuple]:
+    """Pairs of (node, component, weight) as rows of _LISTS whose nodes weigh about LIST_WEIGHT at most."""
+    number, index, a, b, weight = 0, {}, [], [], 0
+    for x, y in pairs:
+        if weight > LIST_WEIGHT:
+            yield f"{name}-{number}", [n for n, _ in index], [c for _, c in index], a, b
+            number, index, a, b, weight = number + 1, {}, [], [], 0
+        for side, (node, component, own) in ((a, x), (b, y)):
+            if (node, component) not in index:
+                index[node, component] = len(index)
+                weight += own
+            side.append(index[node, component])
+    if a:
+        yield f"{name}-{number}", [n for n, _ in index], [c for _, c in index], a, b
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks that may be similar, by their signatures, in lists."""
     for batch in batches:
-        out = []
+        rows = []
         for row in range(batch.num_rows):
             queries, members = (_Block(batch.column(c)[row].as_py()) for c in ("queries", "members"))
-            band = batch.column("band")[row].as_py()
-            for q, node in enumerate(queries.nodes):
-                own = queries.size[q]
-                may = (members.component != queries.component[q]) & (np.minimum(members.size, own) >= THRESHOLD * np.maximum(members.size, own))
-                # A pair that shares several buckets is looked at in the first.
-                may &= np.argmax(members.bands == queries.bands[q], axis=1) == band
-                agree = (members.signature == queries.signature[q]).mean(axis=1)
-                at = np.flatnonzero(may & (agree >= SURE_BELOW + (1 - SURE_BELOW) / 256))
-                done = set()
-                for k in at[np.argsort(-agree[at], kind="stable")]:
-                    if members.component[k] not in done and similarity(queries.bags[q], members.bags[k]) >= THRESHOLD:
-                        done.add(members.component[k])
-                        out.append((node, members.nodes[k]))
+            band, name = batch.column("band")[row].as_py(), batch.column("name")[row].as_py()
+
+            def pairs(queries=queries, members=members, band=band):
+                for q, node in enumerate(queries.nodes):
+                    own = queries.weight[q]
+                    may = (members.component != queries.component[q]) & (np.minimum(members.weight, own) >= THRESHOLD * np.maximum(members.weight, own))
+                    # A pair that shares several buckets is looked at in the first.
+                    may &= np.argmax(members.bands == queries.bands[q], axis=1) == band
+                    agree = (members.signature == queries.signature[q]).mean(axis=1)
+                    at = np.flatnonzero(may & (agree >= SURE_BELOW + (1 - SURE_BELOW) / 256))
+                    for k in at[np.argsort(-agree[at], kind="stable")]:
+                        yield (node, queries.component[q], own), (members.nodes[k], members.component[k], members.weight[k])
+
+            rows += _lists(name, pairs())
+        columns = zip(*rows, strict=True) if rows else [[] for _ in _LISTS]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LISTS, strict=True)], schema=_LISTS)
+
+
+def _verify_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            bags = {m["node"]: np.frombuffer(m["bag"], "<u4") for m in row["bags"]}
+            nodes, components, done = row["nodes"], row["components"], set()
+            for x, y in zip(row["a"], row["b"], strict=True):
+                if (x, components[y]) not in done and similarity(bags[nodes[x]], bags[nodes[y]]) >= THRESHOLD:
+                    done.add((x, components[y]))
+                    out.append((nodes[x], nodes[y]))
         a, b = zip(*out, strict=True) if out else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
@@ -165,68 +206,81 @@ def _written_in_small_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
         return written(df, name)
 
 
+def _missed_links(mates: DataFrame, pivots: DataFrame, components: DataFrame, nodes: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that the stars around the pivots leave within a bucket."""
+    placed = mates.join(components, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
+    pivot_of = pivots.join(components.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("pivot_component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    mixed = written(mixed.join(pivot_of, "key").select("key", "n", "pivot_component"), "near-mixed")
+    blocks = F.ceil(F.col("n") / BLOCK_NODES)
+    dealt = written(
+        join_counted(placed, mixed, "key", "n")
+        .join(nodes.select("node", "weight", "bands", "signature"), "node")
+        .withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1)
+        .withColumn("n_blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks)),
+        "near-dealt",
+    )
+    member = F.collect_list(F.struct("node", "component", "weight", "bands", "signature"))
+    members = dealt.groupBy("key", "band", "block").agg(member.alias("members"))
+    queries = dealt.filter("component <> pivot_component").groupBy("key", "block", "n_blocks").agg(member.alias("queries"))
+    # Each block of queries goes to every block of members, so a hot bucket spreads by these.
+    sent = queries.select("key", F.col("block").alias("from_block"), "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    compared = sent.join(members, ["key", "block"]).select("band", F.concat_ws("-", "key", "from_block", "block").alias("name"), "queries", "members")
+    lists = _written_in_small_batches(compared.mapInArrow(_candidates, "list string, nodes array<binary>, components array<binary>, a array<int>, b array<int>"), "near-candidates", 16)
+    wanted = lists.select("list", F.explode(F.array_distinct("nodes")).alias("node")).join(bags, "node")
+    found = wanted.groupBy("list").agg(F.collect_list(F.struct("node", "bag")).alias("bags"))
+    return _written_in_small_batches(lists.join(found, "list").mapInArrow(_verify_lists, "a binary, b binary"), "near-more-links", 16)
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (it is that document)."""
+    """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (it is that document), version (hash of the text)."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), _version(text_col).alias("version"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    signed = written(source.mapInArrow(_sign, f"doc_id {id_type}, node binary, weight bigint, bands array<bigint>, signature binary"), "near-signed")
+    signed = written(source.mapInArrow(_sign, f"doc_id {id_type}, version bigint, node binary, weight bigint, bands array<bigint>, signature binary"), "near-signed")
     nodes = written(
         signed.filter("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("weight", "bands", "signature"))),
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")).alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("weight", "bands", "signature"))),
         "near-nodes",
     )
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    mates = written(keys.join(buckets, "key"), "near-mates")
+    buckets = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-buckets")
+    mates = written(join_counted(keys, buckets, "key", "n"), "near-mates")
     popular = mates.groupBy("node").agg(F.sum(F.col("n") - 1).alias("popularity"))
-    pivots = mates.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("popularity", "node")).alias("pivot"))
-    stars = mates.join(pivots, "key").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pivots = written(mates.join(popular, "node").groupBy("key").agg(F.max_by("node", F.struct("popularity", "node")).alias("pivot"), F.count("*").alias("n")), "near-pivots")
+    stars = join_counted(mates.select("node", "key"), pivots, "key", "n").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
-    wanted = nodes.join(popular, "node", "left_semi").select(F.col("doc_id").alias("id"), F.col("node").alias("own")).alias("w")
-    texts = source.alias("s").join(wanted, F.col("s.doc_id").eqNullSafe(F.col("w.id"))).select("s.text")
+    wanted = nodes.join(popular, "node", "left_semi").select(F.col("first.doc_id").alias("id"), F.col("first.version").alias("v")).alias("w")
+    texts = source.alias("s").join(wanted, F.col("s.doc_id").eqNullSafe(F.col("w.id")) & (F.col("s.version") == F.col("w.v")), "left_semi").select("text")
     found = texts.mapInArrow(_bags, "node binary, bag binary")
     bags = written(found.filter("node is not null").groupBy("node").agg(F.first("bag").alias("bag")), "near-bags")
 
     paired = stars.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
     links = _written_in_small_batches(paired.mapInArrow(_verify_pairs, "a binary, b binary"), "near-links", 256)
     components = connected_components(links)
-
-    placed = mates.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    pivot_of = pivots.join(components.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("pivot_component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = (
-        placed.join(mixed, "key", "left_semi")
-        .join(pivot_of, "key")
-        .join(nodes.select("node", "weight", "bands", "signature"), "node")
-        .join(bags, "node")
-        .withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1)
-    )
-    weights = placed.join(mixed, "key", "left_semi").join(nodes.select("node", "weight"), "node").groupBy("key").agg(F.sum("weight").alias("total"), F.count("*").alias("count"))
-    n_blocks = F.greatest(F.ceil(F.col("total") / BLOCK_WEIGHT), F.ceil(F.col("count") / BLOCK_NODES))
-    dealt = rest.join(weights.select("key", n_blocks.alias("n_blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("n_blocks")))
-    member = F.collect_list(F.struct("node", "component", "bands", "signature", "bag"))
-    dealt = written(dealt, "near-rest")
-    blocks = dealt.groupBy("key", "band", "block").agg(member.alias("members"))
-    queries = dealt.filter("component <> pivot_component").groupBy("key", "block").agg(member.alias("queries"))
-    compared = queries.join(blocks.drop("block"), "key").select("band", "queries", "members").repartition(F.xxhash64(F.col("queries")[0]["node"], F.col("members")[0]["node"], F.col("band")))
-    more = _written_in_small_batches(compared.mapInArrow(_verify_blocks, "a binary, b binary"), "near-more-links", 16)
+    more = _missed_links(mates.select("node", "key"), pivots, components, nodes, bags)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
 
-    rows = signed.select("doc_id", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    classed = rows.join(sizes, "component", "left")
-    return classed.select(
-        "doc_id",
-        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    placed = nodes.select("node", "first", "copies").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = placed.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
+    of_node = join_counted(placed.select("node", "copies", "component"), written(classes, "near-classes"), "component", "n")
+    of_node = written(of_node.select("node", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.version").alias("class_version"), "class_size"), "near-node-classes")
+    rows = signed.select("doc_id", "version", "node")
+    classed = join_counted(rows.filter("node is not null"), of_node, "node", "copies").select("doc_id", "version", "class_id", "class_version", "class_size")
+    alone = rows.filter("node is null").select("doc_id", "version", F.col("doc_id").alias("class_id"), F.col("version").alias("class_version"), F.lit(1).cast("long").alias("class_size"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("version") == F.col("class_version"))
+    return classed.unionByName(alone).select("doc_id", "class_id", "class_size", kept.alias("kept"), "version")
+
+
+def _version(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class; all columns stay."""
-    kept = near_duplicate_classes(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__barloom_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__barloom_kept_id")), "left_semi")
+    kept = near_duplicate_classes(docs, id_col, text_col).filter("kept").select("doc_id", "version")
+    return one_row_each(docs, kept, id_col, _version(text_col))

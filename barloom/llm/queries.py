@@ -62,7 +62,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(_documents(spark, sf_dir))
+    return near_duplicate_classes(_documents(spark, sf_dir)).drop("version")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
