@@ -4,10 +4,11 @@ A document's ids, the end id last, are cut into full windows, each of which is a
 sequence, and a rest.  Rests are dealt into groups by a hash.  In a group every
 rest starts as a partial partition of its own; the two partial partitions with
 the largest imbalance are merged, the fullest windows of one with the emptiest
-of the other, until one is left.  The number of windows is the least that holds
-all ids and rises while a window exceeds its capacity and the padding would stay
-under ``slack``; beyond that the excess is cut off and fills windows with room.
-So a group is padded by less than one window, or by ``slack``.
+of the other, until one is left.  The number of windows is at first the least that
+holds all ids, and rises one by one while a window exceeds its capacity: once at least, and
+on while the padding would stay under ``slack``.  Only where that isn't enough is the
+excess of the first, fullest attempt cut off; it fills windows with room.  So a group
+is padded by less than two windows, or by ``slack``.
 
 Cases: a null text counts as empty, so it is the end id alone; repeated rows are
 packed each on its own; a document of any length; empty tables give empty
@@ -69,11 +70,13 @@ def pack_rests(sizes: list[int], capacity: int, slack: float) -> list[list[tuple
     if not total:
         return []
     least = -(-total // capacity)
-    for k in dict.fromkeys((least, max(least, int(total / (capacity * (1 - slack)))))):
+    first = None
+    for k in range(least, max(least + 1, int(total / (capacity * (1 - slack)))) + 1):
         windows = differencing(sizes, k)
         if all(sum(sizes[i] for i in w) <= capacity for w in windows):
             return [[(i, 0, sizes[i]) for i in w] for w in windows if w]
-    windows = differencing(sizes, least)
+        first = first or windows
+    windows = first
     packed, excess = [], []
     for window in windows:
         room, out = capacity, []
@@ -106,7 +109,7 @@ def pack_documents(
     vocabulary: str,
     end_id: int = 2,
     capacity: int = CAPACITY,
-    slack: float = 0.005,
+    slack: float = 0.02,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
