@@ -53,7 +53,7 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = calls_of_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return link_tool_calls(calls, results, {"reply": {"text": ("string", True)}})
+    return link_tool_calls(calls, results, {"reply": {"text": ("string", True), "size": ("integer", True)}})
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def oracle_sql() -> dict[str, str]:
             FROM marked GROUP BY doc_id
         """,
         "op6_tool_calls": """
-            WITH t AS (
+            WITH RECURSIVE t AS (
                 SELECT *, last_value(CASE WHEN role = 'user' THEN turn::VARCHAR END IGNORE NULLS)
                     OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS call_id
                 FROM conversations
@@ -123,13 +123,25 @@ def oracle_sql() -> dict[str, str]:
                 SELECT conv_id, call_id, count(*) AS n, first(text ORDER BY turn, text) AS result
                 FROM t WHERE role IS DISTINCT FROM 'user' AND call_id IS NOT NULL GROUP BY 1, 2
             ), calls AS (
-                SELECT conv_id, call_id, turn AS position, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS topo_order
-                FROM t WHERE role = 'user'
+                SELECT conv_id, call_id, turn AS position, text, length(coalesce(text, '')) AS size, contains(text, chr(10)) AS has_lines,
+                       CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN lead(call_id) OVER w ELSE lag(call_id) OVER w END AS needs
+                FROM t WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+            ), late AS (
+                SELECT DISTINCT c.conv_id FROM calls c JOIN calls d ON d.conv_id = c.conv_id AND d.call_id = c.needs AND d.position >= c.position
+            ), reached AS (
+                SELECT conv_id, call_id, 0 AS level FROM calls WHERE needs IS NULL
+                UNION ALL
+                SELECT c.conv_id, c.call_id, r.level + 1 FROM reached r JOIN calls c ON c.conv_id = r.conv_id AND c.needs = r.call_id
+            ), placed AS (
+                SELECT c.*, CASE WHEN late.conv_id IS NULL THEN 0 ELSE level END AS level
+                FROM calls c LEFT JOIN reached USING (conv_id, call_id) LEFT JOIN late ON late.conv_id = c.conv_id
+            ), numbered AS (
+                SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, position) AS topo_order FROM placed
             )
-            SELECT conv_id, call_id, position, topo_order, coalesce(n, 0) AS n_results, n IS NOT NULL AS linked, true AS valid, false AS cyclic,
-                   json_object('arguments', json_object('text', text), 'call_id', call_id, 'name', 'reply', 'result', result,
-                               'turn', topo_order, 'valid', true)::VARCHAR AS record
-            FROM calls LEFT JOIN answers USING (conv_id, call_id)
+            SELECT conv_id, call_id, position, topo_order, coalesce(n, 0) AS n_results, n IS NOT NULL AS linked, text IS NOT NULL AND NOT has_lines AS valid, level IS NULL AS cyclic,
+                   json_object('arguments', CASE WHEN has_lines THEN json_object('size', size::VARCHAR, 'text', text) ELSE json_object('size', size, 'text', text) END, 'call_id', call_id,
+                               'name', 'reply', 'result', result, 'turn', topo_order, 'valid', text IS NOT NULL AND NOT has_lines)::VARCHAR AS record
+            FROM numbered LEFT JOIN answers USING (conv_id, call_id)
         """,
         "op3_substring_dedup": r"""
             WITH t AS (

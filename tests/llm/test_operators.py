@@ -261,14 +261,48 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
-def test_tool_calls_are_placed_however_deep(spark):
+_CALLS = "conv_id int, position int, call_id string, name string, arguments string, depends_on array<string>"
+_RESULTS = "conv_id int, position int, call_id string, content string"
+
+
+@pytest.mark.parametrize("in_arrays", [True, False])
+def test_tool_calls_are_placed_however_deep(spark, monkeypatch, in_arrays):
+    if not in_arrays:
+        monkeypatch.setattr(tool_calls, "ARRAY_CALLS", 3)
     chain = [(1, k, f"c{k}", "add", "{}", [f"c{k + 1}"]) for k in range(5)] + [(1, 5, "c5", "add", "{}", None), (1, 6, None, "add", "{}", ["c0"])]
-    calls = spark.createDataFrame(chain, "conv_id int, position int, call_id string, name string, arguments string, depends_on array<string>")
-    results = spark.createDataFrame([], "conv_id int, position int, call_id string, content string")
+    calls = spark.createDataFrame(chain, _CALLS)
+    results = spark.createDataFrame([], _RESULTS)
     out = {r.position: r for r in tool_calls.link_tool_calls(calls, results, {"add": {}}, max_rounds=7).collect()}
     assert [out[k].topo_order for k in range(7)] == [6, 5, 4, 3, 2, 1, 7] and not any(r.cyclic for r in out.values())
-    with pytest.raises(RuntimeError, match="3 rounds"):
-        tool_calls.link_tool_calls(calls, results, {"add": {}}, max_rounds=3)
+    if not in_arrays:
+        with pytest.raises(RuntimeError, match="3 rounds"):
+            tool_calls.link_tool_calls(calls, results, {"add": {}}, max_rounds=3)
+
+
+def test_a_long_chain_and_a_cycle(spark):
+    n = 2000
+    chain = [(1, k, f"c{k}", "add", "{}", [f"c{k + 1}"] if k < n - 1 else None) for k in range(n)]
+    ring = [(2, k, f"r{k}", "add", "{}", [f"r{(k + 1) % 50}"]) for k in range(50)] + [(2, 50, "behind", "add", "{}", ["r0"]), (2, 51, "free", "add", "{}", None)]
+    out = {(r.conv_id, r.position): r for r in tool_calls.link_tool_calls(spark.createDataFrame(chain + ring, _CALLS), spark.createDataFrame([], _RESULTS), {"add": {}}).collect()}
+    assert all(out[1, k].topo_order == n - k and not out[1, k].cyclic for k in range(n))
+    assert all(out[2, k].cyclic for k in range(51)) and not out[2, 51].cyclic and out[2, 51].topo_order == 1
+
+
+def test_arrays_and_rounds_agree(spark, monkeypatch):
+    """On random dependencies, with null conversations and identifiers, clashing columns and a very long argument."""
+    rng, rows = random.Random(15), []
+    for c in [*range(12), None]:
+        for k in range(rng.randint(1, 9)):
+            rows.append((c, k, rng.choice([f"i{k}", f"i{k}", None]), "add", rng.choice(["{}", None, '{"x": "' + "y" * 50_000 + '"}']), [f"i{rng.randint(0, 9)}" for _ in range(rng.randint(0, 2))] or None))
+    calls = spark.createDataFrame(rows, _CALLS)
+    for name in ("level", "key", "ix", "needs", "odd", "n", "waits", "calls", "result", "valid"):
+        calls = calls.withColumn(name, F.lit(1))
+    results = spark.createDataFrame([(c, 90, "i1", "r") for c in [*range(12), None]], _RESULTS).withColumn("n_results", F.lit(0))
+    found = []
+    for most in (10_000, 0):
+        monkeypatch.setattr(tool_calls, "ARRAY_CALLS", most)
+        found.append(collected(tool_calls.link_tool_calls(calls, results, {"add": {"x": ("string", False)}}), "conv_id", "position", "call_id", "topo_order", "n_results", "valid", "cyclic"))
+    assert found[0] == found[1] and len(found[0]) == len(rows) and any(r.cyclic for r in found[0]) and any(r.topo_order != r.position + 1 and not r.cyclic for r in found[0])
 
 
 # 7 packing
@@ -298,7 +332,15 @@ def test_rests_fill_windows(sizes):
             assert a == at and n > 0
             at += n
         assert at == size
-    assert len(windows) * 64 - sum(sizes) < 64 + 0.06 * len(windows) * 64
+    assert len(windows) * 64 - sum(sizes) < 2 * 64 + 0.06 * len(windows) * 64
+
+
+def test_window_count_rises_before_anything_is_cut():
+    risen = packing.pack_rests([6, 6, 6, 2], 10, 0.0)
+    assert len(risen) == 3 and sorted(n for w in risen for _, _, n in w) == [2, 6, 6, 6]
+    cut = packing.pack_rests([6] * 10, 10, 0.0)  # seven windows don't do either, so six full ones
+    assert len(cut) == 6 and any(n < 6 for w in cut for _, _, n in w)
+    assert len(packing.pack_rests([6] * 10, 10, 0.5)) == 10
 
 
 def test_differencing_is_the_classic():
