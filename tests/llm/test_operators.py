@@ -235,7 +235,39 @@ def test_measures_and_bands(docs):
     assert out[1].token_entropy == pytest.approx(-(p * np.log2(p)).sum()) and out[1].byte_share == 0
     assert out[1].chars_per_token == pytest.approx(len(good) / len(Tokenizer.from_file(vocabulary("byte_bpe_50k.json")).encode(good).ids))
     assert out[3].base_failed and out[4].base_failed and out[5].base_failed and not out[2].base_failed
-    assert fertility.main_script(texts_of(__import__("pyarrow").array(["abc д", "да a", "123", "中文"]))) == ["Latin", "Cyrillic", "other", "East Asian"]
+    assert fertility.main_script(["abc д", "да a", "123", "中文", "“—”😀 ок", "tiếng Việt", "ไทย ab", "हिन्दी", "", "שלום 1"]) == ["Latin", "Cyrillic", "other", "East Asian", "Cyrillic", "Latin", "other", "Indic", "other", "Semitic"]
+
+
+_BANDS = {"en": (2.38, 0.1, 5.79), "de": (2.23, 0.1, 5.79), "Latin": (1.0, 0.2, 4.5), "Semitic": (0.65, 0.3, 3.5), "other": (0, 0.6, 3.0)}
+
+
+def test_verdict_by_brute_force(docs):
+    """``kept`` from plain encodings of whole texts, with bands written out here."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    plain, sp = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(16)
+    good = "the of and house river walked under seventeen morning light because people with small windows near every other village where children played quietly until their parents called them home again after supper".split()
+    odd = ["qzx" + "".join(rng.choice("bcdfgqwxz") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    rows = []
+    for k in range(60):
+        pool = [good, odd, good[:3], [w + "%%%" for w in good], ["שלום", "עולם", "בני", "האדם"] + good[:2]][k % 5]
+        rows.append((k, " ".join(rng.choice(pool if rng.random() < 0.9 else good) for _ in range(rng.randint(40, 160))), "s", rng.choice(["en", "de", None, "xx", "Latin"])))
+    rows += [(60, None, "s", "en"), (61, "", "s", None), (62, "\U0001f9ff\u4dc0 " * 60, "s", None)]
+    verdicts = {}
+    for i, t, _, lang in rows:
+        ws = WORD.findall(t or "")
+        grams = collections.Counter(tuple(ws[k : k + 3]) for k in range(len(ws) - 2))
+        repeat = len({k + j for k in range(len(ws) - 2) if grams[tuple(ws[k : k + 3])] > 1 for j in range(3)})
+        ids = [x for w in (t or "").split() for x in sp.encode(w)]
+        p = np.array(list(collections.Counter(ids).values())) / max(len(ids), 1)
+        name = lang if lang in ("en", "de") else "Semitic" if sum("\u05d0" <= c <= "\u05ea" for c in t or "") > sum(c.isascii() and c.isalpha() for c in t or "") else "Latin" if any(c.isascii() and c.isalpha() for c in t or "") else "other"
+        chars, share, h = _BANDS[name]
+        fits = len(t or "") >= chars * max(len(plain.encode(t or "").ids), 1) and sum(map(sp.is_byte, ids)) <= share * max(len(ids), 1) and -(p * np.log2(p)).sum() >= h
+        verdicts[i] = len(ws) >= 50 and 100 * repeat <= 50 * len(ws) and fits
+    got = {r.doc_id: r.kept for r in fertility.quality_rules(docs(rows), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).collect()}
+    assert got == verdicts and 5 < sum(got.values()) < 55
 
 
 # 6 tool calls
