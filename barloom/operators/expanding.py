@@ -1,37 +1,115 @@
-"""Expanding quantiles of long histories.
+"""Scans along a ticker's bars that windows can't do in linear time.
 
-Sorted insertion, one history per group: linear moves of a numpy array are far
-cheaper than sorting each prefix anew.
+:func:`ordered_scan` hands the rows of a ticker to a small state machine, batch by
+batch in the order of an index, so a task holds the state and one batch, not the
+history's rows.  Expanding quantiles keep two heaps for each quantile: a value costs
+the logarithm of the history, where a window would sort every prefix anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def expanding_quantiles_fast(df: DataFrame, column: str, probabilities: Sequence[float], names: Sequence[str], key: str = "ticker", ix: str = "w") -> DataFrame:
-    """(key, ix, names...): exact interpolated quantiles of all earlier values; null for the first row."""
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {ix} bigint, " + ", ".join(f"{n} double" for n in names)
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(ix)
-        values = group[column].to_numpy(float)
-        held = np.empty(len(values))
-        out = np.full((len(values), len(probabilities)), np.nan)
-        for n, value in enumerate(values):
-            if n:
-                place = np.asarray(probabilities) * (n - 1)
-                low = place.astype(int)
-                high = np.minimum(low + 1, n - 1)
-                out[n] = held[low] + (place - low) * (held[high] - held[low])
-            at = np.searchsorted(held[:n], value)
-            held[at + 1 : n + 1] = held[at:n].copy()
-            held[at] = value
-        found = pd.DataFrame(out, columns=list(names)).astype(object).where(~np.isnan(out), None)
-        return pd.concat([group[[key, ix]].reset_index(drop=True), found], axis=1)
-
-    return df.select(key, ix, column).groupBy(key).applyInPandas(scan, schema)
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from heapq import heappop, heappush
+from math import floor
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+Step = Callable[[dict[str, list]], list[list]]
+
+
+def ordered_scan(df: DataFrame, columns: list[str], outputs: list[str], make: Callable[[], Step], key: str = "ticker", ix: str = "bar_ix") -> DataFrame:
+    """``df`` with the double columns ``outputs``.
+
+    ``make`` gives a fresh step for each key; a step maps the next rows' values of
+    ``columns`` to the values of ``outputs``.  Rows come in the order of ``ix``: a
+    window numbers them, and a break in the numbers raises.
+    """
+    number = "__barloom_number"
+    numbered = df.withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(ix)))
+    schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name in outputs)])
+    width = len(df.columns)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, seen = make(), 0
+        for batch in batches:
+            if batch.column(width).to_pylist() != list(range(seen + 1, seen + 1 + batch.num_rows)):
+                raise RuntimeError(f"rows of a {key} did not come in the order of {ix}")
+            seen += batch.num_rows
+            found = step({c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(v, pa.float64()) for v in found)], names=[*batch.schema.names[:width], *outputs])
+
+    return numbered.groupBy(key).applyInArrow(scan, schema)
+
+
+class Quantile:
+    """The interpolated quantile of the values added so far."""
+
+    def __init__(self, p: float):
+        self.p, self.low, self.high = p, [], []
+
+    def add(self, value: float | None) -> None:
+        if value is None:
+            return
+        low, high = self.low, self.high
+        if low and value <= -low[0]:
+            heappush(low, -value)
+        else:
+            heappush(high, value)
+        # The lower heap holds the values up to the quantile's place.
+        size = floor(self.p * (len(low) + len(high) - 1)) + 1
+        while len(low) < size:
+            heappush(low, -heappop(high))
+        while len(low) > size:
+            heappush(high, -heappop(low))
+
+    def value(self) -> float | None:
+        if not self.low:
+            return None
+        below = -self.low[0]
+        place = self.p * (len(self.low) + len(self.high) - 1)
+        part = place - floor(place)
+        return below if not part or self.high[0] == below else (1 - part) * below + part * self.high[0]
+
+
+@dataclass(frozen=True)
+class Expanding:
+    """A quantile of a column's earlier values; rows with an index under ``current_below`` count the current value too."""
+
+    column: str
+    p: float
+    name: str
+    current_below: int = 0
+
+
+def expanding_quantiles(df: DataFrame, wanted: list[Expanding], key: str = "ticker", ix: str = "w") -> DataFrame:
+    """``df`` with all wanted quantiles in one pass over each key; null where there is no value yet."""
+
+    def make() -> Step:
+        tracks = [(e, Quantile(e.p)) for e in wanted]
+
+        def step(rows: dict[str, list]) -> list[list]:
+            out = []
+            for e, track in tracks:
+                found = []
+                for at, value in zip(rows[ix], rows[e.column], strict=True):
+                    if at < e.current_below:
+                        track.add(value)
+                        found.append(track.value())
+                    else:
+                        found.append(track.value())
+                        track.add(value)
+                out.append(found)
+            return out
+
+        return step
+
+    return ordered_scan(df, list({ix, *(e.column for e in wanted)}), [e.name for e in wanted], make, key, ix)
+
+
+def expanding_quantiles_fast(df: DataFrame, column: str, probabilities: list[float], names: list[str], key: str = "ticker", ix: str = "w") -> DataFrame:
+    """(key, ix, names...): quantiles of all earlier values of one column."""
+    wanted = [Expanding(column, p, name) for p, name in zip(probabilities, names, strict=True)]
+    return expanding_quantiles(df.select(key, F.col(ix).cast("long").alias(ix), column), wanted, key, ix).drop(column)

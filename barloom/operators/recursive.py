@@ -1,15 +1,16 @@
-"""Recursive smoothing: folds over a sorted array, in the JVM.
+"""Recursive smoothing.
 
-Each partition's values become one array in bar order, a fold carries the state
-and appends each result, and the array is exploded again.  For resets by session
-the arrays are one session long, so work is spread by session; for a whole
-history it is one array per ticker.
+Where it resets by session, a session's values become one array in bar order, a
+fold carries the state and appends each result, all in the JVM, and the array is
+exploded again: arrays are a session long.  Over a whole history it is an ordered
+scan, which holds a batch of rows at a time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barloom.operators.expanding import ordered_scan
 from barloom.operators.rolling import floor, true, true_range
 from barloom.sources.bars import by_bar
 
@@ -41,11 +42,25 @@ def ema_atr(bars: DataFrame, period: int = 14, lookback: int = 500) -> DataFrame
     """EMA of true range seeded by the mean of ranges 1..period; rank among earlier values; three rises or falls."""
     alpha = 2.0 / (period + 1)
 
-    def fold(tr: Column) -> Column:
-        seed = F.aggregate(F.slice(tr, 2, period), F.lit(0.0), lambda a, x: a + x) / period
-        return _scan(tr, period, seed, lambda last, x: last + alpha * (x - last))
-
-    found = fold_bars(true_range(bars), ["ticker"], F.col("tr"), fold, "atr", ["close"])
+    def make():
+        seen, total, last = 0, 0.0, None
+
+        def step(rows: dict[str, list]) -> list[list]:
+            nonlocal seen, total, last
+            out = []
+            for x in rows["tr"]:
+                if 1 <= seen <= period:
+                    total += x
+                    last = total / period if seen == period else None
+                elif seen:
+                    last += alpha * (x - last)
+                seen += 1
+                out.append(last)
+            return [out]
+
+        return step
+
+    found = ordered_scan(true_range(bars).select("ticker", "bar_ix", "close", "tr"), ["tr"], ["atr"], make).drop("tr")
     w = by_bar()
     earlier = F.collect_list("atr").over(w.rowsBetween(-(lookback - 1), -1))
     rank = F.when(F.size(earlier) >= 20, F.size(F.filter(earlier, lambda x: x < F.col("atr"))) / F.size(earlier)).otherwise(F.lit(0.5))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from barloom.operators.expanding import Expanding, expanding_quantiles
 from barloom.sources.bars import by_bar, roll, upto
 
 TINY = 1e-10
@@ -248,8 +249,8 @@ def expanding_quantiles(df: DataFrame, column: str, probabilities: list[float],
 
 def expanding_median(df: DataFrame, column: str, name: str, ix: str = "w", warm_up: int = 10, default: float = 0.001) -> DataFrame:
     """Median of all earlier values; ``default`` for the first ``warm_up`` + 1 rows."""
-    w = W.partitionBy("ticker").orderBy(ix).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn(name, F.when(F.col(ix) <= warm_up, F.lit(default)).otherwise(F.percentile(column, F.lit(0.5)).over(w)))
+    found = expanding_quantiles(df, [Expanding(column, 0.5, name)], ix=ix)
+    return found.withColumn(name, F.when(F.col(ix) <= warm_up, F.lit(default)).otherwise(F.col(name)))
 
 
 def equity(returns: Column, window: W) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.config import Horizon
 from barloom.operators import atoms, forecast, rolling, simulate, windows
+from barloom.operators.expanding import Expanding, expanding_quantiles
 from barloom.operators.rolling import floor, true
 from barloom.sources.bars import by_bar
 
@@ -23,20 +24,24 @@ def by_window() -> W:
 
 def expanding_bounds(df: DataFrame, column: str, name: str, q_high: float = 0.9, q_low: float = 0.1) -> DataFrame:
     """``{name}_hi`` and ``{name}_lo``: ±0.001 up to w = 10, quantiles with the current value below w = 100, of earlier values from then on."""
-    w = by_window()
-    q = F.array(F.lit(q_high), F.lit(q_low))
-    with_now = F.percentile(column, q).over(w.rowsBetween(W.unboundedPreceding, 0))
-    earlier = F.percentile(column, q).over(w.rowsBetween(W.unboundedPreceding, -1))
-    both = df.withColumn("_now", with_now).withColumn("_past", earlier)
-    pick = lambda k, first: F.when(F.col("w") <= 10, F.lit(first)).when(F.col("w") < 100, F.col("_now")[k]).otherwise(F.col("_past")[k])
-    return both.withColumn(f"{name}_hi", pick(0, 0.001)).withColumn(f"{name}_lo", pick(1, -0.001)).drop("_now", "_past")
+    return _walk_forward(df, {}, {name: column}, q_high, q_low)
+
+
+def _walk_forward(df: DataFrame, medians: dict[str, str], bounds: dict[str, str], q_high: float = 0.9, q_low: float = 0.1) -> DataFrame:
+    """Medians of earlier values and bounds of several columns, by name, in one scan of each ticker."""
+    wanted, first = [Expanding(column, 0.5, name) for name, column in medians.items()], dict.fromkeys(medians, 0.001)
+    for name, column in bounds.items():
+        wanted += [Expanding(column, q_high, f"{name}_hi", 100), Expanding(column, q_low, f"{name}_lo", 100)]
+        first |= {f"{name}_hi": 0.001, f"{name}_lo": -0.001}
+    found = expanding_quantiles(df, wanted)
+    return found.withColumns({name: F.when(F.col("w") <= 10, F.lit(value)).otherwise(F.col(name)) for name, value in first.items()})
 
 
 def features(bars: DataFrame, horizon: Horizon, forecaster: str = "analog") -> DataFrame:
     """All window features of a bar table, one row per (ticker, w).
 
-    One shuffle by ticker serves all of it: every feature is a window or an
-    expression over the bar's own row.
+    One shuffle by ticker serves all of it: every feature is a window, an expression
+    over the bar's own row or, for expanding quantiles, part of one scan of the ticker.
     """
     b = rolling.linear_channel(rolling.atr_sma(rolling.rsi_simple(rolling.rising_twice(rolling.bollinger_partial(bars), "bb_width", "_unused"))))
     b = b.withColumn("prev_close", F.lag("close").over(by_bar()))
@@ -68,13 +73,10 @@ def features(bars: DataFrame, horizon: Horizon, forecaster: str = "analog") -> D
     past = w.rowsBetween(W.unboundedPreceding, -1)
     z = (F.col("pred_ret") - F.avg("pred_ret").over(past)) / floor(F.stddev_pop("pred_ret").over(past))
     f = f.withColumn("bb_mom", rising("bb_width")).withColumn("pred_z", F.when(F.col("w") > 20, z).otherwise(F.lit(0.5)))
-    for column, name in (("bb_width", "wf_width"), ("lr_r2", "wf_r2"), ("atr_sma", "wf_atr"), ("volume", "wf_vol"), ("mc_std", "wf_mc")):
-        f = rolling.expanding_median(f, column, name)
+    medians = {"wf_width": "bb_width", "wf_r2": "lr_r2", "wf_atr": "atr_sma", "wf_vol": "volume", "wf_mc": "mc_std"}
+    f = _walk_forward(f, medians, {"wf": "pred_ret", "wq": "w_ret", "bq": "best_ret", "dq": "drop_ret"})
     f = f.withColumn("mc_big", F.when(F.col("w") > 10, F.col("mc_std") > F.col("wf_mc")).otherwise(F.lit(True)))
-    f = f.withColumn("mc_small", F.when(F.col("w") > 10, F.col("mc_std") < F.col("wf_mc")).otherwise(F.lit(True)))
-    for column, name in (("pred_ret", "wf"), ("w_ret", "wq"), ("best_ret", "bq"), ("drop_ret", "dq")):
-        f = expanding_bounds(f, column, name)
-    return f
+    return f.withColumn("mc_small", F.when(F.col("w") > 10, F.col("mc_std") < F.col("wf_mc")).otherwise(F.lit(True)))
 
 
 @dataclass(frozen=True)
@@ -132,9 +134,9 @@ BAD4 = ("high_vol_overbought_contracting", "high_vol_oversold_contracting", BAD,
 def batch_features(f: DataFrame, horizon: Horizon) -> DataFrame:
     """What :func:`batch_run` needs besides :func:`features`: means of confident samples with bounds, weighted levels,
     windows per confidence threshold, the rolling win rate of the baseline, and the regime of the window before."""
-    for t in DROP_LEVELS[1:]:
-        name = f"d{t * 10:.0f}"
-        f = expanding_bounds(f.withColumn(f"{name}_ret", atoms.confident_mean(F.col("rets"), F.col("conf_per_sample"), t)), f"{name}_ret", name)
+    names = {f"d{t * 10:.0f}": t for t in DROP_LEVELS[1:]}
+    f = f.withColumns({f"{name}_ret": atoms.confident_mean(F.col("rets"), F.col("conf_per_sample"), t) for name, t in names.items()})
+    f = _walk_forward(f, {}, {name: f"{name}_ret" for name in names})
     f = f.withColumns({f"{level}_w": atoms.weighted_quantile(F.col("last"), F.col("weights"), q) for level, q in (("g_tp", 0.8), ("g_sl", 0.2))})
     f = f.withColumns({f"n_conf{t * 100:.0f}": F.count_if(F.col("conf") >= t).over(W.partitionBy("ticker")) for t in CONF_LEVELS})
     f = simulate.rolling_win_rate(simulate.signals_won(f.withColumn("sig", F.expr(WF)), horizon)).drop("sig", "won")
