@@ -42,7 +42,7 @@ from .components import connected_components
 from .exact_dedup import one_row_each
 from .store import join_counted, session_conf, small_batches, written
 from .text import parts, texts_of
-from .vocab import release
+from .vocab import release, tidy
 
 BANDS, ROWS = 32, 6
 THRESHOLD, SURE_BELOW = 0.8, 0.68
@@ -84,6 +84,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["doc_id", "version", "node", "weight", "bands", "signature"],
             )
+    tidy()
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +103,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["node", "bag"],
             )
+    tidy()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

@@ -3,8 +3,9 @@
 A vocabulary's pre-tokeniser never joins text across certain boundaries, so a
 text is cut there and each distinct unit is encoded once; the ids are exactly
 those of encoding the whole text.  Strings of special tokens in a text are
-ordinary text.  A cache that exceeds ``LIMIT`` units keeps the most used half, so
-a worker's memory is bounded.
+ordinary text.  A cache that exceeds its limit of units, some 200 bytes each, keeps the most
+used half, so a worker's memory is bounded; several encoders in one worker share
+``LIMIT``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 
 LIMIT = 800_000
 _WHITE = re.compile(r"\s")
@@ -281,7 +283,7 @@ def loaded(*wanted: tuple[type, str]) -> list:
             del _LOADED[key]
         for kind, path in wanted:
             if (kind, path) not in _LOADED:
-                _LOADED[kind, path] = kind(path, LIMIT // (2 * len(wanted) - 1))
+                _LOADED[kind, path] = kind(path, LIMIT // (3 * len(wanted) - 2))
     return [_LOADED[key] for key in wanted]
 
 
@@ -293,6 +295,7 @@ def release() -> None:
 
 
 def tidy() -> None:
-    """Give freed memory back to the system; a worker that waits for its next task should hold little."""
+    """Give freed memory, Arrow's too, back to the system; a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
