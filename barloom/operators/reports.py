@@ -79,6 +79,55 @@ def quarterly(per_bar: DataFrame, least: int = 10) -> DataFrame:
     return rolled.filter(F.col("strategy").isNotNull() & (F.col("n_active") >= least)).withColumn("quarter", F.coalesce("quarter", F.lit("overall")))
 
 
+# Decimals of the quarterly CSV.
+QUARTER_DIGITS = {"total_pnl": 6, "profit_factor": 4, "aver_ret": 8, "sharpe": 2}
+
+
+def _by_quarter(per_bar: DataFrame) -> DataFrame:
+    """Every quarter and "overall" with all its bars; means are over active bars."""
+    q = per_bar.withColumn("quarter", quarter_of(F.col("ts")))
+    active = F.when(F.col("ret") != 0, F.col("ret"))
+    rolled = q.rollup("strategy", "quarter").agg(
+        F.count("*").alias("n_bars"),
+        F.count(active).alias("n_active"),
+        F.sum("ret").alias("total_pnl"),
+        (F.coalesce(F.sum(F.when(active > 0, active)), F.lit(0.0)) / F.greatest(F.abs(F.coalesce(F.sum(F.when(active < 0, active)), F.lit(0.0))), F.lit(1e-12))).alias("profit_factor"),
+        F.avg(active).alias("aver_ret"),
+        F.avg((active > 0).cast("double")).alias("win_rate"),
+        (F.lit(PERIODS_QUARTER**0.5) * F.avg(active) / (F.stddev_pop(active) + 1e-8)).alias("sharpe"),
+    )
+    return rolled.filter("strategy is not null").withColumn("quarter", F.coalesce("quarter", F.lit("overall")))
+
+
+def quarter_tables(per_bar: DataFrame) -> DataFrame:
+    """Average returns of three active bars or more and Sharpe ratios of ten or more; null below that."""
+    q = _by_quarter(per_bar)
+    return q.withColumn("aver_ret", F.when(F.col("n_active") >= 3, F.col("aver_ret"))).withColumn("sharpe", F.when(F.col("n_active") >= 10, F.col("sharpe")))
+
+
+def _at_least(q: DataFrame, n: int) -> DataFrame:
+    """Quarters with ``n`` active bars or more; overall, more than ``n``."""
+    return q.filter(F.col("n_active") >= F.when(F.col("quarter") == "overall", n + 1).otherwise(n))
+
+
+def quarter_rows(per_bar: DataFrame) -> DataFrame:
+    return _at_least(_by_quarter(per_bar), 10)
+
+
+def quarter_tuples(per_bar: DataFrame) -> DataFrame:
+    return _at_least(_by_quarter(per_bar), 5).withColumnRenamed("n_active", "n")
+
+
+def metric_bundle(per_bar: DataFrame, signals: DataFrame, trades: DataFrame, keys: tuple[str, ...] = ("strategy", "ticker")) -> DataFrame:
+    """:func:`strategy_metrics` with signal counts, the average return a signal, and counts, mean holding and win rate of trades."""
+    by_signal = signals.groupBy(*keys).agg(F.count_if(F.col("sig") == 1).alias("n_long"), F.count_if(F.col("sig") == -1).alias("n_short"))
+    by_trade = trades.groupBy(*keys).agg(
+        F.count_if(F.col("sig") == 1).alias("longs"), F.count_if(F.col("sig") == -1).alias("shorts"), F.avg("holding").alias("mean_holding"), m.win_rate(F.col("ret")).alias("trade_win_rate")
+    )
+    found = strategy_metrics(per_bar, keys).join(by_signal, [*keys]).join(by_trade, [*keys])
+    return found.withColumn("aver_ret", F.col("total_pnl") / F.greatest(F.col("n_long") + F.col("n_short"), F.lit(1)))
+
+
 def by_hour_and_weekday(per_bar: DataFrame, least: int = 5) -> DataFrame:
     """Hour-of-day and weekday tables in one pass by grouping sets."""
     b = per_bar.filter("ret <> 0").withColumn("hour", F.hour("ts")).withColumn("weekday", F.weekday("ts"))
@@ -96,7 +145,7 @@ def weekday_quarter(per_bar: DataFrame, hours: tuple[int, ...] = (15, 16), least
 
 
 def half_year(per_bar: DataFrame, quarters: tuple[str, ...], least: int = 20) -> DataFrame:
-    """Metrics of the bars in some quarters, the others set to zero, best Sharpe first."""
+    """Metrics of the bars in some quarters, the others set to zero."""
     inside = quarter_of(F.col("ts")).isin(list(quarters))
     masked = per_bar.withColumn("ret", F.when(inside, F.col("ret")).otherwise(F.lit(0.0)))
     e = with_equity(masked)
@@ -107,11 +156,18 @@ def half_year(per_bar: DataFrame, quarters: tuple[str, ...], least: int = 20) ->
         (F.max_by("equity", "bar_ix") / F.min_by("equity", "bar_ix") - 1).alias("total_return"),
         m.profit_factor(active).alias("profit_factor"),
         m.win_rate(active).alias("win_rate"),
+        F.avg(active).alias("aver_ret"),
         m.max_drawdown(F.col("equity"), F.col("peak")).alias("max_dd"),
     )
     return out.filter(F.col("n_active") >= least)
 
 
+def best_half_year(metrics: DataFrame, top: int = 15) -> DataFrame:
+    """The ``top`` rows of :func:`half_year` by Sharpe ratio, with their places."""
+    order = [F.col("sharpe").desc(), F.col("strategy"), F.col("ticker")]
+    return metrics.orderBy(*order).limit(top).withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
 def hourly_trades(trades: DataFrame, least: int = 1) -> DataFrame:
     """Trades by hour of entry."""
     total = trades.groupBy("strategy").agg(F.count("*").alias("all_trades"))
@@ -121,6 +177,7 @@ def hourly_trades(trades: DataFrame, least: int = 1) -> DataFrame:
         F.count("*").alias("n"),
         m.win_rate(ret).alias("win_rate"),
         F.avg(ret).alias("avg_ret"),
+        (F.coalesce(F.sum(F.when(ret > 0, ret)), F.lit(0.0)) / F.greatest(F.abs(F.coalesce(F.sum(F.when(ret < 0, ret)), F.lit(0.0))), F.lit(1e-10))).alias("profit_factor"),
         (F.avg(ret) / F.greatest(F.coalesce(F.stddev_samp(ret), F.lit(0.0)), F.lit(1e-10)) * (PERIODS_TRADE**0.5)).alias("sharpe"),
         share("tp").alias("tp_share"),
         share("sl").alias("sl_share"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import SHORT
 from barloom.functions import metrics as m, normal
-from barloom.operators import asof, atoms, forecast, patterns, reports, rolling, signals, simulate, windows
+from barloom.operators import asof, atoms, evaluation, forecast, patterns, reports, rolling, signals, simulate, windows
 from barloom.plans.base import BARS_SQL, BY_BAR_SQL, bars, r
 from barloom.plans.registry import query
 from barloom.plans.trading import BELIEF_SQL, FEATURE_SQL, METRICS_SQL, PER_BAR_SQL, PL, S, TRADES_SQL, WIN_SQL, feats, run, signals_sql
@@ -54,6 +54,72 @@ def a26(spark, sf):
     return q.select("strategy", "quarter", "n_active", r("total_pnl"), r("profit_factor", 4), r("aver_ret"), r("win_rate"), r("sharpe", 3))
 
 
+_QUARTERS_SQL = f"""{BAR_CHAIN}, q AS (SELECT *, year(ts)::VARCHAR || '-Q' || quarter(ts)::VARCHAR AS quarter FROM per_bar), ql AS (
+    SELECT strategy, coalesce(quarter, 'overall') AS quarter, count(*) AS n_bars, count(*) FILTER (ret <> 0) AS n_active, sum(ret) AS total_pnl, avg(ret) FILTER (ret <> 0) AS aver_ret,
+           coalesce(sum(ret) FILTER (ret > 0), 0) / greatest(abs(coalesce(sum(ret) FILTER (ret < 0), 0)), 1e-12) AS profit_factor, avg((ret > 0)::INT) FILTER (ret <> 0) AS win_rate,
+           sqrt({6 * 24 * 252}) * avg(ret) FILTER (ret <> 0) / (stddev_pop(ret) FILTER (ret <> 0) + 1e-8) AS sharpe
+    FROM q GROUP BY ROLLUP (strategy, quarter) HAVING strategy IS NOT NULL
+)"""
+
+
+@query("a26_quarter_tables", f"WITH {_QUARTERS_SQL} SELECT strategy, quarter, CASE WHEN n_active >= 3 THEN round(aver_ret, 6) END AS aver_ret, CASE WHEN n_active >= 10 THEN round(sharpe, 3) END AS sharpe FROM ql")
+def a26_tables(spark, sf):
+    q = reports.quarter_tables(per_bar(spark, sf))
+    return q.select("strategy", "quarter", r("aver_ret"), r("sharpe", 3))
+
+
+@query(
+    "a27_quarter_rows",
+    f"WITH {_QUARTERS_SQL} SELECT strategy, quarter, n_bars, n_active, round(total_pnl, 6) AS total_pnl, round(profit_factor, 4) AS profit_factor, round(aver_ret, 8) AS aver_ret, round(sharpe, 2) AS sharpe FROM ql WHERE n_active >= CASE WHEN quarter = 'overall' THEN 11 ELSE 10 END",
+)
+def a27_rows(spark, sf):
+    """The rows of the quarterly CSV, rounded as they are written."""
+    return reports.quarter_rows(per_bar(spark, sf)).select("strategy", "quarter", "n_bars", "n_active", *[r(c, d) for c, d in reports.QUARTER_DIGITS.items()])
+
+
+@query(
+    "a28_quarter_tuples",
+    f"WITH {_QUARTERS_SQL} SELECT strategy, quarter, round(aver_ret, 6) AS aver_ret, round(profit_factor, 4) AS profit_factor, round(win_rate, 6) AS win_rate, n_active AS n FROM ql WHERE n_active >= CASE WHEN quarter = 'overall' THEN 6 ELSE 5 END",
+)
+def a28_tuples(spark, sf):
+    return reports.quarter_tuples(per_bar(spark, sf)).select("strategy", "quarter", r("aver_ret"), r("profit_factor", 4), r("win_rate"), "n")
+
+
+@query(
+    "a29_best_half_year",
+    f"""WITH {BAR_CHAIN}, mk AS (SELECT strategy, ticker, bar_ix, CASE WHEN year(ts) = 2024 AND quarter(ts) IN (1, 2) THEN ret ELSE 0.0 END AS ret FROM per_bar),
+        e0 AS (SELECT *, product(1 + ret) OVER (PARTITION BY strategy, ticker ORDER BY bar_ix) AS equity FROM mk), e AS (SELECT *, max(equity) OVER (PARTITION BY strategy, ticker ORDER BY bar_ix) AS peak FROM e0),
+        hy AS (
+            SELECT strategy, ticker, count(*) FILTER (ret <> 0) AS n_active, sqrt({6 * 24 * 252}) * avg(ret) FILTER (ret <> 0) / (stddev_pop(ret) FILTER (ret <> 0) + 1e-8) AS sharpe, avg(ret) FILTER (ret <> 0) AS aver_ret,
+                   coalesce(sum(ret) FILTER (ret > 0), 0) / (abs(coalesce(sum(ret) FILTER (ret < 0), 0)) + 1e-8) AS profit_factor, min((equity - peak) / peak) AS max_dd
+            FROM e GROUP BY 1, 2 HAVING count(*) FILTER (ret <> 0) >= 20
+        )
+        SELECT row_number() OVER (ORDER BY sharpe DESC, strategy, ticker) AS place, strategy, ticker, n_active, round(sharpe, 3) AS sharpe, round(profit_factor, 3) AS profit_factor, round(aver_ret, 7) AS aver_ret, round(max_dd, 6) + 0.0 AS max_dd
+        FROM hy ORDER BY sharpe DESC, strategy, ticker LIMIT 15""",
+)
+def a29_best(spark, sf):
+    """A top-k report: the fifteen best."""
+    h = reports.best_half_year(reports.half_year(per_bar(spark, sf), ("2024-Q1", "2024-Q2")), 15)
+    return h.select("place", "strategy", "ticker", "n_active", r("sharpe", 3), r("profit_factor", 3), r("aver_ret", 7), r("max_dd"))
+
+
+_BUNDLE_SQL = f"""{BAR_CHAIN}, {METRICS_SQL}, sg AS (SELECT strategy, ticker, count(*) FILTER (sig = 1) AS n_long, count(*) FILTER (sig = -1) AS n_short FROM sigs GROUP BY 1, 2),
+    td AS (SELECT strategy, ticker, avg(holding) AS mean_holding, count(*) FILTER (sig = 1) AS longs, count(*) FILTER (sig = -1) AS shorts, avg((ret > 0)::INT) AS trade_win_rate FROM trades GROUP BY 1, 2)"""
+
+
+@query(
+    "a17_a18_metric_bundle",
+    f"""WITH {_BUNDLE_SQL} SELECT strategy, ticker, n_long, n_short, round(total_pnl / greatest(n_long + n_short, 1), 8) AS aver_ret, longs, shorts, round(mean_holding, 6) AS mean_holding, round(trade_win_rate, 6) AS trade_win_rate, round(sharpe, 4) AS sharpe, n_trades
+        FROM mt JOIN sg USING (strategy, ticker) JOIN td USING (strategy, ticker)""",
+)
+def a17_bundle(spark, sf):
+    """Metrics of the bars with those that need the signals and the trades."""
+    sigs = signals.signals(feats(spark, sf), CHOSEN)
+    t = simulate.simulate(sigs)
+    found = reports.metric_bundle(simulate.per_bar(t, bars(spark, sf), [s.name for s in CHOSEN]), sigs, t)
+    return found.select("strategy", "ticker", "n_long", "n_short", r("aver_ret", 8), "longs", "shorts", r("mean_holding"), r("trade_win_rate"), r("sharpe", 4), "n_trades")
+
+
 @query(
     "a30_hour_weekday",
     f"""WITH {BAR_CHAIN}, b AS (SELECT *, hour(ts)::INT AS hour, (isodow(ts) - 1)::INT AS weekday FROM per_bar WHERE ret <> 0)
@@ -89,11 +155,12 @@ def a29(spark, sf):
     "a33_g04_hourly_trades",
     f"""WITH {TRADE_CHAIN}, a AS (SELECT strategy, count(*) AS every FROM trades GROUP BY 1)
         SELECT strategy, hour(pred_ts)::INT AS hour, count(*) AS n, round(avg((ret > 0)::INT), 6) AS win_rate, round(avg(ret), 6) AS avg_ret, round(avg((reason = 'tp')::INT), 6) AS tp_share, round(avg((reason = 'sl')::INT), 6) AS sl_share,
-               round(avg((reason = 'close')::INT), 6) AS close_share, round(count(*) / any_value(every), 6) AS trade_pct FROM trades JOIN a USING (strategy) GROUP BY 1, 2""",
+               round(avg((reason = 'close')::INT), 6) AS close_share, round(count(*) / any_value(every), 6) AS trade_pct,
+               round(coalesce(sum(ret) FILTER (ret > 0), 0) / greatest(abs(coalesce(sum(ret) FILTER (ret < 0), 0)), 1e-10), 3) AS profit_factor FROM trades JOIN a USING (strategy) GROUP BY 1, 2""",
 )
 def a33(spark, sf):
     h = reports.hourly_trades(trades(spark, sf))
-    return h.select("strategy", "hour", "n", r("win_rate"), r("avg_ret"), r("tp_share"), r("sl_share"), r("close_share"), r("trade_pct"))
+    return h.select("strategy", "hour", "n", r("win_rate"), r("avg_ret"), r("tp_share"), r("sl_share"), r("close_share"), r("trade_pct"), r("profit_factor", 3))
 
 
 @query(
@@ -370,43 +437,75 @@ def x05(spark, sf):
     return f.withColumn("x", x).select("ticker", "w", "dir", F.col("x.reason").alias("reason"), F.col("x.step").alias("step"), r(F.col("x.ret")).alias("ret"))
 
 
-@query(
-    "a21_a22_a42_window_evaluation",
-    f"""WITH {WIN_SQL}, st AS (SELECT ticker, w, month, h, entry_close, horizon[h].close AS actual, list_transform(paths, lambda p: p[h]) AS v FROM wins, unnest(range(1, {PL + 1})) u(h)),
-        sx AS (SELECT *, (actual - entry_close) / entry_close AS ar, (list_sum(v) / {S} - entry_close) / entry_close AS pr, len(list_filter(v, lambda x: x > entry_close)) / {S} AS up, len(list_filter(v, lambda x: x < entry_close)) / {S} AS dn, list_aggregate(v, 'stddev_pop') / entry_close AS sp FROM st),
-        ev AS (SELECT ticker, w, month, coalesce(avg((sign(ar) = sign(pr))::INT) FILTER (sign(pr) <> 0), 0.0) AS direction_accuracy, avg((sign(pr) = 0)::INT) AS flat_rate, avg((up >= 0.8 OR dn >= 0.8)::INT) AS consensus_rate, avg(greatest(up, dn)) AS consensus_strength,
-                 coalesce(avg((sign(ar) = CASE WHEN up >= 0.8 THEN 1 ELSE -1 END)::INT) FILTER (up >= 0.8 OR dn >= 0.8), 0.0) AS consensus_dir_acc, avg(sign(pr) * ar) / (stddev_pop(sign(pr) * ar) + 1e-8) * sqrt(104) AS direction_sharpe, avg(pr - ar) AS bias, avg(abs(pr - ar)) AS mae, avg(sp) AS prediction_volatility
-               FROM sx GROUP BY 1, 2, 3)
-        SELECT ticker, month, count(*) AS n_windows, round(avg(direction_accuracy), 6) AS direction_accuracy, round(avg(flat_rate), 6) AS flat_rate, round(avg(consensus_rate), 6) AS consensus_rate, round(avg(consensus_strength), 6) AS consensus_strength,
-               round(avg(consensus_dir_acc), 6) AS consensus_dir_acc, round(avg(direction_sharpe), 3) AS direction_sharpe, round(avg(bias), 6) AS bias, round(avg(mae), 6) AS mae, round(avg(prediction_volatility), 6) AS prediction_volatility FROM ev GROUP BY 1, 2""",
-)
+# Per-window evaluation, written out: ``ev`` has a row for each window.
+EVALUATION_SQL = f"""{WIN_SQL}, st AS (
+    SELECT ticker, w, month, h, entry_close AS ec, horizon[h].close AS actual, horizon[h].high AS hi, horizon[h].low AS lo, list_transform(paths, lambda p: p[h]) AS v
+    FROM wins, unnest(range(1, {PL + 1})) u(h)
+), s1 AS (
+    SELECT *, (actual - ec) / ec AS ar, (list_sum(v) / {S} - ec) / ec AS pr, len(list_filter(v, lambda x: x > ec)) / {S} AS up, len(list_filter(v, lambda x: x < ec)) / {S} AS dn,
+           list_aggregate(v, 'stddev_pop') / ec AS sp, list_aggregate(v, 'quantile_cont', 0.8) AS q80, list_aggregate(v, 'quantile_cont', 0.2) AS q20
+    FROM st
+), s2 AS (
+    SELECT *, sign(pr) * ar AS pnl, up >= 0.8 OR dn >= 0.8 AS agreed, CASE WHEN up >= 0.8 THEN 1 ELSE -1 END AS side,
+           coalesce(CASE WHEN pr > 0 THEN q20 < ec AND lo <= q20 WHEN pr < 0 THEN q80 > ec AND hi >= q80 END, false) AS stopped,
+           coalesce(CASE WHEN pr > 0 THEN q80 > ec AND hi >= q80 WHEN pr < 0 THEN q20 < ec AND lo <= q20 END, false) AS reached,
+           rank() OVER (PARTITION BY ticker, w ORDER BY ar) + (count(*) OVER (PARTITION BY ticker, w, ar) - 1) / 2 AS ra,
+           rank() OVER (PARTITION BY ticker, w ORDER BY pr) + (count(*) OVER (PARTITION BY ticker, w, pr) - 1) / 2 AS rp
+    FROM s1
+), s3 AS (
+    SELECT *, reached AND NOT stopped AS taken, product(1 + pnl) OVER (PARTITION BY ticker, w ORDER BY h) AS equity FROM s2
+), s4 AS (
+    SELECT *, max(equity) OVER (PARTITION BY ticker, w ORDER BY h) AS peak FROM s3
+), ev AS (
+    SELECT ticker, w, month, coalesce(avg((sign(ar) = sign(pr))::INT) FILTER (pr <> 0), 0.0) AS direction_accuracy, avg((pr = 0)::INT) AS flat_rate, avg(agreed::INT) AS consensus_rate,
+           avg(greatest(up, dn)) AS consensus_strength, coalesce(avg((sign(ar) = side)::INT) FILTER (agreed), 0.0) AS consensus_dir_acc, avg(pnl) / (stddev_pop(pnl) + 1e-8) * sqrt(104) AS direction_sharpe,
+           CASE WHEN stddev_pop(ar) > 0 AND stddev_pop(pr) > 0 THEN corr(ar, pr) END AS return_correlation, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) END AS ic_rank,
+           avg(pr - ar) AS bias, avg(abs(pr - ar)) AS mae, avg(sp) AS prediction_volatility, count(*)::DOUBLE AS unfiltered_trades,
+           count(*) FILTER (taken) / greatest(count(*) FILTER (taken OR stopped), 1) * coalesce(avg(ar) FILTER (ar > 0), 0)
+               - count(*) FILTER (stopped) / greatest(count(*) FILTER (taken OR stopped), 1) * coalesce(avg(-ar) FILTER (ar < 0), 0) AS unfiltered_expectancy,
+           (count(*) FILTER (agreed))::DOUBLE AS consensus_trades,
+           count(*) FILTER (taken AND agreed) / greatest(count(*) FILTER ((taken OR stopped) AND agreed), 1) * coalesce(avg(ar) FILTER (ar > 0 AND agreed), 0)
+               - count(*) FILTER (stopped AND agreed) / greatest(count(*) FILTER ((taken OR stopped) AND agreed), 1) * coalesce(avg(-ar) FILTER (ar < 0 AND agreed), 0) AS expectancy,
+           coalesce(avg(side * ar) FILTER (agreed) / (stddev_pop(side * ar) FILTER (agreed) + 1e-8) * sqrt(104), 0.0) AS consensus_sharpe, min((equity - peak) / peak) AS max_drawdown_simple
+    FROM s4 GROUP BY 1, 2, 3
+)"""
+_EVALUATED = (
+    "direction_accuracy", "flat_rate", "consensus_rate", "consensus_strength", "consensus_dir_acc", "direction_sharpe", "return_correlation", "ic_rank", "bias", "mae", "prediction_volatility",
+    "unfiltered_trades", "unfiltered_expectancy", "consensus_trades", "expectancy", "consensus_sharpe", "max_drawdown_simple",
+)
+_WIDE = {"direction_sharpe": 3, "consensus_sharpe": 2}
+_MEANS_SQL = ", ".join(f"round(avg({c}), {_WIDE.get(c, 6)}) + 0.0 AS {c}" for c in _EVALUATED)
+
+
+def evaluated(spark, sf) -> DataFrame:
+    return evaluation.evaluate_windows(windows.sliding_windows(forecast.get_forecaster("analog").transform(bars(spark, sf), SHORT), SHORT))
+
+
+@query("a21_a22_a42_window_evaluation", f"WITH {EVALUATION_SQL} SELECT ticker, month, count(*) AS n_windows, {_MEANS_SQL} FROM ev GROUP BY 1, 2")
 def a21(spark, sf):
     """Per-window evaluation, then its monthly means."""
-    w = windows.sliding_windows(forecast.get_forecaster("analog").transform(bars(spark, sf), SHORT), SHORT)
-    ev = evaluate_windows(w)
-    names = [c for c in ev.columns if c not in ("ticker", "w", "month")]
-    return ev.groupBy("ticker", "month").agg(F.count("*").alias("n_windows"), *[r(F.avg(c), 3 if c == "direction_sharpe" else 6).alias(c) for c in names])
-
-
-def evaluate_windows(w: DataFrame) -> DataFrame:
-    """Forecast quality of each window over its steps."""
-    steps = F.posexplode(F.arrays_zip(F.col("horizon"), atoms.per_step(F.col("paths"), lambda v: v).alias("v")))
-    e = w.select("ticker", "w", "month", "entry_close", steps.alias("h", "x")).withColumn("v", F.col("x.v"))
-    ec, v = F.col("entry_close"), F.col("v")
-    e = (
-        e.withColumn("ar", (F.col("x.horizon.close") - ec) / ec)
-        .withColumn("pr", (forecast.mean(v) - ec) / ec)
-        .withColumn("up", atoms.share(v, lambda x: x > F.col("entry_close")))
-        .withColumn("dn", atoms.share(v, lambda x: x < F.col("entry_close")))
-        .withColumn("sp", forecast.std_pop(v) / ec)
-        .withColumn("agreed", (F.col("up") >= 0.8) | (F.col("dn") >= 0.8))
-    )
-    a, p, side = F.col("ar"), F.col("pr"), F.when(F.col("up") >= 0.8, 1.0).otherwise(-1.0)
-    return e.groupBy("ticker", "w", "month").agg(
-        m.direction_accuracy(a, p).alias("direction_accuracy"), F.avg((F.signum(p) == 0).cast("double")).alias("flat_rate"), F.avg(F.col("agreed").cast("double")).alias("consensus_rate"),
-        F.avg(F.greatest("up", "dn")).alias("consensus_strength"), F.coalesce(F.avg(F.when(F.col("agreed"), (F.signum(a) == side).cast("double"))), F.lit(0.0)).alias("consensus_dir_acc"),
-        (F.avg(F.signum(p) * a) / (F.stddev_pop(F.signum(p) * a) + 1e-8) * 104**0.5).alias("direction_sharpe"), m.bias(a, p).alias("bias"), m.mae(a, p).alias("mae"), F.avg("sp").alias("prediction_volatility"),
-    )
+    return evaluation.monthly_means(evaluated(spark, sf)).select("ticker", "month", "n_windows", *[r(c, _WIDE.get(c, 6)) for c in _EVALUATED])
+
+
+@query(
+    "a21_windows",
+    f"WITH {EVALUATION_SQL} SELECT ticker, w, month, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in _EVALUATED if c not in ('direction_sharpe', 'consensus_sharpe'))} FROM ev",
+)
+def a21_windows(spark, sf):
+    """Every window's metrics; ratios to deviations near zero are in the monthly means only."""
+    return evaluated(spark, sf).select("ticker", "w", "month", *[r(c, 4) for c in _EVALUATED if c not in _WIDE])
+
+
+@query(
+    "g05_walk_forward",
+    f"""WITH {EVALUATION_SQL}, mm AS (SELECT ticker, month, count(*) AS n_windows, avg(consensus_dir_acc) AS a, avg(expectancy) AS e FROM ev GROUP BY 1, 2),
+        bm AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY round(a, 9) DESC, round(e, 9) DESC, month) = 1)
+        SELECT ticker, month AS best_month, n_windows, round(a, 6) AS consensus_dir_acc, round(e, 6) + 0.0 AS expectancy, round((SELECT avg(a) FROM mm m WHERE m.ticker = bm.ticker), 6) AS mean_dir_acc FROM bm""",
+)
+def g05(spark, sf):
+    """The driver as one call: windows, months, samples, evaluation, each ticker's best month and its mean over months."""
+    found = evaluation.walk_forward(bars(spark, sf), SHORT)
+    return found.select("ticker", "best_month", "n_windows", r("consensus_dir_acc"), r("expectancy"), r("mean_dir_acc"))
 
 
 @query(
