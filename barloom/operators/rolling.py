@@ -253,6 +253,11 @@ def expanding_median(df: DataFrame, column: str, name: str, ix: str = "w", warm_
     return found.withColumn(name, F.when(F.col(ix) <= warm_up, F.lit(default)).otherwise(F.col(name)))
 
 
+def close_rising(bars: DataFrame) -> DataFrame:
+    """Whether a bar closes above the one before; false for the first."""
+    return bars.withColumn("close_rising", true(F.col("close") > F.lag("close").over(by_bar())))
+
+
 def equity(returns: Column, window: W) -> Column:
     """Compounded value of returns over a window."""
     return F.product(1.0 + returns).over(window)

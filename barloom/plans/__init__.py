@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barloom.plans import indicators, patterns, reports, tables, trading
+from barloom.plans import files, indicators, patterns, reports, tables, trading
 from barloom.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (indicators, patterns, trading, reports, tables)
+MODULES = (indicators, patterns, trading, reports, tables, files)
 
 
 def queries() -> dict[str, Query]:

@@ -118,7 +118,7 @@ def s20(spark, sf):
 
 @query("s14_s28_cache")
 def s14(spark, sf):
-    key = connectors.cache_key("bars", sf, 60)
+    key = connectors.cache_key("bars", sf, 60, connectors.input_version(spark, f"{sf}/events.parquet"))
     return connectors.cached(spark, f"{shared_dir(spark)}/barloom-cache", key, lambda: feed(spark, sf)).groupBy("ticker").agg(F.count("*").alias("n"))
 
 

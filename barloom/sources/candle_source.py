@@ -7,13 +7,19 @@
     interval   minutes of a bar, sent on to the API
     url        template with {ticker} {interval} {start} {end} {offset}; http(s), or any
                path that pyarrow's file systems open
-    mode       candles (default) or index: index pages go on by offset until one is empty
+    mode       candles (default); index: pages go on by offset until one is empty;
+               daily: pages go on until their cursor has reached its total, and days
+               without a close are dropped
     page_size  rows of a full page (500)
     attempts, delay   tries per page, and seconds of the first pause, which doubles
-
-A page is JSON: {"columns": [...], "rows": [[...], ...]}.  Numbers that don't
-parse become null; rows without a time are dropped; a month that never answers
-raises, so Spark repeats the task.
+    pause      seconds between the calls of a task (0); tasks at once times 1 / pause
+               bounds the rate of calls
+    only       comma-separated ticker:first-day of the months to read, all by default
+
+A page is JSON: {"columns": [...], "rows": [[...], ...], "cursor": [index, total,
+size]}, the cursor in mode daily only.  Numbers that don't parse become null; rows
+without a time are dropped; a month that never answers raises, so Spark repeats the
+task.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ SCHEMA = "ticker string, ts timestamp_ntz, open double, high double, low double,
 # Names that pages use for our columns.
 RENAMED = {"begin": "ts", "timestamp": "ts", "tradedate": "ts", "value": "amount"}
 _FIELDS = ("open", "high", "low", "close", "volume", "amount")
+_CLOSE = 2 + _FIELDS.index("close")
 
 
 @dataclass
@@ -119,21 +126,31 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         a, b = date.fromisoformat(self.o["start"]), date.fromisoformat(self.o["end"])
-        return [MonthOfTicker(t.strip(), str(s), str(e)) for t in self.o["tickers"].split(",") for s, e in months(a, b)]
+        only = set(filter(None, self.o.get("only", "").split(",")))
+        every = [MonthOfTicker(t.strip(), str(s), str(e)) for t in self.o["tickers"].split(",") for s, e in months(a, b)]
+        return [m for m in every if not only or f"{m.ticker}:{m.start}" in only]
 
     def read(self, partition: MonthOfTicker) -> Iterator[tuple]:
         size, attempts, delay = int(self.o.get("page_size", 500)), int(self.o.get("attempts", 5)), float(self.o.get("delay", 0.5))
-        paged, offset, seen = self.o.get("mode", "candles") == "index", 0, set()
+        mode, pause, offset, seen = self.o.get("mode", "candles"), float(self.o.get("pause", 0)), 0, set()
         while True:
+            if offset and pause:
+                time.sleep(pause)
             uri = self.o["url"].format(ticker=partition.ticker, interval=self.o.get("interval", "10"), start=partition.start, end=partition.end, offset=offset)
-            rows = parse_page(with_retry(lambda u=uri: open_page(u), attempts, delay), partition.ticker)
+            body = with_retry(lambda u=uri: open_page(u), attempts, delay)
+            rows = parse_page(body, partition.ticker)
             for row in rows:
-                if row[1] not in seen:
+                if row[1] not in seen and not (mode == "daily" and row[_CLOSE] is None):
                     seen.add(row[1])
                     yield row
-            if not paged or not rows:
+            if mode == "candles" or not rows:
                 return
             offset += size
+            if mode == "daily":
+                at, total, step = json.loads(body).get("cursor", (0, 0, size))
+                offset = at + step
+                if offset >= total:
+                    return
 
 
 def register(spark: SparkSession) -> None:

@@ -8,7 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException as SparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.sources.bars import manifest
@@ -40,15 +41,41 @@ def cache_key(*values: object) -> str:
 
 
 def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table under ``key``; made and written if it isn't there or can't be read."""
+    """The table under ``key``; made and written if it isn't there or can't be read to its end.
+
+    A key should name everything the table depends on; :func:`input_version` gives
+    a name for the state of input files.
+    """
     path = f"{folder}/{key}"
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        found = spark.read.parquet(path)
+        # Every row group of a column is read, so a file that was cut off shows here.
+        found.agg(F.count(F.hash(*found.columns))).collect()
+        return found
+    except (AnalysisException, SparkException, Py4JJavaError):
         make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
 
+def input_version(spark: SparkSession, path: str) -> str:
+    """A name that changes with the files at a path: their number, bytes and latest change."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = files.getContentSummary(place)
+    stamps = [files.getFileStatus(place).getModificationTime()]
+    return f"{summary.getFileCount()}-{summary.getLength()}-{max(stamps)}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def first_per_key(first: DataFrame, otherwise: DataFrame, key: str = "ticker") -> DataFrame:
+    """``first``, and rows of ``otherwise`` for keys of which ``first`` has none."""
+    return first.unionByName(otherwise.join(first.select(key).distinct(), key, "left_anti"))
+
+
 def first_non_empty(first: DataFrame, otherwise: Callable[[], DataFrame]) -> DataFrame:
     """``first`` unless it has no rows (one row is looked at)."""
     return otherwise() if first.isEmpty() else first
@@ -94,7 +121,13 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_registry(registry: DataFrame, path: str) -> None:
-    registry.coalesce(1).write.mode("overwrite").json(path)
+    """Written beside the old one, which may be what ``registry`` reads, and then put in its place."""
+    spark, aside = registry.sparkSession, f"{path.rstrip('/')}.new"
+    registry.coalesce(1).write.mode("overwrite").json(aside)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(jvm.Path(path), True)
+    files.rename(jvm.Path(aside), jvm.Path(path))
 
 
 def registry_from_csv(spark: SparkSession, path: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -100,3 +100,76 @@ def test_stream_equals_batch(spark):
     key = lambda df: {(r.ticker, str(r.ts)): (r.open, r.high, r.low, r.close, r.volume) for r in df.collect()}
     a, b = key(live), key(batch)
     assert a and all(b[k] == v for k, v in a.items()) and len(b) - len(a) < 20
+
+
+def test_daily_pages_follow_their_cursor(spark, tmp_path):
+    for at, rows in ((0, [["2024-01-01", 1], ["2024-01-02", None]]), (2, [["2024-01-03", 3]])):
+        body = json.dumps({"columns": ["TRADEDATE", "CLOSE"], "rows": rows, "cursor": [at, 3, 2]})
+        (tmp_path / f"{at}.json").write_text(body)
+    candle_source.register(spark)
+    df = spark.read.format("candle_pages").options(tickers="I", start="2024-01-01", end="2024-01-31", mode="daily", url=f"file://{tmp_path}/{{offset}}.json").load()
+    assert sorted(r.close for r in df.collect()) == [1.0, 3.0]
+
+
+def test_ingest_job(spark, tmp_path):
+    from barloom.sources import ingest
+
+    def put(ticker, start, day, close):
+        (tmp_path / f"{ticker}-{start}.json").write_bytes(page(["begin", "open", "high", "low", "close", "volume"], [[f"{day} 10:00:00", 1, 2, 1, close, 10]]))
+
+    put("A", "2024-01-01", "2024-01-03", 2)
+    put("B", "2024-01-01", "2024-01-04", 3)
+    lots, out = spark.createDataFrame([("A", 10)], "ticker string, lot int"), f"file://{tmp_path}/out"
+    job = lambda **more: ingest.ingest(spark, f"file://{tmp_path}/{{ticker}}-{{start}}.json", ["A", "B"], "2024-01-01", "2024-02-10", out, lots, pause=0, **more)
+    assert ingest.status(spark, out).count() == 0
+    assert [(c.ticker, str(c.begin), c.expected) for c in job(dry_run=True).orderBy("ticker", "begin").collect()] == [("A", "2024-01-01", 23 * 52), ("A", "2024-02-01", 7 * 52), ("B", "2024-01-01", 23 * 52), ("B", "2024-02-01", 7 * 52)]
+    assert {r.ticker: r.n_rows for r in job().collect()} == {"A": 1, "B": 1}
+    put("A", "2024-02-01", "2024-02-05", 4)
+    put("B", "2024-01-01", "2024-01-04", 99)  # has landed, so it isn't asked for again
+    assert sorted((c.ticker, str(c.begin)) for c in job(resume=True, dry_run=True).collect()) == [("A", "2024-02-01"), ("B", "2024-02-01")]
+    assert {r.ticker: r.n_rows for r in job(resume=True).collect()} == {"A": 2, "B": 1}
+    assert sorted((r.ticker, r.close, r.amount) for r in connectors.load_bars(spark, out).collect()) == [("A", 2.0, 200.0), ("A", 4.0, 400.0), ("B", 3.0, 30.0)]
+    assert {r.ticker: r.n_rows for r in ingest.status(spark, out).collect()} == {"A": 2, "B": 1}
+
+
+def test_cache_makes_again_what_is_cut_off(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(1000)
+
+    assert connectors.cached(spark, str(tmp_path), "k", make).count() == 1000
+    for part in (tmp_path / "k").glob("*.parquet"):
+        part.write_bytes(part.read_bytes()[:60])
+    for crc in (tmp_path / "k").glob(".*.crc"):
+        crc.unlink()
+    assert connectors.cached(spark, str(tmp_path), "k", make).count() == 1000 and len(made) == 2
+
+
+def test_registry_goes_back_to_its_own_place(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rows = [("1", "a", "S", {"k": "v"}, None, None, "ok", {"sharpe": 1.0})]
+    connectors.save_registry(spark.createDataFrame(rows, connectors.REGISTRY), path)
+    new = spark.createDataFrame([("a", {"sharpe": 2.0}), ("b", {"sharpe": 3.0})], "name string, metrics map<string,double>")
+    connectors.save_registry(connectors.upsert(connectors.load_registry(spark, path), new), path)
+    assert {r.name: (r.asset, r.metrics["sharpe"]) for r in connectors.load_registry(spark, path).collect()} == {"a": ("S", 2.0), "b": (None, 3.0)}
+
+
+def test_streaming_ema_carries_on(spark, tmp_path):
+    """Two batches of files give what one pass over all closes gives."""
+    from datetime import datetime, timedelta
+
+    from barloom.streaming.candles import streaming_ema
+
+    closes = [10.0, 11.0, 9.0, 12.0, 13.0, 8.0]
+    for k in range(2):
+        rows = [("T", datetime(2024, 1, 1) + timedelta(hours=i), closes[i]) for i in range(3 * k, 3 * k + 3)]
+        spark.createDataFrame(rows, "ticker string, ts timestamp, close double").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("ticker string, ts timestamp, close double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = streaming_ema(stream, 3).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
+    q.awaitTermination()
+    want = [closes[0]]
+    for c in closes[1:]:
+        want.append(want[-1] + 0.5 * (c - want[-1]))
+    assert [r.ema for r in spark.read.parquet(f"{tmp_path}/out").orderBy("ts").collect()] == pytest.approx(want)
