@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A key with more than one in so many of all rows, and more than the least number, counts as hot.
-HOT_KEYS, HOT_ROWS = 1000, 1000
+HOT_KEYS, HOT_ROWS = 1000, 200
 _PATHS: list[str] = []
 
 
