@@ -318,15 +318,6 @@ def t13(spark, sf):
     return _rounded_metrics(reports.strategy_metrics(per_bar(spark, sf, signals.catalogue())))
 
 
-@query("t04_t13_t14_batch_run")
-def t04(spark, sf):
-    """Every variant of the batch run with its regime variants in one pass; all rows."""
-    strategies = signals.batch_run()
-    trades = simulate.simulate(signals.batch_signals(signals.batch_features(feats(spark, sf), SHORT), strategies))
-    pb = simulate.per_bar(trades, bars(spark, sf), [s.name for s in strategies])
-    return reports.strategy_metrics(pb).select("strategy", "ticker", *_METRIC_COLUMNS)
-
-
 _WR_SQL = f"""{FEATURE_SQL}, {signals_sql([signals.Strategy("WF", signals.WF)])}, wr0 AS (
     SELECT f.*, coalesce(s.sig, 0) AS sig FROM feats f LEFT JOIN sigs s USING (ticker, w)
 ), wr1 AS (
