@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-_CHUNK = 1 << 16
+_CHUNK, _COPIES = 1 << 16, 4096
 _KEPT = ("doc_id", "copy", "source", "size", "source_size", "target")
 
 
@@ -98,13 +98,21 @@ def schedule(plan: DataFrame) -> DataFrame:
     return ranked.unionByName(rest)
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """Rows with a number, ``copy``, that tells like rows apart; many like rows are counted first and spread again."""
+    counted = raw.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    several = counted.filter("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {_COPIES}"))))
+    spread = several.repartition("doc_id", "part")
+    copies = F.explode(F.sequence(F.col("part") * _COPIES, F.least(F.col("n"), (F.col("part") + 1) * _COPIES) - 1))
+    return counted.filter("n = 1").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copy")).unionByName(spread.select("doc_id", "source", "size", copies.alias("copy")))
+
+
 def _slots_and_pieces(
     docs: DataFrame, weights: tuple[float, ...], max_repeat: int, block_words: int, seed: int, id_col: str, text_col: str, source_col: str
 ) -> tuple[DataFrame, DataFrame]:
     """The slots, each with its block and the words it takes of it, and the pieces of documents in each block."""
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    copy = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size"))
-    sizes = written(written(raw, "mix-raw").withColumn("copy", copy), "mix-sizes")
+    sizes = written(_numbered(raw), "mix-sizes")
     n_rows = sizes.count()
     buckets = max(1, n_rows // max(256, math.isqrt(n_rows)))
 
@@ -129,7 +137,7 @@ def _slots_and_pieces(
         .withColumn("words", F.when(F.expr("rank div n_blocks") < F.col("passes"), length).otherwise(F.least(length, left)))
     )
 
-    h = F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(seed))
+    h = F.xxhash64(F.col("doc_id"), F.col("size"), F.col("copy"), F.lit(seed))
     keyed = (
         sizes.join(plan.select("source_id", F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
@@ -138,7 +146,7 @@ def _slots_and_pieces(
     )
     sums = keyed.groupBy("source_id", "bucket").agg(F.sum("size").alias("n"))
     base = F.coalesce(F.sum("n").over(W.partitionBy("source_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    order = W.partitionBy("source_id", "bucket").orderBy("h", "doc_id", "copy").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("source_id", "bucket").orderBy("h", "doc_id", "size", "copy").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = (
         keyed.withColumn("upto", F.sum("size").over(order))
         .join(sums.select("source_id", "bucket", base.alias("base")), ["source_id", "bucket"])

@@ -11,7 +11,7 @@ excess of the first, fullest attempt cut off; it fills windows with room.  So a
 is padded by less than two windows, or by ``slack``.
 
 Cases: a null text counts as empty, so it is the end id alone; repeated rows are
-packed each on its own; a document of any length; empty tables give empty
+packed each on its own, and spread over groups; a document of any length; empty tables give empty
 results; other columns are not read.
 """
 
@@ -21,6 +21,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -101,6 +102,8 @@ def pack_rests(sizes: list[int], capacity: int, slack: float) -> list[list[tuple
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+# While they are dealt, pieces also carry a number that parts the rows of one identifier.
+_CUT = _PIECES.insert(6, pa.field("nth", pa.int64()))
 _PIECES_SQL = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -129,6 +132,8 @@ def pack_documents(
             column = batch.column(1)
             for a, b, _ in parts(texts_of(column), 1 << 20):
                 ids, n = encoder.encode(column.slice(a, b - a).to_pylist())
+                nth = pd.Series(batch.column(0).slice(a, b - a).to_pylist(), dtype=object)
+                nth = nth.groupby(nth, dropna=False, sort=False).cumcount().to_numpy() + (partition << 20)
                 data = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
                 n = n + 1
                 first = np.cumsum(n) - n
@@ -144,9 +149,10 @@ def pack_documents(
                     [
                         batch.column(0).slice(a, b - a).take(pa.array(doc)),
                         *(pa.array(x, pa.int64()) for x in (start, length, n[doc], number, np.zeros(len(doc)))),
+                        pa.array(nth[doc], pa.int64()),
                         pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]),
                     ],
-                    schema=_PIECES,
+                    schema=_CUT,
                 )
         tidy()
 
@@ -171,5 +177,6 @@ def pack_documents(
         return pa.concat_tables([whole, packed])
 
     # Full windows pass through a group too, so that texts are encoded once.
-    pieces = source.mapInArrow(cut, _PIECES_SQL).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(groups)))
+    pieces = source.mapInArrow(cut, _PIECES_SQL.replace("ids binary", "nth bigint, ids binary"))
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "nth"), F.lit(groups))).drop("nth")
     return pieces.groupBy("group").applyInArrow(pack, _PIECES_SQL)

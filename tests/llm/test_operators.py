@@ -56,6 +56,56 @@ def test_mix_reaches_targets_and_repeats(docs):
     assert g.drop_duplicates("source").target.sum() == pytest.approx(g["size"].sum())
 
 
+def brute_mix(rows, block, seed=17):
+    """Words taken, by laying out each source and walking through its slots."""
+    import struct
+
+    import xxhash
+
+    def hashed(*values):
+        h = 42
+        for v, kind in values:
+            h = xxhash.xxh64(struct.pack(kind, v), seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    sizes = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s))
+    total = {s: sum(sizes[i] for i, _, own in rows if own == s) for s in sources}
+    targets, open_ones, left = {}, dict(zip(sources, itertools.cycle((1, 2, 3)))), sum(total.values())
+    while open_ones:
+        level = left / sum(open_ones.values())
+        capped = [s for s, w in open_ones.items() if level * w > 3 * total[s]]
+        if not capped:
+            targets |= {s: level * w for s, w in open_ones.items()}
+            break
+        for s in capped:
+            targets[s] = 3 * total[s]
+            left -= targets[s]
+            del open_ones[s]
+    out = {}
+    buckets = max(1, len(rows) // max(256, int(len(rows) ** 0.5)))
+    for s in sources:
+        own = [i for i, _, x in rows if x == s]
+        h = {i: hashed((i, "<q"), (sizes[i], "<q"), (0, "<q"), (seed, "<i")) for i in own}
+        words = [i for i in sorted(own, key=lambda i: (h[i] % buckets, h[i])) for _ in range(sizes[i])]
+        give, taken = min(int(targets[s] + 0.5), 3 * total[s]), collections.Counter()
+        while give > 0:
+            for k in range(0, len(words), block):
+                took = words[k : k + block][:give]
+                taken.update(took)
+                give -= len(took)
+        out |= {i: (sizes[i], total[s], targets[s], taken[i]) for i in own}
+    return out
+
+
+def test_mix_by_brute_force(docs):
+    rng = random.Random(18)
+    rows = [(k, " ".join("w" for _ in range(rng.choice([0, 3, 40, 300]))) if k % 11 else None, rng.choice(["a", "a", "a", "b", "c", None])) for k in range(600)]
+    want = brute_mix(rows, 64)
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in mixing.mix_sources(docs(rows), block_words=64).collect()}
+    assert got == {i: (a, b, pytest.approx(t), n) for i, (a, b, t, n) in want.items()}
+
+
 def test_schedule_is_even(spark):
     plan = spark.createDataFrame([(0, 10), (1, 20), (2, 70), (3, 0)], "source_id int, slots bigint")
     got = mixing.schedule(plan).orderBy("slot").toPandas()
