@@ -104,11 +104,11 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-    With a ``state_path``, documents of all runs on it count.
+    With a ``state_path``, a folder, documents of all runs on it count.
     """
     spark = docs.sparkSession
-    keeps_texts, state_path = state_path is not None, state_path or fresh_path(spark, "dedup-state")
-    runs, tables = f"{state_path}-runs", f"{state_path}-texts"
+    keeps_texts, folder = state_path is not None, state_path or fresh_path(spark, "dedup-state")
+    state_path, runs, tables = f"{folder}/state", f"{folder}/runs", f"{folder}/texts"
     run = 0
     while exists(spark, f"{runs}/run-{run:08d}"):
         run += 1

@@ -14,7 +14,7 @@ from barloom.llm.mixing import apply_mix, mix_sources
 from barloom.llm.near_dedup import drop_near_duplicates
 from barloom.llm.packing import pack_documents
 from barloom.llm.queries import vocabulary
-from barloom.llm.store import written
+from barloom.llm.store import delete, fresh_path, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        # A stage's own tables, and what it has read, go once its result is written.
+        out = fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(out)
+        docs, gone, before = spark.read.schema(found.schema).parquet(out), before, out
+        if gone:
+            delete(spark, gone)
     return docs

@@ -52,6 +52,19 @@ def test_packed_repeats(spark, docs):
     check_pieces(rows, pack_documents(docs(rows), vocabulary("word_bpe_49k.json"), slack=0.0).collect())
 
 
+def test_run_leaves_little_behind(spark):
+    """Tables of the stages go as soon as nothing reads them."""
+    from pathlib import Path
+
+    from barloom.llm.store import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:").replace("//", "/")) / "barloom"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    d = corpus_pipeline.run(spark, SMALL)
+    assert {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before} <= {"pipeline-near", "pipeline-mix"}
+    assert d.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
