@@ -34,4 +34,4 @@ def calibrate(scores: DataFrame, params: list[str], by: list[str]) -> DataFrame:
 
 def sample_windows(df: DataFrame, n: int, seed: int, keys: tuple[str, ...] = ("ticker", "w")) -> DataFrame:
     """``n`` windows chosen without replacement by a seeded hash, in order: reruns agree on any cluster."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n).orderBy(*keys)
+    return df.orderBy(F.md5(F.concat_ws(":", *keys, F.lit(str(seed))).cast("binary")), *keys).limit(n).orderBy(*keys)

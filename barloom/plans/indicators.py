@@ -122,7 +122,7 @@ def w14(spark, sf):
     return recursive.ema_atr(bars(spark, sf)).select("ticker", "bar_ix", r("atr"), r("atr_pct"), "atr_rising", "atr_falling", "low_vol", "high_vol")
 
 
-_ADR_SQL = f"""{BARS_SQL}, days AS (SELECT ticker, session_id, max(high) - min(low) AS rng FROM bars GROUP BY 1, 2),
+ADR_SQL = f"""{BARS_SQL}, days AS (SELECT ticker, session_id, max(high) - min(low) AS rng FROM bars GROUP BY 1, 2),
 past AS (SELECT ticker, session_id, list(rng) OVER (PARTITION BY ticker ORDER BY session_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS rs FROM days),
 adr0 AS (
     SELECT b.*, rs, coalesce(len(rs), 0) >= 3 AS ok, max(high) OVER s - min(low) OVER s AS now FROM bars b JOIN past USING (ticker, session_id) WINDOW s AS (PARTITION BY ticker, session_id ORDER BY bar_ix)
@@ -133,7 +133,7 @@ adr0 AS (
 
 @query(
     "w15_average_daily_range",
-    f"""WITH {_ADR_SQL} SELECT ticker, bar_ix, round(adr, 6) AS adr, round(current_range, 6) AS current_range, round(CASE WHEN ok THEN current_range / greatest(adr, 1e-10) ELSE 1.0 END, 6) AS range_ratio,
+    f"""WITH {ADR_SQL} SELECT ticker, bar_ix, round(adr, 6) AS adr, round(current_range, 6) AS current_range, round(CASE WHEN ok THEN current_range / greatest(adr, 1e-10) ELSE 1.0 END, 6) AS range_ratio,
         round(pct, 6) AS adr_percentile, coalesce(pct < 0.3, false) AS low_range, coalesce(pct > 0.7, false) AS high_range, ok AND current_range > adr AS above_adr FROM adr""",
 )
 def w15(spark, sf):
@@ -142,7 +142,7 @@ def w15(spark, sf):
 
 @query(
     "w16_volatility_regime",
-    f"""WITH {_ADR_SQL}, {_ATR_SQL.split(BARS_SQL + ", ")[1]}
+    f"""WITH {ADR_SQL}, {_ATR_SQL.split(BARS_SQL + ", ")[1]}
         SELECT ticker, bar_ix, CASE WHEN coalesce(pct < 0.3, false) AND atr_pct < 0.3 THEN 'compression' WHEN coalesce(pct > 0.7, false) AND atr_pct > 0.7 THEN 'expansion' ELSE 'neutral' END AS regime
         FROM adr JOIN atr USING (ticker, bar_ix)""",
 )
@@ -182,7 +182,7 @@ def w18(spark, sf):
     return rolling.anchored_vwap(bars(spark, sf), 10).filter("bar_ix >= 10").select("ticker", "bar_ix", r("anchored_vwap"))
 
 
-_RSI_SQL = f"""{BARS_SQL}, rs0 AS (
+RSI_SQL = f"""{BARS_SQL}, rs0 AS (
     SELECT ticker, session_id, bar_ix, row_number() OVER s AS k, list(close) OVER s AS cs FROM bars WINDOW s AS (PARTITION BY ticker, session_id ORDER BY bar_ix)
 ), rs1 AS (
     SELECT *, list_transform(range(2, len(cs) + 1), lambda i: greatest(cs[i] - cs[i - 1], 0.0)) AS g, list_transform(range(2, len(cs) + 1), lambda i: greatest(cs[i - 1] - cs[i], 0.0)) AS l FROM rs0
@@ -192,7 +192,7 @@ _RSI_SQL = f"""{BARS_SQL}, rs0 AS (
 )"""
 
 
-@query("w19_wilder_rsi", f"WITH {_RSI_SQL} SELECT ticker, bar_ix, round(100 - 100 / (1 + ag / greatest(al, 1e-10)), 6) AS rsi FROM rs")
+@query("w19_wilder_rsi", f"WITH {RSI_SQL} SELECT ticker, bar_ix, round(100 - 100 / (1 + ag / greatest(al, 1e-10)), 6) AS rsi FROM rs")
 def w19(spark, sf):
     """Period 5: the sessions have nine bars."""
     return recursive.wilder_rsi(bars(spark, sf), 5).select("ticker", "bar_ix", r("rsi"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import patterns, recursive, rolling
 from barloom.plans.base import BARS_SQL, BY_BAR_SQL, bars, r
+from barloom.plans.indicators import RSI_SQL
 from barloom.plans.registry import query
 
 _CANDLE_SQL = f"""{BARS_SQL}, cn0 AS (
@@ -73,7 +74,7 @@ def p02(spark, sf):
     return b.select("ticker", "bar_ix", F.coalesce("low_swing.ix", F.lit(-1)).alias("low_ix"), F.col("low_swing.level").alias("low_level"), F.coalesce("high_swing.ix", F.lit(-1)).alias("high_ix"), F.col("high_swing.level").alias("high_level"))
 
 
-def _ob_sql(move: float, age: int = 24) -> str:
+def ob_sql(move: float, age: int = 24) -> str:
     return f"""{BARS_SQL}, ob0 AS (
         SELECT *, CASE WHEN bar_ix >= 1 AND (lead(high) OVER w - lead(low) OVER w) / greatest(close, 1e-10) >= {move}::DOUBLE THEN CASE WHEN close < open THEN 'bullish' WHEN close > open THEN 'bearish' END END AS side
         FROM bars WINDOW w AS ({BY_BAR_SQL})
@@ -83,7 +84,7 @@ def _ob_sql(move: float, age: int = 24) -> str:
     )"""
 
 
-@query("p03_order_block", f"WITH {_ob_sql(0.003)} SELECT ticker, bar_ix, coalesce(ob.signal, 'none') AS signal, ob.high AS ob_high, ob.low AS ob_low, coalesce(ob.ix, -1) AS ix FROM obs")
+@query("p03_order_block", f"WITH {ob_sql(0.003)} SELECT ticker, bar_ix, coalesce(ob.signal, 'none') AS signal, ob.high AS ob_high, ob.low AS ob_low, coalesce(ob.ix, -1) AS ix FROM obs")
 def p03(spark, sf):
     b = patterns.order_block(bars(spark, sf))
     return b.select("ticker", "bar_ix", F.coalesce("ob.signal", F.lit("none")).alias("signal"), F.col("ob.high").alias("ob_high"), F.col("ob.low").alias("ob_low"), F.coalesce("ob.ix", F.lit(-1)).alias("ix"))
@@ -151,7 +152,7 @@ def p08(spark, sf):
 
 @query(
     "p09_breaker_block",
-    f"""WITH {_ob_sql(0.002)}, s AS (SELECT *, list_slice(cs, len(cs) - (bar_ix - ob.ix), len(cs)) AS since FROM obs),
+    f"""WITH {ob_sql(0.002)}, s AS (SELECT *, list_slice(cs, len(cs) - (bar_ix - ob.ix), len(cs)) AS since FROM obs),
         e AS (SELECT *, CASE WHEN ob.signal = 'bullish' THEN list_min(since) ELSE list_max(since) END AS worst, CASE WHEN ob.signal = 'bullish' THEN ob.low ELSE ob.high END AS edge FROM s),
         h AS (SELECT *, bar_ix - (ob.ix + list_position(since, worst) - 1) AS age FROM e),
         k AS (SELECT *, coalesce(ob IS NOT NULL AND CASE WHEN ob.signal = 'bullish' THEN worst < ob.low ELSE worst > ob.high END AND abs(close - edge) <= ob.high - ob.low AND age <= 48, false) AS hit FROM h)
@@ -163,7 +164,7 @@ def p09(spark, sf):
 
 @query(
     "p10_volume_order_block",
-    f"""WITH {_ob_sql(0.002)} SELECT ticker, bar_ix, CASE WHEN ob IS NULL OR (mv > 0 AND ob.volume < mv * 1.5::DOUBLE) THEN 'none' ELSE ob.signal END AS signal,
+    f"""WITH {ob_sql(0.002)} SELECT ticker, bar_ix, CASE WHEN ob IS NULL OR (mv > 0 AND ob.volume < mv * 1.5::DOUBLE) THEN 'none' ELSE ob.signal END AS signal,
         CASE WHEN mv > 0 AND ob.volume < mv * 1.5::DOUBLE THEN -1 ELSE coalesce(ob.ix, -1) END AS ix FROM obs""",
 )
 def p10(spark, sf):
@@ -265,11 +266,29 @@ def p19(spark, sf):
     return patterns.divergence(rolling.obv(bars(spark, sf)), "obv").select("ticker", "bar_ix", "div")
 
 
-@query("p20_divergence_bundle")
+def _verdict_sql(i: str) -> str:
+    return f"""CASE WHEN coalesce(bar_ix >= 23 AND pk[-1].p > pk[-2].p AND pk[-1].{i} < pk[-2].{i}, false) THEN 'bearish'
+        WHEN coalesce(bar_ix >= 23 AND vl[-1].p < vl[-2].p AND vl[-1].{i} > vl[-2].{i}, false) THEN 'bullish' ELSE 'none' END AS {i}_div"""
+
+
+@query(
+    "p20_divergence_bundle",
+    f"""WITH {_DIV_SQL}, {RSI_SQL.removeprefix(BARS_SQL + ", ")}, t AS (SELECT *, (high + low + close) / 3.0 AS typ FROM bars),
+        f AS (SELECT *, row_number() OVER s AS k, coalesce(typ > lag(typ) OVER s, false) AS up FROM t WINDOW s AS (PARTITION BY ticker, session_id ORDER BY bar_ix)),
+        mf AS (SELECT *, sum(CASE WHEN up THEN typ * volume ELSE 0 END) OVER q AS pos, sum(CASE WHEN up THEN 0 ELSE typ * volume END) OVER q AS neg FROM f
+              WINDOW q AS (PARTITION BY ticker, session_id ORDER BY bar_ix ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+        iv AS (SELECT d.ticker, d.bar_ix, d.close, d.is_peak, d.is_valley, d.obv, round(100 - 100 / (1 + ag / greatest(al, 1e-10)), 9) AS rsi, round(CASE WHEN mf.k > 5 THEN 100 - 100 / (1 + pos / greatest(neg, 1e-10)) END, 9) AS mfi
+               FROM dv2 d JOIN rs USING (ticker, bar_ix) JOIN mf USING (ticker, bar_ix)),
+        iw AS (SELECT *, list({{'p': close, 'rsi': rsi, 'obv': obv, 'mfi': mfi}}) FILTER (is_peak) OVER f AS pk, list({{'p': close, 'rsi': rsi, 'obv': obv, 'mfi': mfi}}) FILTER (is_valley) OVER f AS vl
+               FROM iv WINDOW f AS ({BY_BAR_SQL} ROWS BETWEEN 21 PRECEDING AND 2 PRECEDING))
+        SELECT ticker, bar_ix, {_verdict_sql("rsi")}, {_verdict_sql("obv")}, {_verdict_sql("mfi")} FROM iw""",
+)
 def p20(spark, sf):
     """RSI, OBV and MFI divergences together (periods of 5: the sessions have nine bars)."""
     b = rolling.mfi(rolling.obv(bars(spark, sf)), 5)
     b = b.join(recursive.wilder_rsi(b, 5).select("ticker", "bar_ix", "rsi"), ["ticker", "bar_ix"])
+    # Values that differ in the last bits only are equal.
+    b = b.withColumns({c: F.round(c, 9) for c in ("rsi", "mfi")})
     for indicator in ("rsi", "obv", "mfi"):
         b = patterns.divergence(b, indicator, name=f"{indicator}_div")
     return b.select("ticker", "bar_ix", "rsi_div", "obv_div", "mfi_div")

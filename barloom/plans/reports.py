@@ -8,6 +8,8 @@ from barloom.config import SHORT
 from barloom.functions import metrics as m, normal
 from barloom.operators import asof, atoms, evaluation, forecast, patterns, reports, rolling, signals, simulate, windows
 from barloom.plans.base import BARS_SQL, BY_BAR_SQL, bars, r
+from barloom.plans.indicators import ADR_SQL
+from barloom.plans.patterns import ob_sql
 from barloom.plans.registry import query
 from barloom.plans.trading import BELIEF_SQL, FEATURE_SQL, METRICS_SQL, PER_BAR_SQL, PL, S, TRADES_SQL, WIN_SQL, feats, run, signals_sql
 from barloom.operators.signals import Strategy
@@ -390,11 +392,45 @@ def t05(spark, sf):
     return t.select("strategy", "ticker", "w", "direction", "reason", "exit_step", r("exit_price", 5), r("ret"))
 
 
-@query("t10_t12_t16_window_report")
+def _window_trades_sql(chosen: tuple) -> str:
+    """Trades ``px`` of per-window strategies on ``pz``, the windows with their features."""
+    from barloom.plans.trading import _duck
+
+    rows = ", ".join(f"{{'strategy': '{n}', 'is_on': coalesce(dir <> 0 AND ({_duck(c)}), false), 'skip': {k}}}" for n, c, k in chosen)
+    return f"""ex AS (SELECT *, unnest([{rows}]) AS s FROM pz),
+        st AS (SELECT ticker, w, pred_ts, dir, s.strategy AS strategy, s.skip AS skip, entry_open, entry_close, i, horizon[i].high AS hi, horizon[i].low AS lo, horizon[i].close AS cl,
+                 list_aggregate(list_transform(paths, lambda p: p[i]), 'quantile_cont', 0.9) AS q9, list_aggregate(list_transform(paths, lambda p: p[i]), 'quantile_cont', 0.1) AS q1 FROM ex, unnest(range(1, {PL + 1})) u(i) WHERE s.is_on),
+        lv AS (SELECT *, CASE WHEN q9 > entry_close THEN q9 END AS above, CASE WHEN q1 < entry_close THEN q1 END AS below FROM st),
+        ra AS (SELECT *, CASE WHEN i <= skip THEN NULL WHEN dir = 1 AND lo <= below THEN 'sl' WHEN dir = 1 AND hi >= above THEN 'tp' WHEN dir = -1 AND hi >= above THEN 'sl' WHEN dir = -1 AND lo <= below THEN 'tp' WHEN i = {PL} THEN 'close' END AS reason FROM lv),
+        ft AS (SELECT * FROM ra WHERE reason IS NOT NULL OR i = {PL} QUALIFY row_number() OVER (PARTITION BY strategy, ticker, w ORDER BY i) = 1),
+        px AS (SELECT *, dir * (CASE WHEN reason = 'sl' THEN CASE WHEN dir = 1 THEN below ELSE above END WHEN reason = 'tp' THEN CASE WHEN dir = 1 THEN above ELSE below END ELSE cl END - entry_open) / entry_open AS ret FROM ft)"""
+
+
+_PZ_SQL = f"""{_PW_SQL}, {ob_sql(0.002).removeprefix(BARS_SQL + ", ")}, {ADR_SQL.removeprefix(BARS_SQL + ", ")}, pz AS (
+    SELECT pw.*, CASE WHEN obs.ob IS NULL OR (obs.mv > 0 AND obs.ob.volume < obs.mv * 1.5::DOUBLE) THEN 'none' ELSE obs.ob.signal END AS vob, coalesce(adr.pct < 0.3, false) AS low_range
+    FROM pw JOIN obs ON obs.ticker = pw.ticker AND obs.bar_ix = pw.bar_ix JOIN adr ON adr.ticker = pw.ticker AND adr.bar_ix = pw.bar_ix
+)"""
+_REPORT_COLUMNS = {"win_rate": 6, "total_return_pct": 4, "avg_return_pct": 5, "std_return_pct": 5, "avg_win_pct": 5, "avg_loss_pct": 5, "mdd_pct": 5, "sharpe": 3}
+
+
+def _report_sql(keys: str, source: str = "px") -> str:
+    return f"""e1 AS (SELECT *, product(1 + ret) OVER k AS equity FROM {source} WINDOW k AS (PARTITION BY {keys} ORDER BY w, ticker)), e2 AS (SELECT *, max(equity) OVER (PARTITION BY {keys} ORDER BY w, ticker) AS peak FROM e1),
+        rp AS (SELECT {keys}, count(*) AS n, count(*) FILTER (reason = 'tp') AS tp_hits, count(*) FILTER (reason = 'sl') AS sl_hits, count(*) FILTER (reason = 'close') AS closes, count(*) FILTER (ret > 0) AS wins, count(*) FILTER (ret <= 0) AS losses,
+            round(avg((ret > 0)::INT), 6) AS win_rate, round(sum(ret) * 100, 4) AS total_return_pct, round(avg(ret) * 100, 5) AS avg_return_pct, round(coalesce(stddev_samp(ret), 0) * 100, 5) AS std_return_pct,
+            round(coalesce(avg(ret) FILTER (ret > 0), 0) * 100, 5) AS avg_win_pct, round(coalesce(avg(ret) FILTER (ret <= 0), 0) * 100, 5) + 0.0 AS avg_loss_pct, round(min((equity - peak) / peak) * 100, 5) + 0.0 AS mdd_pct,
+            CASE WHEN count(*) > 1 THEN round(avg(ret) / greatest(coalesce(stddev_samp(ret), 0), 1e-10) * sqrt(252), 3) END AS sharpe FROM e2 GROUP BY {keys})"""
+
+
+def _report(t: DataFrame, *keys: str) -> DataFrame:
+    """A trade report, rounded; of a single trade the Sharpe ratio is null."""
+    found = reports.trade_report(t.withColumn("order", F.struct("w", "ticker")), *keys, order="order").withColumn("sharpe", F.when(F.col("n") > 1, F.col("sharpe")))
+    return found.select(*keys, "n", "tp_hits", "sl_hits", "closes", "wins", "losses", *[r(c, d) for c, d in _REPORT_COLUMNS.items()])
+
+
+@query("t10_t12_t16_window_report", f"WITH {_PZ_SQL}, {_window_trades_sql(PER_WINDOW + MORE_PER_WINDOW)}, {_report_sql('strategy')} SELECT * FROM rp")
 def t10(spark, sf):
     """All eight per-window strategies, reported together."""
-    t = per_window_trades(window_features(spark, sf), PER_WINDOW + MORE_PER_WINDOW)
-    return reports.trade_report(t.withColumn("order", F.struct("w", "ticker")), "strategy", order="order")
+    return _report(per_window_trades(window_features(spark, sf), PER_WINDOW + MORE_PER_WINDOW), "strategy")
 
 
 # Label, strategy and consensus threshold of the nine configurations, and the first day of the test part.
@@ -412,20 +448,42 @@ CONFIGURATIONS = (
 TEST_FROM = "2024-01-22"
 
 
-@query("t16_train_test_table")
+_OWN = {n: (test, skip) for n, test, skip in PER_WINDOW + MORE_PER_WINDOW}
+_CONFIGURED = tuple((label, f"ct = {ct}D AND ({_OWN[n][0]})", _OWN[n][1]) for label, n, ct in CONFIGURATIONS)
+_COUNTS = ("n", "tp_hits", "sl_hits", "closes", "wins", "losses")
+
+
+@query(
+    "t16_train_test_table",
+    f"""WITH {_PZ_SQL.replace(", pz AS (", ", pz0 AS (")}, pz AS (
+            SELECT * EXCLUDE (dir), CASE WHEN len(list_filter(v1, lambda x: x > entry_close)) / len(v1) >= ct THEN 1 WHEN len(list_filter(v1, lambda x: x < entry_close)) / len(v1) >= ct THEN -1 ELSE 0 END AS dir FROM pz0, unnest([0.8::DOUBLE, 1.0::DOUBLE]) u(ct)
+        ), {_window_trades_sql(_CONFIGURED)}, ps AS (SELECT *, CASE WHEN pred_ts < TIMESTAMP '{TEST_FROM}' THEN 'train' ELSE 'test' END AS split FROM px), {_report_sql("strategy, split", "ps")},
+        every AS (SELECT unnest([{", ".join(f"'{label}'" for label, _, _ in CONFIGURATIONS)}]) AS strategy), sides AS (SELECT unnest(['train', 'test']) AS split)
+        SELECT strategy, split, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in _COUNTS)}, {", ".join(f"coalesce({c}, 0.0)::DOUBLE AS {c}" for c in _REPORT_COLUMNS)} FROM every CROSS JOIN sides LEFT JOIN rp USING (strategy, split)""",
+)
 def t16(spark, sf):
     """The nine configurations before and from the first test day, all in one pass; those without trades have zeros."""
     verdict = lambda t: F.struct(F.lit(t).alias("ct"), atoms.consensus(F.col("paths"), F.col("entry_close"), t)[0]["dir"].alias("dir"))
     f = window_features(spark, sf).drop("dir").withColumn("c", F.explode(F.array(*[verdict(t) for t in sorted({c[2] for c in CONFIGURATIONS})]))).select("*", "c.*").drop("c")
-    own = {n: (test, skip) for n, test, skip in PER_WINDOW + MORE_PER_WINDOW}
-    t = per_window_trades(f, tuple((label, f"ct = {ct}D AND ({own[n][0]})", own[n][1]) for label, n, ct in CONFIGURATIONS))
-    t = t.withColumn("split", F.when(F.col("pred_ts") < F.lit(TEST_FROM).cast("timestamp_ntz"), "train").otherwise("test"))
-    found = reports.trade_report(t.withColumn("order", F.struct("w", "ticker")), "strategy", "split", order="order")
+    t = per_window_trades(f, _CONFIGURED)
+    found = _report(t.withColumn("split", F.when(F.col("pred_ts") < F.lit(TEST_FROM).cast("timestamp_ntz"), "train").otherwise("test")), "strategy", "split")
     every = spark.createDataFrame([(label, split) for label, _, _ in CONFIGURATIONS for split in ("train", "test")], "strategy string, split string")
     return every.join(found, ["strategy", "split"], "left").fillna(0)
 
 
-@query("x05_flip_and_belief_exits")
+@query(
+    "x05_flip_and_belief_exits",
+    f"""WITH {_PW_SQL}, {BELIEF_SQL}, en AS (SELECT ticker, bar_ix, h, avg(entropy_s1) AS e FROM beliefs GROUP BY 1, 2, 3),
+        st AS (SELECT pw.ticker, w, dir, entry_open, entry_close, i, horizon[i].high AS hi, horizon[i].low AS lo, horizon[i].close AS cl, en.e, e0.e AS e_first,
+                 list_aggregate(list_transform(paths, lambda p: p[i]), 'quantile_cont', 0.9) AS q9, list_aggregate(list_transform(paths, lambda p: p[i]), 'quantile_cont', 0.1) AS q1,
+                 len(list_filter(paths, lambda p: p[i] > entry_open)) / len(paths) AS up, len(list_filter(paths, lambda p: p[i] < entry_open)) / len(paths) AS dn
+               FROM pw JOIN en e0 ON e0.ticker = pw.ticker AND e0.bar_ix = pw.pos AND e0.h = 0, unnest(range(1, {PL + 1})) u(i), en WHERE dir <> 0 AND en.ticker = pw.ticker AND en.bar_ix = pw.pos AND en.h = i - 1),
+        lv AS (SELECT *, CASE WHEN q9 > entry_close THEN q9 END AS above, CASE WHEN q1 < entry_close THEN q1 END AS below, CASE WHEN up >= 0.6::DOUBLE THEN 1 WHEN dn >= 0.6::DOUBLE THEN -1 ELSE 0 END AS side FROM st),
+        ra AS (SELECT *, CASE WHEN dir = 1 AND lo <= below THEN 'sl' WHEN dir = 1 AND hi >= above THEN 'tp' WHEN dir = -1 AND hi >= above THEN 'sl' WHEN dir = -1 AND lo <= below THEN 'tp' WHEN side <> 0 AND side <> dir THEN 'flip'
+                 WHEN i >= 3 AND e > greatest(e_first * 1.5, 2.0) THEN 'belief_exit' WHEN i = {PL} THEN 'close' END AS reason FROM lv),
+        ft AS (SELECT * FROM ra WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, w ORDER BY i) = 1)
+        SELECT ticker, w, dir::INT AS dir, reason, (i - 1)::INT AS step, round(dir * (CASE WHEN reason = 'sl' THEN CASE WHEN dir = 1 THEN below ELSE above END WHEN reason = 'tp' THEN CASE WHEN dir = 1 THEN above ELSE below END ELSE cl END - entry_open) / entry_open, 6) + 0.0 AS ret FROM ft""",
+)
 def x05(spark, sf):
     """Vanilla trades that also leave when the consensus flips or the beliefs lose shape."""
     f = window_features(spark, sf).filter("dir <> 0")
@@ -434,7 +492,7 @@ def x05(spark, sf):
     f = f.join(ent, ["ticker", "pos"])
     flips = F.transform(atoms.consensus(F.col("paths"), F.col("entry_open"), 0.6), lambda c: c["dir"])
     x = simulate.stepwise_trade(F.col("dir"), F.col("entry_open"), F.col("horizon"), atoms.boundaries(F.col("paths"), F.col("entry_close"), 0.9, 0.1), flips, F.col("entropy"))
-    return f.withColumn("x", x).select("ticker", "w", "dir", F.col("x.reason").alias("reason"), F.col("x.step").alias("step"), r(F.col("x.ret")).alias("ret"))
+    return f.withColumn("x", x).select("ticker", "w", "dir", F.col("x.reason").alias("reason"), F.col("x.step").cast("int").alias("step"), r(F.col("x.ret")).alias("ret"))
 
 
 # Per-window evaluation, written out: ``ev`` has a row for each window.

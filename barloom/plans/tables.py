@@ -8,7 +8,7 @@ from barloom.config import SHORT
 from barloom.operators import asof, forecast, signals, simulate, sweep
 from barloom.plans.base import BARS_SQL, RAW_SQL, bars, r
 from barloom.plans.registry import query, table
-from barloom.plans.trading import FEATURE_SQL, TRADES_SQL, feats, signals_sql
+from barloom.plans.trading import FEATURE_SQL, TRADES_SQL, WIN_SQL, feats, signals_sql
 from barloom.sources import bars as source
 from barloom.sources import connectors
 from barloom.sources.shared import shared_dir
@@ -266,7 +266,7 @@ def g02(spark, sf):
     return sweep.calibrate(s, ["agree"], ["hit", "gain"]).select("agree", r("hit"), r("gain"), "n", "is_best")
 
 
-@query("g03_seeded_choice")
+@query("g03_seeded_choice", f"WITH {WIN_SQL} SELECT ticker, w FROM wins ORDER BY md5(ticker || ':' || w || ':42'), ticker, w LIMIT 20")
 def g03(spark, sf):
     """A sampling operator: 20 windows."""
     return sweep.sample_windows(feats(spark, sf).select("ticker", "w"), 20, 42)
