@@ -199,7 +199,7 @@ def write_token_files(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     by_id = F.col("doc_id").asc_nulls_last()
-    ranged = source.repartitionByRange(max(1, -(-n_bytes // SHARD_BYTES)), by_id, F.substring("text", 1, 64)).sortWithinPartitions(by_id, "text")
+    ranged = source.repartitionByRange(max(1, -(-n_bytes // SHARD_BYTES)), by_id, F.substring("text", 1, 16)).sortWithinPartitions(by_id, "text")
     file_words = FILE_WORDS
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
