@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .centroids import centroid_clusters
 from .exact_dedup import exact_dedup
 from .fertility import quality_rules
 from .line_dedup import remove_repeated_lines
@@ -13,9 +14,11 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .pii import detect_personal_data
+from .spelling import spelling_forms
 from .substring_dedup import remove_repeated_passages
 from .token_files import read_token_files, write_token_files
 from .tool_calls import calls_of_turns, link_tool_calls
+from .url_filter import judge_urls, rule_table
 
 
 def vocabulary(name: str) -> str:
@@ -74,6 +77,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_personal_data(_documents(spark, sf_dir))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, URL_RULES))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -86,9 +105,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_token_files": op9_token_files,
         "op10_personal_data": op10_personal_data,
+        "op11_centroids": op11_centroids,
+        "op12_url_filter": op12_url_filter,
+        "op13_spelling": op13_spelling,
     }
 
 
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """The rounds spelt out one by one: every vector's nearest centroid, then the floor of the means."""
+    steps = [
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {k})"
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+            a{r} AS MATERIALIZED (
+                SELECT vec_id, v, first(c ORDER BY d, c) AS c, min(d) AS d FROM (
+                    SELECT n, vec_id, kept.v, c, list_sum(list_transform(list_zip(kept.v, c{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{r}
+                ) GROUP BY n, vec_id, v
+            )""")
+        if r < rounds:
+            steps.append(f"""
+            m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+                SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{r}) GROUP BY c, i) GROUP BY c),
+            c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), {",".join(steps)}
+        SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)
+    """
+
+
+_KMEANS = _kmeans_sql(40, 5)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": r"""
@@ -169,4 +222,54 @@ def oracle_sql() -> dict[str, str]:
             ), g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
         """,
+        "op11_centroids": _KMEANS,
+        "op12_url_filter": r"""
+            WITH u AS (
+                SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                       regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+                FROM pages
+            ), r(action, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+            urls AS (SELECT DISTINCT host, path FROM u),
+            best AS (
+                SELECT host, path, arg_max(struct_pack(rule := h || p, action := action), length(h || p)) AS found
+                FROM urls JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
+            )
+            SELECT page_id, u.host, u.path, found.rule AS rule, coalesce(found.action, 'allow') AS verdict
+            FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path
+        """,
+        "op13_spelling": r"""
+            WITH RECURSIVE bits AS (
+                SELECT range AS b, range AS c, 0 AS k FROM range(256)
+                UNION ALL
+                SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+            ), crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+            runs AS (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+            ), counted AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM runs GROUP BY ALL),
+            hashed AS (
+                SELECT w, n, xor(list_reduce(
+                    list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+                    lambda h, c: xor(h >> 8, t[(xor(h, c) & 255) + 1])), 4294967295::BIGINT) AS h
+                FROM counted, crc
+            ), words AS (
+                SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1
+            ), v AS MATERIALIZED (SELECT word, n FROM words WHERE length(word) >= 7 AND n >= 2),
+            less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+            near AS (
+                SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+                UNION
+                SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.d = b.word
+                UNION
+                SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.d = b.word
+            ), best AS (SELECT word, count(*) AS n_near, max(n) AS most, first(other ORDER BY n DESC, other) AS other FROM near GROUP BY word),
+            forms AS MATERIALIZED (
+                SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN other END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n
+                FROM v LEFT JOIN best USING (word)
+            ), walk AS (
+                SELECT word, word AS root, form AS nxt FROM forms
+                UNION ALL
+                SELECT walk.word, walk.nxt, f.form FROM walk JOIN forms f ON f.word = walk.nxt
+            )
+            SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM forms f JOIN walk w ON w.word = f.word AND w.nxt IS NULL
+        """,
     }
