@@ -5,10 +5,11 @@ place it as the apex over that simplex: all coordinates but the last lie in the
 pivots' space, the last is the height over it.  Between two apexes, the distance
 with the heights on the same side is a lower bound of the distance of the vectors,
 and with the heights on opposite sides an upper bound.  A centroid whose lower
-bound exceeds the least upper bound cannot be nearest; those left are compared
-exactly, in integers.  The bounds are floating-point numbers, so they are widened by
-``_SLACK`` of the squared norms, far more than their rounding (pivots that lie nearly in the space of the
-others are not taken).
+bound exceeds the least upper bound cannot be nearest, nor one whose lower bound exceeds the
+distance of the centroid with the least one; those left are compared exactly, in
+integers.  The bounds are floating-point numbers, so they are widened by ``_SLACK`` of
+the squared norms, far more than their rounding (pivots that lie nearly in the space
+of the others are not taken).
 
 Scale: vectors and their apexes are written once; a round reads them, and a task
 sends one row of sums per cluster, whatever the number of its vectors.  The driver
@@ -78,13 +79,23 @@ def nearest(vectors: np.ndarray, apexes: np.ndarray, centroids: np.ndarray, tops
         slack = _SLACK * ((at**2).sum(axis=1)[:, None] + top_norm)
         upper = flat + (at[:, -1:] + tops[:, -1]) ** 2 + slack
         lower = flat + (at[:, -1:] - tops[:, -1]) ** 2 - slack
-        i, k = np.nonzero(lower <= upper.min(axis=1, keepdims=True))
-        gap = v[i] - centroids[k]
         exact = np.full(flat.shape, np.iinfo(np.int64).max)
-        exact[i, k] = np.einsum("ij,ij->i", gap, gap)
+
+        def compare(i: np.ndarray, k: np.ndarray) -> None:
+            gap = v[i] - centroids[k]
+            exact[i, k] = np.einsum("ij,ij->i", gap, gap)
+
+        # The most promising one first: its distance often rules out those that the upper bounds leave.
+        left = lower <= upper.min(axis=1, keepdims=True)
+        own = np.arange(len(v))
+        best = lower.argmin(axis=1)
+        compare(own, best)
+        left &= lower <= exact[own, best][:, None]
+        left[own, best] = False
+        compare(*np.nonzero(left))
+        compared += len(v) + int(left.sum())
         cluster[a : a + len(v)] = exact.argmin(axis=1)  # the first of equals
         distance[a : a + len(v)] = exact.min(axis=1)
-        compared += len(i)
     return cluster, distance, compared
 
 

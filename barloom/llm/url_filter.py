@@ -137,9 +137,14 @@ def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     entries = found.groupBy("key").agg(F.collect_set("entry").alias("entries"))
 
+    # No rule looks at more labels, segments or letters of a last part than these.
+    most = rules.agg(*(F.coalesce(F.max(x), F.lit(1)).cast("int") for x in (F.size(labels), F.size(segments), F.length(last)))).first()
     counted = urls.groupBy("host", "path").agg(F.count("*").alias("n"))
-    suffixes = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), ".")))
-    dirs = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(segments, 1, k - 1), "/").alias("dir"), F.array_join(F.slice(segments, k, F.size(segments)), "/").alias("rest")))
+    upto = lambda parts, n: F.sequence(F.lit(1), F.least(F.size(parts), F.lit(n)))
+    suffixes = F.concat(F.array(F.lit("")), F.transform(upto(labels, most[0]), lambda k: F.array_join(F.slice(labels, -k, k), ".")))
+    begun = lambda k: F.array_join(F.slice(segments, 1, k - 1), "/")
+    rest = lambda k: F.substring("path", F.length(begun(k)) + F.when(k > 1, 2).otherwise(1), F.lit(most[2]))
+    dirs = F.transform(upto(segments, most[1]), lambda k: F.struct(k.alias("k"), begun(k).alias("dir"), rest(k).alias("rest")))
     rows = (
         counted.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix"), segments.alias("segments"))
         .select("host", "path", "suffix", F.explode(dirs).alias("d"))
