@@ -55,7 +55,7 @@ def _expectancy(where: Column) -> Column:
 
 
 def evaluate_windows(w: DataFrame) -> DataFrame:
-    """All metrics of each window (ticker, w, month, entry_close, horizon, paths).
+    """All metrics of each window (ticker, w, month, entry_close, horizon, paths); a window entered at 0 has none and no row.
 
     Agreement counts with five samples only; with another number its metrics are 0
     and the expectancy is that of all steps.
@@ -63,7 +63,7 @@ def evaluate_windows(w: DataFrame) -> DataFrame:
     a, p, five, agreed = F.col("ar"), F.col("pr"), F.first("five"), F.col("agreed")
     zero = F.lit(0.0)
     with_five = lambda x: F.when(five, F.coalesce(x, zero)).otherwise(zero)
-    return _steps(w).groupBy("ticker", "w", "month").agg(
+    return _steps(w.filter("entry_close <> 0")).groupBy("ticker", "w", "month").agg(
         m.direction_accuracy(a, p).alias("direction_accuracy"),
         F.avg((F.signum(p) == 0).cast("double")).alias("flat_rate"),
         with_five(F.avg(agreed.cast("double"))).alias("consensus_rate"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
-from math import floor
+from math import floor, nan
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -45,33 +45,38 @@ def ordered_scan(df: DataFrame, columns: list[str], outputs: list[str], make: Ca
 
 
 class Quantile:
-    """The interpolated quantile of the values added so far."""
+    """The interpolated quantile of the values added so far; NaN counts as larger than any other."""
 
     def __init__(self, p: float):
-        self.p, self.low, self.high = p, [], []
+        self.p, self.low, self.high, self.nans = p, [], [], 0
 
     def add(self, value: float | None) -> None:
         if value is None:
             return
         low, high = self.low, self.high
-        if low and value <= -low[0]:
+        if value != value:
+            self.nans += 1
+        elif low and value <= -low[0]:
             heappush(low, -value)
         else:
             heappush(high, value)
         # The lower heap holds the values up to the quantile's place.
-        size = floor(self.p * (len(low) + len(high) - 1)) + 1
+        known = len(low) + len(high)
+        size = min(known, floor(self.p * (known + self.nans - 1)) + 1)
         while len(low) < size:
             heappush(low, -heappop(high))
         while len(low) > size:
             heappush(high, -heappop(low))
 
     def value(self) -> float | None:
-        if not self.low:
+        known = len(self.low) + len(self.high)
+        if not known + self.nans:
             return None
-        below = -self.low[0]
-        place = self.p * (len(self.low) + len(self.high) - 1)
-        part = place - floor(place)
-        return below if not part or self.high[0] == below else (1 - part) * below + part * self.high[0]
+        place = self.p * (known + self.nans - 1)
+        if place >= known:
+            return nan
+        below, above, part = -self.low[0], self.high[0] if self.high else nan, place - floor(place)
+        return below if not part or above == below else (1 - part) * below + part * above
 
 
 @dataclass(frozen=True)

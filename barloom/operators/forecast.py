@@ -50,12 +50,14 @@ def list_forecasters() -> list[str]:
 
 @register_forecaster("analog")
 class AnalogForecaster(Forecaster):
+    """A move from a price of 0 is unknown, and null."""
+
     def transform(self, df: DataFrame, horizon: Horizon) -> DataFrame:
         w = by_bar()
 
         def path(s: int) -> Column:
             back = horizon.pred_len * (s + 1)
-            return F.array(*[F.col("close") * F.lag("close", back - h).over(w) / F.lag("close", back).over(w) for h in range(1, horizon.pred_len + 1)])
+            return F.array(*[F.try_divide(F.col("close") * F.lag("close", back - h).over(w), F.lag("close", back).over(w)) for h in range(1, horizon.pred_len + 1)])
 
         return df.withColumn("paths", F.array(*[path(s) for s in range(horizon.samples)]))
 

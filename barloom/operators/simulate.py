@@ -26,7 +26,7 @@ def first_hit(sig: Column, entry: Column, tp: Column, sl: Column, horizon: Colum
     price = F.when(stopped, sl).when(taken, tp).otherwise(F.element_at(horizon, -1)["close"])
     held = F.when(stopped, at_sl).when(taken, at_tp).otherwise(F.size(horizon)).cast("int")
     reason = F.when(stopped, "sl").when(taken, "tp").otherwise("close")
-    return F.struct(reason.alias("reason"), price.alias("price"), (sig * (price - entry) / entry).alias("ret"), held.alias("holding"))
+    return F.struct(reason.alias("reason"), price.alias("price"), F.try_divide(sig * (price - entry), entry).alias("ret"), held.alias("holding"))
 
 
 def simulate(signals: DataFrame) -> DataFrame:
@@ -76,6 +76,7 @@ def stepwise_trade(
 
     ``bounds`` has the levels of each step; ``flips`` the consensus direction of
     each step against the entry price; ``entropy`` the mean entropy of each step.
+    An entry price of 0 has no return (null).
     Within a step the order is stop, target, flip, belief; else the last close.
     """
     long = sig == 1
@@ -97,7 +98,7 @@ def stepwise_trade(
     seen = F.filter(F.transform(horizon, look), lambda s: s["reason"].isNotNull())
     last = F.struct(F.lit("close").alias("reason"), F.element_at(horizon, -1)["close"].alias("price"), (F.size(horizon) - 1).alias("step"))
     out = F.when(F.size(seen) > 0, F.try_element_at(seen, F.lit(1))).otherwise(last)
-    return F.struct(out["reason"].alias("reason"), out["price"].alias("price"), out["step"].alias("step"), (sig * (out["price"] - entry) / entry).alias("ret"))
+    return F.struct(out["reason"].alias("reason"), out["price"].alias("price"), out["step"].alias("step"), F.try_divide(sig * (out["price"] - entry), entry).alias("ret"))
 
 
 def signals_won(f: DataFrame, horizon: Horizon) -> DataFrame:

@@ -293,7 +293,7 @@ def x04(spark, sf):
     q = f.groupBy("ticker").agg(F.percentile("pred_ret", F.array(F.lit(0.9), F.lit(0.1))).alias("q"))
     s = f.join(q, "ticker").withColumn("sig", F.when(F.col("pred_ret") > F.col("q")[0], 1).when(F.col("pred_ret") < F.col("q")[1], -1).otherwise(0)).filter("sig <> 0")
     e = s.select("ticker", "pos", "sig", "entry_close", F.posexplode("horizon").alias("k", "b"))
-    part = F.col("sig") * (F.col("b.close") - F.col("entry_close")) / F.col("entry_close") / PL
+    part = F.try_divide(F.col("sig") * (F.col("b.close") - F.col("entry_close")), F.col("entry_close")) / PL
     return e.groupBy("ticker", (F.col("pos") + 1 + F.col("k")).alias("bar_ix")).agg(r(F.sum(part) - 0.0005 / PL, 7).alias("ret"))
 
 

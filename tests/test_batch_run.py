@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import SHORT
 from barloom.operators import atoms, signals
-from barloom.plans import reports as plans, trading
+from barloom.plans import batch, reports as plans, trading
 
 from .conftest import SMALL
 
@@ -132,7 +132,7 @@ def test_weighted_levels(run):
 
 
 def test_query_gives_all_rows(spark):
-    rows = trading.t04(spark, SMALL).collect()
+    rows = batch.t04(spark, SMALL).collect()
     assert {"WF+BB%B+BBmom noTP", "H5: drop MC<0.6 conf", "H2: weighted by conf"} <= {r.strategy for r in rows} and min(r.n_trades for r in rows) <= 20
 
 
