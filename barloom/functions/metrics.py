@@ -59,9 +59,17 @@ def direction_accuracy(actual: Column, predicted: Column) -> Column:
     return F.coalesce(F.avg(hit), F.lit(0.0))
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Correlation over rows where both sides are known; null where one is constant (the built-in one fails there)."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    known = a.isNotNull() & b.isNotNull()
+    a, b = F.when(known, a), F.when(known, b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlation(a: Column, b: Column) -> Column:
     both = a.isNotNull() & b.isNotNull()
-    return F.when(F.count_if(both) < 3, F.lit(0.0)).otherwise(F.corr(F.when(both, a), F.when(both, b)))
+    return F.when(F.count_if(both) < 3, F.lit(0.0)).otherwise(pearson(a, b))
 
 
 def bias(actual: Column, predicted: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barloom.plans import batch, files, indicators, patterns, reports, tables, trading
+from barloom.plans import batch, files, generation, indicators, patterns, reports, tables, trading
 from barloom.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (indicators, patterns, trading, reports, tables, files, batch)
+MODULES = (indicators, patterns, trading, reports, tables, files, batch, generation)
 
 
 def queries() -> dict[str, Query]:

@@ -225,7 +225,7 @@ def a36(spark, sf):
     q = lambda p: r(F.percentile("confidence", F.lit(p)))
     return b.groupBy("h").agg(
         r(F.avg("confidence")).alias("mean_confidence"), r(F.stddev_pop("confidence")).alias("std_confidence"), q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"),
-        r(F.min("confidence")).alias("least"), r(F.max("confidence")).alias("most"), r(F.corr("confidence", "entropy_s1"), 5).alias("corr_entropy"), r(F.corr("confidence", "top3_mass"), 5).alias("corr_top3"),
+        r(F.min("confidence")).alias("least"), r(F.max("confidence")).alias("most"), r(m.pearson("confidence", "entropy_s1"), 5).alias("corr_entropy"), r(m.pearson("confidence", "top3_mass"), 5).alias("corr_top3"),
     )
 
 
@@ -239,7 +239,7 @@ def f06(spark, sf):
     levels = F.filter(F.array(*[F.lit(t) for t in (0.2, 0.3, 0.4, 0.5, 0.6)]), lambda t: t <= F.col("conf"))
     k = feats(spark, sf).withColumn("threshold", F.explode(levels))
     a, p = F.col("actual_ret"), F.col("pred_ret")
-    return k.groupBy("threshold").agg(F.count("*").alias("n"), r(m.direction_accuracy(a, p)).alias("dir_acc"), r(F.corr(a, p), 5).alias("corr"), r(F.avg(a)).alias("mean_ret")).filter("n >= 30")
+    return k.groupBy("threshold").agg(F.count("*").alias("n"), r(m.direction_accuracy(a, p)).alias("dir_acc"), r(m.pearson(a, p), 5).alias("corr"), r(F.avg(a)).alias("mean_ret")).filter("n >= 30")
 
 
 @query(

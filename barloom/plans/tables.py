@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import SHORT
+from barloom.functions import metrics as m
 from barloom.operators import asof, forecast, signals, simulate, sweep
 from barloom.plans.base import BARS_SQL, RAW_SQL, bars, r
 from barloom.plans.registry import query, table
@@ -237,7 +238,7 @@ def j05(spark, sf):
     quarter = feed(spark, sf, 15).filter(F.minute("ts") == 0).select("ticker", "ts", F.col("close").alias("b"))
     j = feed(spark, sf).select("ticker", "ts", F.col("close").alias("a")).join(quarter, ["ticker", "ts"])
     d = F.col("a") - F.col("b")
-    return j.groupBy("ticker").agg(F.count("*").alias("n"), r(F.avg(d)).alias("mean_diff"), r(F.stddev_pop(d)).alias("std_diff"), r(F.corr("a", "b"), 5).alias("corr"))
+    return j.groupBy("ticker").agg(F.count("*").alias("n"), r(F.avg(d)).alias("mean_diff"), r(F.stddev_pop(d)).alias("std_diff"), r(m.pearson("a", "b"), 5).alias("corr"))
 
 
 @query(
