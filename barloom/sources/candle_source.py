@@ -11,10 +11,13 @@
                daily: pages go on until their cursor has reached its total, and days
                without a close are dropped
     page_size  rows of a full page (500)
-    attempts, delay   tries per page, and seconds of the first pause, which doubles
-    pause      seconds between the calls of a task (0); tasks at once times 1 / pause
-               bounds the rate of calls
-    only       comma-separated ticker:first-day of the months to read, all by default
+    attempts, delay   tries per page, and seconds of the first pause, which doubles; an
+               answer 429 waits for its Retry-After, if that is longer
+    rate, lanes       calls per second of all tasks together (no bound), and the input
+               partitions among which the months are then dealt (8).  A lane may call
+               every lanes / rate seconds, retries included, its first call shifted by
+               its number / rate; calls that are late aren't caught up on
+    chunks     comma-separated ticker:first-day:last-day to read instead of all months
 
 A page is JSON: {"columns": [...], "rows": [[...], ...], "cursor": [index, total,
 size]}, the cursor in mode daily only.  Numbers that don't parse become null; rows
@@ -29,6 +32,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -47,6 +51,30 @@ class MonthOfTicker(InputPartition):
     end: str
 
 
+@dataclass
+class Lane(InputPartition):
+    """Months that one task reads, and when it may call."""
+
+    months: list[MonthOfTicker]
+    first: float = 0.0
+    every: float = 0.0
+
+
+class Pace:
+    """Waits so that calls are at least ``every`` seconds apart."""
+
+    def __init__(self, first: float, every: float, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.every, self.now, self.sleep = every, now, sleep
+        self.next = now() + first
+
+    def wait(self) -> None:
+        if not self.every:
+            return
+        if (left := self.next - self.now()) > 0:
+            self.sleep(left)
+        self.next = max(self.next, self.now()) + self.every
+
+
 def months(start: date, end: date) -> Iterator[tuple[date, date]]:
     while start <= end:
         after = (start.replace(day=1) + timedelta(days=32)).replace(day=1)
@@ -76,15 +104,30 @@ def open_page(uri: str) -> bytes | None:
         return stream.read()
 
 
+def asked_to_wait(error: Exception) -> float:
+    """Seconds that an answer 429 asks for, in its header as a number or a date; 0 for other errors."""
+    if getattr(error, "code", None) != 429:
+        return 0.0
+    asked = (getattr(error, "headers", None) or {}).get("Retry-After")
+    try:
+        return max(0.0, float(asked))
+    except (TypeError, ValueError):
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(asked).timestamp() - time.time())
+    except (TypeError, ValueError):
+        return 0.0
+
+
 def with_retry(call: Callable[[], bytes | None], attempts: int, delay: float, sleep: Callable[[float], None] = time.sleep) -> bytes | None:
-    """Try again after pauses that double; the last error is raised."""
+    """Try again after pauses that double, or as long as the answer asks for; the last error is raised."""
     for n in range(attempts):
         try:
             return call()
-        except Exception:
+        except Exception as e:
             if n == attempts - 1:
                 raise
-            sleep(delay * 2**n)
+            sleep(max(delay * 2**n, asked_to_wait(e)))
     return None
 
 
@@ -126,18 +169,31 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         a, b = date.fromisoformat(self.o["start"]), date.fromisoformat(self.o["end"])
-        only = set(filter(None, self.o.get("only", "").split(",")))
-        every = [MonthOfTicker(t.strip(), str(s), str(e)) for t in self.o["tickers"].split(",") for s, e in months(a, b)]
-        return [m for m in every if not only or f"{m.ticker}:{m.start}" in only]
-
-    def read(self, partition: MonthOfTicker) -> Iterator[tuple]:
+        if chunks := self.o.get("chunks"):
+            every = [MonthOfTicker(*c.rsplit(":", 2)) for c in chunks.split(",")]
+        else:
+            every = [MonthOfTicker(t.strip(), str(s), str(e)) for t in self.o["tickers"].split(",") for s, e in months(a, b)]
+        rate, lanes = float(self.o.get("rate", 0)), int(self.o.get("lanes", 8))
+        if not rate:
+            return [Lane([m]) for m in every]
+        return [Lane(every[k::lanes], k / rate, lanes / rate) for k in range(min(lanes, len(every)))]
+
+    def read(self, partition: Lane) -> Iterator[tuple]:
+        pace = Pace(partition.first, partition.every)
+        for month in partition.months:
+            yield from self._month(month, pace)
+
+    def _month(self, partition: MonthOfTicker, pace: Pace) -> Iterator[tuple]:
         size, attempts, delay = int(self.o.get("page_size", 500)), int(self.o.get("attempts", 5)), float(self.o.get("delay", 0.5))
-        mode, pause, offset, seen = self.o.get("mode", "candles"), float(self.o.get("pause", 0)), 0, set()
+        mode, offset, seen = self.o.get("mode", "candles"), 0, set()
+
+        def call(uri: str) -> bytes | None:
+            pace.wait()
+            return open_page(uri)
+
         while True:
-            if offset and pause:
-                time.sleep(pause)
             uri = self.o["url"].format(ticker=partition.ticker, interval=self.o.get("interval", "10"), start=partition.start, end=partition.end, offset=offset)
-            body = with_retry(lambda u=uri: open_page(u), attempts, delay)
+            body = with_retry(lambda u=uri: call(u), attempts, delay)
             rows = parse_page(body, partition.ticker)
             for row in rows:
                 if row[1] not in seen and not (mode == "daily" and row[_CLOSE] is None):

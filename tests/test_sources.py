@@ -120,7 +120,7 @@ def test_ingest_job(spark, tmp_path):
     put("A", "2024-01-01", "2024-01-03", 2)
     put("B", "2024-01-01", "2024-01-04", 3)
     lots, out = spark.createDataFrame([("A", 10)], "ticker string, lot int"), f"file://{tmp_path}/out"
-    job = lambda **more: ingest.ingest(spark, f"file://{tmp_path}/{{ticker}}-{{start}}.json", ["A", "B"], "2024-01-01", "2024-02-10", out, lots, pause=0, **more)
+    job = lambda today="2024-02-01", **more: ingest.ingest(spark, f"file://{tmp_path}/{{ticker}}-{{start}}.json", ["A", "B"], "2024-01-01", "2024-02-10", out, lots, today=today, **more)
     assert ingest.status(spark, out).count() == 0
     assert [(c.ticker, str(c.begin), c.expected) for c in job(dry_run=True).orderBy("ticker", "begin").collect()] == [("A", "2024-01-01", 23 * 52), ("A", "2024-02-01", 7 * 52), ("B", "2024-01-01", 23 * 52), ("B", "2024-02-01", 7 * 52)]
     assert {r.ticker: r.n_rows for r in job().collect()} == {"A": 1, "B": 1}
@@ -173,3 +173,129 @@ def test_streaming_ema_carries_on(spark, tmp_path):
     for c in closes[1:]:
         want.append(want[-1] + 0.5 * (c - want[-1]))
     assert [r.ema for r in spark.read.parquet(f"{tmp_path}/out").orderBy("ts").collect()] == pytest.approx(want)
+
+
+def test_ledger(spark, tmp_path):
+    """A month without bars is done; one that had begun is fetched on; repeated bars and crashes add nothing."""
+    from barloom.sources import ingest
+
+    lots, out = spark.createDataFrame([], "ticker string, lot int"), f"file://{tmp_path}/out"
+
+    def put(start, *bars):
+        (tmp_path / f"A-{start}.json").write_bytes(page(["begin", "close", "volume"], [[f"{day} {at}:00", close, 1] for day, at, close in bars]))
+
+    def job(end, today, **more):
+        return ingest.ingest(spark, f"file://{tmp_path}/{{ticker}}-{{start}}.json", ["A", "B"], "2024-01-10", end, out, lots, today=today, **more)
+
+    def left(end, today):
+        return sorted((c.ticker, str(c.begin), str(c.finish)) for c in job(end, today, resume=True, dry_run=True).collect())
+
+    def closes():
+        return {str(r.ts)[5:16]: r.close for r in connectors.load_bars(spark, out).filter("ticker = 'A'").collect()}
+
+    put("2024-01-10", ("2024-01-15", "10:00", 1))
+    put("2024-02-01", ("2024-02-02", "10:00", 2), ("2024-02-02", "10:00", 3), ("2024-02-05", "10:00", 4))
+    job("2024-02-29", "2024-02-05")
+    assert closes() == {"01-15 10:00": 1.0, "02-02 10:00": 2.0, "02-05 10:00": 4.0}
+    # B has no bars, and its January is done all the same; of February the days before the fifth are.
+    assert left("2024-02-29", "2024-02-05") == left("2024-02-29", "2024-02-06") == [("A", "2024-02-05", "2024-02-29"), ("B", "2024-02-05", "2024-02-29")]
+    put("2024-02-05", ("2024-02-05", "10:00", 99), ("2024-02-05", "11:00", 5), ("2024-02-07", "10:00", 6))
+    job("2024-02-29", "2024-03-01", resume=True)
+    assert closes() == {"01-15 10:00": 1.0, "02-02 10:00": 2.0, "02-05 10:00": 4.0, "02-05 11:00": 5.0, "02-07 10:00": 6.0}
+    assert left("2024-02-29", "2024-03-09") == []
+    # The range's end moves within a month, and over it.
+    assert left("2024-03-04", "2024-03-09") == [("A", "2024-03-01", "2024-03-04"), ("B", "2024-03-01", "2024-03-04")]
+    job("2024-03-04", "2024-03-09", resume=True)
+    assert left("2024-03-06", "2024-03-09") == [("A", "2024-03-05", "2024-03-06"), ("B", "2024-03-05", "2024-03-06")]
+    # A run that dies before its ledger is fetched again, and what it saved isn't doubled.
+    put("2024-03-05", ("2024-03-05", "10:00", 7))
+    job("2024-03-06", "2024-03-09", resume=True)
+    n = len(closes())
+    spark.createDataFrame([(t, a, b, c) for t, a, b, c in map(tuple, ingest.ledger(spark, out).filter("begin < '2024-03-05'").collect())], ingest.LEDGER).write.parquet(f"{out}/kept")
+    spark.read.parquet(f"{out}/kept").write.mode("overwrite").parquet(f"{out}/ledger")
+    assert left("2024-03-06", "2024-03-09") == [("A", "2024-03-05", "2024-03-06"), ("B", "2024-03-05", "2024-03-06")]
+    job("2024-03-06", "2024-03-09", resume=True)
+    assert len(closes()) == n == connectors.load_bars(spark, out).count() and left("2024-03-06", "2024-03-09") == []
+    # Without resume all is made anew.
+    job("2024-01-31", "2024-03-09")
+    assert closes() == {"01-15 10:00": 1.0} and left("2024-02-02", "2024-03-09") == [("A", "2024-02-01", "2024-02-02"), ("B", "2024-02-01", "2024-02-02")]
+
+
+def test_rate_of_all_tasks(spark):
+    """Four lanes together keep their rate, retries included, and an answer 429 waits as long as it says."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    calls, refused = [], []
+
+    class Api(BaseHTTPRequestHandler):
+        def do_GET(self):
+            calls.append((time.monotonic(), self.path))
+            if "C-2024-02" in self.path and len(refused) < 1:
+                refused.append(time.monotonic())
+                self.send_response(429)
+                self.send_header("Retry-After", "2")
+                self.end_headers()
+                return
+            body = page(["begin", "close"], [["2024-01-01 10:00:00", 1]])
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Api)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        candle_source.register(spark)
+        url = f"http://127.0.0.1:{server.server_port}/{{ticker}}-{{start}}"
+        options = {"tickers": "A,B,C,D,E,F", "start": "2024-01-01", "end": "2024-04-30", "url": url, "rate": "8", "lanes": "4", "delay": "0.01"}
+        df = spark.read.format("candle_pages").options(**options).load()
+        assert df.rdd.getNumPartitions() == 4 and df.count() == 24
+    finally:
+        server.shutdown()
+    at = sorted(t for t, _ in calls)
+    assert len(at) == 25
+    for k, t in enumerate(at):  # no more than the rate in any second, but for how late a task began
+        assert sum(t <= u < t + 1 for u in at[k:]) <= 8 + 4
+    assert at[-1] - at[0] > 24 / 8 - 1
+    again = [t for t, p in calls if "C-2024-02" in p]
+    assert len(again) == 2 and again[1] - again[0] >= 2
+
+
+def test_pace_never_catches_up():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    pace = candle_source.Pace(0.5, 2.0, lambda: now[0], sleep)
+    times = []
+    for late in (0, 0, 5.0, 0):
+        now[0] += late
+        pace.wait()
+        times.append(now[0])
+    assert times == [0.5, 2.5, 7.5, 9.5]
+
+
+def test_header_of_429():
+    from email.utils import format_datetime
+    from datetime import datetime, timedelta, timezone
+    from urllib.error import HTTPError
+
+    error = lambda code, value: HTTPError("u", code, "m", {"Retry-After": value} if value else {}, None)
+    soon = format_datetime(datetime.now(timezone.utc) + timedelta(seconds=30), usegmt=True)
+    assert [candle_source.asked_to_wait(e) for e in (error(429, "7"), error(429, None), error(500, "7"), error(429, "-1"), error(429, "x"), OSError())] == [7.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert 20 < candle_source.asked_to_wait(error(429, soon)) <= 30
+    pauses = []
+
+    def call():
+        if len(pauses) < 2:
+            raise error(429, "3" if pauses else None)
+        return b"x"
+
+    assert candle_source.with_retry(call, 5, 0.5, pauses.append) == b"x" and pauses == [0.5, 3.0]
