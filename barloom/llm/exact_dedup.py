@@ -95,6 +95,11 @@ def _split(clashing: DataFrame, known: DataFrame | None) -> DataFrame:
     return placed.distinct()
 
 
+def _learned(rows: DataFrame, key: str, run: int) -> DataFrame:
+    """What the state learns of a run."""
+    return rows.select(F.col(key).alias("digest"), "doc_id", F.lit(run).cast("long").alias("run"))
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -104,13 +109,15 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-    With a ``state_path``, a folder, documents of all runs on it count.
+    With a ``state_path``, a folder, documents of all runs on it count: those whose
+    digests were saved, even if the run died later.  What a run left that died before
+    is overwritten by the next.
     """
     spark = docs.sparkSession
     keeps_texts, folder = state_path is not None, state_path or fresh_path(spark, "dedup-state")
     state_path, runs, tables = f"{folder}/state", f"{folder}/runs", f"{folder}/texts"
     run = 0
-    while exists(spark, f"{runs}/run-{run:08d}"):
+    while exists(spark, f"{runs}/run-{run:08d}/_SUCCESS"):
         run += 1
     norm = normalised(F.col(text_col))
     texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"), digest(norm).alias("digest"))
@@ -119,6 +126,7 @@ def exact_dedup(
     per_digest = rows.groupBy("digest").agg(F.count("*").alias("n"))
     known = None
     if run:
+        update_state(f"{runs}/run-*", _learned(rows, "digest", run).schema, state_path, spark)  # what a run saved that died before its state
         located = read_state(spark, state_path).select("digest", "locator")
         per_digest = per_digest.join(located, "digest", "left")
         held = spark.read.schema("digest string, norm string, run long").option("basePath", tables).parquet(tables)
@@ -143,13 +151,13 @@ def exact_dedup(
         keyed = in_place(rows)
         keys_of_texts = in_place(texts.withColumn("text_sha256", sha256_hex(F.col("norm"))))
 
-    learned = keyed.select(F.col("key").alias("digest"), "doc_id", F.lit(run).cast("long").alias("run"))
+    learned = _learned(keyed, "key", run)
     if keeps_texts:
         new = keys_of_texts.groupBy(F.col("key").alias("digest")).agg(F.min("norm").alias("norm"))
         if run:
             new = new.join(located, "digest", "left_anti")
-        new.write.parquet(f"{tables}/run={run}")
-    learned.write.parquet(f"{runs}/run-{run:08d}")
+        new.write.mode("overwrite").parquet(f"{tables}/run={run}")
+    learned.write.mode("overwrite").parquet(f"{runs}/run-{run:08d}")
     update_state(f"{runs}/run-*", learned.schema, state_path, spark)
     state = written(read_state(spark, state_path).select(F.col("digest").alias("key"), "keep_id", "group_size"), "dedup-groups")
     groups = join_counted(keyed, state, "key", "group_size")

@@ -6,7 +6,7 @@ its bits reversed, falls into one source's share of [0, 1).  Slots are ranked
 within their source, and rank r takes block ``r mod n_blocks`` of pass
 ``r div n_blocks``, so a source is repeated evenly and every prefix of the
 schedule is mixed close to the targets.  :func:`mixed_order` gives that mix,
-:func:`mix_sources` the words taken per document.  A source that has fewer points than
+:func:`mix_sources` per document the words taken and the slots that take them.  A source that has fewer points than
 slots gets the rest at the end; points beyond its slots are left out; the last
 slot is trimmed so that a source gives its target to the word.
 
@@ -28,7 +28,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .store import written
+from .store import join_counted, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 _CHUNK, _COPIES = 1 << 16, 4096
@@ -172,20 +172,31 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+    """One row per document: doc_id, source, size, source_size, target, taken, n_slots, slots.
 
     ``taken`` counts the words that the mix takes of the document, repeats
-    included.  The texts are read once; all later steps move a few numbers per
-    document.  The result depends on ids, sources and sizes alone, so reruns agree.
+    included, ``n_slots`` the slots of the schedule that take some of it, and ``slots``
+    lists, in order, those that take of its beginning: a slot for each time that the
+    document comes up (none if it isn't taken).  The texts are read once; all later
+    steps move a few numbers per document.  The result depends on ids, sources and
+    sizes alone, so reruns agree.
     """
     slots, pieces = _slots_and_pieces(docs, weights, max_repeat, block_words, seed, id_col, text_col, source_col)
-    taken_blocks = slots.groupBy("source_id", "block", "words").agg(F.count("*").alias("times"))
-    overlap = F.greatest(F.least(F.col("b"), F.col("words")) - F.col("a"), F.lit(0)) * F.col("times")
+    # A block has a slot for each pass, max_repeat + 1 at most.
+    taken_blocks = slots.groupBy("source_id", "block").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("at"))
+    hits = F.filter("at", lambda s: s["words"] > F.col("a"))
+    words = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + F.least(F.col("b"), s["words"]) - F.col("a"))
+    own = F.coalesce(F.col("hits"), F.array().cast("array<struct<slot:bigint,words:bigint>>"))
     return (
         pieces.join(taken_blocks, ["source_id", "block"], "left")
+        .withColumn("hits", F.when(F.col("b") > F.col("a"), hits))
         .groupBy(*_KEPT)
-        .agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .agg(
+            F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"),
+            F.sum(F.size(own)).alias("n_slots"),
+            F.min_by(F.transform(own, lambda s: s["slot"]), F.coalesce("block", F.lit(0))).alias("slots"),
+        )
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "n_slots", "slots")
     )
 
 
@@ -214,13 +225,21 @@ def mixed_order(
     )
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each document as often as the mix takes it, rounded up; untaken ones go.
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each document as often as it comes up in the mix, in the order of the mix; untaken ones go.
 
-    At most one document of a source is taken in part, so rounding adds less than
-    one document a source.
+    A document comes up where a slot takes its beginning; one that a last, trimmed slot takes in
+    part comes up whole, which adds less than a document a source.  The rows are sorted by
+    slot over all partitions, so what is written is the interleaved mix.  Rows alike in
+    identifier, source and size come up equally often, rounded up.
     """
-    copies = mixed.groupBy("doc_id").agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__barloom_copies"))
-    own = copies.filter("__barloom_copies > 0").withColumnRenamed("doc_id", "__barloom_mixed_id")
-    joined = docs.join(own, F.col(id_col).eqNullSafe(F.col("__barloom_mixed_id")))
-    return joined.withColumn("__barloom_copy", F.explode(F.sequence(F.lit(1), F.col("__barloom_copies")))).select(*[docs[c] for c in docs.columns])
+    key = lambda i, s, n: F.to_json(F.struct(i.cast("string").alias("i"), s.alias("s"), n.alias("n")))
+    own = mixed.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("__barloom_key")).agg(
+        F.max_by("slots", F.size("slots")).alias("__barloom_slots"), F.sum(F.size("slots")).alias("__barloom_all"), F.count("*").alias("__barloom_rows")
+    )
+    share = F.slice("__barloom_slots", 1, F.ceil(F.col("__barloom_all") / F.col("__barloom_rows")).cast("int"))
+    own = written(own.filter("__barloom_all > 0").select("__barloom_key", "__barloom_rows", share.alias("__barloom_slots")), "mix-slots")
+    keyed = docs.withColumn("__barloom_key", key(F.col(id_col), F.col(source_col), word_count(F.col(text_col))))
+    joined = join_counted(keyed, own, "__barloom_key", "__barloom_rows")
+    copies = joined.withColumn("__barloom_slot", F.explode("__barloom_slots"))
+    return copies.repartitionByRange("__barloom_slot", "__barloom_key").sortWithinPartitions("__barloom_slot", "__barloom_key").select(*docs.columns)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .bagminhash import band_keys, shingles, signatures
 from .components import connected_components
 from .exact_dedup import one_row_each
-from .store import join_counted, session_conf, small_batches, written
+from .store import join_counted, join_spread, session_conf, small_batches, written
 from .text import parts, texts_of
 from .vocab import release, tidy
 
@@ -230,7 +230,8 @@ def _missed_links(mates: DataFrame, pivots: DataFrame, components: DataFrame, no
     sent = queries.select("key", F.col("block").alias("from_block"), "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     compared = sent.join(members, ["key", "block"]).select("band", F.concat_ws("-", "key", "from_block", "block").alias("name"), "queries", "members")
     lists = _written_in_small_batches(compared.mapInArrow(_candidates, "list string, nodes array<binary>, components array<binary>, a array<int>, b array<int>"), "near-candidates", 16)
-    wanted = lists.select("list", F.explode(F.array_distinct("nodes")).alias("node")).join(bags, "node")
+    wanted = lists.select("list", F.explode(F.array_distinct("nodes")).alias("node"))
+    wanted = join_spread(wanted, bags, "node")
     found = wanted.groupBy("list").agg(F.collect_list(F.struct("node", "bag")).alias("bags"))
     return _written_in_small_batches(lists.join(found, "list").mapInArrow(_verify_lists, "a binary, b binary"), "near-more-links", 16)
 
@@ -260,12 +261,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     found = texts.mapInArrow(_bags, "node binary, bag binary")
     bags = written(found.filter("node is not null").groupBy("node").agg(F.first("bag").alias("bag")), "near-bags")
 
-    paired = stars.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+    # A node has a star in each of its bands at most; a pivot may be that of a third of all nodes.
+    starred = written(stars, "near-stars").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+    paired = join_spread(starred, bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
     links = _written_in_small_batches(paired.mapInArrow(_verify_pairs, "a binary, b binary"), "near-links", 256)
     components = connected_components(links)
     more = _missed_links(mates.select("node", "key"), pivots, components, nodes, bags)
     if not more.isEmpty():
-        components = connected_components(links.unionByName(more))
+        components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     placed = nodes.select("node", "first", "copies").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = placed.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))

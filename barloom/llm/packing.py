@@ -5,14 +5,14 @@ sequence, and a rest.  Rests are dealt into groups by a hash.  In a group every
 rest starts as a partial partition of its own; the two partial partitions with
 the largest imbalance are merged, the fullest windows of one with the emptiest
 of the other, until one is left.  The number of windows is at first the least that
-holds all ids, and rises one by one while a window exceeds its capacity: once at least, and
-on while the padding would stay under ``slack``.  Only where that isn't enough is the
-excess of the first, fullest attempt cut off; it fills windows with room.  So a group
-is padded by less than two windows, or by ``slack``.
+holds all ids, and rises while a window exceeds its capacity, until all fit; no rest
+is cut.  Only with a ``slack`` does that end where the padding would exceed it: the
+excess of the first, fullest attempt is then cut off and fills windows with room.
 
 Cases: a null text counts as empty, so it is the end id alone; repeated rows are
-packed each on its own, and spread over groups; a document of any length; empty tables give empty
-results; other columns are not read.
+packed each on its own, and spread over groups; a document of any length; the identifier
+must be of a whole-number type, and may be null; empty tables give empty results; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .store import small_batches
-from .text import parts, texts_of
+from .text import parts, texts_of, whole_id
 from .vocab import WordVocabulary, loaded, tidy
 
 CAPACITY = 4096
@@ -65,18 +65,19 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def pack_rests(sizes: list[int], capacity: int, slack: float) -> list[list[tuple[int, int, int]]]:
+def pack_rests(sizes: list[int], capacity: int, slack: float | None) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length); together they hold every item once."""
     total = sum(sizes)
     if not total:
         return []
     least = -(-total // capacity)
-    first = None
-    for k in range(least, max(least + 1, int(total / (capacity * (1 - slack)))) + 1):
+    k, first, most = least, None, None if slack is None else max(least + 1, int(total / (capacity * (1 - slack))))
+    while most is None or k <= most:  # ends at a window for each rest at the latest
         windows = differencing(sizes, k)
         if all(sum(sizes[i] for i in w) <= capacity for w in windows):
             return [[(i, 0, sizes[i]) for i in w] for w in windows if w]
         first = first or windows
+        k += max(1, k // 200)
     windows = first
     packed, excess = [], []
     for window in windows:
@@ -112,13 +113,13 @@ def pack_documents(
     vocabulary: str,
     end_id: int = 2,
     capacity: int = CAPACITY,
-    slack: float = 0.02,
+    slack: float | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit)."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(whole_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-n_bytes // GROUP_BYTES))
 

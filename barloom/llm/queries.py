@@ -33,7 +33,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_documents(spark, sf_dir))
+    found = mix_sources(_documents(spark, sf_dir))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken", "n_slots", F.array_min("slots").alias("first_slot"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,20 @@ def join_counted(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataF
     return rows.join(few, key).unionByName(rows.join(few, key, "left_anti").join(per_key.filter(~hot), key))
 
 
+def join_spread(rows: DataFrame, per_key: DataFrame, key: str, rows_per_part: int = 2048) -> DataFrame:
+    """Inner join of ``rows`` with a table of one wide row per key, such as texts: nothing wide is broadcast.
+
+    A key with many rows has its wide row once for every ``rows_per_part`` of them, and
+    its rows are dealt to those.
+    """
+    counts = written(rows.groupBy(key).agg(F.count("*").alias("__n")), "join-counts")
+    parts = F.expr(f"(__n + {rows_per_part} - 1) div {rows_per_part}")
+    own = [F.col(c) for c in rows.columns if c != key]
+    dealt = join_counted(rows, counts, key, "__n").withColumn("__part", F.pmod(F.xxhash64(*own), parts) if own else F.lit(0).cast("long")).drop("__n")
+    spread = per_key.join(counts, key).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__n")
+    return dealt.join(spread, [key, "__part"]).drop("__part")
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on this session hands texts to Python in batches of about 4 MB, of which both sides hold a few."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")

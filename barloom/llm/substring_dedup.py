@@ -31,8 +31,8 @@ step 2.
 
 Cases: null and short texts have no windows and lose nothing; equal identifiers
 are not smaller than each other, and a null identifier is larger than any other;
-repeated rows each give a row; words of any length; empty tables give empty
-results; other columns are not read.
+repeated rows each give a row; words of any length; the identifier must be of a
+whole-number type; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import covered, parts, runs, span_hashes, split_words, texts_of, window_hashes, window_starts
+from .text import covered, parts, runs, span_hashes, split_words, texts_of, window_hashes, window_starts, whole_id
 from .vocab import release
 
 WINDOW, BLOCK = 13, 7
@@ -255,7 +255,7 @@ def _remove(docs: pa.Table, answers: pa.Table, buckets: int, id_type: pa.DataTyp
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept_text, the kept words joined by one space."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(whole_id(docs, id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-n_bytes // BUCKET_BYTES))
     batches = max(1, -(-n_bytes // BATCH_BYTES))

@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,6 +25,14 @@ _TABLE = np.random.default_rng(20).integers(0, 1 << 64, _PLACES << 8, dtype=np.u
 _FACTORS = np.random.default_rng(21).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def whole_id(docs: DataFrame, id_col: str) -> Column:
+    """The identifier as a long, ``doc_id``; an error for a column that doesn't hold whole numbers."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be of a whole-number type, not {kind}")
+    return F.col(id_col).cast("long").alias("doc_id")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

@@ -23,7 +23,8 @@ one to a task.
 
 Cases: a null text counts as empty, so it is the end id alone; a null identifier is
 larger than any other; repeated rows are written each on its own; a document of any
-length; empty tables give no file and no row; other columns are not read.
+length; the identifier must be of a whole-number type; empty tables give no file and no
+row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .store import fresh_path, small_batches, written
-from .text import parts, texts_of
+from .text import parts, texts_of, whole_id
 from .vocab import ByteVocabulary, loaded, tidy
 
 # Ids per word by selector; selector 0 is the escape.
@@ -196,7 +197,7 @@ def write_token_files(
     spark = docs.sparkSession
     small_batches(spark)
     path = path or fresh_path(spark, "token-files")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(whole_id(docs, id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     by_id = F.col("doc_id").asc_nulls_last()
     ranged = source.repartitionByRange(max(1, -(-n_bytes // SHARD_BYTES)), by_id, F.substring("text", 1, 16)).sortWithinPartitions(by_id, "text")

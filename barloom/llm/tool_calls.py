@@ -10,12 +10,14 @@ topological order already.  In the other conversations a call's level is the lon
 chain of calls that it waits for; calls on a cycle, or behind one, have none and are
 ordered last.  A conversation of up to ``ARRAY_CALLS`` calls becomes an array of
 calls, and its levels are filled in passes over that array, in one job however deep
-the chains are.  Larger ones go through rounds of joins, a level each, so that no
+the chains are (time grows with the square of its calls if they all form one chain).  Larger ones go through rounds of joins, a level each, so that no
 task holds such a conversation.
 
 Only DataFrame functions are used.
 
-Cases: a null identifier links to nothing; of several results for one call the
+Cases: a call or result with a null conversation or identifier links to nothing, so
+dependencies within a null conversation don't count, and its calls, ordered as one
+conversation, follow their positions; of several results for one call the
 first in position counts, of several calls with one identifier all get it;
 arguments that aren't a JSON object are invalid and become null; a name without a
 schema is invalid; a dependency on an unknown call is dropped; empty tables give

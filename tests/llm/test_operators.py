@@ -106,6 +106,68 @@ def test_mix_by_brute_force(docs):
     assert got == {i: (a, b, pytest.approx(t), n) for i, (a, b, t, n) in want.items()}
 
 
+def brute_slots(rows, block, seed=17):
+    """Slots that take of each document's beginning, and how many take any of it, by walking through the schedule."""
+    import struct
+
+    import xxhash
+
+    taken = brute_mix(rows, block, seed)
+    sizes = {i: n for i, (n, *_) in taken.items()}
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s))
+    buckets, plan, blocks = max(1, len(rows) // max(256, int(len(rows) ** 0.5))), {}, {}
+    for s in sources:
+        own = [i for i, _, x in rows if x == s]
+        h = {}
+        for i in own:
+            v = 42
+            for x, kind in ((i, "<q"), (sizes[i], "<q"), (0, "<q"), (seed, "<i")):
+                v = xxhash.xxh64(struct.pack(kind, x), seed=v).intdigest()
+            h[i] = v - (1 << 64) if v >> 63 else v
+        words = [i for i in sorted(own, key=lambda i: (h[i] % buckets, h[i])) for _ in range(sizes[i])]
+        blocks[s] = [words[k : k + block] for k in range(0, len(words), block)]
+        give = min(int(taken[own[0]][2] + 0.5), 3 * len(words))
+        passes, rest = divmod(give, len(words)) if words else (0, 0)
+        plan[s] = [len(b) for _ in range(passes) for b in blocks[s]]
+        for b in blocks[s]:
+            if rest > 0:
+                plan[s].append(min(rest, len(b)))
+                rest -= len(b)
+    total = sum(map(len, plan.values()))
+    bits, edges, at = max(1, (max(2, total) - 1).bit_length()), {}, 0
+    for s in sources:
+        edges[s], at = (at, at + len(plan[s])), at + len(plan[s])
+    number, begins, any_of = dict.fromkeys(sources, 0), collections.defaultdict(list), collections.Counter()
+
+    def give_slot(s, slot):
+        r = number[s]
+        if r < len(plan[s]):
+            number[s] += 1
+            own = blocks[s][r % len(blocks[s])]
+            took = own[: plan[s][r]]
+            any_of.update(set(took))
+            for i in set(took):
+                first = next(b for b in blocks[s] if i in b)
+                if first is own:
+                    begins[i].append(slot)
+
+    for slot in range(total):
+        point = int(f"{slot:0{bits}b}"[::-1], 2) / (1 << bits) * total
+        give_slot(next(s for s in sources if edges[s][0] <= point < edges[s][1]), slot)
+    for s in sources:
+        while number[s] < len(plan[s]):
+            give_slot(s, total + number[s])
+    return {i: (any_of[i], sorted(begins[i])) for i in sizes}
+
+
+def test_slots_by_brute_force(docs):
+    rng = random.Random(19)
+    rows = [(k, " ".join("w" for _ in range(rng.choice([0, 3, 40, 300]))) if k % 11 else None, rng.choice(["a", "a", "a", "b", "c", None])) for k in range(300)]
+    want = brute_slots(rows, 64)
+    got = {r.doc_id: (r.n_slots, r.slots) for r in mixing.mix_sources(docs(rows), block_words=64).collect()}
+    assert got == want and any(len(s) == 3 for _, s in want.values()) and any(not s for _, s in want.values())
+
+
 def test_schedule_is_even(spark):
     plan = spark.createDataFrame([(0, 10), (1, 20), (2, 70), (3, 0)], "source_id int, slots bigint")
     got = mixing.schedule(plan).orderBy("slot").toPandas()
@@ -137,6 +199,26 @@ def test_mix_applies(docs):
     assert n == {"x": 6, "y": 12}
 
 
+def test_mix_applies_to_rows_with_one_identifier(spark, docs):
+    d = docs([(1, "w " * 50, "s"), (1, "w " * 10, "t")])
+    mixed = spark.createDataFrame([(1, "s", 50, [7]), (1, "t", 10, [1, 4, 9])], "doc_id bigint, source string, size bigint, slots array<bigint>")
+    assert [(r.source) for r in mixing.apply_mix(d, mixed).collect()] == ["t", "t", "s", "t"]
+    alike = docs([(None, "a b", None)] * 3 + [(None, "c d", None)])
+    mixed = spark.createDataFrame([(None, None, 2, [k]) for k in (5, 6, 8)] + [(None, None, 2, [])], "doc_id bigint, source string, size bigint, slots array<bigint>")
+    assert sorted(r.text for r in mixing.apply_mix(alike, mixed).collect()) == ["a b", "a b", "a b", "c d"]
+
+
+def test_applied_mix_is_in_order(docs):
+    rng = random.Random(5)
+    d = docs([(k, " ".join("w" for _ in range(rng.randint(1, 90))), f"s{k % 3}") for k in range(200)])
+    mixed = mixing.mix_sources(d, block_words=64)
+    got = [r.doc_id for r in mixing.apply_mix(d, mixed).collect()]
+    slots = {r.doc_id: list(r.slots) for r in mixed.collect()}
+    assert collections.Counter(got) == {i: len(s) for i, s in slots.items() if s}
+    at = [slots[i].pop(0) for i in got]
+    assert at == sorted(at)
+
+
 # 2 and 3 line and substring deduplication
 
 
@@ -417,6 +499,63 @@ def test_rests_fill_windows(sizes):
     assert len(windows) * 64 - sum(sizes) < 2 * 64 + 0.06 * len(windows) * 64
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=40))
+def test_window_count_rises_until_all_fit(sizes):
+    windows = packing.pack_rests(sizes, 64, None)
+    assert sorted((i, a, n) for w in windows for i, a, n in w) == [(i, 0, n) for i, n in enumerate(sizes)]
+    assert all(0 < sum(n for _, _, n in w) <= 64 for w in windows)
+
+
+def test_identifiers_are_whole_numbers(spark):
+    named = spark.createDataFrame([("a", "x y"), ("b", "x y")], "doc_id string, text string")
+    for call in (lambda d: substring_dedup.remove_repeated_passages(d), lambda d: packing.pack_documents(d, vocabulary("word_bpe_49k.json")), lambda d: token_files.write_token_files(d, vocabulary("byte_bpe_50k.json"))):
+        with pytest.raises(TypeError, match="doc_id must be of a whole-number type, not string"):
+            call(named)
+
+
+def test_null_conversations_follow_their_positions(spark):
+    calls = spark.createDataFrame([(None, 0, "x", "f", "{}", ["y"]), (None, 1, "y", "f", "{}", ["x"])], "conv_id bigint, position int, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(None, 2, "x", "r")], "conv_id bigint, position int, call_id string, content string")
+    got = [(r.call_id, r.topo_order, r.cyclic, r.linked) for r in tool_calls.link_tool_calls(calls, results, {}).orderBy("position").collect()]
+    assert got == [("x", 1, False, False), ("y", 2, False, False)]
+
+
+def test_spread_join(spark):
+    from barloom.llm.store import join_spread
+
+    rows = spark.createDataFrame([(k, i) for i in range(700) for k in (["hot", "b", None] if i % 7 == 0 else ["hot"])], "k string, i int")
+    wide = spark.createDataFrame([("hot", "H"), ("b", "B"), ("c", "C"), (None, "N")], "k string, w string")
+    got = sorted(map(tuple, join_spread(rows, wide, "k", 50).select("k", "i", "w").collect()))
+    assert got == sorted([("hot", i, "H") for i in range(700)] + [("b", i, "B") for i in range(0, 700, 7)])
+
+
+def test_dedup_goes_on_after_a_run_that_died(spark, docs, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/state"
+    group = lambda df: {r.doc_id: (r.keep_id, r.group_size) for r in df.collect()}
+    assert group(exact_dedup.exact_dedup(docs([(1, "a"), (2, "b")]), state_path=folder)) == {1: (1, 1), 2: (2, 1)}
+    # Died after the texts were written, and once more in the middle of the digests.
+    (tmp_path / "state/texts/run=1").mkdir()
+    (tmp_path / "state/texts/run=1/part-0.parquet").write_bytes((next((tmp_path / "state/texts/run=0").glob("*.parquet"))).read_bytes())
+    (tmp_path / "state/texts/run=1/_SUCCESS").touch()
+    (tmp_path / "state/runs/run-00000001/_temporary").mkdir(parents=True)
+    assert group(exact_dedup.exact_dedup(docs([(3, "A"), (4, "c")]), state_path=folder)) == {3: (3, 2), 4: (4, 1)}
+    # Died after the digests were saved and before the state learned of them: its documents count.
+    with monkeypatch.context() as m:
+        real, calls = exact_dedup.update_state, []
+
+        def dies(*args, **more):
+            calls.append(1)
+            if len(calls) == 2:
+                raise RuntimeError("lost")
+            return real(*args, **more)
+
+        m.setattr(exact_dedup, "update_state", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            exact_dedup.exact_dedup(docs([(5, "d")]), state_path=folder)
+    assert group(exact_dedup.exact_dedup(docs([(6, "D"), (7, "a")]), state_path=folder)) == {6: (6, 2), 7: (7, 3)}
+
+
 def test_window_count_rises_before_anything_is_cut():
     risen = packing.pack_rests([6, 6, 6, 2], 10, 0.0)
     assert len(risen) == 3 and sorted(n for w in risen for _, _, n in w) == [2, 6, 6, 6]
