@@ -12,10 +12,10 @@ from barloom.operators import atoms, forecast, windows
 CONSENSUS, SAMPLES, PERIODS, TP, SL = 0.8, 5, 104, 0.8, 0.2
 
 
-def _steps(w: DataFrame) -> DataFrame:
+def _steps(w: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """A row for each step: returns, agreement, levels, hits, and the curve of trading each step's predicted direction."""
     both = F.posexplode(F.arrays_zip(F.col("horizon"), atoms.per_step(F.col("paths"), lambda v: v).alias("v")))
-    e = w.select("ticker", "w", "month", "entry_close", both.alias("h", "x")).withColumn("v", F.col("x.v"))
+    e = w.select(*keys, "ticker", "w", "month", "entry_close", both.alias("h", "x")).withColumn("v", F.col("x.v"))
     ec, v = F.col("entry_close"), F.col("v")
     e = e.withColumns({
         "ar": (F.col("x.horizon.close") - ec) / ec,
@@ -32,9 +32,9 @@ def _steps(w: DataFrame) -> DataFrame:
     taken = F.coalesce(F.when(side == 1, high >= F.col("above")).when(side == -1, low <= F.col("below")), F.lit(False)) & ~stopped
     five = F.size("v") == SAMPLES
     e = e.withColumns({"stopped": stopped, "taken": taken, "pnl": side * F.col("ar"), "agreed": five & ((F.col("up") >= CONSENSUS) | (F.col("dn") >= CONSENSUS)), "side": F.when(F.col("up") >= CONSENSUS, 1.0).otherwise(-1.0), "five": five})
-    so_far = W.partitionBy("ticker", "w").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far = W.partitionBy(*keys, "ticker", "w").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow)
     e = e.withColumn("equity", F.product(1.0 + F.col("pnl")).over(so_far)).withColumn("peak", F.max("equity").over(so_far))
-    return e.withColumns({"rank_a": m.mean_rank(F.col("ar"), ["ticker", "w"]), "rank_p": m.mean_rank(F.col("pr"), ["ticker", "w"])})
+    return e.withColumns({"rank_a": m.mean_rank(F.col("ar"), [*keys, "ticker", "w"]), "rank_p": m.mean_rank(F.col("pr"), [*keys, "ticker", "w"])})
 
 
 def _correlation(a: Column, b: Column) -> Column:
@@ -54,16 +54,16 @@ def _expectancy(where: Column) -> Column:
     return count(F.col("taken")) / hits * mean(F.col("ar") > 0) - count(F.col("stopped")) / hits * mean(F.col("ar") < 0)
 
 
-def evaluate_windows(w: DataFrame) -> DataFrame:
+def evaluate_windows(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """All metrics of each window (ticker, w, month, entry_close, horizon, paths); a window entered at 0 has none and no row.
 
-    Agreement counts with five samples only; with another number its metrics are 0
+    ``keys`` are columns that tell further versions of a window apart.  Agreement counts with five samples only; with another number its metrics are 0
     and the expectancy is that of all steps.
     """
     a, p, five, agreed = F.col("ar"), F.col("pr"), F.first("five"), F.col("agreed")
     zero = F.lit(0.0)
     with_five = lambda x: F.when(five, F.coalesce(x, zero)).otherwise(zero)
-    return _steps(w.filter("entry_close <> 0")).groupBy("ticker", "w", "month").agg(
+    return _steps(w.filter("entry_close <> 0"), keys).groupBy(*keys, "ticker", "w", "month").agg(
         m.direction_accuracy(a, p).alias("direction_accuracy"),
         F.avg((F.signum(p) == 0).cast("double")).alias("flat_rate"),
         with_five(F.avg(agreed.cast("double"))).alias("consensus_rate"),
@@ -85,7 +85,7 @@ def evaluate_windows(w: DataFrame) -> DataFrame:
 
 
 def metric_names(evaluated: DataFrame) -> list[str]:
-    return [c for c in evaluated.columns if c not in ("ticker", "w", "month")]
+    return evaluated.columns[evaluated.columns.index("direction_accuracy") :]
 
 
 def monthly_means(evaluated: DataFrame, keys: tuple[str, ...] = ("ticker", "month")) -> DataFrame:

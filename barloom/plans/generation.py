@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import generate
+from barloom.operators import generate, inference, sweep
 from barloom.plans.base import BARS_SQL, BY_BAR_SQL, bars, r
 from barloom.plans.registry import query, table
 from barloom.plans.trading import LK, PL, S
@@ -125,3 +125,53 @@ def k02_k03(spark, sf):
     z = bars(spark, sf).withColumn("d", move).select("ticker", "bar_ix", F.collect_list("d").over(roll(20)).alias("z")).filter("size(z) = 20")
     ids = z.select("ticker", "bar_ix", generate.bits_to_ids(F.col("z")).alias("i")).select("ticker", "bar_ix", "i.*")
     return ids.select("*", F.transform(generate.ids_to_bits(F.col("s1"), F.col("s2")), lambda x: F.round(x, 6)).alias("features"))
+
+
+_FREQUENCY_SQL = f"""gaps AS (SELECT ticker, date_diff('minute', lag(ts) OVER w, ts) AS gap FROM bars WINDOW w AS ({BY_BAR_SQL})),
+fq AS (SELECT ticker, gap AS minutes FROM (SELECT ticker, gap, count(*) AS n FROM gaps WHERE gap > 0 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY n DESC, gap) = 1)"""
+
+_NEXT_SLOTS_SQL = """slots AS (
+    SELECT ticker, ts, minutes, list_filter(generate_series(ts + to_minutes(minutes), ts + INTERVAL 14 day, to_minutes(minutes)), lambda t: isodow(t) < 6 AND hour(t) * 60 + minute(t) BETWEEN 600 AND 1120)[1:6] AS f FROM ends JOIN fq USING (ticker)
+), fut AS (SELECT ticker, ts, minutes, unnest(range(6))::INT AS h, unnest(f) AS future FROM slots)"""
+
+
+@query(
+    "k10_future_bars",
+    f"""WITH {BARS_SQL}, {_FREQUENCY_SQL}, ends AS (SELECT * FROM bars QUALIFY lead(session_id) OVER ({BY_BAR_SQL}) IS DISTINCT FROM session_id), {_NEXT_SLOTS_SQL}
+        SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, minutes::INT AS minutes, h, strftime(future, '%Y-%m-%d %H:%M:%S') AS future FROM fut""",
+)
+def k10_future(spark, sf):
+    """The times of the six bars after each session, by the ticker's commonest gap."""
+    b = bars(spark, sf)
+    ends = inference.last_of_session(b).join(inference.frequency(b), "ticker")
+    found = ends.withColumn("future", inference.future_times(F.col("ts"), F.col("minutes"), 6))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return found.select("ticker", text("ts").alias("ts"), "minutes", F.posexplode("future").alias("h", "f")).select("ticker", "ts", "minutes", "h", text("f").alias("future"))
+
+
+_SCALED_FIELDS = ("open", "high", "low", "close", "volume", "amount")
+_SCALE_SQL = ", ".join(f"avg({c}) OVER q AS mu_{c}, stddev_pop({c}) OVER q AS sd_{c}" for c in _SCALED_FIELDS)
+
+
+@query(
+    "k10_scaled_inputs",
+    f"""WITH {BARS_SQL}, f AS (SELECT * EXCLUDE (amount), volume * (open + high + low + close) / 4 AS amount FROM bars), z AS (SELECT *, {_SCALE_SQL}, count(*) OVER q AS n FROM f WINDOW q AS ({BY_BAR_SQL} ROWS BETWEEN {LK - 1} PRECEDING AND CURRENT ROW)),
+        u AS (SELECT ticker, bar_ix, unnest([{", ".join(f"{{'field': '{c}', 'x': {c}, 'mu': mu_{c}, 'sd': sd_{c}}}" for c in _SCALED_FIELDS)}]) AS v FROM z WHERE n = {LK})
+        SELECT ticker, bar_ix, v.field AS field, round(greatest(-5.0, least(5.0, (v.x - v.mu) / (v.sd + 1e-5))), 4) + 0.0 AS z,
+               CASE WHEN abs((v.x - v.mu) / (v.sd + 1e-5)) <= 5 THEN true ELSE abs((v.x - v.mu) / (v.sd + 1e-5)) <= 5 + 1e-9 END AS same FROM u""",
+)
+def k10_scaled(spark, sf):
+    """The inputs of a forecast: amounts filled in, all six fields scaled by their window, and whether scaling back gives the value (it does unless it was clipped)."""
+    b = inference.completed(bars(spark, sf).drop("amount"))
+    s = inference.scaling(b, LK)
+    each = s.select("ticker", "bar_ix", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("x"), F.col("scale")[c].alias("s")) for c in _SCALED_FIELDS])).alias("v"))
+    z = inference.scaled(F.col("v.x"), F.col("v.s"))
+    back = inference.unscaled(z, F.col("v.s"))
+    return each.select("ticker", "bar_ix", "v.field", r(z, 4).alias("z"), (F.abs(back - F.col("v.x")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col("v.x")))).alias("same"))
+
+
+@query("g02_two_pass")
+def g02_two_pass(spark, sf):
+    """The forecast's length, then temperature, nucleus and samples for each ticker's best length, on 20 windows a ticker (a sampling operator)."""
+    found = sweep.two_pass(bars(spark, sf), LK, [3, 6], [0.6, 1.0, 1.4], [0.7, 0.9], [3, 5], n_windows=20, seed=SEED)
+    return found.select("pass", "ticker", "pred_len", "temperature", "top_p", "samples", "n", r("consensus_dir_acc"), r("expectancy", 8), r("direction_accuracy"), r("consensus_rate"), "is_best")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import SHORT
 from barloom.functions import metrics as m, normal
-from barloom.operators import asof, atoms, evaluation, forecast, patterns, reports, rolling, signals, simulate, windows
+from barloom.operators import asof, atoms, evaluation, forecast, patterns, portfolio, reports, rolling, signals, simulate, windows
 from barloom.plans.base import BARS_SQL, BY_BAR_SQL, bars, r
 from barloom.plans.indicators import ADR_SQL
 from barloom.plans.patterns import ob_sql
@@ -300,18 +300,65 @@ def x04(spark, sf):
 @query(
     "x09_cross_section",
     f"""WITH {BARS_SQL}, x AS (SELECT ticker, ts, ln(close / lag(close) OVER w) AS ret FROM bars WINDOW w AS ({BY_BAR_SQL})), y AS (SELECT * FROM x WHERE ret IS NOT NULL),
-        z AS (SELECT *, (ret - avg(ret) OVER t) / greatest(stddev_pop(ret) OVER t, 1e-10) AS z, row_number() OVER (PARTITION BY ts ORDER BY ret DESC, ticker) AS best, row_number() OVER (PARTITION BY ts ORDER BY ret, ticker DESC) AS worst, count(*) OVER t AS n FROM y WINDOW t AS (PARTITION BY ts))
-        SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(z, 5) AS z, round(CASE WHEN best <= 3 THEN 1.0 / 3 WHEN worst <= 2 THEN -0.5 ELSE 0.0 END, 6) AS weight FROM z WHERE n = 5""",
+        z AS (SELECT *, (ret - avg(ret) OVER t) / greatest(stddev_pop(ret) OVER t, 1e-10) AS z, row_number() OVER (PARTITION BY ts ORDER BY ret DESC, ticker) AS best, row_number() OVER (PARTITION BY ts ORDER BY ret, ticker DESC) AS worst FROM y WINDOW t AS (PARTITION BY ts))
+        SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(z, 5) AS z, round(CASE WHEN best <= 3 THEN 1.0 / 3 WHEN worst <= 2 THEN -0.5 ELSE 0.0 END, 6) AS weight FROM z""",
 )
 def x09(spark, sf):
     """Extension: long the three best, short the two worst tickers of each bar."""
     from pyspark.sql import Window as W
 
     b = bars(spark, sf).withColumn("ret", F.ln(F.col("close") / F.lag("close").over(W.partitionBy("ticker").orderBy("bar_ix")))).filter("ret is not null")
-    p = simulate.portfolio_ranks(b).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("ts"))).filter("n = 5")
+    p = simulate.portfolio_ranks(b)
     return p.select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r("z", 5), r("weight"))
 
 
+_RULES = portfolio.Rules()
+_POSITIONS_SQL = f"""{WIN_SQL}, sc AS (SELECT ticker, ts, ln(list_avg(list_transform(paths, lambda p: p[{PL}])) / close) AS score FROM win WHERE bar_ix >= {PL * S}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, ticker) AS best, row_number() OVER (PARTITION BY ts ORDER BY score, ticker DESC) AS worst FROM sc),
+wt AS (SELECT ticker, ts, CASE WHEN best <= 3 THEN 1.0::DOUBLE / 3 WHEN worst <= 2 THEN -0.5::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM rk),
+sb AS (SELECT b.ticker, b.session_date, b.bar_ix, b.ts, hour(b.ts) * 60 + minute(b.ts) AS m, open, close, coalesce(weight, 0.0::DOUBLE) AS signal, row_number() OVER s AS k, lead(b.ts) OVER s IS NULL AS is_last
+       FROM bars b LEFT JOIN wt ON wt.ticker = b.ticker AND wt.ts = b.ts WINDOW s AS (PARTITION BY b.ticker, b.session_date ORDER BY b.bar_ix)),
+walk AS (
+    SELECT ticker, session_date, k, bar_ix, ts, close, signal, 0.0::DOUBLE AS weight, NULL::DOUBLE AS entry, 0 AS held, 0.0::DOUBLE AS was, 0.0::DOUBLE AS pnl, 0.0::DOUBLE AS turnover, 0 AS was_held, NULL::VARCHAR AS reason FROM sb WHERE k = 1
+    UNION ALL
+    (WITH e AS (
+        SELECT b.*, w.weight <> 0 AS is_on, w.weight <> 0 OR (w.signal <> 0 AND b.m BETWEEN 600 AND 1090) AS holds, CASE WHEN w.weight <> 0 THEN w.weight ELSE w.signal END AS wt, CASE WHEN w.weight <> 0 THEN w.entry ELSE b.open END AS en,
+               CASE WHEN w.weight <> 0 THEN w.close ELSE b.open END AS base, w.held AS h0 FROM walk w JOIN sb b ON b.ticker = w.ticker AND b.session_date = w.session_date AND b.k = w.k + 1
+    ), g AS (SELECT *, sign(wt) * (close - en) / en AS gain FROM e),
+    x AS (SELECT *, CASE WHEN holds THEN CASE WHEN gain <= -0.015::DOUBLE THEN 'stop' WHEN gain >= 0.025::DOUBLE THEN 'target' WHEN h0 + 1 >= 6 THEN 'horizon' WHEN m >= 1115 OR is_last THEN 'session' END END AS reason FROM g)
+    SELECT ticker, session_date, k, bar_ix, ts, close, signal, CASE WHEN holds AND reason IS NULL THEN wt ELSE 0.0 END, CASE WHEN holds THEN en END, CASE WHEN holds AND reason IS NULL THEN h0 + 1 ELSE 0 END, CASE WHEN holds THEN wt ELSE 0.0 END,
+           CASE WHEN holds THEN wt * (close - base) / base - CASE WHEN reason IS NOT NULL THEN abs(wt) * 0.0005::DOUBLE ELSE 0.0 END ELSE 0.0 END,
+           CASE WHEN holds THEN abs(wt) * (CASE WHEN is_on THEN 0 ELSE 1 END + CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) ELSE 0.0 END, CASE WHEN holds THEN h0 + 1 ELSE 0 END, reason FROM x)
+), held AS (SELECT ticker, session_date, bar_ix, ts, was AS weight, pnl, turnover, was_held AS held, reason FROM walk WHERE was <> 0)"""
+
+
+def _held(spark, sf):
+    b = bars(spark, sf)
+    paths = forecast.get_forecaster("analog").transform(b, SHORT).filter(F.col("bar_ix") >= PL * S)
+    scores = paths.select("ticker", "ts", F.ln(forecast.mean(forecast.last_step(F.col("paths"))) / F.col("close")).alias("score"))
+    return portfolio.positions(b, portfolio.target_weights(scores, _RULES), _RULES)
+
+
+@query(
+    "x09_positions",
+    f"WITH RECURSIVE {_POSITIONS_SQL} SELECT ticker, bar_ix, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(weight, 6) AS weight, round(pnl, 8) + 0.0 AS pnl, round(turnover, 6) AS turnover, held, reason FROM held",
+)
+def x09_positions(spark, sf):
+    """Positions of the portfolio: entered a bar after their signal, left at a stop, a target, the horizon or the session's end."""
+    return _held(spark, sf).select("ticker", "bar_ix", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r("weight"), r("pnl", 8), r("turnover"), "held", "reason")
+
+
+@query(
+    "x09_equity_curve",
+    f"""WITH RECURSIVE {_POSITIONS_SQL}, a AS (SELECT ts, count(*) AS n_positions, sum(abs(weight)) AS exposure, sum(turnover) AS turnover, sum(pnl) AS pnl FROM held GROUP BY 1),
+        e AS (SELECT *, product(1 + pnl) OVER (ORDER BY ts) AS equity FROM a), p AS (SELECT *, greatest(1.0, max(equity) OVER (ORDER BY ts)) AS peak FROM e)
+        SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, n_positions, round(exposure, 6) AS exposure, round(turnover, 6) AS turnover, round(pnl, 8) + 0.0 AS pnl, round(equity, 7) AS equity, round(equity / peak - 1, 7) + 0.0 AS drawdown FROM p""",
+)
+def x09_equity(spark, sf):
+    e = portfolio.equity_curve(_held(spark, sf))
+    return e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "n_positions", r("exposure"), r("turnover"), r("pnl", 8), r("equity", 7), r("drawdown", 7))
+
+
 # Per-window strategies: consensus at the first step, features at the last bar before the forecast, levels from step to step.
 
 _PW_SQL = f"""{WIN_SQL}, bol AS (
