@@ -165,13 +165,16 @@ VWAP_SQL = f"""{BARS_SQL}, v0 AS (
 
 @query(
     "w17_session_vwap",
-    f"""WITH {VWAP_SQL} SELECT ticker, bar_ix, round(vwap, 6) AS vwap, round(sigma, 3) AS vwap_sigma, CASE WHEN k > 1 THEN round(vwap + 2 * sigma, 3) END AS vwap_upper,
-        coalesce(c1 <= v1 AND CASE WHEN k >= 3 THEN c2 > v2 ELSE k = 2 END AND close > vwap, false) AS crossed_up,
-        coalesce(c1 >= v1 AND CASE WHEN k >= 3 THEN c2 < v2 ELSE k = 2 END AND close < vwap, false) AS crossed_down FROM v WHERE sigma > 1e-3""",
+    f"""WITH {VWAP_SQL} SELECT ticker, bar_ix, round(vwap, 6) AS vwap, CASE WHEN sigma > 1e-3 THEN round(sigma, 3) END AS vwap_sigma, CASE WHEN k > 1 AND sigma > 1e-3 THEN round(vwap + 2 * sigma, 3) END AS vwap_upper,
+        CASE WHEN sigma > 1e-3 THEN coalesce(c1 <= v1 AND CASE WHEN k >= 3 THEN c2 > v2 ELSE k = 2 END AND close > vwap, false) END AS crossed_up,
+        CASE WHEN sigma > 1e-3 THEN coalesce(c1 >= v1 AND CASE WHEN k >= 3 THEN c2 < v2 ELSE k = 2 END AND close < vwap, false) END AS crossed_down FROM v""",
 )
 def w17(spark, sf):
-    b = rolling.vwap(bars(spark, sf)).withColumn("at", F.row_number().over(rolling.session(False))).filter("vwap_sigma > 1e-3")
-    return b.select("ticker", "bar_ix", r("vwap"), r("vwap_sigma", 3), F.when(F.col("at") > 1, r("vwap_upper", 3)).alias("vwap_upper"), "crossed_up", "crossed_down")
+    b = rolling.vwap(bars(spark, sf)).withColumn("at", F.row_number().over(rolling.session(False)))
+    # Where prices hardly differ, the deviation is rounding, and what rests on it unknown.
+    spread = lambda c, name: F.when(F.col("vwap_sigma") > 1e-3, c).alias(name)
+    upper = F.when(F.col("at") > 1, r("vwap_upper", 3))
+    return b.select("ticker", "bar_ix", r("vwap"), spread(r("vwap_sigma", 3), "vwap_sigma"), spread(upper, "vwap_upper"), spread(F.col("crossed_up"), "crossed_up"), spread(F.col("crossed_down"), "crossed_down"))
 
 
 @query(
@@ -271,11 +274,11 @@ def w31(spark, sf):
 @query(
     "w33_window_zscore",
     f"""WITH {BARS_SQL}, z AS (SELECT ticker, bar_ix, avg(close) OVER q AS mu, stddev_pop(close) OVER q AS sd, list(close) OVER q AS raw FROM bars WINDOW q AS ({BY_BAR_SQL} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
-        SELECT ticker, bar_ix, unnest(list_transform(raw, lambda x: round(greatest(-5.0, least(5.0, (x - mu) / (sd + 1e-5))), 5))) AS z, generate_subscripts(raw, 1) - 1 AS step FROM z WHERE sd > 1e-3""",
+        SELECT ticker, bar_ix, unnest(list_transform(raw, lambda x: CASE WHEN sd > 1e-3 THEN round(greatest(-5.0, least(5.0, (x - mu) / (sd + 1e-5))), 5) END)) AS z, generate_subscripts(raw, 1) - 1 AS step FROM z""",
 )
 def w33(spark, sf):
-    b = rolling.window_zscore(bars(spark, sf), "close", 12).filter("sd > 1e-3")
-    return b.select("ticker", "bar_ix", F.posexplode("scaled").alias("step", "x")).select("ticker", "bar_ix", F.col("step").cast("long").alias("step"), r("x", 5).alias("z"))
+    b = rolling.window_zscore(bars(spark, sf), "close", 12)
+    return b.select("ticker", "bar_ix", "sd", F.posexplode("scaled").alias("step", "x")).select("ticker", "bar_ix", F.col("step").cast("long").alias("step"), F.when(F.col("sd") > 1e-3, r("x", 5)).alias("z"))
 
 
 @query(

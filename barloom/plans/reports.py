@@ -33,13 +33,13 @@ def per_bar(spark, sf) -> DataFrame:
         u AS (SELECT *, max(equity) OVER (PARTITION BY strategy, ticker, quarter ORDER BY w) AS peak FROM t)
         SELECT strategy, ticker, quarter, count(*) AS n, count(*) FILTER (reason = 'tp') AS tp_hits, count(*) FILTER (reason = 'sl') AS sl_hits, count(*) FILTER (reason = 'close') AS closes, count(*) FILTER (ret > 0) AS wins,
                count(*) FILTER (ret <= 0) AS losses, round(avg((ret > 0)::INT), 6) AS win_rate, round(sum(ret) * 100, 4) AS total_return_pct, round(avg(ret) * 100, 5) AS avg_return_pct, round(coalesce(stddev_samp(ret), 0) * 100, 5) AS std_return_pct,
-               round(coalesce(avg(ret) FILTER (ret > 0), 0) * 100, 5) AS avg_win_pct, round(coalesce(avg(ret) FILTER (ret <= 0), 0) * 100, 5) + 0.0 AS avg_loss_pct, round(avg(ret) / greatest(coalesce(stddev_samp(ret), 0), 1e-10) * sqrt(252), 4) AS sharpe,
-               round(min((equity - peak) / peak) * 100, 5) + 0.0 AS mdd_pct FROM u GROUP BY 1, 2, 3 HAVING count(*) > 2""",
+               round(coalesce(avg(ret) FILTER (ret > 0), 0) * 100, 5) AS avg_win_pct, round(coalesce(avg(ret) FILTER (ret <= 0), 0) * 100, 5) + 0.0 AS avg_loss_pct, CASE WHEN count(*) > 2 THEN round(avg(ret) / greatest(coalesce(stddev_samp(ret), 0), 1e-10) * sqrt(252), 4) END AS sharpe,
+               round(min((equity - peak) / peak) * 100, 5) + 0.0 AS mdd_pct FROM u GROUP BY 1, 2, 3""",
 )
 def a24(spark, sf):
     t = trades(spark, sf).withColumn("quarter", windows.quarter_of(F.col("pred_ts")))
     d = {"total_return_pct": 4, "sharpe": 4, "win_rate": 6}
-    out = reports.trade_report(t, "strategy", "ticker", "quarter").filter("n > 2")
+    out = reports.trade_report(t, "strategy", "ticker", "quarter").withColumn("sharpe", F.when(F.col("n") > 2, F.col("sharpe")))
     ints = ["n", "tp_hits", "sl_hits", "closes", "wins", "losses"]
     return out.select("strategy", "ticker", "quarter", *ints, *[r(c, d.get(c, 5)) for c in out.columns if c not in ("strategy", "ticker", "quarter", "profit_factor", *ints)])
 
@@ -167,24 +167,26 @@ def a33(spark, sf):
 
 @query(
     "a34_hour_quarter_pivot",
-    f"""WITH {TRADE_CHAIN} SELECT strategy, hour(pred_ts)::INT AS hour, round(avg(ret) FILTER (quarter = '2024-Q1') / greatest(coalesce(stddev_samp(ret) FILTER (quarter = '2024-Q1'), 0.0), 1e-10) * sqrt(252), 3) AS q1,
-        round(avg(ret) FILTER (quarter = '2024-Q2') / greatest(coalesce(stddev_samp(ret) FILTER (quarter = '2024-Q2'), 0.0), 1e-10) * sqrt(252), 3) AS q2 FROM trades GROUP BY 1, 2 HAVING count(*) FILTER (quarter = '2024-Q1') > 2""",
+    f"""WITH {TRADE_CHAIN} SELECT strategy, hour(pred_ts)::INT AS hour, CASE WHEN count(*) FILTER (quarter = '2024-Q1') > 2 THEN round(avg(ret) FILTER (quarter = '2024-Q1') / greatest(stddev_samp(ret) FILTER (quarter = '2024-Q1'), 1e-10) * sqrt(252), 3) END AS q1,
+        CASE WHEN count(*) FILTER (quarter = '2024-Q2') > 2 THEN round(avg(ret) FILTER (quarter = '2024-Q2') / greatest(stddev_samp(ret) FILTER (quarter = '2024-Q2'), 1e-10) * sqrt(252), 3) END AS q2 FROM trades GROUP BY 1, 2""",
 )
 def a34(spark, sf):
     t = trades(spark, sf)
-    busy = t.groupBy("strategy", F.hour("pred_ts").alias("hour")).agg(F.count_if(windows.quarter_of(F.col("pred_ts")) == "2024-Q1").alias("n")).filter("n > 2").drop("n")
-    p = reports.hour_quarter_pivot(t, ["2024-Q1", "2024-Q2"]).join(busy, ["strategy", "hour"], "left_semi")
-    return p.select("strategy", "hour", r(F.col("`2024-Q1`"), 3).alias("q1"), r(F.col("`2024-Q2`"), 3).alias("q2"))
+    n = [F.count_if(windows.quarter_of(F.col("pred_ts")) == q).alias(q) for q in ("2024-Q1", "2024-Q2")]
+    busy = t.groupBy("strategy", F.hour("pred_ts").alias("hour")).agg(*n).alias("n")
+    p = reports.hour_quarter_pivot(t, ["2024-Q1", "2024-Q2"]).alias("p").join(busy, ["strategy", "hour"])
+    known = lambda q: F.when(F.col(f"n.{q}") > 2, r(F.col(f"p.{q}"), 3))
+    return p.select("strategy", "hour", known("`2024-Q1`").alias("q1"), known("`2024-Q2`").alias("q2"))
 
 
 @query(
     "a41_gates",
     f"""WITH {BAR_CHAIN}, {METRICS_SQL} SELECT strategy, ticker, sharpe >= 0.5 AS gate_sharpe, win_rate >= 0.52 AS gate_win_rate, abs(max_dd) <= 0.25 AS gate_drawdown,
-        CASE WHEN n_trades < 2 THEN 0.0 ELSE {normal.cdf_sql("z")} END >= 0.7 AS gate_psr FROM mt WHERE n_trades > 2""",
+        CASE WHEN n_trades > 2 THEN {normal.cdf_sql("z")} >= 0.7 END AS gate_psr FROM mt""",
 )
 def a41(spark, sf):
-    g = reports.gates(reports.strategy_metrics(per_bar(spark, sf))).filter("n_trades > 2")
-    return g.select("strategy", "ticker", "gate_sharpe", "gate_win_rate", "gate_drawdown", "gate_psr")
+    g = reports.gates(reports.strategy_metrics(per_bar(spark, sf)))
+    return g.select("strategy", "ticker", "gate_sharpe", "gate_win_rate", "gate_drawdown", F.when(F.col("n_trades") > 2, F.col("gate_psr")).alias("gate_psr"))
 
 
 @query(
@@ -204,15 +206,15 @@ _ZMAX = (1 - _EULER) * normal.quantile(1 - 1 / _TRIALS) + _EULER * normal.quanti
 
 @query(
     "a12_a13_a14_deflated_sharpe",
-    f"""WITH {BAR_CHAIN}, {METRICS_SQL}, d AS (SELECT *, (sr * sqrt(n_trades - 1) - {_ZMAX!r}) / (sqrt(greatest(va * (n_trades - 1), 0.0)) + 1e-8) AS zd FROM mt WHERE n_trades > 20)
-        SELECT strategy, ticker, round(sk, 4) AS skewness, round(ku, 4) AS kurtosis, round({normal.cdf_sql("z")}, 5) AS psr, round({normal.cdf_sql("zd")}, 5) AS dsr FROM d""",
+    f"""WITH {BAR_CHAIN}, {METRICS_SQL}, d AS (SELECT *, (sr * sqrt(n_trades - 1) - {_ZMAX!r}) / (sqrt(greatest(va * (n_trades - 1), 0.0)) + 1e-8) AS zd FROM mt), e AS (SELECT strategy, ticker, n_trades, round(sk, 4) AS skewness, round(ku, 4) AS kurtosis, round({normal.cdf_sql("z")}, 5) AS psr, round({normal.cdf_sql("zd")}, 5) AS dsr FROM d)
+        SELECT strategy, ticker, n_trades AS n, {", ".join(f"CASE WHEN n_trades > 20 THEN {c} END AS {c}" for c in ("skewness", "kurtosis", "psr", "dsr"))} FROM e""",
 )
 def a12(spark, sf):
     active = F.when(F.col("ret") != 0, F.col("ret"))
     g = per_bar(spark, sf).groupBy("strategy", "ticker").agg(
         F.count(active).alias("n"), r(F.skewness(active), 4).alias("skewness"), r(F.kurtosis(active), 4).alias("kurtosis"), r(m.probabilistic_sharpe(active), 5).alias("psr"), r(m.deflated_sharpe(active, _TRIALS), 5).alias("dsr")
     )
-    return g.filter("n > 20").drop("n")
+    return g.select("strategy", "ticker", "n", *[F.when(F.col("n") > 20, F.col(c)).alias(c) for c in ("skewness", "kurtosis", "psr", "dsr")])
 
 
 @query(

@@ -221,17 +221,18 @@ def m01(spark, sf):
         lin AS (SELECT ticker, w, avg(1 - greatest(syy - sxy * sxy / sxx, 0.0) / greatest(syy, 1e-10)) AS linearity FROM (
             SELECT ticker, w, s, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM (SELECT ticker, w, s, paths[s][h] AS y, h AS x FROM feats, unnest(range(1, {S + 1})) a(s), unnest(range(1, {PL + 1})) b(h)) GROUP BY 1, 2, 3) GROUP BY 1, 2)
         SELECT ticker, w, round(list_avg(list_transform(by_step, lambda v: list_aggregate(v, 'stddev_pop'))), 6) AS mean_std, round(abs(list_avg(list_transform(last, lambda x: sign(x - entry_close)))), 6) AS strength,
-               round(list_avg(by_step[{PL}]), 6) AS mean_ret, round(linearity, 5) AS linearity, round(coalesce(list_avg(list_filter(by_step[{PL}], lambda x: x > 0)), 0.0), 6) AS up_ret,
+               round(list_avg(by_step[{PL}]), 6) AS mean_ret, CASE WHEN mc_std > 1e-6 THEN round(linearity, 5) END AS linearity, round(coalesce(list_avg(list_filter(by_step[{PL}], lambda x: x > 0)), 0.0), 6) AS up_ret,
                round(coalesce(-list_avg(list_filter(by_step[{PL}], lambda x: x < 0)), 0.0), 6) + 0.0 AS down_ret, CASE WHEN list_avg(by_step[{PL}]) > 0 THEN 1 ELSE -1 END::INT AS dir,
-               round(list_avg(list_transform(by_step, lambda v: list_avg(v) / (list_aggregate(v, 'stddev_pop') + 1e-10))), 4) AS expectancy, agree::INT AS agree FROM sp JOIN lin USING (ticker, w) WHERE mc_std > 1e-6""",
+               CASE WHEN mc_std > 1e-6 THEN round(list_avg(list_transform(by_step, lambda v: list_avg(v) / (list_aggregate(v, 'stddev_pop') + 1e-10))), 4) END AS expectancy, agree::INT AS agree FROM sp JOIN lin USING (ticker, w)""",
 )
 def m04(spark, sf):
-    f = feats(spark, sf).filter("mc_std > 1e-6")
+    f = feats(spark, sf)
+    spread = lambda c: F.when(F.col("mc_std") > 1e-6, c)
     p, c = F.col("paths"), F.col("entry_close")
     f = f.withColumn("d", atoms.dispersion(p, c)).withColumn("t", atoms.trend_strength(p, c)).withColumn("a", atoms.asymmetry(p, c))
     return f.select(
-        "ticker", "w", r(F.col("d.mean_std")).alias("mean_std"), r(F.col("t.strength")).alias("strength"), r(F.col("a.mean_ret")).alias("mean_ret"), r(atoms.linearity(p), 5).alias("linearity"),
-        r(F.col("a.up")).alias("up_ret"), r(F.col("a.down")).alias("down_ret"), F.col("a.dir").alias("dir"), r(atoms.expectancy(p, c), 4).alias("expectancy"), F.col("agree").cast("int").alias("agree"),
+        "ticker", "w", r(F.col("d.mean_std")).alias("mean_std"), r(F.col("t.strength")).alias("strength"), r(F.col("a.mean_ret")).alias("mean_ret"), spread(r(atoms.linearity(p), 5)).alias("linearity"),
+        r(F.col("a.up")).alias("up_ret"), r(F.col("a.down")).alias("down_ret"), F.col("a.dir").alias("dir"), spread(r(atoms.expectancy(p, c), 4)).alias("expectancy"), F.col("agree").cast("int").alias("agree"),
     )
 
 
@@ -289,22 +290,22 @@ def x03(spark, sf):
 
 
 _METRIC_COLUMNS = ("sharpe", "sortino", "avg_return", "trade_pct", "n_trades", "profit_factor", "win_rate", "max_dd", "calmar", "psr", "total_return", "total_pnl")
-_METRICS_SELECT = f"""SELECT strategy, ticker, round(sharpe, 4) AS sharpe, round(CASE WHEN down < 1e-8 THEN 0.0 ELSE {_P} * mean_ret / down END, 4) AS sortino, round(mean_ret * {52 * 252}, 4) AS avg_return, round(n_trades / n_all, 6) AS trade_pct,
-    n_trades, round(profit_factor, 4) AS profit_factor, round(win_rate, 6) AS win_rate, round(max_dd, 6) + 0.0 AS max_dd, round(mu * {52 * 252} / (abs(max_dd) + 1e-8), 2) AS calmar,
-    round(CASE WHEN n_trades < 2 THEN 0.0 ELSE {normal.cdf_sql("z")} END, 5) AS psr, round(total_return, 6) AS total_return, round(total_pnl, 6) AS total_pnl FROM mt WHERE n_trades > 20"""
+# Ratios of few trades divide by next to nothing; they are unknown.
+_METRICS_SELECT = f"""SELECT strategy, ticker, round(sharpe, 4) AS sharpe, CASE WHEN n_trades > 20 THEN round(CASE WHEN down < 1e-8 THEN 0.0 ELSE {_P} * mean_ret / down END, 4) END AS sortino, round(mean_ret * {52 * 252}, 4) AS avg_return, round(n_trades / n_all, 6) AS trade_pct,
+    n_trades, CASE WHEN n_trades > 20 THEN round(profit_factor, 4) END AS profit_factor, round(win_rate, 6) AS win_rate, round(max_dd, 6) + 0.0 AS max_dd, CASE WHEN n_trades > 20 THEN round(mu * {52 * 252} / (abs(max_dd) + 1e-8), 2) END AS calmar,
+    CASE WHEN n_trades > 20 THEN round(CASE WHEN n_trades < 2 THEN 0.0 ELSE {normal.cdf_sql("z")} END, 5) END AS psr, round(total_return, 6) + 0.0 AS total_return, round(total_pnl, 6) + 0.0 AS total_pnl FROM mt"""
 
 
 def _rounded_metrics(df: DataFrame) -> DataFrame:
     digits = {"sharpe": 4, "sortino": 4, "avg_return": 4, "profit_factor": 4, "calmar": 2, "psr": 5}
-    return df.filter("n_trades > 20").select("strategy", "ticker", *[c if c == "n_trades" else r(c, digits.get(c, 6)) for c in _METRIC_COLUMNS])
+    known = lambda c: F.when(F.col("n_trades") > 20, r(c, digits.get(c, 6))).alias(c) if c in ("sortino", "profit_factor", "calmar", "psr") else r(c, digits.get(c, 6))
+    return df.select("strategy", "ticker", *[c if c == "n_trades" else known(c) for c in _METRIC_COLUMNS])
 
 
-@query("x3_backtest_wf", f"WITH {FEATURE_SQL}, {signals_sql(_T14[:1])}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_METRICS_SELECT.replace('n_trades > 20', 'n_trades >= 0').replace('profit_factor, 4', 'profit_factor, 3')}")
+@query("x3_backtest_wf", f"WITH {FEATURE_SQL}, {signals_sql(_T14[:1])}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_METRICS_SELECT}")
 def x3(spark, sf):
     """The flagship: walk-forward baseline from ticks to metrics, per ticker."""
-    pb = per_bar(spark, sf, _T14[:1])
-    digits = {"sharpe": 4, "sortino": 4, "avg_return": 4, "profit_factor": 3, "calmar": 2, "psr": 5}
-    return reports.strategy_metrics(pb).select("strategy", "ticker", *[c if c == "n_trades" else r(c, digits.get(c, 6)) for c in _METRIC_COLUMNS])
+    return _rounded_metrics(reports.strategy_metrics(per_bar(spark, sf, _T14[:1])))
 
 
 @query("a01_a17_strategy_metrics", f"WITH {_CHAIN}, {METRICS_SQL} {_METRICS_SELECT}")
