@@ -65,7 +65,7 @@ class AnalogForecaster(Forecaster):
 class BatchForecaster(Forecaster):
     """A model as a function of contexts: (n, lookback) closes to (n, samples, pred_len) paths.
 
-    ``load`` runs once per worker; batches follow Arrow's batch size.
+    ``load`` runs once per task; batches follow Arrow's batch size.
     """
 
     def __init__(self, load: Callable[[], Callable[[np.ndarray], np.ndarray]]):

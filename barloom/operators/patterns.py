@@ -15,7 +15,7 @@ from barloom.sources.bars import by_bar, roll
 
 # Candle types in the order of their rules.
 CANDLES = (
-    "doji", "marubozu", "bull_engulf", "bear_engulf", "bull_harami", "bear_harami", "inside", "outside",
+    "doji", "marubozu", "bullish_engulf", "bearish_engulf", "bullish_harami", "bearish_harami", "inside", "outside",
     "hammer", "shooting_star", "long_lower", "long_upper", "big_bull", "big_bear", "neutral",
 )
 
@@ -47,10 +47,10 @@ def candle_type(bars: DataFrame, name: str = "candle") -> DataFrame:
         F.when(pc.isNull(), None)
         .when(body / rng < 0.05, "doji")
         .when((body / rng > 0.9) & (up / rng < 0.05) & (down / rng < 0.05), "marubozu")
-        .when(large & (c > o) & (o < pc) & (c > po), "bull_engulf")
-        .when(large & (o > c) & (o > pc) & (c < po), "bear_engulf")
-        .when(small & (c > o) & (o > po) & (c < pc), "bull_harami")
-        .when(small & (o > c) & (po > o) & (pc > c), "bear_harami")
+        .when(large & (c > o) & (o < pc) & (c > po), "bullish_engulf")
+        .when(large & (o > c) & (o > pc) & (c < po), "bearish_engulf")
+        .when(small & (c > o) & (o > po) & (c < pc), "bullish_harami")
+        .when(small & (o > c) & (po > o) & (pc > c), "bearish_harami")
         .when((h < ph) & (l > pl), "inside")
         .when((h > ph) & (l < pl), "outside")
         .when((down > 2 * body) & (up < body), "hammer")

@@ -14,9 +14,9 @@ _CANDLE_SQL = f"""{BARS_SQL}, cn0 AS (
            abs(close - open) AS body, greatest(high - low, 1e-10) AS rng, high - greatest(open, close) AS uw, least(open, close) - low AS dw FROM bars WINDOW w AS ({BY_BAR_SQL})
 ), cn AS (
     SELECT *, abs(pc - po) AS pb, CASE WHEN pc IS NULL THEN NULL WHEN body / rng < 0.05 THEN 'doji' WHEN body / rng > 0.9 AND uw / rng < 0.05 AND dw / rng < 0.05 THEN 'marubozu'
-        WHEN body > abs(pc - po) * 1.1::DOUBLE AND close > open AND open < pc AND close > po THEN 'bull_engulf' WHEN body > abs(pc - po) * 1.1::DOUBLE AND open > close AND open > pc AND close < po THEN 'bear_engulf'
-        WHEN abs(pc - po) > 0 AND body < abs(pc - po) * 0.8::DOUBLE AND close > open AND open > po AND close < pc THEN 'bull_harami'
-        WHEN abs(pc - po) > 0 AND body < abs(pc - po) * 0.8::DOUBLE AND open > close AND po > open AND pc > close THEN 'bear_harami'
+        WHEN body > abs(pc - po) * 1.1::DOUBLE AND close > open AND open < pc AND close > po THEN 'bullish_engulf' WHEN body > abs(pc - po) * 1.1::DOUBLE AND open > close AND open > pc AND close < po THEN 'bearish_engulf'
+        WHEN abs(pc - po) > 0 AND body < abs(pc - po) * 0.8::DOUBLE AND close > open AND open > po AND close < pc THEN 'bullish_harami'
+        WHEN abs(pc - po) > 0 AND body < abs(pc - po) * 0.8::DOUBLE AND open > close AND po > open AND pc > close THEN 'bearish_harami'
         WHEN high < ph AND low > pl THEN 'inside' WHEN high > ph AND low < pl THEN 'outside' WHEN dw > 2 * body AND uw < body THEN 'hammer' WHEN uw > 2 * body AND dw < body THEN 'shooting_star'
         WHEN dw > 2 * body THEN 'long_lower' WHEN uw > 2 * body THEN 'long_upper' WHEN body > 3 * abs(pc - po) AND close > open THEN 'big_bull' WHEN body > 3 * abs(pc - po) AND open > close THEN 'big_bear'
         ELSE 'neutral' END AS candle FROM cn0

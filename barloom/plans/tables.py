@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import SHORT
 from barloom.functions import metrics as m
-from barloom.operators import asof, forecast, signals, simulate, sweep
-from barloom.plans.base import BARS_SQL, RAW_SQL, bars, r
+from barloom.operators import asof, forecast, reports, signals, simulate, sweep
+from barloom.plans.base import BARS_SQL, BY_BAR_SQL, RAW_SQL, bars, r
 from barloom.plans.registry import query, table
-from barloom.plans.trading import FEATURE_SQL, TRADES_SQL, WIN_SQL, feats, signals_sql
+from barloom.plans.trading import FEATURE_SQL, LK, METRICS_SQL, PER_BAR_SQL, PL, S, TRADES_SQL, WIN_SQL, feats, per_bar, signals_sql
 from barloom.sources import bars as source
 from barloom.sources import connectors
 from barloom.sources.shared import shared_dir
@@ -40,24 +42,26 @@ def s05(spark, sf):
 
 
 @query(
-    "s06_a20_resample",
+    "a20_resample",
     f"""WITH {RAW_SQL} SELECT ticker, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, arg_min(close, ts) AS open, max(close) AS high, min(close) AS low, arg_max(close, ts) AS close, sum(volume) AS volume, round(sum(amount), 4) AS amount
         FROM (SELECT *, time_bucket(INTERVAL 4 hour, ts) AS b FROM raw) GROUP BY ticker, b""",
 )
 def s06(spark, sf):
-    """Nothing comes from the coarse feed, so the fine one is resampled; all prices from closes."""
-    fine = feed(spark, sf)
-    return connectors.first_non_empty(fine.limit(0), lambda: source.resample(fine, 240)).select("ticker", text("ts"), "open", "high", "low", "close", "volume", r("amount", 4))
+    """Hourly bars to bars of four hours; all prices from closes."""
+    return source.resample(feed(spark, sf), 240).select("ticker", text("ts"), "open", "high", "low", "close", "volume", r("amount", 4))
 
 
 @query(
     "s08_month_chunks",
-    """WITH m AS (SELECT unnest(generate_series(DATE '2023-01-01', DATE '2023-06-01', INTERVAL 1 month))::DATE AS m), c AS (SELECT greatest(DATE '2023-01-15', m) AS begin, least(DATE '2023-06-20', last_day(m)) AS finish FROM m)
-       SELECT begin::VARCHAR AS begin, finish::VARCHAR AS finish, (len(list_filter(generate_series(begin, finish, INTERVAL 1 day), lambda d: isodow(d) < 6)) * 52)::INT AS bars FROM c""",
+    """WITH e AS (SELECT event_type AS ticker, min(ts)::DATE AS a, max(ts)::DATE AS b FROM events GROUP BY 1), m AS (SELECT ticker, a, b, unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 month))::DATE AS m FROM e),
+       c AS (SELECT ticker, greatest(a, m) AS begin, least(b, last_day(m)) AS finish FROM m)
+       SELECT ticker, begin::VARCHAR AS begin, finish::VARCHAR AS finish, (len(list_filter(generate_series(begin, finish, INTERVAL 1 day), lambda d: isodow(d) < 6)) * 52)::INT AS bars FROM c""",
 )
 def s08(spark, sf):
-    c = spark.range(1).select(F.explode(source.month_chunks("2023-01-15", "2023-06-20")).alias("c")).select("c.*")
-    return c.select(F.col("begin").cast("string").alias("begin"), F.col("finish").cast("string").alias("finish"), source.expected_bars(F.col("begin"), F.col("finish")).alias("bars"))
+    """The chunks of each ticker's whole range, with the bars that their weekdays should have."""
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("ticker")).agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
+    c = e.select("ticker", F.explode(source.month_chunks(F.col("a"), F.col("b"))).alias("c")).select("ticker", "c.*")
+    return c.select("ticker", F.col("begin").cast("string").alias("begin"), F.col("finish").cast("string").alias("finish"), source.expected_bars(F.col("begin"), F.col("finish")).alias("bars"))
 
 
 @query(
@@ -99,7 +103,7 @@ def s16(spark, sf):
     return source.wide_to_long(wide, TICKERS).select("ticker", text("ts"), "open", "high", "low", "close", "volume")
 
 
-@query("s18_s19_sample_blobs")
+@query("s18_blob_codec", f"WITH {WIN_SQL} SELECT ticker, bar_ix, {4 * PL * S}::INT AS n_bytes, true AS same FROM win WHERE bar_ix >= {LK}")
 def s18(spark, sf):
     """Paths to 32-bit blobs and back."""
     b = forecast.get_forecaster("analog").transform(bars(spark, sf), SHORT).filter(F.col("bar_ix") >= 48)
@@ -109,7 +113,7 @@ def s18(spark, sf):
     return back.select("ticker", "bar_ix", F.length("blob").alias("n_bytes"), (worst < 1e-6).alias("same"))
 
 
-@query("s20_s21_s11_files")
+@query("s11_bars_and_manifest_files", f"WITH {RAW_SQL} SELECT ticker, count(*) AS n_rows, count(*) AS read_back FROM raw GROUP BY 1")
 def s20(spark, sf):
     """Bars and manifest through files in the checkpoint folder (a temporary one on a single machine)."""
     path = f"{shared_dir(spark)}/barloom-bars-{connectors.cache_key(sf)}"
@@ -117,7 +121,7 @@ def s20(spark, sf):
     return connectors.load_manifest(spark, path).join(connectors.load_bars(spark, path).groupBy("ticker").agg(F.count("*").alias("read_back")), "ticker").select("ticker", "n_rows", "read_back")
 
 
-@query("s14_s28_cache")
+@query("s14_s28_cache", f"WITH {RAW_SQL} SELECT ticker, count(*) AS n FROM raw GROUP BY 1")
 def s14(spark, sf):
     key = connectors.cache_key("bars", sf, 60, connectors.input_version(spark, f"{sf}/events.parquet"))
     return connectors.cached(spark, f"{shared_dir(spark)}/barloom-cache", key, lambda: feed(spark, sf)).groupBy("ticker").agg(F.count("*").alias("n"))
@@ -169,39 +173,72 @@ def f13(spark, sf):
     return source.quality_report(feed(spark, sf))
 
 
-_REGISTRY_ROWS = """(VALUES ('r1', 'WF', 'AAA', 'verified', 5.5, -0.1, 0.55), ('r2', 'pct', 'AAA', 'verified', 9.5, -0.2, 0.6), ('r3', 'ob', NULL, 'pending', 2.0, -0.3, 0.5), ('r4', 'old', 'BBB', 'pending', NULL, NULL, NULL)) t(id, name, asset, status, sharpe, max_dd, win_rate)"""
+# The registry holds what strategies earned on the feed: one entry per strategy and ticker.
+_LISTED = [signals.Strategy("WF", signals.WF), signals.Strategy("WF+pct", signals.WF, signals.PCT), signals.Strategy("V>2", signals.reward_ratio(2.0))]
+_REGISTRY_SQL = f"""{FEATURE_SQL}, {signals_sql(_LISTED)}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL}, registry AS (
+    SELECT strategy || '-' || ticker AS name, md5(strategy || '-' || ticker)[1:8] AS id, ticker AS asset, CASE WHEN sharpe >= 0.5 THEN 'verified' ELSE 'pending' END AS status, sharpe, max_dd, win_rate, n_trades FROM mt
+)"""
+
+
+def registry(spark, sf) -> DataFrame:
+    """The metrics of some strategies, written as a registry and read back."""
+    found = reports.strategy_metrics(per_bar(spark, sf, _LISTED))
+    name = F.concat_ws("-", "strategy", "ticker")
+    entries = F.create_map(*[x for c in ("sharpe", "max_dd", "win_rate", "n_trades") for x in (F.lit(c), F.col(c).cast("double"))])
+    none = F.lit(None).cast("string")
+    rows = found.select(
+        F.substring(F.md5(name.cast("binary")), 1, 8).alias("id"), name.alias("name"), F.col("ticker").alias("asset"), F.create_map(F.lit("strategy"), F.col("strategy")).alias("params"), none.alias("data_source"), none.alias("code_path"),
+        F.when(F.col("sharpe") >= 0.5, "verified").otherwise("pending").alias("status"), entries.alias("metrics"),
+    )
+    path = f"{shared_dir(spark)}/barloom/registry-{uuid.uuid4().hex}"
+    connectors.save_registry(rows, path)
+    return connectors.load_registry(spark, path)
+
+
+def _metric(name: str):
+    return F.try_element_at("metrics", F.lit(name))
 
 
-def registry(spark) -> DataFrame:
-    rows = spark.sql(f"SELECT * FROM VALUES {_REGISTRY_ROWS.removeprefix('(VALUES ').replace(') t(', ' AS t(')}")
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in ("sharpe", "max_dd", "win_rate")])
-    return rows.select("id", "name", "asset", "status", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("metrics"))
+@query("s23_registry_file", f"WITH {_REGISTRY_SQL} SELECT id, name, asset, status, round(sharpe, 4) AS sharpe, round(max_dd, 6) + 0.0 AS max_dd, n_trades::INT AS n_trades FROM registry")
+def s23(spark, sf):
+    return registry(spark, sf).select("id", "name", "asset", "status", r(_metric("sharpe"), 4).alias("sharpe"), r(_metric("max_dd")).alias("max_dd"), _metric("n_trades").cast("int").alias("n_trades"))
 
 
-@query("f11_list_strategies", f"SELECT name, coalesce(sharpe, 0)::DOUBLE AS sharpe FROM {_REGISTRY_ROWS} WHERE coalesce(sharpe, 0) >= 1 AND abs(coalesce(max_dd, 0)) <= 0.25 AND coalesce(win_rate, 0) >= 0.5 AND asset = 'AAA'")
+@query("f11_list_strategies", f"WITH {_REGISTRY_SQL} SELECT name, round(sharpe, 4) AS sharpe FROM registry WHERE sharpe >= -5 AND abs(max_dd) <= 0.5 AND win_rate >= 0.3 AND asset = 'click'")
 def f11(spark, sf):
-    return connectors.list_strategies(registry(spark), "AAA", 1, 0.25, 0.5).select("name", F.coalesce(F.try_element_at("metrics", F.lit("sharpe")), F.lit(0.0)).alias("sharpe"))
+    return connectors.list_strategies(registry(spark, sf), "click", -5, 0.5, 0.3).select("name", r(F.coalesce(_metric("sharpe"), F.lit(0.0)), 4).alias("sharpe"))
 
 
-@query("f12_lookup", f"SELECT id, name FROM {_REGISTRY_ROWS} WHERE name = 'r3' OR id = 'r3'")
+@query("f12_lookup", f"WITH {_REGISTRY_SQL} SELECT id, name FROM registry WHERE name IN ('WF-click', 'WF+pct-view') OR id IN (md5('V>2-click')[1:8])")
 def f12(spark, sf):
-    return connectors.lookup_strategy(registry(spark), "r3").select("id", "name")
+    """By name, by another name, and by an identifier."""
+    from hashlib import md5
 
+    known = registry(spark, sf)
+    found = [connectors.lookup_strategy(known, key).select("id", "name") for key in ("WF-click", "WF+pct-view", md5(b"V>2-click").hexdigest()[:8])]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
-@query("a40_registry_stats", f"SELECT status, count(*) AS n, min(sharpe)::DOUBLE AS least, max(sharpe)::DOUBLE AS most, round(avg(sharpe), 6) AS mean FROM {_REGISTRY_ROWS} GROUP BY 1")
+
+@query("a40_registry_stats", f"WITH {_REGISTRY_SQL} SELECT status, count(*) AS n, round(min(sharpe), 4) AS least, round(max(sharpe), 4) AS most, round(avg(sharpe), 4) AS mean FROM registry GROUP BY 1")
 def a40(spark, sf):
-    return connectors.registry_stats(registry(spark)).select("status", "n", "least", "most", r("mean"))
+    return connectors.registry_stats(registry(spark, sf)).select("status", "n", r("least", 4), r("most", 4), r("mean", 4))
 
 
 @query(
-    "s22_s23_j08_registry_upsert",
-    f"""WITH n AS (SELECT * FROM (VALUES ('WF', NULL, 7.5), ('new', 'CCC', NULL)) t(name, asset, sharpe)), o AS (SELECT * FROM {_REGISTRY_ROWS})
-        SELECT coalesce(o.name, n.name) AS name, coalesce(o.asset, n.asset) AS asset, CASE WHEN n.name IS NOT NULL THEN n.sharpe ELSE o.sharpe END::DOUBLE AS sharpe FROM o FULL JOIN n ON n.name = o.name""",
+    "s22_j08_registry_upsert",
+    f"""WITH {_REGISTRY_SQL}, n AS (SELECT strategy || '-' || ticker AS name, CASE WHEN ticker = 'error' THEN NULL ELSE round(total_pnl, 6) END AS total_return FROM mt WHERE strategy = 'WF' UNION ALL SELECT 'new-' || ticker, round(total_pnl, 6) FROM mt WHERE strategy = 'V>2')
+        SELECT coalesce(o.name, n.name) AS name, o.asset, CASE WHEN n.name IS NULL THEN round(o.sharpe, 4) END AS sharpe, n.total_return FROM registry o FULL JOIN n ON n.name = o.name""",
 )
 def s22(spark, sf):
-    raw = spark.createDataFrame([("WF", None, "7.5"), ("new", "CCC", " bad ")], "strategy string, asset string, sharpe string")
-    new = connectors.registry_from_table(raw).join(raw.select(F.col("strategy").alias("name"), "asset"), "name")
-    return connectors.upsert(registry(spark), new).select("name", "asset", F.try_element_at("metrics", F.lit("sharpe")).alias("sharpe"))
+    """A metrics file of a run, with blanks and bad numbers, merged into the registry: metrics are replaced, the rest stays."""
+    found = reports.strategy_metrics(per_bar(spark, sf, _LISTED)).filter("strategy in ('WF', 'V>2')")
+    total = F.format_string("%.6f", "total_pnl")
+    name = F.concat(F.when(F.col("strategy") == "WF", " WF-").otherwise("new-"), "ticker")
+    rows = found.select(name.alias("strategy"), F.when((F.col("strategy") == "WF") & (F.col("ticker") == "error"), "n/a").otherwise(total).alias("total_return"), F.lit("").alias("sharpe"))
+    path = f"{shared_dir(spark)}/barloom/metrics-{uuid.uuid4().hex}"
+    rows.write.option("header", True).csv(path)
+    merged = connectors.upsert(registry(spark, sf), connectors.registry_from_csv(spark, path))
+    return merged.select("name", "asset", r(_metric("sharpe"), 4).alias("sharpe"), r(_metric("total_return")).alias("total_return"))
 
 
 @query(
@@ -298,7 +335,10 @@ def k07(spark, sf):
     return forecast.nucleus(p, ["stream"], 0.5).select("stream", "code", r("prob"))
 
 
-@query("k08_k11_batch_model")
+@query(
+    "k11_batch_model",
+    f"""WITH {BARS_SQL}, c AS (SELECT ticker, bar_ix, close, (close - lag(close, {LK - 1}) OVER w) / {LK - 1} AS step FROM bars WINDOW w AS ({BY_BAR_SQL})) SELECT ticker, bar_ix, round(close + step * {PL}, 6) AS last FROM c WHERE step IS NOT NULL""",
+)
 def k08(spark, sf):
     """A stand-in model behind the batch interface: last close plus the context's mean step."""
 
@@ -317,14 +357,19 @@ def k08(spark, sf):
     return found.select("ticker", "bar_ix", r(F.col("paths")[SHORT.samples - 1][SHORT.pred_len - 1]).alias("last"))
 
 
-@query("v01_streaming_candles", None)
+@query(
+    "v01_streaming_candles",
+    f"""WITH {RAW_SQL} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, open, high, low, close, volume, round(amount, 4) AS amount FROM raw
+        WHERE ts + INTERVAL 1 hour <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 hour""",
+)
 def v01(spark, sf):
-    """Extension: the event feed as a stream, in append mode with a watermark."""
-    static = table(spark, sf, "events")
-    stream = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parquet*")
-    name = f"candles_{abs(hash(sf))}"
-    q = candles.streaming_bars(source.event_ticks(stream), 60).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """Extension: the event feed as a stream, in append mode into files; bars that the watermark hasn't passed aren't final."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    path = f"{shared_dir(spark)}/barloom/candles-{uuid.uuid4().hex}"
+    found = candles.streaming_bars(source.event_ticks(stream), 60)
+    q = found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/bars")
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(found.schema).parquet(f"{path}/bars").select("ticker", text("ts"), "open", "high", "low", "close", "volume", r("amount", 4))
 
 

@@ -137,9 +137,9 @@ def common_times(bars: DataFrame) -> DataFrame:
     return bars.join(times, "ts", "left_semi")
 
 
-def month_chunks(start: str, end: str) -> Column:
+def month_chunks(start: str | Column, end: str | Column) -> Column:
     """Array of (begin, finish) dates that cut a range by calendar months."""
-    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    a, b = ((x if isinstance(x, Column) else F.lit(x)).cast("date") for x in (start, end))
     months = F.sequence(F.trunc(a, "month"), F.trunc(b, "month"), F.expr("interval 1 month"))
     return F.transform(months, lambda m: F.struct(F.greatest(a, m).alias("begin"), F.least(b, F.last_day(m)).alias("finish")))
 

@@ -116,18 +116,30 @@ METRICS = ("sharpe", "max_dd", "win_rate", "profit_factor", "total_return", "n_t
 REGISTRY = "id string, name string, asset string, params map<string,string>, data_source string, code_path string, status string, metrics map<string,double>"
 
 
+def _beside(path: str) -> tuple[str, str]:
+    return f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+
+
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REGISTRY).json(path)
+    _, old = _beside(path)
+    return spark.read.schema(REGISTRY).json(old if not exists(spark, path) and exists(spark, old) else path)
 
 
 def save_registry(registry: DataFrame, path: str) -> None:
-    """Written beside the old one, which may be what ``registry`` reads, and then put in its place."""
-    spark, aside = registry.sparkSession, f"{path.rstrip('/')}.new"
-    registry.coalesce(1).write.mode("overwrite").json(aside)
+    """Written beside the old one, which may be what ``registry`` reads, and then put in its place.
+
+    The old one is moved aside first and goes last, so that one of both is there at
+    any time; :func:`load_registry` reads the one aside where a crash left no other.
+    """
+    spark, (new, old) = registry.sparkSession, _beside(path)
+    registry.coalesce(1).write.mode("overwrite").json(new)
     jvm = spark._jvm.org.apache.hadoop.fs
     files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(jvm.Path(path), True)
-    files.rename(jvm.Path(aside), jvm.Path(path))
+    if files.exists(jvm.Path(path)):
+        files.delete(jvm.Path(old), True)
+        files.rename(jvm.Path(path), jvm.Path(old))
+    files.rename(jvm.Path(new), jvm.Path(path))
+    files.delete(jvm.Path(old), True)
 
 
 def registry_from_csv(spark: SparkSession, path: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -83,8 +83,8 @@ def test_clusters_chain(spark):
 
 def test_candle_rules_in_order(make_bars):
     pairs = [
-        ((10, 12, 8, 11), (10, 11, 9, 10.05), "doji"), ((10, 12, 8, 11), (10, 11, 10, 11), "marubozu"), ((11, 11.5, 9.5, 10), (9.9, 11.6, 9.7, 11.2), "bull_engulf"),
-        ((10, 11.5, 9.5, 11), (11.1, 11.4, 9.6, 9.9), "bear_engulf"), ((10, 12, 9, 12), (10.5, 11.5, 10, 11), "bull_harami"), ((10, 12, 8, 11), (10.2, 11.9, 8.1, 11.1), "inside"),
+        ((10, 12, 8, 11), (10, 11, 9, 10.05), "doji"), ((10, 12, 8, 11), (10, 11, 10, 11), "marubozu"), ((11, 11.5, 9.5, 10), (9.9, 11.6, 9.7, 11.2), "bullish_engulf"),
+        ((10, 11.5, 9.5, 11), (11.1, 11.4, 9.6, 9.9), "bearish_engulf"), ((10, 12, 9, 12), (10.5, 11.5, 10, 11), "bullish_harami"), ((10, 12, 8, 11), (10.2, 11.9, 8.1, 11.1), "inside"),
         ((10, 12, 8, 11), (10.2, 12.5, 7.5, 11.1), "outside"),
     ]
     for first, second, want in pairs:
