@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from barloom.config import PERIODS_QUARTER, PERIODS_TRADE
+from barloom.config import PERIODS_QUARTER, PERIODS_STRATEGY, PERIODS_TRADE
 from barloom.functions import metrics as m
-from barloom.operators.simulate import with_equity
+from barloom.operators.simulate import held_returns, with_equity
 from barloom.operators.windows import quarter_of
 
 
@@ -36,6 +38,56 @@ def strategy_metrics(per_bar: DataFrame, keys: tuple[str, ...] = ("strategy", "t
     )
 
 
+def trade_metrics(trades: DataFrame, bars: DataFrame, commission: float = 0.0, trials: int = 1, periods: int = PERIODS_STRATEGY) -> DataFrame:
+    """:func:`strategy_metrics` of :func:`simulate.per_bar`, from the held bars alone and each ticker's number of bars.
+
+    Idle bars add nothing to sums and leave the curve where it is, so only their number
+    counts: the deviation over all bars is put together from that of the held ones.
+    """
+    keys = ("strategy", "ticker")
+    held = with_equity(held_returns(trades, commission), keys)
+    ret, active = F.col("ret"), F.when(F.col("ret") != 0, F.col("ret"))
+    # The curve stands at 1 until something is held, so that is its first peak, unless the very first bar is.
+    first = F.min("bar_ix") == 0
+    low, of_one = m.max_drawdown(F.col("equity"), F.col("peak")), m.max_drawdown(F.col("equity"), F.greatest("peak", F.lit(1.0)))
+    own = held.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(ret).alias("mean"), F.stddev_pop(ret).alias("std"), F.sum(ret).alias("total_pnl"), F.sum(F.least(ret, F.lit(0.0)) ** 2).alias("down"),
+        m.n_active(ret).alias("n_trades"), m.profit_factor(active).alias("profit_factor"), m.win_rate(active).alias("win_rate"), F.avg(active).alias("active_mean"),
+        F.least(F.lit(0.0), F.when(first, low).otherwise(of_one)).alias("max_dd"), m.probabilistic_sharpe(active).alias("psr"), m.deflated_sharpe(active, trials).alias("dsr"),
+        (F.max_by("equity", "bar_ix") / F.when(first, F.min_by("equity", "bar_ix")).otherwise(1.0) - 1).alias("total_return"),
+    )
+    of_ticker = bars.groupBy("ticker").agg(F.count("*").alias("all"))
+    n, k = F.col("all").cast("double"), F.col("n")
+    mean = F.col("total_pnl") / n
+    std = F.sqrt((k * F.col("std") ** 2 + k * (F.col("mean") - mean) ** 2 + (n - k) * mean**2) / n)
+    downside, scale = F.sqrt(F.col("down") / n), math.sqrt(periods)
+    return own.join(of_ticker, "ticker").select(
+        *keys,
+        F.when(n < 2, 0.0).otherwise(scale * mean / (std + 1e-8)).alias("sharpe"),
+        F.when(downside < 1e-8, 0.0).otherwise(scale * mean / F.greatest(downside, F.lit(1e-8))).alias("sortino"),
+        (mean * periods).alias("avg_return"),
+        (F.col("n_trades") / n).alias("trade_pct"),
+        "n_trades", "profit_factor", "win_rate", "max_dd",
+        (F.coalesce("active_mean", F.lit(0.0)) * periods / (F.abs("max_dd") + 1e-8)).alias("calmar"),
+        "psr", "dsr", "total_return", "total_pnl",
+    )
+
+
+def before_and_after(per_bar: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(strategy, quarter, and of aver_ret, profit_factor and win_rate: before, after, delta): each strategy beside the version with a filter.
+
+    Quarters and "overall" as in :func:`quarter_tuples`; what the filtered version lacks is 0.
+    """
+    values = ("aver_ret", "profit_factor", "win_rate")
+    names = F.create_map(*[x for a, b in pairs for x in (F.lit(b), F.lit(a))])
+    q = quarter_tuples(per_bar.filter(F.col("strategy").isin([x for p in pairs for x in p])))
+    before = q.filter(F.col("strategy").isin([a for a, _ in pairs])).select("strategy", "quarter", *[F.col(c).alias(f"{c}_before") for c in values])
+    after = q.filter(F.col("strategy").isin([b for _, b in pairs])).select(F.element_at(names, F.col("strategy")).alias("strategy"), "quarter", *[F.col(c).alias(f"{c}_after") for c in values])
+    both = before.join(after, ["strategy", "quarter"], "left")
+    later = lambda c: F.coalesce(f"{c}_after", F.lit(0.0))
+    return both.select("strategy", "quarter", *[x for c in values for x in (F.col(f"{c}_before"), later(c).alias(f"{c}_after"), (later(c) - F.col(f"{c}_before")).alias(f"{c}_delta"))])
+
+
 def trade_report(trades: DataFrame, *keys: str | Column, order: str = "w") -> DataFrame:
     """Counts, rates, means and risk of trades (ret, reason), compounded in the order of entry."""
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -194,6 +194,12 @@ def batch_run() -> list[Strategy]:
     return out + [Strategy(f"{(v := variant(*b, also=f'{also} AND {not_bad4}')).name.removesuffix(' noTP')}{more} noTP+4regFilter", v.signal, v.gate, v.mode) for b, more, also in top5]
 
 
+def champion_pairs() -> list[tuple[Strategy, Strategy]]:
+    """The five best variants, each before and after the filter by four regimes."""
+    after = [s for s in batch_run() if s.name.endswith("+4regFilter")]
+    return [(Strategy(s.name.removesuffix("+4regFilter"), s.signal, s.gate.removesuffix(f" AND regime NOT IN {BAD4!r}"), s.mode), s) for s in after]
+
+
 def signals(f: DataFrame, strategies: list[Strategy], kept: tuple[str, ...] = ("ticker", "w", "pos", "pred_ts", "entry_close", "entry_open", "g_tp", "g_sl", "horizon")) -> DataFrame:
     """One row per strategy and window with a signal other than 0; narrow."""
     # Each distinct signal becomes one column, so that expressions stay small however many variants use it.

@@ -37,19 +37,28 @@ def simulate(signals: DataFrame) -> DataFrame:
     return traded.select("ticker", "strategy", "w", "pos", "pred_ts", "sig", "entry_open", "tp", "sl", F.col("x.reason").alias("reason"), F.col("x.price").alias("exit_price"), F.col("x.ret").alias("ret"), F.col("x.holding").alias("holding"))
 
 
-def per_bar(trades: DataFrame, bars: DataFrame, strategies: list[str], commission: float = 0.0) -> DataFrame:
-    """(strategy, ticker, bar_ix, ts, ret): each trade's return spread evenly over the bars it is held, the mean where trades overlap, zero elsewhere.
+def held_returns(trades: DataFrame, commission: float = 0.0) -> DataFrame:
+    """(strategy, ticker, bar_ix, ret) for bars on which a trade is held: its return spread evenly over them, the mean where trades overlap.
 
-    Trades whose return is exactly 0 don't count; a strategy without other trades
-    of a ticker has no rows there.  The strategies' names are given, so that the
-    bars to fill are known without simulating twice.
+    Trades whose return is exactly 0 don't count.
     """
     spread = (
         trades.filter("ret <> 0")
         .withColumn("part", (F.col("ret") - commission) / F.col("holding"))
         .withColumn("bar_ix", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + F.col("holding"))))
     )
-    held = spread.groupBy("strategy", "ticker", "bar_ix").agg((F.sum("part") / F.count("*")).alias("ret"))
+    return spread.groupBy("strategy", "ticker", "bar_ix").agg((F.sum("part") / F.count("*")).alias("ret"))
+
+
+def per_bar(trades: DataFrame, bars: DataFrame, strategies: list[str], commission: float = 0.0) -> DataFrame:
+    """(strategy, ticker, bar_ix, ts, ret): each trade's return spread evenly over the bars it is held, the mean where trades overlap, zero elsewhere.
+
+    Trades whose return is exactly 0 don't count; a strategy without other trades
+    of a ticker has no rows there.  The strategies' names are given, so that the
+    bars to fill are known without simulating twice.  This makes a row for each bar and
+    strategy; :func:`barloom.operators.reports.trade_metrics` needs none for idle bars.
+    """
+    held = held_returns(trades, commission)
     spine = bars.select(F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"), "ticker", "bar_ix", "ts")
     filled = spine.join(held, ["strategy", "ticker", "bar_ix"], "left")
     traded = F.max("ret").over(W.partitionBy("strategy", "ticker")).isNotNull()

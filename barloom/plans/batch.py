@@ -150,5 +150,33 @@ def t04(spark, sf):
     """Every variant of the batch run with its regime variants in one pass; all rows."""
     strategies = signals.batch_run()
     trades = simulate.simulate(signals.batch_signals(signals.batch_features(feats(spark, sf), SHORT), strategies))
+    return reports.trade_metrics(trades, bars(spark, sf)).select("strategy", "ticker", "n_trades", r("win_rate"), r("total_return"), r("total_pnl"), r("max_dd"), r("avg_return", 4), r("sharpe", 3))
+
+
+_TOP = ("WF+BB%B+BBmom", "WF+BB%B+BBmom+vol", "WF+BB%B+BBmom+confTrend", "H5<0.4+BBwidth+BBmom")
+_WIDE_MC = "(w <= 10 OR mc_std >= wf_mc)"
+_PAIRS = [
+    *(p for b in _TOP for p in (_named(f"{b} noTP"), _named(f"{b} noTP", "NOT was_bad4", f"{b} noTP+4regFilter"))),
+    _named("WF+BB%B+BBmom noTP", _WIDE_MC, "WF+BB%B+BBmom+mcBig noTP"),
+    _named("WF+BB%B+BBmom noTP", f"NOT was_bad4 AND {_WIDE_MC}", "WF+BB%B+BBmom+mcBig noTP+4regFilter"),
+]
+_CHAMPION_SQL = _SIGNALS_SQL.replace(_ROWS, ", ".join(f"{{'strategy': '{n}', 'sig': CASE WHEN coalesce({gate}, false) THEN {s} ELSE 0 END, 'mode': '{mode}'}}" for n, s, gate, mode in _PAIRS))
+
+
+@query(
+    "t15_before_and_after",
+    f"""WITH {_CHAMPION_SQL}, {TRADES_SQL}, {PER_BAR_SQL}, q AS (SELECT *, year(ts)::VARCHAR || '-Q' || quarter(ts)::VARCHAR AS quarter FROM per_bar WHERE ret <> 0),
+        ql AS (SELECT strategy, coalesce(quarter, 'overall') AS quarter, count(*) AS n, avg(ret) AS ar, coalesce(sum(ret) FILTER (ret > 0), 0) / greatest(abs(coalesce(sum(ret) FILTER (ret < 0), 0)), 1e-12) AS pf, avg((ret > 0)::INT) AS wr
+               FROM q GROUP BY ROLLUP (strategy, quarter) HAVING strategy IS NOT NULL), t AS (SELECT * FROM ql WHERE n >= CASE WHEN quarter = 'overall' THEN 6 ELSE 5 END)
+        SELECT a.strategy, a.quarter, round(a.ar, 6) + 0.0 AS aver_ret_before, round(coalesce(b.ar, 0), 6) + 0.0 AS aver_ret_after, round(coalesce(b.ar, 0) - a.ar, 6) + 0.0 AS aver_ret_delta, round(a.pf, 3) AS profit_factor_before, round(coalesce(b.pf, 0), 3) AS profit_factor_after,
+               round(coalesce(b.pf, 0) - a.pf, 3) + 0.0 AS profit_factor_delta, round(a.wr, 6) AS win_rate_before, round(coalesce(b.wr, 0), 6) AS win_rate_after, round(coalesce(b.wr, 0) - a.wr, 6) + 0.0 AS win_rate_delta
+        FROM t a LEFT JOIN t b ON b.strategy = a.strategy || '+4regFilter' AND b.quarter = a.quarter WHERE a.strategy NOT LIKE '%4regFilter'""",
+)
+def t15_before_and_after(spark, sf):
+    """The champion's breakdown: average return, profit factor and win rate of the five best by quarter, before and after the filter by regimes."""
+    pairs = signals.champion_pairs()
+    strategies = [s for p in pairs for s in p]
+    trades = simulate.simulate(signals.batch_signals(signals.batch_features(feats(spark, sf), SHORT), strategies))
     pb = simulate.per_bar(trades, bars(spark, sf), [s.name for s in strategies])
-    return reports.strategy_metrics(pb).select("strategy", "ticker", "n_trades", r("win_rate"), r("total_return"), r("total_pnl"), r("max_dd"), r("avg_return", 4), r("sharpe", 3))
+    found = reports.before_and_after(pb, [(a.name, b.name) for a, b in pairs])
+    return found.select("strategy", "quarter", *[r(c, 3 if c.startswith("profit") else 6) for c in found.columns if c not in ("strategy", "quarter")])

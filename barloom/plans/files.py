@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from barloom.config import SHORT
-from barloom.operators import evaluation, forecast, reports, windows
+from barloom.operators import evaluation, forecast, loader, reports, signals, simulate, windows
 from barloom.plans.base import BARS_SQL, RAW_SQL, bars, r
 from barloom.plans.registry import query, table
 from barloom.plans.reports import _QUARTERS_SQL, EVALUATION_SQL, evaluated, per_bar
-from barloom.plans.trading import BELIEF_SQL, PL, S, WIN_SQL
+from barloom.plans.trading import BELIEF_SQL, FEATURE_SQL, PL, S, TRADES_SQL, WIN_SQL, feats, signals_sql
 from barloom.sources import bars as source
-from barloom.sources import connectors, results
+from barloom.sources import connectors, matrix, results
 from barloom.sources.shared import shared_dir
 
 
@@ -105,3 +105,53 @@ def w32(spark, sf):
     from barloom.operators.rolling import close_rising
 
     return close_rising(bars(spark, sf)).select("ticker", "bar_ix", "close_rising")
+
+
+_TICKERS = ["click", "error", "purchase", "signup", "view"]
+# The ranges are parts of the feed's weeks.
+_SPLITS = {"train": ("2024-01-01", "2024-01-15"), "val": ("2024-01-15", "2024-01-22"), "test": ("2024-01-22", "2025-01-01")}
+_SPLIT_SQL = "CASE " + " ".join(f"WHEN ts >= '{a}' AND ts < '{b}' THEN '{n}'" for n, (a, b) in _SPLITS.items()) + " END"
+
+
+@query(
+    "s24_stacked_matrix",
+    f"""WITH {BARS_SQL}, x AS (SELECT *, {_SPLIT_SQL} AS split FROM bars), c AS (SELECT split, ts FROM x GROUP BY 1, 2 HAVING count(DISTINCT ticker) = 5)
+        SELECT x.split, x.ticker, strftime(x.ts, '%Y-%m-%d %H:%M:%S') AS ts, {", ".join(f"round(x.{f}::FLOAT::DOUBLE, 3) AS {f}" for f in matrix.FIELDS)} FROM x JOIN c ON c.split = x.split AND c.ts = x.ts WHERE x.ts < '2024-01-29'""",
+)
+def s24_matrix(spark, sf):
+    """Session bars at common times as a dense matrix of 32-bit floats in blocks of 16 times, read back by range."""
+    path = fresh(spark, "matrix")
+    matrix.save_matrix(bars(spark, sf), path, _TICKERS, _SPLITS, block=16)
+    rows = matrix.matrix_to_long(spark, matrix.load_matrix(spark, path, end="2024-01-29"), path)
+    return rows.select("split", "ticker", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), *[r(f, 3) for f in matrix.FIELDS])
+
+
+@query(
+    "s30_wide_file",
+    f"""WITH {RAW_SQL}, l AS (SELECT ticker, ts, unnest(['open', 'high', 'low', 'close', 'volume']) AS field, unnest([open, high, low, close, volume]) AS value FROM raw)
+        SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ticker || '_' || field AS name, round(value::FLOAT::DOUBLE, 3) AS value FROM l""",
+)
+def s30_wide(spark, sf):
+    """Bars as a wide file of 32-bit columns, read back and unpivoted."""
+    path = fresh(spark, "wide")
+    matrix.save_wide(source.ticks_to_bars(source.event_ticks(table(spark, sf, "events")), 60), path, _TICKERS)
+    wide = spark.read.parquet(path)
+    columns = [c for c in wide.columns if c != "timestamp"]
+    long = wide.select("timestamp", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in columns])).alias("x")).filter("x.value is not null")
+    return long.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), "x.name", r(F.col("x.value").cast("double"), 3).alias("value"))
+
+
+_LOADED = [signals.Strategy("WF", signals.WF), signals.Strategy("WF+pct", signals.WF, signals.PCT, "no_tp"), signals.Strategy("V>2", signals.reward_ratio(2.0), "bb_mom")]
+
+
+@query(
+    "g06_loaded_strategies",
+    f"WITH {FEATURE_SQL}, {signals_sql(_LOADED)}, {TRADES_SQL} SELECT strategy, ticker, w, sig::INT AS sig, reason, round(ret, 6) + 0.0 AS ret FROM trades",
+)
+def g06_loaded(spark, sf):
+    """Trades of strategies that were saved in a registry, loaded from it by name and checked against the features."""
+    path = fresh(spark, "strategies")
+    connectors.save_registry(loader.registry_rows(spark, _LOADED), path)
+    f = feats(spark, sf)
+    found = loader.load_from(spark, path, f, ["WF", "V>2", "WF+pct"])
+    return simulate.simulate(signals.signals(f, found)).select("strategy", "ticker", "w", "sig", "reason", r("ret"))

@@ -305,18 +305,18 @@ def _rounded_metrics(df: DataFrame) -> DataFrame:
 @query("x3_backtest_wf", f"WITH {FEATURE_SQL}, {signals_sql(_T14[:1])}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_METRICS_SELECT}")
 def x3(spark, sf):
     """The flagship: walk-forward baseline from ticks to metrics, per ticker."""
-    return _rounded_metrics(reports.strategy_metrics(per_bar(spark, sf, _T14[:1])))
+    return _rounded_metrics(reports.trade_metrics(run(spark, sf, _T14[:1]), bars(spark, sf)))
 
 
 @query("a01_a17_strategy_metrics", f"WITH {_CHAIN}, {METRICS_SQL} {_METRICS_SELECT}")
 def a01(spark, sf):
-    return _rounded_metrics(reports.strategy_metrics(per_bar(spark, sf, _T14)))
+    return _rounded_metrics(reports.trade_metrics(run(spark, sf, _T14), bars(spark, sf)))
 
 
 @query("t13_all_strategies", f"WITH {FEATURE_SQL}, {signals_sql(signals.catalogue())}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_METRICS_SELECT}")
 def t13(spark, sf):
     """The variants of the catalogue in one pass."""
-    return _rounded_metrics(reports.strategy_metrics(per_bar(spark, sf, signals.catalogue())))
+    return _rounded_metrics(reports.trade_metrics(run(spark, sf, signals.catalogue()), bars(spark, sf)))
 
 
 _WR_SQL = f"""{FEATURE_SQL}, {signals_sql([signals.Strategy("WF", signals.WF)])}, wr0 AS (

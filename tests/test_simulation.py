@@ -82,3 +82,24 @@ def test_expanding_bounds_branches(spark):
     assert got.q_hi[10] == 0.001 and got.q_lo[10] == -0.001
     for w, seen in ((11, 12), (99, 100), (100, 100), (101, 101)):
         assert got.q_hi[w] == pytest.approx(np.quantile(values[:seen], 0.9)) and got.q_lo[w] == pytest.approx(np.quantile(values[:seen], 0.1))
+
+
+def test_metrics_without_idle_bars(spark, make_bars):
+    """The same as from a row for every bar, also where the first bar is held or all is lost."""
+    import random
+
+    from barloom.operators import reports
+
+    rng = random.Random(6)
+    bars = make_bars([(1, 1, 1, 1)] * 60).unionByName(make_bars([(1, 1, 1, 1)] * 20, ticker="U"))
+    rows = [("S", "T", k, 1 + k % 3, rng.uniform(-0.03, 0.03)) for k in range(3, 50, 2)] + [("S", "U", -1, 2, -0.1), ("S", "U", 4, 1, 0.05), ("down", "T", 5, 2, -0.2), ("one", "U", 7, 1, 0.01), ("none", "U", 3, 2, 0.0), ("late", "T", 30, 4, 0.3), ("late", "T", 40, 4, -0.3)]
+    trades = spark.createDataFrame(rows, "strategy string, ticker string, pos long, holding int, ret double")
+    for commission in (0.0, 0.001):
+        dense = reports.strategy_metrics(simulate.per_bar(trades, bars, ["S", "down", "one", "none", "late"], commission), trials=5)
+        sparse = reports.trade_metrics(trades, bars, commission, trials=5)
+        assert set(sparse.columns) == set(dense.columns)
+        want, got = ({(r.strategy, r.ticker): r.asDict() for r in df.collect()} for df in (dense, sparse))
+        assert got.keys() == want.keys() and len(want) == 5
+        for key, row in want.items():
+            for c, v in row.items():
+                assert got[key][c] == (v if isinstance(v, str) else pytest.approx(v, rel=1e-6, abs=1e-9)), (key, c)
