@@ -407,7 +407,7 @@ def window_features(spark, sf) -> DataFrame:
     f = forecast.get_forecaster("analog").transform(b, SHORT)
     w = windows.sliding_windows(f, SHORT).select("ticker", "w", "pos", "pred_ts", "entry_close", "entry_open", "horizon", "paths")
     w = w.withColumn("dir", atoms.consensus(F.col("paths"), F.col("entry_close"))[0]["dir"])
-    return asof.asof_join(w, marked, "ticker", "pred_ts", "ts", ["close", "vwap", "upper", "lower", "width", "low_range", "ob5", "ob2", "vob"])
+    return asof.asof_join(w, marked, "ticker", "pred_ts", "ts", ["close", "vwap", "upper", "lower", "width", "low_range", "ob5", "ob2", "vob"], bucket="month")
 
 
 def per_window_trades(f: DataFrame, chosen: tuple, tp_q: float = 0.9, sl_q: float = 0.1) -> DataFrame:

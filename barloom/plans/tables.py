@@ -250,7 +250,7 @@ def s22(spark, sf):
 def j02(spark, sf):
     """The last ten bars strictly before each event."""
     e = table(spark, sf, "events").select(F.col("event_type").alias("ticker"), F.col("ts").alias("pred_ts"), "event_id")
-    s = asof.asof_windows(e, bars(spark, sf).select("ticker", "ts", "close"), "ticker", "pred_ts", 10, ["close"])
+    s = asof.asof_windows(e, bars(spark, sf).select("ticker", "ts", "close"), "ticker", "pred_ts", 10, ["close"], bucket="week")
     return s.select("event_id", F.when(F.col("slice").isNotNull(), F.size("slice")).otherwise(F.lit(-1)).alias("n"), r(F.aggregate("slice", F.lit(0.0), lambda a, x: a + x["close"]) / F.size("slice")).alias("mean_close"))
 
 
@@ -262,7 +262,7 @@ def j02(spark, sf):
 )
 def j03(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("ticker"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("t")).distinct()
-    return asof.nearest_join(e, bars(spark, sf).select("ticker", "ts", "close"), "ticker", "t", "ts", ["close"]).select("ticker", text("t"), "close")
+    return asof.nearest_join(e, bars(spark, sf).select("ticker", "ts", "close"), "ticker", "t", "ts", ["close"], bucket="week").select("ticker", text("t"), "close")
 
 
 @query(

@@ -167,3 +167,25 @@ def test_tickers_do_not_mix(make_bars):
     alone = column(rolling.vwap(rolling.bollinger(one)), "upper")
     both = rolling.vwap(rolling.bollinger(one.unionByName(two))).filter("ticker = 'A'")
     assert column(both, "upper") == alone
+
+
+@pytest.mark.parametrize("bucket", [None, "day", "week", "month"])
+def test_asof_in_buckets(spark, bucket):
+    """By brute force, with ties, empty stretches, keys on one side only and unknown times."""
+    from datetime import datetime, timedelta
+
+    rng = random.Random(11)
+    at = lambda: datetime(2024, 1, 1) + timedelta(hours=rng.choice([rng.randrange(48), rng.randrange(24 * 70, 24 * 90)]))
+    left = [(n, rng.choice("abc"), at()) for n in range(150)] + [(900, "a", None), (901, "z", at()), (902, None, at())]
+    right = [(k, t, float(n)) for n, (k, t) in enumerate({(rng.choice("abd"), at()) for _ in range(120)})] + [("a", None, -1.0)]
+    a, b = spark.createDataFrame(left, "n int, k string, t timestamp_ntz"), spark.createDataFrame(right, "k string, ts timestamp_ntz, x double")
+    for strict in (True, False):
+        for forward in (True, False):
+            got = {r.n: (r.asof_ts, r.x) for r in asof.asof_join(a, b, "k", "t", "ts", ["x"], strict, forward, bucket).collect()}
+            for n, k, t in left:
+                fits = [(ts, x) for q, ts, x in right if q == k and ts and t and ((ts > t or (ts == t and not strict)) if forward else (ts < t or (ts == t and not strict)))]
+                assert got[n] == ((min if forward else max)(fits) if fits else (None, None)), (n, strict, forward)
+    near = {r.n: r.x for r in asof.nearest_join(a, b, "k", "t", "ts", ["x"], 3 * 3600, bucket).collect()}
+    for n, k, t in left:
+        fits = [(abs(ts - t), ts, x) for q, ts, x in right if q == k and ts and t and abs(ts - t) <= timedelta(hours=3)]
+        assert near[n] == (min(fits)[2] if fits else None), n
