@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.config import SHORT
 from barloom.functions import metrics as m, normal
-from barloom.operators import asof, atoms, evaluation, forecast, patterns, portfolio, reports, rolling, signals, simulate, windows
+from barloom.operators import asof, atoms, evaluation, forecast, patterns, portfolio, quantiles, reports, rolling, signals, simulate, windows
 from barloom.plans.base import BARS_SQL, BY_BAR_SQL, bars, r
 from barloom.plans.indicators import ADR_SQL
 from barloom.plans.patterns import ob_sql
@@ -224,11 +224,12 @@ def a12(spark, sf):
 )
 def a36(spark, sf):
     b = forecast.beliefs(bars(spark, sf), SHORT)
-    q = lambda p: r(F.percentile("confidence", F.lit(p)))
-    return b.groupBy("h").agg(
-        r(F.avg("confidence")).alias("mean_confidence"), r(F.stddev_pop("confidence")).alias("std_confidence"), q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"),
+    q = quantiles.exact_quantiles(b, "confidence", [0.05, 0.5, 0.95], ("h",))
+    found = b.groupBy("h").agg(
+        r(F.avg("confidence")).alias("mean_confidence"), r(F.stddev_pop("confidence")).alias("std_confidence"),
         r(F.min("confidence")).alias("least"), r(F.max("confidence")).alias("most"), r(m.pearson("confidence", "entropy_s1"), 5).alias("corr_entropy"), r(m.pearson("confidence", "top3_mass"), 5).alias("corr_top3"),
     )
+    return found.join(q, "h").select("*", *[r(F.col("quantiles")[i]).alias(c) for i, c in enumerate(("p05", "p50", "p95"))]).drop("quantiles")
 
 
 @query(
@@ -252,8 +253,7 @@ def f06(spark, sf):
 def a39(spark, sf):
     """Buckets by percentile edges, so equal values share a bucket."""
     f = feats(spark, sf)
-    edges = f.agg(F.percentile("conf", F.array(*[F.lit(k / 10) for k in range(1, 10)])).alias("edges"))
-    b = f.join(F.broadcast(edges)).withColumn("decile", F.size(F.filter("edges", lambda x: x <= F.col("conf"))))
+    b = quantiles.deciles(f, "conf")
     return b.groupBy("decile").agg(F.count("*").alias("n"), r(F.avg("agree"), 5).alias("mean_agree"), r(F.avg("actual_ret")).alias("mean_ret"))
 
 
@@ -292,7 +292,7 @@ def j06(spark, sf):
 def x04(spark, sf):
     """Close-to-entry returns without levels, by quantiles of the whole history (it looks ahead)."""
     f = feats(spark, sf)
-    q = f.groupBy("ticker").agg(F.percentile("pred_ret", F.array(F.lit(0.9), F.lit(0.1))).alias("q"))
+    q = quantiles.exact_quantiles(f, "pred_ret", [0.9, 0.1], ("ticker",)).withColumnRenamed("quantiles", "q")
     s = f.join(q, "ticker").withColumn("sig", F.when(F.col("pred_ret") > F.col("q")[0], 1).when(F.col("pred_ret") < F.col("q")[1], -1).otherwise(0)).filter("sig <> 0")
     e = s.select("ticker", "pos", "sig", "entry_close", F.posexplode("horizon").alias("k", "b"))
     part = F.try_divide(F.col("sig") * (F.col("b.close") - F.col("entry_close")), F.col("entry_close")) / PL

@@ -103,3 +103,27 @@ def test_metrics_without_idle_bars(spark, make_bars):
         for key, row in want.items():
             for c, v in row.items():
                 assert got[key][c] == (v if isinstance(v, str) else pytest.approx(v, rel=1e-6, abs=1e-9)), (key, c)
+
+
+@pytest.mark.parametrize("bins", [1, 3, 4096])
+def test_quantiles_are_those_of_percentile(spark, bins):
+    import math
+    import random
+
+    from barloom.operators.quantiles import deciles, exact_quantiles
+
+    rng = random.Random(7)
+    values = {"a": [rng.gauss(0, 1) for _ in range(300)], "b": [2.5] * 40, "c": [1.0], "d": [math.nan, 1.0, math.inf, -math.inf, 2.0, 3.0, math.nan], None: [1e300, -1e300, 0.0, 1e-300, 5.0] * 3, "e": [None, None], "f": [rng.choice([1.0, 2.0, 7.0]) for _ in range(100)]}
+    d = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "k string, x double").repartition(5)
+    ps = [0.0, 0.05, 0.5, 0.77, 1.0]
+    want = {r.k: r.q for r in d.filter("x is not null").groupBy("k").agg(F.percentile("x", F.array(*map(F.lit, ps))).alias("q")).collect()}
+    got = {r.k: r.quantiles for r in exact_quantiles(d, "x", ps, ("k",), bins).collect()}
+    assert got.keys() == want.keys()
+    for k, q in want.items():
+        assert got[k] == pytest.approx(q, rel=1e-12, nan_ok=True), k
+    a = d.filter("k = 'a'")
+    assert exact_quantiles(a, "x", [0.3], bins=bins).first().quantiles == pytest.approx([a.agg(F.percentile("x", 0.3)).first()[0]])
+    assert exact_quantiles(d.limit(0), "x", [0.3], ("k",), bins).count() == 0
+    n = {r.decile: r["count"] for r in deciles(a, "x").groupBy("decile").count().collect()}
+    assert n == dict.fromkeys(range(10), 30)
+    assert [r.decile for r in deciles(d.filter("k = 'b'"), "x").distinct().collect()] == [9]
