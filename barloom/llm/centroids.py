@@ -13,7 +13,9 @@ of the others are not taken).
 
 Scale: vectors and their apexes are written once; a round reads them, and a task
 sends one row of sums per cluster, whatever the number of its vectors.  The driver
-holds ``k`` centroids of ``dims`` numbers and no vectors but the first ``k``.
+holds ``k`` centroids of ``dims`` numbers, and of the vectors those that may be
+pivots.  Vectors nearly as far from all centroids, as in many dimensions, need many
+pivots for bounds that filter; well separated ones do with few.
 
 Cases: a vector that is null, has not exactly ``dims`` components, or has one that
 is null or not finite is left out; a component x is floor(``scale`` * x); fewer than ``k``
@@ -127,7 +129,7 @@ def centroid_clusters(
     rounds: int = 5,
     dims: int = 64,
     scale: int = 256,
-    n_pivots: int = 12,
+    n_pivots: int = 56,
     seed: int = 2,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -141,12 +143,12 @@ def centroid_clusters(
     small_batches(spark)
     kept = kept_vectors(vectors, dims, scale, id_col, vector_col)
     id_type = kept.schema["vec_id"].dataType.simpleString()
-    first = first_centroids(kept, k, seed)
+    first = first_centroids(kept, max(k, n_pivots + n_pivots // 4), seed)
     if not first:
         schema = f"vec_id {id_type}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string, n_compared long"
         return spark.createDataFrame([], schema)
-    centroids = np.array(first, np.int64).reshape(len(first), dims)
-    simplex = Simplex(_bounded(centroids), n_pivots)
+    candidates = _bounded(np.array(first, np.int64).reshape(len(first), dims))
+    centroids, simplex = candidates[:k], Simplex(candidates, n_pivots)
     width = len(simplex.pivots)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
