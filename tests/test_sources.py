@@ -299,3 +299,22 @@ def test_header_of_429():
         return b"x"
 
     assert candle_source.with_retry(call, 5, 0.5, pauses.append) == b"x" and pauses == [0.5, 3.0]
+
+
+def test_config_files(tmp_path):
+    from barloom.config import SHORT, Horizon, configured, load_config, merged
+
+    (tmp_path / "a.yaml").write_text("data:\n  lookback: 48\n  tickers: [A, B]\nsweep: {seed: 1}\n")
+    (tmp_path / "b.json").write_text('{"data": {"lookback": 500, "start": "2023-01-01"}, "sweep": 7}')
+    (tmp_path / "empty.yaml").write_text("")
+    a, b = str(tmp_path / "a.yaml"), f"file://{tmp_path}/b.json"
+    assert load_config(a, b) == {"data": {"lookback": 500, "tickers": ["A", "B"], "start": "2023-01-01"}, "sweep": 7}
+    assert load_config(b, a)["sweep"] == {"seed": 1} and load_config(str(tmp_path / "empty.yaml")) == {}
+    assert load_config(a, f"global={b}")["global"]["data"]["lookback"] == 500 and load_config(a, f"global={b}")["data"]["lookback"] == 48
+    (tmp_path / "list.yaml").write_text("- 1")
+    with pytest.raises(ValueError, match="holds no map"):
+        load_config(str(tmp_path / "list.yaml"))
+    assert merged({"x": {"y": 1}}, {"x": {"z": 2}}, {"x": {"y": None}}) == {"x": {"y": None, "z": 2}}
+    assert configured(SHORT, {"pred_len": 12}) == Horizon(48, 12, 5)
+    with pytest.raises(ValueError, match="unknown parameters: .*nope"):
+        configured(SHORT, {"nope": 1})
