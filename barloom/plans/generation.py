@@ -115,7 +115,7 @@ def k08_mean_paths(spark, sf):
     "k02_k03_bit_codes",
     f"""WITH {BARS_SQL}, d AS (SELECT ticker, bar_ix, close - lag(close) OVER w AS d FROM bars WINDOW w AS ({BY_BAR_SQL})), l AS (SELECT ticker, bar_ix, list(coalesce(d, 0.0)) OVER ({BY_BAR_SQL} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS z FROM d),
         i AS (SELECT ticker, bar_ix, z, list_sum(list_transform(range(10), lambda k: CASE WHEN z[k + 1] > 0 THEN 1 << k ELSE 0 END))::INT AS s1, list_sum(list_transform(range(10), lambda k: CASE WHEN z[k + 11] > 0 THEN 1 << k ELSE 0 END))::INT AS s2 FROM l WHERE len(z) = 20)
-        SELECT ticker, bar_ix, s1, s2, list_transform(z, lambda x: round(CASE WHEN x > 0 THEN 1 ELSE -1 END / sqrt(20), 6)) AS features FROM i""",
+        SELECT ticker, bar_ix, s1, s2, unnest(range(20))::INT AS place, unnest(list_transform(z, lambda x: round(CASE WHEN x > 0 THEN 1 ELSE -1 END / sqrt(20), 6))) AS feature FROM i""",
 )
 def k02_k03(spark, sf):
     """The signs of the last twenty moves as two ids of ten bits, and features from the ids."""
@@ -124,7 +124,7 @@ def k02_k03(spark, sf):
     move = F.coalesce(F.col("close") - F.lag("close").over(by_bar()), F.lit(0.0))
     z = bars(spark, sf).withColumn("d", move).select("ticker", "bar_ix", F.collect_list("d").over(roll(20)).alias("z")).filter("size(z) = 20")
     ids = z.select("ticker", "bar_ix", generate.bits_to_ids(F.col("z")).alias("i")).select("ticker", "bar_ix", "i.*")
-    return ids.select("*", F.transform(generate.ids_to_bits(F.col("s1"), F.col("s2")), lambda x: F.round(x, 6)).alias("features"))
+    return ids.select("*", F.posexplode(generate.ids_to_bits(F.col("s1"), F.col("s2"))).alias("place", "x")).select("ticker", "bar_ix", "s1", "s2", "place", r("x").alias("feature"))
 
 
 _FREQUENCY_SQL = f"""gaps AS (SELECT ticker, date_diff('minute', lag(ts) OVER w, ts) AS gap FROM bars WINDOW w AS ({BY_BAR_SQL})),

@@ -166,15 +166,15 @@ VWAP_SQL = f"""{BARS_SQL}, v0 AS (
 @query(
     "w17_session_vwap",
     f"""WITH {VWAP_SQL} SELECT ticker, bar_ix, round(vwap, 6) AS vwap, CASE WHEN sigma > 1e-3 THEN round(sigma, 3) END AS vwap_sigma, CASE WHEN k > 1 AND sigma > 1e-3 THEN round(vwap + 2 * sigma, 3) END AS vwap_upper,
-        CASE WHEN sigma > 1e-3 THEN coalesce(c1 <= v1 AND CASE WHEN k >= 3 THEN c2 > v2 ELSE k = 2 END AND close > vwap, false) END AS crossed_up,
-        CASE WHEN sigma > 1e-3 THEN coalesce(c1 >= v1 AND CASE WHEN k >= 3 THEN c2 < v2 ELSE k = 2 END AND close < vwap, false) END AS crossed_down FROM v""",
+        CASE WHEN sigma > 1e-3 THEN coalesce(c1 <= v1 AND CASE WHEN k >= 3 THEN c2 > v2 ELSE k = 2 END AND close > vwap, false)::INT::DOUBLE END AS crossed_up,
+        CASE WHEN sigma > 1e-3 THEN coalesce(c1 >= v1 AND CASE WHEN k >= 3 THEN c2 < v2 ELSE k = 2 END AND close < vwap, false)::INT::DOUBLE END AS crossed_down FROM v""",
 )
 def w17(spark, sf):
     b = rolling.vwap(bars(spark, sf)).withColumn("at", F.row_number().over(rolling.session(False)))
     # Where prices hardly differ, the deviation is rounding, and what rests on it unknown.
     spread = lambda c, name: F.when(F.col("vwap_sigma") > 1e-3, c).alias(name)
     upper = F.when(F.col("at") > 1, r("vwap_upper", 3))
-    return b.select("ticker", "bar_ix", r("vwap"), spread(r("vwap_sigma", 3), "vwap_sigma"), spread(upper, "vwap_upper"), spread(F.col("crossed_up"), "crossed_up"), spread(F.col("crossed_down"), "crossed_down"))
+    return b.select("ticker", "bar_ix", r("vwap"), spread(r("vwap_sigma", 3), "vwap_sigma"), spread(upper, "vwap_upper"), *[spread(F.col(c).cast("double"), c) for c in ("crossed_up", "crossed_down")])
 
 
 @query(

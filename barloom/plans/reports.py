@@ -182,11 +182,11 @@ def a34(spark, sf):
 @query(
     "a41_gates",
     f"""WITH {BAR_CHAIN}, {METRICS_SQL} SELECT strategy, ticker, sharpe >= 0.5 AS gate_sharpe, win_rate >= 0.52 AS gate_win_rate, abs(max_dd) <= 0.25 AS gate_drawdown,
-        CASE WHEN n_trades > 2 THEN {normal.cdf_sql("z")} >= 0.7 END AS gate_psr FROM mt""",
+        CASE WHEN n_trades > 2 THEN ({normal.cdf_sql("z")} >= 0.7)::INT::DOUBLE END AS gate_psr FROM mt""",
 )
 def a41(spark, sf):
     g = reports.gates(reports.strategy_metrics(per_bar(spark, sf)))
-    return g.select("strategy", "ticker", "gate_sharpe", "gate_win_rate", "gate_drawdown", F.when(F.col("n_trades") > 2, F.col("gate_psr")).alias("gate_psr"))
+    return g.select("strategy", "ticker", "gate_sharpe", "gate_win_rate", "gate_drawdown", F.when(F.col("n_trades") > 2, F.col("gate_psr").cast("double")).alias("gate_psr"))
 
 
 @query(
