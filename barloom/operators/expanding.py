@@ -1,8 +1,8 @@
 """Scans along a ticker's bars that windows can't do in linear time.
 
-:func:`ordered_scan` hands the rows of a ticker to a small state machine, batch by
-batch in the order of an index, so a task holds the state and one batch, not the
-history's rows.  Expanding quantiles keep two heaps for each quantile: a value costs
+:func:`ordered_scan` hands the wanted values of a ticker's rows to a small state
+machine, batch by batch in the order of an index, so a task holds the state and one
+batch, not the history's rows.  Expanding quantiles keep two heaps for each quantile: a value costs
 the logarithm of the history, where a window would sort every prefix anew.
 """
 
@@ -15,6 +15,7 @@ from math import floor, nan
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 Step = Callable[[dict[str, list]], list[list]]
@@ -24,24 +25,32 @@ def ordered_scan(df: DataFrame, columns: list[str], outputs: list[str], make: Ca
     """``df`` with the double columns ``outputs``.
 
     ``make`` gives a fresh step for each key; a step maps the next rows' values of
-    ``columns`` to the values of ``outputs``.  Rows come in the order of ``ix``: a
-    window numbers them, and a break in the numbers raises.
+    ``columns`` to the values of ``outputs``.  Only the key, a number and ``columns``
+    go to Python; the other columns of a row stay where they are.  Rows come in the
+    order of ``ix``: a window numbers them, and a break in the numbers raises.
     """
-    number = "__barloom_number"
+    number, found = "__barloom_number", "__barloom_found"
     numbered = df.withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(ix)))
-    schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name in outputs)])
-    width = len(df.columns)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, seen = make(), 0
-        for batch in batches:
-            if batch.column(width).to_pylist() != list(range(seen + 1, seen + 1 + batch.num_rows)):
-                raise RuntimeError(f"rows of a {key} did not come in the order of {ix}")
-            seen += batch.num_rows
-            found = step({c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(v, pa.float64()) for v in found)], names=[*batch.schema.names[:width], *outputs])
-
-    return numbered.groupBy(key).applyInArrow(scan, schema)
+
+    def scan(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        step, at, seen = None, None, 0
+        for keys, numbers, *values in batches:
+            own, count, pieces = keys.to_pylist(), numbers.to_pylist(), []
+            cuts = sorted({0, *(k for k, n in enumerate(count) if n == 1)})
+            for a, b in zip(cuts, [*cuts[1:], len(count)], strict=True):
+                if count[a : a + 1] == [1]:
+                    step, at, seen = make(), own[a], 0
+                if count[a:b] != list(range(seen + 1, seen + 1 + b - a)) or any(k != at for k in own[a:b]):
+                    raise RuntimeError(f"rows of a {key} did not come in the order of {ix}")
+                seen += b - a
+                if b > a:
+                    part = step({c: v.slice(a, b - a).to_pylist() for c, v in zip(columns, values, strict=True)})
+                    pieces.append(pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in part], names=outputs))
+            yield pa.concat_arrays(pieces) if pieces else pa.array([], pa.struct([(name, pa.float64()) for name in outputs]))
+
+    # Not to be moved or left out of a row: what it gives depends on the rows before.
+    scanned = arrow_udf(scan, StructType([StructField(name, DoubleType()) for name in outputs])).asNondeterministic()
+    return numbered.withColumn(found, scanned(key, number, *columns)).select(*df.columns, *(F.col(f"{found}.{name}").alias(name) for name in outputs))
 
 
 class Quantile:

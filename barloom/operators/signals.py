@@ -136,7 +136,6 @@ def batch_features(f: DataFrame, horizon: Horizon) -> DataFrame:
     windows per confidence threshold, the rolling win rate of the baseline, and the regime of the window before."""
     names = {f"d{t * 10:.0f}": t for t in DROP_LEVELS[1:]}
     f = f.withColumns({f"{name}_ret": atoms.confident_mean(F.col("rets"), F.col("conf_per_sample"), t) for name, t in names.items()})
-    f = _walk_forward(f, {}, {name: f"{name}_ret" for name in names})
     f = f.withColumns({f"{level}_w": atoms.weighted_quantile(F.col("last"), F.col("weights"), q) for level, q in (("g_tp", 0.8), ("g_sl", 0.2))})
     f = f.withColumns({f"n_conf{t * 100:.0f}": F.count_if(F.col("conf") >= t).over(W.partitionBy("ticker")) for t in CONF_LEVELS})
     f = simulate.rolling_win_rate(simulate.signals_won(f.withColumn("sig", F.expr(WF)), horizon)).drop("sig", "won")
@@ -145,7 +144,9 @@ def batch_features(f: DataFrame, horizon: Horizon) -> DataFrame:
     place = F.when(F.col("bb_pct") < 0.3, "oversold").when(F.col("bb_pct") > 0.7, "overbought").when(F.col("bb_pct") < 0.7, "middle").otherwise("edge")
     label = F.concat_ws("_", vol, place, F.when(F.col("bb_mom"), "expanding").otherwise("contracting"))
     # The first window has none before it and passes as wide, middle, expanding.
-    return f.withColumn("regime", label).withColumn("regime", F.lag("regime", 1, "high_vol_middle_expanding").over(by_window()))
+    f = f.withColumn("regime", label).withColumn("regime", F.lag("regime", 1, "high_vol_middle_expanding").over(by_window()))
+    # The scan comes last, since a window after it would shuffle the rows anew.
+    return _walk_forward(f, {}, {name: f"{name}_ret" for name in names})
 
 
 def batch_run() -> list[Strategy]:

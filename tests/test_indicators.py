@@ -189,3 +189,42 @@ def test_asof_in_buckets(spark, bucket):
     for n, k, t in left:
         fits = [(abs(ts - t), ts, x) for q, ts, x in right if q == k and ts and t and abs(ts - t) <= timedelta(hours=3)]
         assert near[n] == (min(fits)[2] if fits else None), n
+
+
+def test_scan_of_several_keys(spark):
+    """Keys that share a partition, batches that end within a key, and filters that come after the scan."""
+    from pyspark.sql import functions as F
+
+    from barloom.operators.expanding import ordered_scan
+
+    def make():
+        total = 0.0
+
+        def step(rows):
+            nonlocal total
+            out = []
+            for x in rows["x"]:
+                total += x or 0.0
+                out.append(total)
+            return [out, [len(rows["x"]) * 1.0] * len(out)]
+
+        return step
+
+    data = [(k, i, float(i % 7) if i % 5 else None, [i] * 3) for k in ("a", "b", "c", None) for i in range(50)] + [("d", 0, 1.0, [])]
+    df = spark.createDataFrame(data, "ticker string, bar_ix long, x double, wide array<long>").repartition(3)
+    expect, total = {}, {}
+    for k, i, x, _ in data:
+        total[k] = total.get(k, 0.0) + (x or 0.0)
+        expect[k, i] = total[k]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = ordered_scan(df, ["x"], ["total", "rows"], make)
+            assert found.columns == ["ticker", "bar_ix", "x", "wide", "total", "rows"]
+            assert {(r.ticker, r.bar_ix): r.total for r in found.collect()} == expect
+            kept = found.filter((F.col("bar_ix") % 2 == 1) & F.col("x").isNotNull()).select("ticker", "bar_ix", "total").collect()
+            assert {(r.ticker, r.bar_ix): r.total for r in kept} == {(k, i): expect[k, i] for k, i, x, _ in data if i % 2 and x is not None}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert ordered_scan(df.filter("false"), ["x"], ["total", "rows"], make).collect() == []
