@@ -290,22 +290,28 @@ def x03(spark, sf):
 
 
 _METRIC_COLUMNS = ("sharpe", "sortino", "avg_return", "trade_pct", "n_trades", "profit_factor", "win_rate", "max_dd", "calmar", "psr", "total_return", "total_pnl")
-# Ratios of few trades divide by next to nothing; they are unknown.
-_METRICS_SELECT = f"""SELECT strategy, ticker, round(sharpe, 4) AS sharpe, CASE WHEN n_trades > 20 THEN round(CASE WHEN down < 1e-8 THEN 0.0 ELSE {_P} * mean_ret / down END, 4) END AS sortino, round(mean_ret * {52 * 252}, 4) AS avg_return, round(n_trades / n_all, 6) AS trade_pct,
-    n_trades, CASE WHEN n_trades > 20 THEN round(profit_factor, 4) END AS profit_factor, round(win_rate, 6) AS win_rate, round(max_dd, 6) + 0.0 AS max_dd, CASE WHEN n_trades > 20 THEN round(mu * {52 * 252} / (abs(max_dd) + 1e-8), 2) END AS calmar,
-    CASE WHEN n_trades > 20 THEN round(CASE WHEN n_trades < 2 THEN 0.0 ELSE {normal.cdf_sql("z")} END, 5) END AS psr, round(total_return, 6) + 0.0 AS total_return, round(total_pnl, 6) + 0.0 AS total_pnl FROM mt"""
+def _metrics_select(known) -> str:
+    """The metrics, rounded; ``known`` wraps those that few trades leave dividing by next to nothing."""
+    return f"""SELECT strategy, ticker, round(sharpe, 4) AS sharpe, {known(f"round(CASE WHEN down < 1e-8 THEN 0.0 ELSE {_P} * mean_ret / down END, 4)")} AS sortino, round(mean_ret * {52 * 252}, 4) AS avg_return, round(n_trades / n_all, 6) AS trade_pct,
+    n_trades, {known("round(profit_factor, 4)")} AS profit_factor, round(win_rate, 6) AS win_rate, round(max_dd, 6) + 0.0 AS max_dd, {known(f"round(mu * {52 * 252} / (abs(max_dd) + 1e-8), 2)")} AS calmar,
+    {known(f"round(CASE WHEN n_trades < 2 THEN 0.0 ELSE {normal.cdf_sql('z')} END, 5)")} AS psr, round(total_return, 6) + 0.0 AS total_return, round(total_pnl, 6) + 0.0 AS total_pnl FROM mt"""
 
 
-def _rounded_metrics(df: DataFrame) -> DataFrame:
+# Ratios of few trades are unknown; the flagship gives all of its own.
+_METRICS_SELECT, _ALL_METRICS_SELECT = _metrics_select(lambda c: f"CASE WHEN n_trades > 20 THEN {c} END"), _metrics_select(lambda c: c)
+
+
+def _rounded_metrics(df: DataFrame, least: int = 21) -> DataFrame:
+    """Metrics rounded; ratios of fewer than ``least`` trades are unknown."""
     digits = {"sharpe": 4, "sortino": 4, "avg_return": 4, "profit_factor": 4, "calmar": 2, "psr": 5}
-    known = lambda c: F.when(F.col("n_trades") > 20, r(c, digits.get(c, 6))).alias(c) if c in ("sortino", "profit_factor", "calmar", "psr") else r(c, digits.get(c, 6))
+    known = lambda c: F.when(F.col("n_trades") >= least, r(c, digits.get(c, 6))).alias(c) if c in ("sortino", "profit_factor", "calmar", "psr") else r(c, digits.get(c, 6))
     return df.select("strategy", "ticker", *[c if c == "n_trades" else known(c) for c in _METRIC_COLUMNS])
 
 
-@query("x3_backtest_wf", f"WITH {FEATURE_SQL}, {signals_sql(_T14[:1])}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_METRICS_SELECT}")
+@query("x3_backtest_wf", f"WITH {FEATURE_SQL}, {signals_sql(_T14[:1])}, {TRADES_SQL}, {PER_BAR_SQL}, {METRICS_SQL} {_ALL_METRICS_SELECT}")
 def x3(spark, sf):
-    """The flagship: walk-forward baseline from ticks to metrics, per ticker."""
-    return _rounded_metrics(reports.trade_metrics(run(spark, sf, _T14[:1]), bars(spark, sf)))
+    """The flagship: walk-forward baseline from ticks to metrics, per ticker; every metric, however few the trades."""
+    return _rounded_metrics(reports.trade_metrics(run(spark, sf, _T14[:1]), bars(spark, sf)), least=0)
 
 
 @query("a01_a17_strategy_metrics", f"WITH {_CHAIN}, {METRICS_SQL} {_METRICS_SELECT}")
