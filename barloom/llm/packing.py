@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import small_batches
 from .text import parts, texts_of, whole_id
-from .vocab import WordVocabulary, loaded, tidy
+from .vocab import WordVocabulary, loaded, release, tidy
 
 CAPACITY = 4096
 GROUP_BYTES = 2 << 20
+# Words that a worker's encoder remembers; a heap that earlier stages have filled leaves a worker little else.
+WORDS = 200_000
 # Sequences of the rests of group g are numbered from g * 2**GROUP_BITS; those of full windows, from -1 down.
 GROUP_BITS = 24
 
@@ -128,7 +130,7 @@ def pack_documents(
 
         # Full windows are sequences at once, numbered -1, -2, ... in steps of the partition.
         partition, serial = TaskContext.get().partitionId(), 0
-        encoder = loaded((WordVocabulary, vocabulary))[0]
+        encoder = loaded((WordVocabulary, vocabulary), limit=WORDS)[0]
         for batch in batches:
             column = batch.column(1)
             for a, b, _ in parts(texts_of(column), 1 << 20):
@@ -158,6 +160,7 @@ def pack_documents(
         tidy()
 
     def pack(table: pa.Table) -> pa.Table:
+        release()
         group = table.column("group")[0].as_py()
         table = table.drop_columns(["group"]).combine_chunks()
         rest = pc.equal(table.column("sequence_id"), 0)

@@ -276,14 +276,14 @@ class PieceVocabulary:
 _LOADED: dict[tuple, object] = {}
 
 
-def loaded(*wanted: tuple[type, str]) -> list:
-    """The encoders of this worker process for (kind, vocabulary file); those no longer wanted are dropped."""
+def loaded(*wanted: tuple[type, str], limit: int = LIMIT) -> list:
+    """The encoders of this worker process for (kind, vocabulary file), which share ``limit``; those no longer wanted are dropped."""
     if set(_LOADED) != set(wanted):
         for key in set(_LOADED) - set(wanted):
             del _LOADED[key]
         for kind, path in wanted:
             if (kind, path) not in _LOADED:
-                _LOADED[kind, path] = kind(path, LIMIT // (3 * len(wanted) - 2))
+                _LOADED[kind, path] = kind(path, limit // (3 * len(wanted) - 2))
     return [_LOADED[key] for key in wanted]
 
 

@@ -58,3 +58,20 @@ def test_unit_encoding_is_whole_encoding(encoders, many):
         ids, counts = ours.encode(many)
         want = [e.ids for e in plain.encode_batch(many, add_special_tokens=False)]
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_packing_forgets_rare_words():
+    """A worker that packs remembers few words, whatever it has seen, and encodes as before."""
+    from tokenizers import Tokenizer
+
+    from barloom.llm import packing
+
+    path, step = vocabulary("word_bpe_49k.json"), 50_000
+    encoder = vocab.loaded((vocab.WordVocabulary, path), limit=packing.WORDS)[0]
+    for k in range(6):
+        texts = [" ".join(f"the w{j}" for j in range(k * step, (k + 1) * step))]
+        ids, counts = encoder.encode(texts)
+        assert len(encoder.words.index) <= 200_000 + step + 1
+    plain = Tokenizer.from_file(path)
+    assert ids.tolist() == plain.encode(texts[0], add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    vocab.release()
