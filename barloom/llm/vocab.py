@@ -113,38 +113,54 @@ class _Fast:
     def __init__(self, path: str):
         self.tokenizer = _fast_tokenizer(path)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def many(self, units: list[str], joint: str, ends: Callable[[np.ndarray, list[str]], np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    def many(self, units: list[str], joint: str, ends: Callable[[np.ndarray, list[str]], np.ndarray | None], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for a in range(0, len(units), self.PER_TEXT):
             own = units[a : a + self.PER_TEXT]
-            ids = np.array(self.ids([joint.join(own)])[0], np.uint32)
+            ids = np.array(self.ids([joint.join(own)], tokenizer)[0], np.uint32)
             upto = ends(ids, own)
-            out.append(_joined(self.ids(own)) if upto is None else (ids, np.diff(np.append(0, upto))))
+            out.append(_joined(self.ids(own, tokenizer)) if upto is None else (ids, np.diff(np.append(0, upto))))
         return tuple(np.concatenate([np.zeros(0, kind), *(o[k] for o in out)]) for k, kind in ((0, np.uint32), (1, np.int64)))
 
 
+# Beyond these letters Unicode versions differ in what is one.
+_NOT_LATIN = re.compile(r"[^\0-\u017f]")
+# What byte-level vocabularies write for a byte; letters and signs of Latin-1 stand for themselves, and spaces part units here.
+_SHOWN = np.arange(256, dtype="<u2")
+_SHOWN[[*range(32), *range(127, 161), 173]] = [*range(256, 288), *range(289, 324)]
+
+
 class WordVocabulary(_Fast):
     """A vocabulary that drops white space and lower-cases: the words of a text are its units.
 
-    A new word is cut as the vocabulary's pre-tokeniser cuts it, and each distinct
-    cut piece is encoded once.  A piece's last id is one that ends a word, which
-    tells where a piece's ids end.
+    A new word is normalised and cut as the vocabulary does it, and each distinct
+    cut piece is encoded once.  Latin ones go straight to the vocabulary's model;
+    the others are normalised and cut once more, by the library.  A piece's last id
+    is one that ends a word, which tells where a piece's ids end.
     """
 
+    PER_TEXT = 100
     # Fixed value: the pre-tokeniser's pattern.
     CUT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    # The same for visible characters of lower-cased ASCII.
+    ASCII_CUT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str, limit: int = LIMIT):
         import regex
 
         super().__init__(path)
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
         self.cut = regex.compile(self.CUT)
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
         self.words, self.pieces = UnitCache(self._encode_words, limit), UnitCache(self._encode_pieces, limit // 2)
 
     def _ends(self, ids: np.ndarray, units: list[str]) -> np.ndarray | None:
@@ -152,19 +168,31 @@ class WordVocabulary(_Fast):
         return ends if len(ends) == len(units) and (not len(ids) or ends[-1] == len(ids)) else None
 
     def _encode_pieces(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.many(units, " ", self._ends)
+        latin = np.array([u.isascii() or not _NOT_LATIN.search(u) for u in units], bool)
+        joined = " ".join(u for u, own in zip(units, latin, strict=True) if own)
+        shown = _SHOWN[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        found = self.many(shown.split(" ") if latin.any() else [], " ", self._ends, self.bare)
+        others = self.many([u for u, own in zip(units, latin, strict=True) if not own], " ", self._ends)
+        counts = np.zeros(len(units), np.int64)
+        counts[latin], counts[~latin] = found[1], others[1]
+        of_latin = np.repeat(latin, counts)
+        ids = np.zeros(len(of_latin), np.uint32)
+        ids[of_latin], ids[~of_latin] = found[0], others[0]
+        return ids, counts
 
     def _pieces_of(self, word: bytes) -> list[str]:
         text = word.decode()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            # The library lower-cases character by character, so a final sigma is like any other.
-            text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
+        if text.isascii():
+            return (self.ASCII_CUT if text.isprintable() else self.cut).findall(text)
+        text = unicodedata.normalize("NFC", text)
+        # The library lower-cases character by character, so a final sigma is like any other.
+        text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
         return self.cut.findall(text)
 
     def _encode_words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         self.pieces.trim()
-        cut = [self._pieces_of(u) for u in units]
+        # Bare letters without accents are a piece as they are.
+        cut = [[u.decode()] if u.isalpha() else self._pieces_of(u) for u in units]
         numbers = self.pieces.number([p for c in cut for p in c])
         self.pieces.learn()
         self.pieces.used(numbers)

@@ -75,3 +75,18 @@ def test_packing_forgets_rare_words():
     plain = Tokenizer.from_file(path)
     assert ids.tolist() == plain.encode(texts[0], add_special_tokens=False).ids and counts.tolist() == [len(ids)]
     vocab.release()
+
+
+def test_new_words_skip_what_cutting_has_done():
+    """Latin words are normalised and cut once, not again by the library, and odd ones keep their ids."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    encoder, plain = vocab.WordVocabulary(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    assert encoder.bare.normalizer is None
+    odd = ["it's", "'S'LL'x", "a\x00b\x7f\x1c\x1fc'", "\xa0\xad\xff\xe9", "é́ ́", "İİ", "ΟΣ σΣΣ", " 　x\u0085y", "ĠĀ", "<|endoftext|>", "12٢½", "\U0001f600ẞ한가", "ﬁÅǅ"]
+    texts = [*odd, " ".join(odd), "".join(odd), *(f"a{chr(c)}b{chr(c)}" for c in range(0x600)), *(chr(c) for c in range(0x1e00, 0x2200))]
+    ids, counts = encoder.encode(texts)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
